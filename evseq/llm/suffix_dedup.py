@@ -280,11 +280,11 @@ def _answers(d: DataFrame, n: int) -> DataFrame:
     """Bits of all passes, by block."""
     bits = None
     for kind in PASSES:
-        slim = d.select("text", "_block")
+        # d whole, each time: one exchange of the documents serves all passes.
         if bits is None:
-            sent = slim.groupBy("_block").applyInArrow(alone(kind, n), NAMES)
+            sent = d.groupBy("_block").applyInArrow(alone(kind, n), NAMES)
         else:
-            sent = slim.groupBy("_block").cogroup(bits.groupBy("block")).applyInArrow(informed(kind, n), NAMES)
+            sent = d.groupBy("_block").cogroup(bits.groupBy("block")).applyInArrow(informed(kind, n), NAMES)
         answer = sent.groupBy("bucket").applyInArrow(sort_bucket, BITS)
         bits = answer if bits is None else bits.unionByName(answer)
     return bits
