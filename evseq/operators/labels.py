@@ -11,14 +11,15 @@ from evseq.functions import arrays, codes
 
 def task_labels(seqs: DataFrame, truncated: bool = False) -> DataFrame:
     """Death and sepsis from the full history, or with truncated from the arrays alone."""
-    died = F.exists("event_tokens", codes.is_death) if truncated else F.col("died")
+    died = F.exists("event_tokens", lambda x: codes.is_death(x)) if truncated else F.col("died")
     septic = F.exists("event_tokens", codes.is_sepsis_token) if truncated else F.col("septic")
     died, septic = F.coalesce(died, F.lit(False)), F.coalesce(septic, F.lit(False))
     none = F.array().cast("array<bigint>")
-    return seqs.drop("died", "septic").withColumns({
+    d = seqs.withColumns({
         "death_after_start": F.when(died, 0).otherwise(-1), "death_after_end": F.when(died, 30).otherwise(-1), "label_mortality_2weeks": died.cast("int"), "label_mortality_1month": died.cast("int"),
         "label_sepsis": septic.cast("int"), "common_conditions": none, "rare_conditions": none,
     })
+    return d.drop("died", "septic")
 
 
 def mortality(seqs: DataFrame, days: dict[str, int] | None = None) -> DataFrame:
@@ -33,11 +34,12 @@ def readmission(seqs: DataFrame, visit: str = "[VS]", within: tuple[str, ...] =
     return d.withColumns({"cutoff_readmission": F.col("last_vs") - 1, "label_readmission_1month": F.coalesce(before.isin(*within), F.lit(False)).cast("int"), "num_visits": F.col("num_visits") - 1, "token_length": F.size("event_tokens")}).drop("last_vs")
 
 
-def length_of_stay(seqs: DataFrame, threshold: int = 7, minimum: int = 1, cutoff_hours: int = 24, visit: str = "[VS]", end: str = "[VE]") -> DataFrame:
-    """Of the last visit. length_of_stay counts tokens over 24, as the reference pipeline has it; los_hours is its true length."""
+def length_of_stay(seqs: DataFrame, threshold: float = 7, minimum: float = 1, cutoff_hours: float = 24, first_event_hours: float | None = None, visit: str = "[VS]", end: str = "[VE]") -> DataFrame:
+    """Of the last visit. length_of_stay counts tokens over 24, not hours; los_hours is the true length. Only subjects whose last visit
+    has its first event before first_event_hours (minimum days, if not given)."""
     d = seqs.withColumns({"last_vs": arrays.last_index("event_tokens", visit), "last_ve": arrays.last_index("event_tokens", end)}).where("last_vs is not null and last_ve is not null")
     d = d.withColumn("length_of_stay", (F.col("last_ve") - 1 - (F.col("last_vs") + 1)) / F.lit(24.0)).where(F.col("length_of_stay") >= minimum)
-    d = d.where(F.get("elapsed_tokens", F.col("last_vs") + 1) < minimum * 24)
+    d = d.where(F.get("elapsed_tokens", F.col("last_vs") + 1) < (minimum * 24 if first_event_hours is None else first_event_hours))
     cutoff = arrays.first_index_where("elapsed_tokens", lambda x, i: (x > cutoff_hours) & (i > F.col("last_vs")) & (i < F.col("last_ve")))
     return d.withColumns({
         "label_los_1week": (F.col("length_of_stay") >= threshold).cast("int"), "cutoff_los": F.coalesce(cutoff, F.size("event_tokens")), "token_length": F.size("event_tokens"),

@@ -73,7 +73,7 @@ def q_tolerant_cast(spark, sf_dir):
     return proxies.table(spark, sf_dir, "orders").select("o_orderkey", part(1).alias("number"), part(2).alias("word"), codes.truthy("o_orderstatus", ("f",)).alias("flag"))
 
 
-@query(sql("SELECT CASE WHEN starts_with(code, 'DIAGNOSIS') THEN 1 WHEN starts_with(code, 'LAB') THEN 2 WHEN starts_with(code, 'MEDICATION') THEN 3 ELSE 8 END AS type, count(*) AS n FROM v_event GROUP BY 1", "v_event"))
+@query(sql("SELECT CASE WHEN starts_with(code, 'DIAGNOSIS') THEN 1 WHEN starts_with(code, 'LAB') THEN 2 WHEN starts_with(code, 'MEDICATION') THEN 3 ELSE 8 END::BIGINT AS type, count(*) AS n FROM v_event GROUP BY 1", "v_event"))
 def q_token_type_counts(spark, sf_dir):
     return proxies.events(spark, sf_dir).groupBy(codes.token_type("code").cast("long").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -101,11 +101,11 @@ def q_patient_sequences(spark, sf_dir):
 @query(sql("SELECT subject_id, CASE WHEN died THEN 0 ELSE -1 END AS death_after_start, CASE WHEN died THEN 30 ELSE -1 END AS death_after_end, CAST(died AS BIGINT) AS label_mortality_1month, CAST(septic AS BIGINT) AS label_sepsis, CAST(len(list_filter(tokens, lambda x: x LIKE '%DEATH%')) > 0 AS BIGINT) AS died_in_view FROM v_seq", "v_seq"))
 def q_patient_labels(spark, sf_dir):
     s = seqs(spark, sf_dir)
-    d = labels.task_labels(s.withColumn("died_in_view", F.exists("event_tokens", codes.is_death).cast("int")))
+    d = labels.task_labels(s.withColumn("died_in_view", F.exists("event_tokens", lambda x: codes.is_death(x)).cast("int")))
     return d.select("subject_id", long("death_after_start"), long("death_after_end"), long("label_mortality_1month"), long("label_sepsis"), long("died_in_view"))
 
 
-@query(sql("SELECT stay_id, subject_id, hadm_id, intime, outtime, deathtime, dod, death_time, CAST(in_hosp_mortality AS BIGINT) AS in_hosp_mortality, CAST(mortality_28d AS BIGINT) AS mortality_28d, admission_type FROM v_master LEFT JOIN (SELECT subject_id AS sid, dod AS d FROM v_patient) ON sid = subject_id".replace(", dod,", ", d AS dod,"), "v_master"))
+@query(sql("SELECT stay_id, subject_id, hadm_id, intime, outtime, deathtime, d AS dod, death_time, CAST(in_hosp_mortality AS BIGINT) AS in_hosp_mortality, CAST(mortality_28d AS BIGINT) AS mortality_28d, admission_type FROM v_master LEFT JOIN (SELECT subject_id AS sid, dod AS d FROM v_patient) ON sid = subject_id", "v_master"))
 def q_master_stays(spark, sf_dir):
     m = master(spark, sf_dir)
     return m.select("stay_id", "subject_id", "hadm_id", "intime", "outtime", "deathtime", "dod", "death_time", long("in_hosp_mortality"), long("mortality_28d"), "admission_type")
@@ -124,17 +124,17 @@ def q_event_stay_match(spark, sf_dir):
     return matched(spark, sf_dir).select("subject_id", "stay_id", "time", "code", timecols.in_icu("time", "intime").cast("long").alias("in_icu"))
 
 
-@query(sql("SELECT stay_id, count(*) AS n_events, count(DISTINCT code) AS n_codes, max(mortality_28d) AS mortality_28d, CAST(max(CAST(regexp_matches(code, '(?i)^(DIAGNOSIS//)?(038|A40|A41)') AS INTEGER)) AS BIGINT) AS sepsis FROM v_match GROUP BY stay_id".replace("max(mortality_28d)", "CAST(max(mortality_28d) AS BIGINT)"), "v_match"))
+@query(sql("SELECT stay_id, count(*) AS n_events, count(DISTINCT code) AS n_codes, CAST(max(mortality_28d) AS BIGINT) AS mortality_28d, CAST(max(CAST(regexp_matches(code, '(?i)^(DIAGNOSIS//)?(038|A40|A41)') AS INTEGER)) AS BIGINT) AS sepsis FROM v_match GROUP BY stay_id", "v_match"))
 def q_event_stay_counts(spark, sf_dir):
     sepsis = F.max(codes.is_sepsis_code(F.col("code")).cast("int")).cast("long")
     return matched(spark, sf_dir).groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("code").alias("n_codes"), F.max("mortality_28d").cast("long").alias("mortality_28d"), sepsis.alias("sepsis"))
 
 
 _STAY = """SELECT stay_id, subject_id, list(regexp_replace(code, '[^\\p{L}\\p{N}_]', '', 'g') ORDER BY time, code)[1:64] AS tokens, list(date_diff('microsecond', intime, time) / 3.6e9 ORDER BY time, code)[1:64] AS elapsed,
-    list(CAST(time >= intime AS INTEGER) ORDER BY time, code)[1:64] AS visits, max(in_hosp_mortality) AS a, max(mortality_28d) AS b, max(CAST(regexp_matches(code, '(?i)^(DIAGNOSIS//)?(038|A40|A41)') AS INTEGER)) AS c FROM v_match GROUP BY ALL"""
+    list(CAST(time >= intime AS INTEGER) ORDER BY time, code)[1:64] AS visits, max(in_hosp_mortality) AS a, max(mortality_28d) AS b, max(CAST(regexp_matches(code, '(?i)^(DIAGNOSIS//)?(038|A40|A41)') AS INTEGER)) AS c FROM v_match GROUP BY stay_id, subject_id"""
 
 
-@query(sql(f"SELECT stay_id, subject_id, {lists('tokens')} AS tokens, {lists('elapsed', 3)} AS elapsed, {lists('visits')} AS visits, CAST(a AS BIGINT) AS label_in_hosp_mortality, CAST(b AS BIGINT) AS label_mortality_28d, CAST(c AS BIGINT) AS label_sepsis FROM per_stay", "v_match", per_stay=_STAY.replace("GROUP BY ALL", "GROUP BY stay_id, subject_id")))
+@query(sql(f"SELECT stay_id, subject_id, {lists('tokens')} AS tokens, {lists('elapsed', 3)} AS elapsed, {lists('visits')} AS visits, CAST(a AS BIGINT) AS label_in_hosp_mortality, CAST(b AS BIGINT) AS label_mortality_28d, CAST(c AS BIGINT) AS label_sepsis FROM per_stay", "v_match", per_stay=_STAY))
 def q_stay_sequences(spark, sf_dir):
     s = sequences.stay_sequences(matched(spark, sf_dir), 64)
     return s.select("stay_id", "subject_id", text("event_tokens").alias("tokens"), text("elapsed_tokens", 3).alias("elapsed"), text("visit_tokens").alias("visits"), long("label_in_hosp_mortality"), long("label_mortality_28d"), long("label_sepsis"))
@@ -183,22 +183,18 @@ def q_presence_masks(spark, sf_dir):
 
 # Labels
 
-_LOS = """SELECT *, (ve0 - 1 - (vs0 + 1)) / 24.0 AS los, coalesce(list_min(list_filter(range(len(tokens)), lambda i: elapsed[i + 1] > 24 AND i > vs0 AND i < ve0)), len(tokens)) AS cutoff FROM v_ends WHERE has_vs AND has_ve"""
+_LOS = """SELECT *, (ve0 - 1 - (vs0 + 1)) / 24.0 AS los, coalesce(list_min(list_filter(range(len(tokens)), lambda i: elapsed[i + 1] > 24 AND i > vs0 AND i < ve0)), len(tokens)) AS cutoff FROM v_ends WHERE has_vs AND has_ve AND ve0 - vs0 - 2 >= 0 AND elapsed[vs0 + 2] < 400"""
 
 
-@query(sql("SELECT subject_id, round(los, 6) AS length_of_stay, CAST(los >= 0.25 AS BIGINT) AS label_los_1week, CAST(cutoff AS BIGINT) AS cutoff_los, CAST(len(tokens) AS BIGINT) AS token_length FROM los WHERE los >= 0 AND elapsed[vs0 + 2] < 600", "v_ends", los=_LOS).replace("elapsed[vs0 + 2] < 600", "elapsed[vs0 + 2] < 0 * 24 + 99999"))
+@query(sql("SELECT subject_id, round(los, 6) AS length_of_stay, CAST(los >= 0.25 AS BIGINT) AS label_los_1week, CAST(cutoff AS BIGINT) AS cutoff_los, CAST(len(tokens) AS BIGINT) AS token_length, round(elapsed[ve0 + 1] - elapsed[vs0 + 1], 4) AS los_hours FROM los", "v_ends", los=_LOS))
 def q_los(spark, sf_dir):
     d = los(spark, sf_dir)
-    return d.select("subject_id", F.round("length_of_stay", 6).alias("length_of_stay"), long("label_los_1week"), long("cutoff_los"), long("token_length"))
+    return d.select("subject_id", F.round("length_of_stay", 6).alias("length_of_stay"), long("label_los_1week"), long("cutoff_los"), long("token_length"), F.round("los_hours", 4).alias("los_hours"))
 
 
 def los(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proxies' visits are short and late: no least length, and no bound on the first event."""
-    s = seqs(spark, sf_dir)
-    d = s.withColumns({"last_vs": arrays.last_index("event_tokens", "[VS]"), "last_ve": arrays.last_index("event_tokens", "[VE]")}).where("last_vs is not null and last_ve is not null")
-    d = d.withColumn("length_of_stay", (F.col("last_ve") - F.col("last_vs") - 2) / F.lit(24.0)).where("length_of_stay >= 0")
-    cutoff = arrays.first_index_where("elapsed_tokens", lambda x, i: (x > 24) & (i > F.col("last_vs")) & (i < F.col("last_ve")))
-    return d.withColumns({"label_los_1week": (F.col("length_of_stay") >= 0.25).cast("int"), "cutoff_los": F.coalesce(cutoff, F.size("event_tokens")), "token_length": F.size("event_tokens")})
+    """The proxies' visits are short and begin late."""
+    return labels.length_of_stay(seqs(spark, sf_dir), threshold=0.25, minimum=0, first_event_hours=400)
 
 
 _READ = "SELECT subject_id, num_visits - 1 AS num_visits, vs0 - 1 AS cutoff, CASE WHEN vs0 > 0 THEN tokens[vs0] ELSE tokens[len(tokens)] END IN ('[W_0]', '[W_1]', '[W_2]', '[W_3]', '[M_1]') AS soon, len(tokens) AS n FROM v_ends WHERE num_visits >= 2 AND has_vs"
@@ -226,9 +222,9 @@ def multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.multi_task(s, labels.conditions(s), dead(spark, sf_dir), labels.readmission(seqs(spark, sf_dir)), los(spark, sf_dir), 4)
 
 
-_MULTI = """SELECT s.subject_id AS patient_id, CAST(died AND s.subject_id % 40 <= 32 AS BIGINT) AS label_mortality_1month, coalesce(r.cutoff, -1) AS cutoff_readmission, coalesce(CAST(r.soon AS BIGINT), -1) AS label_readmission_1month,
+_MULTI = """SELECT s.subject_id AS patient_id, CAST(s.died AND s.subject_id % 40 <= 32 AS BIGINT) AS label_mortality_1month, coalesce(r.cutoff, -1) AS cutoff_readmission, coalesce(CAST(r.soon AS BIGINT), -1) AS label_readmission_1month,
     coalesce(l.cutoff, -1) AS cutoff_los, coalesce(CAST(l.los >= 0.25 AS BIGINT), -1) AS label_los_1week, s.subject_id % 2 AS label_c0, s.subject_id % 3 AS label_c1, s.subject_id % 5 AS label_c2, -1 AS label_c3
-    FROM v_seq s LEFT JOIN readm r ON s.subject_id = r.subject_id LEFT JOIN (SELECT * FROM los WHERE los >= 0) l ON s.subject_id = l.subject_id"""
+    FROM v_seq s LEFT JOIN readm r ON s.subject_id = r.subject_id LEFT JOIN los l ON s.subject_id = l.subject_id"""
 _MULTI_COLUMNS = ["label_mortality_1month", "cutoff_readmission", "label_readmission_1month", "cutoff_los", "label_los_1week", "label_c0", "label_c1", "label_c2", "label_c3"]
 
 
@@ -249,7 +245,7 @@ def q_datapoints(spark, sf_dir):
     return points(spark, sf_dir).select("patient_id", "task", long("label"), long("cutoff"))
 
 
-@query(sql("SELECT doc_id, y FROM (SELECT doc_id, quality AS y, row_number() OVER (PARTITION BY quality ORDER BY md5('23:' || doc_id)) AS n, count(*) FILTER (quality = 0) OVER () AS neg FROM v_score WHERE quality <> -1) WHERE y = 0 OR n <= CAST(floor(neg / 0.25) AS BIGINT) - neg", "v_score").replace("AS y,", "AS y, "))
+@query(sql("SELECT doc_id, y FROM (SELECT doc_id, quality AS y, row_number() OVER (PARTITION BY quality ORDER BY md5('23:' || doc_id)) AS n, count(*) FILTER (quality = 0) OVER () AS neg FROM v_score WHERE quality <> -1) WHERE y = 0 OR n <= CAST(floor(neg / 0.25) AS BIGINT) - neg", "v_score"))
 def q_balance_labels(spark, sf_dir):
     s = proxies.scores(spark, sf_dir).withColumn("label", F.when(F.col("quality") >= 0, 1 - F.col("quality")))
     return cohort.downsampled(s, 0.25, "doc_id").select("doc_id", (1 - F.col("label")).alias("y"))
@@ -280,7 +276,7 @@ def q_fewshot(spark, sf_dir):
     return cohort.few_shot(ids(spark, sf_dir), "y", [20, 50, 100], "balanced")
 
 
-@query(sql("SELECT subject_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5('23:' || subject_id)) - 1) % 10 AS fold FROM ids", ids=_IDS).replace("y, (", "CAST(y AS BIGINT) AS y, (", 1) if False else sql("SELECT subject_id, CAST(y AS BIGINT) AS y, CAST((row_number() OVER (PARTITION BY ids.y ORDER BY md5('23:' || subject_id)) - 1) % 10 AS BIGINT) AS fold FROM ids", ids=_IDS))
+@query(sql("SELECT subject_id, CAST(y AS BIGINT) AS y, CAST((row_number() OVER (PARTITION BY ids.y ORDER BY md5('23:' || subject_id)) - 1) % 10 AS BIGINT) AS fold FROM ids", ids=_IDS))
 def q_kfold(spark, sf_dir):
     return cohort.folds(ids(spark, sf_dir), "y").select("subject_id", long("y"), long("fold"))
 
@@ -290,11 +286,11 @@ def q_prefix_subsets(spark, sf_dir):
     return cohort.prefix(ids(spark, sf_dir), [100, 500]).select("subject_id", long("in_prefix"))
 
 
-_OVER = """SELECT subject_id FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('23:y:' || subject_id)) AS n FROM ids) WHERE n <= 40"""
-_OVER2 = """SELECT subject_id FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY fresh, md5('23:z:' || subject_id)) AS n FROM (SELECT subject_id, subject_id % 2 AS z, CAST(subject_id NOT IN (SELECT subject_id FROM first_pass) AS INTEGER) AS fresh FROM ids)) WHERE n <= 50"""
+_OVER = """SELECT subject_id FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('23:y:' || subject_id)) AS n FROM ids) WHERE n <= 45"""
+_OVER2 = """SELECT subject_id FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY fresh, md5('23:z:' || subject_id)) AS n FROM (SELECT subject_id, subject_id % 2 AS z, CAST(subject_id NOT IN (SELECT subject_id FROM first_pass) AS INTEGER) AS fresh FROM ids)) WHERE n <= 45"""
 
 
-@query(sql("SELECT DISTINCT subject_id FROM (SELECT * FROM first_pass UNION ALL SELECT * FROM second_pass)", ids=_IDS, first_pass=_OVER, second_pass=_OVER2).replace("WHERE n <= 40", "WHERE n <= 45").replace("WHERE n <= 50", "WHERE n <= 45"))
+@query(sql("SELECT DISTINCT subject_id FROM (SELECT * FROM first_pass UNION ALL SELECT * FROM second_pass)", ids=_IDS, first_pass=_OVER, second_pass=_OVER2))
 def q_overlap_select(spark, sf_dir):
     d = ids(spark, sf_dir).withColumn("z", (F.col("subject_id") % 2).cast("int"))
     return cohort.overlapping(d, ["y", "z"], 45)
