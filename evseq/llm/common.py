@@ -153,10 +153,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = _with_low(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = _with_low(large, low)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = checkpoint(small.where("u <> v").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -169,16 +169,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return up.unionByName(up.select(F.col("component").alias("node"), "component").distinct())
 
 
-def union_find(n: int, pairs: Iterable[tuple[int, int]]) -> list[int]:
-    """The smallest index of each index's group."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return [find(x) for x in range(n)]
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges with their node's minimum. Joined by the negated node, so that both sides are dealt out anew for this join and Spark
+    can split a hub's edges among tasks; the aggregate's own dealing can't be split."""
+    return edges.join(low.withColumnRenamed("u", "_w"), F.negative("u") == F.negative("_w")).drop("_w")

@@ -84,7 +84,9 @@ class Names:
     def __init__(self, names: list[np.ndarray], buckets: list[np.ndarray], n_buckets: int):
         h = np.concatenate(names) if names else np.zeros(0, np.uint64)
         b = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-        order = np.lexsort((h, b))
+        order = np.argsort(h)
+        # numpy sorts 16-bit numbers stably by radix.
+        order = order[np.argsort(b[order].astype(np.uint16 if n_buckets <= 1 << 16 else np.int64), kind="stable")]
         h, b = h[order], b[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])

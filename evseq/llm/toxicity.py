@@ -73,18 +73,17 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 15) -> tuple
     """Posterior of class 1 for each row. votes: rows by voters, 0 or 1; given: 0 or 1, the label as the last voter."""
     v = np.column_stack([votes, given]).astype(np.float64)
     q = np.clip(given.astype(np.float64), 0.05, 0.95)
-    weight = np.ones(v.shape[1])
     model: dict = {}
-    for k in range(rounds):
+    for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
         on = [(v.T @ r + 1e-2) / (r.sum() + 2e-2) for r in (1 - q, q)]
-        if k == 2:  # what remains between two voters once the class is known
-            rest = v - np.outer(1 - q, on[0]) - np.outer(q, on[1])
-            sd = np.sqrt((rest**2).mean(0)) + 1e-9
-            rho = (rest / sd).T @ (rest / sd) / len(v)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
-            model["correlation"] = rho
+        # What remains between two voters once the class is known.
+        rest = v - np.outer(1 - q, on[0]) - np.outer(q, on[1])
+        sd = np.sqrt((rest**2).mean(0)) + 1e-9
+        rho = (rest / sd).T @ (rest / sd) / len(v)
+        np.fill_diagonal(rho, 0)
+        weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
+        model["correlation"] = rho
         evidence = v @ (weight * (np.log(on[1]) - np.log(on[0]))) + (1 - v) @ (weight * (np.log1p(-np.minimum(on[1], 1 - 1e-6)) - np.log1p(-np.minimum(on[0], 1 - 1e-6))))
         q = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)), -30, 30)))
     return q, model | {"prior": float(q.mean()), "on": on, "weight": weight}
