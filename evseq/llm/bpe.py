@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 
 from evseq.llm import common
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean, ids array<int>"
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 #: States, pairs and pieces kept before a table starts anew.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 300_000, 500_000, 250_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 300_000, 400_000, 250_000
 #: A file of ranks above this is not sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 
@@ -84,32 +84,38 @@ class Transducer:
         return known
 
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        entries = self.states[number]
+        child, tokens, inner = self.child, self.token, self.inner
         new, parent, token = [], -1, -1
-        for k, (up, last, node) in enumerate(entries):
-            node = self.child.get(node << 8 | byte, -1) if node >= 0 else -1
-            if parent < 0 and node >= 0 and (t := self.token.get(node)) is not None and self.stays(last, t):
-                parent, token = k, t  # the longest: entries are in order of place
-            new.append((up, last, node if node in self.inner else -1))
+        for k, (up, last, node) in enumerate(self.states[number]):
+            if node >= 0 and (node := child.get(node << 8 | byte, -1)) >= 0:
+                if parent < 0 and (t := tokens.get(node)) is not None and self.stays(last, t):
+                    parent, token = k, t  # the longest: entries are in order of place
+                if node not in inner:
+                    node = -1
+            new.append((up, last, node))
         if parent < 0:
             raise ValueError("the ranks have no token for a single byte")
         new.append((parent, token, 0))
-        # What is alive, and what that hangs from.
-        needed = set()
-        for k, (_, _, node) in enumerate(new):
-            while node >= 0 and k >= 0 and k not in needed:
-                needed.add(k)
-                k = new[k][0]
-        fan: dict[int, int] = {}
-        for k in needed:
-            fan[new[k][0]] = fan.get(new[k][0], 0) + 1
-        root, out = min(needed), []
-        while new[root][2] < 0 and fan.get(root, 0) == 1:  # one way on: the token it leads to is fixed
-            root = min(k for k in needed if new[k][0] == root)
+        # What is alive or leads to it; how many ways on each entry has, and the last of them.
+        n = len(new)
+        ways, on = [0] * n, [0] * n
+        for k in range(n - 1, 0, -1):
+            up, _, node = new[k]
+            if node >= 0 or ways[k]:
+                ways[up] += 1
+                on[up] = k
+        root, out = 0, []
+        while new[root][2] < 0 and ways[root] == 1:  # one way on: the token it leads to is fixed
+            root = on[root]
             out.append(new[root][1])
-        kept = sorted(k for k in needed if k >= root)
-        index = {k: i for i, k in enumerate(kept)}
-        state = tuple((index.get(new[k][0], -1), new[k][1] if k != root or new[k][2] >= 0 else -2, new[k][2]) for k in kept)
+        _, last, node = new[root]
+        state, index = [(-1, last if node >= 0 else -2, node)], {root: 0}
+        for k in range(root + 1, n):
+            up, last, node = new[k]
+            if node >= 0 or ways[k]:
+                index[k] = len(state)
+                state.append((index[up], last, node))
+        state = tuple(state)
         to = self.number.get(state)
         if to is None:
             to = self.number[state] = len(self.states)
@@ -134,10 +140,12 @@ class Transducer:
             self.reset()
         state, out, go = 0, [], self.go
         for b in piece:
-            move = go.get(state << 8 | b) or self.step(state, b)
-            state = move[0]
-            if move[1]:
-                out += move[1]
+            try:
+                state, emitted = go[state << 8 | b]
+            except KeyError:
+                state, emitted = self.step(state, b)
+            if emitted:
+                out += emitted
         out += self.rest.get(state) or self.finish(state)
         return out
 
@@ -147,6 +155,7 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
         self.pieces: dict[str, list[int]] = {}
+        self.number = {i: str(i) for i in ranks.values()}
 
     def encode(self, text: str) -> list[int]:
         known, out = self.pieces, []
@@ -183,8 +192,8 @@ def decode_stream(ids: list[int], spelling: dict[int, bytes], step: int = 4096)
 _loaded: dict[tuple[str, str], Encoder] = {}
 
 
-def tokenized(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8, ids for each row; the rank file is read by the driver alone and
+def tokenized(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8 and, if wanted, ids for each row; the rank file is read by the driver alone and
     sent to the executors (its size is checked). Null or empty text: no ids. Rows are independent."""
     spark = common.prepare(docs.sparkSession)
     with open(rank_file, "rb") as f:
@@ -199,7 +208,7 @@ def tokenized(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         if key not in bpe._loaded:
             bpe._loaded[key] = Encoder(read_ranks(sent.value), pattern)
         encoder = bpe._loaded[key]
-        spelling = encoder.transducer.spelling
+        spelling, number = encoder.transducer.spelling, encoder.number
         cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8", "ids")}
         for text in batch.column(1).to_pylist():
             ids = encoder.encode(text or "")
@@ -210,10 +219,11 @@ def tokenized(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             except UnicodeDecodeError:
                 valid, back = False, hashlib.sha256(b"".join([spelling[i] for i in ids]))
             cols["n_tokens"].append(len(ids))
-            cols["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            cols["ids_sha256"].append(hashlib.sha256(" ".join([number[i] for i in ids]).encode()).hexdigest())
             cols["decoded_sha256"].append(back.hexdigest())
             cols["valid_utf8"].append(valid)
-            cols["ids"].append(ids)
+            if with_ids:
+                cols["ids"].append(ids)
         return cols | {"doc_id": batch.column(0)}
 
-    return common.map_rows(docs.select("doc_id", "text"), one, SCHEMA)
+    return common.map_rows(docs.select("doc_id", "text"), one, SCHEMA + (", ids array<int>" if with_ids else ""))
