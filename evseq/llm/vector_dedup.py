@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from evseq.llm import common
 
 LEAST = 0.98
-SHARD = 2048
+SHARD = 8192
 #: Neighbours on upper layers, twice as many on the ground; first beam; queries audited in each pair of shards; recall asked.
-M, BEAM, AUDIT, RECALL = 12, 32, 48, 0.999
+M, BEAM, AUDIT, RECALL = 12, 32, 256, 0.9999
 #: Entries of a beam that are expanded at once.
 STRIDE = 4
 
@@ -40,6 +40,7 @@ class Graph:
         self.inside = 0
         while self.inside < n:
             self.insert(self.inside, min(n, max(64, 2 * self.inside)))
+        self.connect()
 
     def insert(self, start: int, end: int) -> None:
         """Vectors start to end at once: each looks for neighbours among those before, and among its fellows."""
@@ -57,13 +58,39 @@ class Graph:
             ids = np.concatenate([ids, np.where(np.take_along_axis(near, mates, 1) > -2, mates + start, -1)], axis=1)
             sims = np.concatenate([sims, np.take_along_axis(near, mates, 1)], axis=1)
             sims = np.where(ids < 0, -2, sims)
-            for x, row, sim in zip(here, ids, sims, strict=True):
+            back: dict[int, list[int]] = {}
+            for x, row, sim in zip(here.tolist(), ids, sims, strict=True):
                 chosen = self.chosen(row, sim, table.shape[1])
                 table[x, : len(chosen)] = chosen
-                for y in chosen:
-                    self.link(table, int(y), int(x))
+                for y in chosen.tolist():
+                    back.setdefault(y, []).append(x)
+            for y, xs in back.items():
+                self.link(table, y, xs)
         self.inside = end
 
+    def connect(self) -> None:
+        """Vectors that no way on the ground leads to, as fuller neighbours dropped them, are hung on the nearest that is reached."""
+        n = len(self.v)
+        reached = np.zeros(n, bool)
+        todo = np.array([int(np.argmax(self.levels))]) if n else np.zeros(0, np.int64)
+        while n:
+            while len(todo):
+                reached[todo] = True
+                near = np.unique(self.layers[0][todo])
+                near = near[near >= 0]
+                todo = near[~reached[near]]
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                break
+            have = np.flatnonzero(reached)
+            sims = self.v[lost] @ self.v[have].T
+            k = int(np.argmax(sims.max(axis=1)))
+            x, y = int(have[np.argmax(sims[k])]), int(lost[k])
+            if (self.layers[0][x] >= 0).all():
+                self.layers[0] = np.pad(self.layers[0], ((0, 0), (0, 1)), constant_values=-1)
+            self.layers[0][x, np.flatnonzero(self.layers[0][x] < 0)[0]] = y
+            todo = np.array([y])
+
     def chosen(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Near ones, and of those first the ones nearer to the new vector than to each other."""
         order = np.argsort(-sims, kind="stable")
@@ -72,33 +99,39 @@ class Graph:
         ids = ids[np.argsort(first)]
         if len(ids) <= most:
             return ids
-        sims = sims[np.sort(first)]
+        ids, sims = ids[: 4 * most], sims[np.sort(first)][: 4 * most]
         between = self.v[ids] @ self.v[ids].T
-        taken: list[int] = []
+        taken, closest = np.zeros(len(ids), bool), np.full(len(ids), -2, np.float32)
         for i in range(len(ids)):
-            if len(taken) < most and (not taken or sims[i] > between[i, taken].max()):
-                taken.append(i)
-        rest = [i for i in range(len(ids)) if i not in set(taken)]
-        return ids[sorted(taken + rest[: most - len(taken)])]
-
-    def link(self, table: np.ndarray, x: int, y: int) -> None:
+            if sims[i] > closest[i]:
+                taken[i] = True
+                np.maximum(closest, between[i], out=closest)
+        keep = np.flatnonzero(taken)[:most]
+        rest = np.flatnonzero(~taken)[: most - len(keep)]
+        return ids[np.sort(np.concatenate([keep, rest]))]
+
+    def link(self, table: np.ndarray, x: int, more: list[int]) -> None:
+        """Adds neighbours to x; if they are too many, some are dropped."""
         row = table[x]
-        free = np.flatnonzero(row < 0)
-        if y in row:
-            return
-        if len(free):
-            row[free[0]] = y
-        else:
-            ids = np.append(row, y)
-            table[x] = np.pad(c := self.chosen(ids, self.v[ids] @ self.v[x], len(row)), (0, len(row) - len(c)), constant_values=-1)
-
-    def search(self, q: np.ndarray, beam: int, n: int | None = None, floor: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """The beams of all queries, in lockstep: neighbours and similarities, best first, among the first n vectors."""
+        ids = row[row >= 0]
+        ids = np.concatenate([ids, [y for y in more if y not in ids]]).astype(np.int32)
+        if len(ids) > len(row):
+            ids = self.chosen(ids, self.v[ids] @ self.v[x], len(row))
+        row[: len(ids)] = ids
+        row[len(ids) :] = -1
+
+    def search(self, q: np.ndarray, beam: int, n: int | None = None, floor: int = 0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The beams of all queries, in lockstep: neighbours and similarities, best first, among the first n vectors. own: the
+        queries' places, if they are vectors of this graph; they start there."""
         n = len(self.v) if n is None else n
+        if own is not None:
+            return self.walk(q, own[:, None], beam, n, self.layers[0])
         entry = int(np.argmax(self.levels[:n]))
-        ids = np.full((len(q), 1), entry, np.int64)
+        ids, sims = np.full((len(q), 1), entry, np.int64), None
         for k in range(int(self.levels[entry]), floor - 1, -1):
             ids, sims = self.walk(q, ids, beam if k == floor else 4, n, self.layers[k])
+        if sims is None:  # no vector so far is on that layer
+            return np.full((len(q), 1), -1, np.int64), np.full((len(q), 1), -2, np.float32)
         return ids, sims
 
     def walk(self, q: np.ndarray, ids: np.ndarray, beam: int, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +170,8 @@ class Graph:
         return ids, sims
 
 
-def neighbours(graph: Graph, q: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query the graph's vectors with cosine `least` or more. q and the graph's vectors have length one."""
+def neighbours(graph: Graph, q: np.ndarray, least: float, same: bool = False) -> list[np.ndarray]:
+    """For each query the graph's vectors with cosine `least` or more; same: q are those vectors. q and the graph's vectors have length one."""
     n, found = len(graph.v), [np.zeros(0, np.int64)] * len(q)
     slack = least - 1e-4
     sample = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q))[:AUDIT]
@@ -147,7 +180,7 @@ def neighbours(graph: Graph, q: np.ndarray, least: float) -> list[np.ndarray]:
     while len(todo):
         wide = []
         for part in np.array_split(todo, -(-len(todo) // 512)):
-            ids, sims = graph.search(q[part], min(beam, n))
+            ids, sims = graph.search(q[part], min(beam, n), own=part if same else None)
             for x, i, s in zip(part, ids, sims, strict=True):
                 found[x] = i[(i >= 0) & (s >= slack)]
                 if beam < n and (len(s) >= beam and s[-1] >= slack):
@@ -238,7 +271,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -
                         parent[x] = x = parent[parent[x]]
                     return x
 
-                for k, got in enumerate(neighbours(graph, q.astype(np.float32), least)):
+                for k, got in enumerate(neighbours(graph, q.astype(np.float32), least, same)):
                     got = got[exact[got] @ q[k] >= least]
                     if same:
                         got = got[got != k]
