@@ -2,8 +2,8 @@
 
 1. Many voters: terms (words, and prefixes of words, for inflected forms) that a bounded sample of labelled rows associates with
    toxic texts, and fixed patterns.
-2. A generative label model: for each voter, how often it fires given either class, fitted by EM; voters that fire together
-   beyond what the class explains share their weight. The given label is one more voter whose accuracy is estimated.
+2. A generative label model: voters that fire together beyond what the class explains form groups; of each group, how often it
+   fires given either class is fitted by EM. The given label is one more voter whose accuracy is estimated.
 3. A linear classifier, trained on the posterior labels, scores every text.
 """
 
@@ -23,8 +23,10 @@ from evseq.llm.licenses import WORD_BYTES
 #: Labelled rows that the model is fitted on at most, chosen by hash over all of them.
 SAMPLE_ROWS = 20_000
 #: Terms that become voters at most; times a term must occur in toxic rows; least log-odds.
-MOST_VOTERS, LEAST_TOXIC, LEAST_ODDS = 400, 4, 2.0
+MOST_VOTERS, LEAST_TOXIC, LEAST_ODDS = 400, 3, 2.0
 PREFIXES = (4, 5, 6)
+#: Correlation, given the class, from which on two voters count as one.
+CORRELATED = 0.3
 #: Fixed patterns, on lower-cased text.
 PATTERNS = [rb"\b[a-z]+\*{2,}[a-z]*\b", rb"\b(?:you|u) (?:are|r) (?:a |an |such |so )?[a-z]+", rb"!{3,}", rb"\b(?:shut up|go away|hate you)\b"]
 #: Terms for a table without labels.
@@ -69,27 +71,39 @@ def choose_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
     return [bytes(r["term"]) for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(MOST_VOTERS).collect()]
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row. votes: rows by voters, 0 or 1; given: 0 or 1, the label as the last voter."""
-    v = np.column_stack([votes, given]).astype(np.float64)
+def dependent(v: np.ndarray, q: np.ndarray, least: float = CORRELATED) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations that the class doesn't explain, and the groups that voters with `least` or more of it form."""
+    on = [(v.T @ r) / max(r.sum(), 1e-9) for r in (1 - q, q)]
+    rest = v - np.outer(1 - q, on[0]) - np.outer(q, on[1])
+    sd = np.sqrt((rest**2).mean(0)) + 1e-9
+    rho = (rest / sd).T @ (rest / sd) / len(v)
+    group = np.arange(v.shape[1])
+    for j, k in np.argwhere(np.triu(rho >= least, 1)):
+        if group[j] != group[k]:
+            group[group == max(group[j], group[k])] = min(group[j], group[k])
+    return rho, group
+
+
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 for each row. votes: rows by voters, 0 or 1; given: 0 or 1, the label as one more voter.
+
+    Voters that depend on each other vote as one: together they count as often as the surest of them, not once each. Of each group
+    and of the given label, how often it fires given either class is estimated by EM.
+    """
     q = np.clip(given.astype(np.float64), 0.05, 0.95)
-    model: dict = {}
+    rho, group = dependent(votes.astype(np.float64), q)
+    heads = np.unique(group)
+    v = np.column_stack([*(votes[:, group == h].max(axis=1) for h in heads), given]).astype(np.float64)
+    on: list[np.ndarray] = []
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-        on = [(v.T @ r + 1e-2) / (r.sum() + 2e-2) for r in (1 - q, q)]
-        # What remains between two voters once the class is known.
-        rest = v - np.outer(1 - q, on[0]) - np.outer(q, on[1])
-        sd = np.sqrt((rest**2).mean(0)) + 1e-9
-        rho = (rest / sd).T @ (rest / sd) / len(v)
-        np.fill_diagonal(rho, 0)
-        weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(1))
-        model["correlation"] = rho
-        evidence = v @ (weight * (np.log(on[1]) - np.log(on[0]))) + (1 - v) @ (weight * (np.log1p(-np.minimum(on[1], 1 - 1e-6)) - np.log1p(-np.minimum(on[0], 1 - 1e-6))))
+        on = [np.clip((v.T @ r + 0.1) / (r.sum() + 0.2), 1e-6, 1 - 1e-6) for r in (1 - q, q)]
+        evidence = v @ (np.log(on[1]) - np.log(on[0])) + (1 - v) @ (np.log1p(-on[1]) - np.log1p(-on[0]))
         q = 1 / (1 + np.exp(-np.clip(evidence + np.log(prior / (1 - prior)), -30, 30)))
-    return q, model | {"prior": float(q.mean()), "on": on, "weight": weight}
+    return q, {"prior": float(q.mean()), "fires": on, "correlation": rho, "group": group}
 
 
-def linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the bias, unpenalised, is last."""
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     w = np.zeros(x.shape[1])
