@@ -20,7 +20,10 @@ from evseq.llm import common
 RAW = {"script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select", "button", "object", "canvas"}
 #: Elements that hold no article text, and words in class, id or role that say so.
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side|widget|related|share|sharing|social|comments?|disqus|footer|masthead|site-header|page-header|toolbar|pagination|navigation|complementary|contentinfo|search)(?:$|[\s_-])")
+NAMED = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads\w*|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu|breadcrumbs?|sidebar|side|widget|"
+    r"related|recommended|share|sharing|social|comment\w*|disqus|replies|respond|footer|masthead|topbar|site-header|page-header|toolbar|pagination|pager|navigation|complementary|contentinfo|search|skip)(?:$|[\s_-])"
+)
 ARTICLE = {"article", "main"}
 #: Elements whose class and id say nothing.
 UNNAMED = {"html", "body", "article", "main"}
