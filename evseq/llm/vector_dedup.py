@@ -19,6 +19,8 @@ from evseq.llm import common
 
 LEAST = 0.98
 SHARD = 8192
+#: Queries of a shard that one task sends to a graph, about.
+PIECE = 1024
 #: Neighbours on upper layers, twice as many on the ground; first beam; queries audited in each pair of shards; recall asked.
 M, BEAM, AUDIT, RECALL = 12, 32, 256, 0.9999
 #: Entries of a beam that are expanded at once.
@@ -170,8 +172,8 @@ class Graph:
         return ids, sims
 
 
-def neighbours(graph: Graph, q: np.ndarray, least: float, same: bool = False) -> list[np.ndarray]:
-    """For each query the graph's vectors with cosine `least` or more; same: q are those vectors. q and the graph's vectors have length one."""
+def neighbours(graph: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query the graph's vectors with cosine `least` or more; own: the queries' places among those. q and the graph's vectors have length one."""
     n, found = len(graph.v), [np.zeros(0, np.int64)] * len(q)
     slack = least - 1e-4
     sample = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q))[:AUDIT]
@@ -180,7 +182,7 @@ def neighbours(graph: Graph, q: np.ndarray, least: float, same: bool = False) ->
     while len(todo):
         wide = []
         for part in np.array_split(todo, -(-len(todo) // 512)):
-            ids, sims = graph.search(q[part], min(beam, n), own=part if same else None)
+            ids, sims = graph.search(q[part], min(beam, n), own=None if own is None else own[part])
             for x, i, s in zip(part, ids, sims, strict=True):
                 found[x] = i[(i >= 0) & (s >= slack)]
                 if beam < n and (len(s) >= beam and s[-1] >= slack):
@@ -250,11 +252,13 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -
         order = np.argsort(table["uid"].to_numpy())
         exact = np.stack([np.asarray(x, np.float64) for x in table["unit"].to_pylist()])[order]
         raw = packed(Graph(exact), table["uid"].to_numpy()[order], table["weight"].to_numpy()[order], exact)
-        return pa.table({"label": table["label"][:1], "dim": table["dim"][:1], "shard": table["shard"][:1], "graph": pa.array([raw], pa.binary())})
+        return pa.table({"label": table["label"][:1], "dim": table["dim"][:1], "shard": table["shard"][:1], "n": pa.array([len(order)], pa.int32()), "graph": pa.array([raw], pa.binary())})
 
-    graphs = common.checkpoint(dealt.select("label", "dim", "shard", "uid", "weight", "unit").groupBy("label", "dim", "shard").applyInArrow(build, "label long, dim int, shard long, graph binary"))
-    pairs = graphs.alias("g").join(graphs.alias("q"), ["label", "dim"]).select(F.col("g.shard").alias("a"), F.col("q.shard").alias("b"), F.col("g.graph").alias("graph"), F.col("q.graph").alias("queries"))
-    pairs = pairs.repartition("graph", "b")
+    graphs = common.checkpoint(dealt.select("label", "dim", "shard", "uid", "weight", "unit").groupBy("label", "dim", "shard").applyInArrow(build, "label long, dim int, shard long, n int, graph binary"))
+    pieces = F.ceil(F.col("q.n") / PIECE).cast("int")
+    pairs = graphs.alias("g").join(graphs.alias("q"), ["label", "dim"]).select("label", "dim", F.col("g.shard").alias("a"), F.col("q.shard").alias("b"), F.col("g.graph").alias("graph"), F.col("q.graph").alias("queries"), pieces.alias("pieces"))
+    pairs = pairs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).repartition("label", "dim", "a", "b", "piece")
+    pairs = pairs.select("a", "b", "graph", "queries", "piece", "pieces")
     schema = common.arrow_schema(spark, "uid long, other long, links long")
 
     def query(batches):
@@ -263,6 +267,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -
                 graph, ids, weight, exact = unpacked(batch.column(2)[i].as_py())
                 _, mine, _, q = unpacked(batch.column(3)[i].as_py())
                 same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
+                part = np.arange(batch.column(4)[i].as_py(), len(q), batch.column(5)[i].as_py())
                 out: list[tuple] = []
                 parent: dict[int, int] = {}
 
@@ -271,7 +276,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -
                         parent[x] = x = parent[parent[x]]
                     return x
 
-                for k, got in enumerate(neighbours(graph, q.astype(np.float32), least, same)):
+                for k, got in zip(part, neighbours(graph, q[part].astype(np.float32), least, part if same else None), strict=True):
                     got = got[exact[got] @ q[k] >= least]
                     if same:
                         got = got[got != k]
