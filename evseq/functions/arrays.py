@@ -112,3 +112,8 @@ def mlm(ids, row_id, mask_id: int, vocab_size: int, seed: str = "mlm", rate: flo
     masked = F.transform(col(ids), lambda x, i: F.when(chosen(x, i) & (u("mask", i) < 0.8), F.lit(mask_id)).when(chosen(x, i) & (u("swap", i) < 0.1), other(i)).otherwise(x).cast("int"))
     labels = F.transform(col(ids), lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(-100)).cast("int"))
     return masked, labels
+
+
+def with_task(a, token: str, encoder: bool = True) -> Column:
+    """The task's token in place of the first element, and of the last for decoders."""
+    return with_ends(a, first=token) if encoder else with_ends(a, first=token, last=token)

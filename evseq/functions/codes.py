@@ -93,3 +93,9 @@ def resolve_path(path, root: str) -> Column:
 def image_path(subject, study, dicom) -> Column:
     s = col(subject).cast("string")
     return F.concat(F.lit("p"), F.substring(s, 1, 2), F.lit("/p"), s, F.lit("/s"), col(study).cast("string"), F.lit("/"), col(dicom), F.lit(".jpg"))
+
+
+def preferred_path(tensor, jpg) -> Column:
+    """The tensor's path if there is one, else the image's; null if neither: such rows are dropped by the caller."""
+    real = lambda c: F.when(F.trim(col(c)) != "", col(c))
+    return F.coalesce(real(tensor), real(jpg))

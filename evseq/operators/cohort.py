@@ -133,3 +133,8 @@ def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = x.join(y, key, "full_outer")
     only = lambda c: F.count_if(F.col(c).isNull())
     return both.agg(only("_b").alias("only_left"), only("_a").alias("only_right")).withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def others_sample(ids: DataFrame, without: int, n: int, key: str = "subject_id", seed: str = "23") -> DataFrame:
+    """n ids in hash order, one id left out."""
+    return sample(ids.where(F.col(key) != without), n, key, seed)

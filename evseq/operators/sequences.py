@@ -89,3 +89,18 @@ def nucleus(df: DataFrame, key: str, p: str, item: str, mass: float = 0.9) -> Da
     """The likeliest items of each key up to and with the one that reaches the mass."""
     w = Window.partitionBy(key).orderBy(F.desc(p), item).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("cumulative", F.sum(p).over(w)).where(F.col("cumulative") - F.col(p) < mass)
+
+
+def padded_batches(df: DataFrame, batch: str, column: str, value=0) -> DataFrame:
+    """Arrays padded to the longest of their batch, and masks."""
+    from evseq.functions import arrays
+
+    longest = F.max(F.size(column)).over(Window.partitionBy(batch))
+    d = df.withColumn("_n", longest)
+    fill = lambda x: F.array_repeat(F.lit(x), F.col("_n") - F.size(column))
+    return d.withColumns({column: F.concat(column, fill(value)), f"{column}_mask": F.concat(F.transform(arrays.truncate(column, F.col("_n")), lambda x: F.lit(1)), fill(0))}).drop("_n")
+
+
+def by_length(df: DataFrame, column: str, max_len: int, tie: str) -> DataFrame:
+    """Longest first, so that neighbours need little padding: a range exchange, no single sorted partition."""
+    return df.withColumn("token_length", F.least(F.size(column), F.lit(max_len))).orderBy(F.desc("token_length"), tie)

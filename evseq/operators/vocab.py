@@ -48,3 +48,16 @@ def concept_types(seqs: DataFrame, key: str = "subject_id") -> DataFrame:
     """token and the type it has where it comes first: the first row by key, the first place in it."""
     e = seqs.select(key, F.posexplode(F.arrays_zip("event_tokens", "type_tokens")).alias("pos", "x"))
     return e.groupBy(F.col("x.event_tokens").alias("token")).agg(F.min_by("x.type_tokens", F.struct(key, "pos")).alias("type"))
+
+
+def save(vocab: DataFrame, types: DataFrame, path: str, **settings) -> None:
+    """A tokenizer: tokens and types as tables, settings as one row of JSON."""
+    spark = vocab.sparkSession
+    vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    types.write.mode("overwrite").parquet(f"{path}/types")
+    spark.createDataFrame([(k, str(v)) for k, v in settings.items()], "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    settings = spark.read.schema("name string, value string").json(f"{path}/settings").collect()  # a handful of rows
+    return spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/types"), {r["name"]: r["value"] for r in settings}

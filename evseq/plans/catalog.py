@@ -552,4 +552,33 @@ def q_nucleus(spark, sf_dir):
     return d.where(F.col("cumulative") - F.col("n") < F.col("t") * 0.55).select("subject_id", "token", F.round(F.col("n") / F.col("t"), 6).alias("p"))
 
 
+@query(sql(f"SELECT subject_id, {lists('tokens || list_transform(range(most - len(tokens)), lambda x: chr(91) || chr(80) || chr(65) || chr(68) || chr(93))')} AS tokens, len(tokens) AS n FROM (SELECT subject_id, tokens, max(len(tokens)) OVER (PARTITION BY subject_id % 4) AS most FROM short)", "v_seq", short="SELECT subject_id, tokens[1:CAST(5 + subject_id % 20 AS BIGINT)] AS tokens FROM v_seq"))
+def q_batch_pad(spark, sf_dir):
+    s = seqs(spark, sf_dir).select("subject_id", (F.col("subject_id") % 4).alias("batch"), arrays.truncate("event_tokens", (5 + F.col("subject_id") % 20).cast("int")).alias("tokens"))
+    d = sequences.padded_batches(s, "batch", "tokens", "[PAD]")
+    return d.select("subject_id", text("tokens").alias("tokens"), F.aggregate("tokens_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("n"))
+
+
+@query(sql("SELECT doc_id, CAST(least(len(words), 300) AS BIGINT) AS token_length FROM v_doc ORDER BY token_length DESC, doc_id", "v_doc"))
+def q_length_sort(spark, sf_dir):
+    return sequences.by_length(words(spark, sf_dir), "words", 300, "doc_id").select("doc_id", long("token_length"))
+
+
+@query(sql("SELECT token, CASE WHEN regexp_matches(token, '_[0-9]$') AND starts_with(token, 'bin') THEN 'Bin' || right(token, 2) WHEN token LIKE 'LAB%' AND length(token) = 5 THEN 'Lab ' || token ELSE token END AS label FROM (SELECT DISTINCT unnest(tokens) AS token FROM v_seq UNION SELECT 'bin_3' UNION SELECT 'other_4')", "v_seq"))
+def q_decode_labels(spark, sf_dir):
+    t = vocab.tokens(seqs(spark, sf_dir))
+    t = t.union(spark.createDataFrame([("bin_3",), ("other_4",)], "token string"))
+    lab = F.when(F.col("token").startswith("LAB") & (F.length("token") == 5), F.create_map(F.col("token"), F.concat(F.lit("Lab "), F.col("token")))).otherwise(F.create_map(F.lit("bin"), F.lit("Bin")))
+    return t.select("token", codes.decode_label("token", lab).alias("label"))
+
+
+@query(sql("SELECT i.stay_id, i.study_id, CASE WHEN i.study_id % 2 = 0 THEN '/packs/' || (i.study_id // 1024) || '.pt' WHEN i.study_id % 3 = 0 THEN '/root/jpg/' || i.study_id || '.jpg' END AS path FROM v_image i WHERE i.study_id % 2 = 0 OR i.study_id % 3 = 0", "v_image"))
+def q_manifest_paths(spark, sf_dir):
+    i = images(spark, sf_dir).select("stay_id", "study_id")
+    m = proxies.studies(spark, sf_dir).where("study_id % 2 = 0").select("study_id", F.concat(F.lit("/packs/"), F.floor(F.col("study_id") / 1024).cast("string"), F.lit(".pt")).alias("tensor_path"))
+    jpg = F.when(F.col("study_id") % 3 == 0, codes.resolve_path(F.concat(F.lit("jpg/"), F.col("study_id").cast("string"), F.lit(".jpg")), "/root"))
+    d = align.with_manifest(i, m).withColumn("path", codes.preferred_path("tensor_path", jpg))
+    return d.where("path is not null").select("stay_id", "study_id", "path")
+
+
 __all__ = ["oracle_sql", "queries", "schema"]

@@ -231,6 +231,22 @@ def test_vocab(spark):
     assert {r["token"]: r["type"] for r in vocab.concept_types(t).collect()}["a"] == 1
 
 
+def test_saved_tokenizer(spark, tmp_path):
+    v = spark.createDataFrame([(0, "a")], "id int, token string")
+    vocab.save(v, v.withColumn("type", F.lit(1)), str(tmp_path), max_len=32, unknown="[UNK]")
+    a, b, settings = vocab.load(spark, str(tmp_path))
+    assert a.count() == 1 and b.first()["type"] == 1 and settings == {"max_len": "32", "unknown": "[UNK]"}
+
+
+def test_paths_and_batches(spark):
+    r = one(spark, "a string, b string", "", "/y.jpg", p=codes.preferred_path("a", "b"), q=codes.preferred_path("b", "a"), n=codes.preferred_path("a", "a"))
+    assert (r["p"], r["q"], r["n"]) == ("/y.jpg", "/y.jpg", None)
+    d = spark.createDataFrame([(1, [5, 6, 7]), (1, [8]), (2, [])], "b int, x array<int>")
+    got = sorted((r["b"], r["x"], r["x_mask"]) for r in sequences.padded_batches(d, "b", "x").collect())
+    assert got == [(1, [5, 6, 7], [1, 1, 1]), (1, [8, 0, 0], [1, 0, 0]), (2, [], [])]
+    assert cohort.others_sample(spark.range(10).withColumnRenamed("id", "subject_id"), 3, 9).where("subject_id = 3").count() == 0
+
+
 def test_features(spark):
     s = sequence(spark, [(1, ["a", "a", "b"], None, 1), (2, ["b", "[PAD]"], None, 1)])
     f = features.frequencies(s, without=["[PAD]"])
