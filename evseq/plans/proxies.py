@@ -90,7 +90,7 @@ SQL = {
     "v_stream": """SELECT subject_id, time, seq, CASE event_type WHEN 'signup' THEN '[VS]' WHEN 'purchase' THEN '[VE]' WHEN 'click' THEN 'LAB//' || k WHEN 'view' THEN 'MEDICATION//' || k
         ELSE CASE WHEN k % 10 = 0 AND value > 20 THEN 'MEDS_DEATH' WHEN k % 10 BETWEEN 1 AND 6 THEN '[W_' || (k % 4) || ']' ELSE 'DIAGNOSIS//' || CASE WHEN k % 10 = 7 AND value > 60 THEN 'A41' ELSE 'I' END || k END END AS code FROM v_raw""",
     "v_clean": "SELECT *, CASE WHEN regexp_matches(code, '^\\[.*\\]$') THEN code ELSE regexp_replace(code, '[^A-Za-z0-9_]', '', 'g') END AS token FROM v_stream",
-    "v_typed": """SELECT *, CASE WHEN token LIKE '[%' THEN 0 WHEN starts_with(token, 'DIAGNOSIS') THEN 1 WHEN starts_with(token, 'LAB') THEN 2 WHEN starts_with(token, 'MEDICATION') THEN 3 ELSE 8 END AS type,
+    "v_typed": """SELECT *, CASE WHEN token IN ('MEDS_BIRTH', 'MEDS_DEATH', '[CLS]', '[PAD]', '[BOS]', '[EOS]') THEN 0 WHEN starts_with(token, 'DIAGNOSIS') THEN 1 WHEN starts_with(token, 'LAB') THEN 2 WHEN starts_with(token, 'MEDICATION') THEN 3 ELSE 8 END AS type,
         row_number() OVER w - 1 AS pos, CAST(sum(CAST(code = '[VS]' AS INTEGER)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS visit, date_sub('second', first_value(time) OVER w, time) / 3600.0 AS elapsed
         FROM v_clean WINDOW w AS (PARTITION BY subject_id ORDER BY time, seq)""",
     "v_seq": """SELECT subject_id, list(token ORDER BY pos) FILTER (pos < 32) AS tokens, list(type ORDER BY pos) FILTER (pos < 32) AS types, list(elapsed ORDER BY pos) FILTER (pos < 32) AS elapsed, list(visit ORDER BY pos) FILTER (pos < 32) AS visits,

@@ -28,10 +28,10 @@ VOCAB = "id int, token string, kind string"
 #: Ids of token types, and the words that start a code of each.
 TYPE_IDS = {"special": 0, "diagnosis": 1, "lab": 2, "medication": 3, "procedure": 4, "transfer": 5, "icu": 6, "infusion": 7, "other": 8}
 TYPE_PREFIXES = {"DIAGNOSIS": 1, "LAB": 2, "MEDICATION": 3, "PROCEDURE": 4, "TRANSFER_TO": 5, "ICU": 6, "INFUSION": 7}
-#: Another table of ids, for attributions only.
-ATTRIBUTION_TYPES = {"PAD": 0, "REG": 8}
-#: Tokens that are no codes.
-SPECIAL_TOKENS = ["[PAD]", "[MASK]", "[UNK]", "[CLS]", "[EOS]", "[VS]", "[VE]", "[REG]", "[W_0]", "[W_1]", "[W_2]", "[W_3]", "[M_1]"]
+#: Tokens of type special, whole.
+SPECIAL_TOKENS = ["MEDS_BIRTH", "MEDS_DEATH", "[CLS]", "[PAD]", "[BOS]", "[EOS]"]
+#: Another table of type ids, for attributions only.
+ATTRIBUTION_TYPES = {"PAD": 0, "CLS": 1, "VS": 2, "VE": 3, "TIME_INTERVAL": 4, "LAB": 5, "MED": 6, "PROC": 7, "REG": 8}
 READMISSION_TOKENS = ["[W_0]", "[W_1]", "[W_2]", "[W_3]", "[M_1]"]
 MISSING, IGNORE, DEFAULT_AGE, HOURS_PER_YEAR = -1, -100, 25, 8766.0
 

@@ -32,7 +32,7 @@ def test_codes(spark):
     got = d.select(codes.sanitize("code").alias("a"), codes.sanitize("code", True).alias("b"), codes.sanitize_stay("code").alias("c"), codes.token_type("code").alias("t"), codes.is_death(F.col("code")).alias("d"), codes.is_death(F.col("code"), True).alias("e"), codes.is_sepsis_code(F.col("code")).alias("s"), codes.is_sepsis_token(F.col("code")).alias("p")).collect()
     assert [r["a"] for r in got] == ["DIAGNOSISA41", "diagnosis038", "LAB", "VS", None, "ab", "MEDS_DEATH", "patientDeceased", "TRANSFER_TOICU", "ICU_ADMISSION"]
     assert got[3]["b"] == "[VS]" and got[2]["c"] == "LABé²" and got[4]["c"] == ""
-    assert [r["t"] for r in got] == [1, 8, 2, 0, 8, 8, 8, 8, 5, 6]
+    assert [r["t"] for r in got] == [1, 8, 2, 8, 8, 8, 0, 8, 5, 6]
     assert [bool(r["d"]) for r in got] == [False] * 6 + [True] + [False] * 3 and got[7]["e"]
     assert [bool(r["s"]) for r in got][:2] == [True, True] and got[0]["p"] and got[1]["p"]
 
