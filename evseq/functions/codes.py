@@ -35,8 +35,7 @@ def token_type(code) -> Column:
 #: Fixed patterns. Death has two variants that differ in case; sepsis differs between tokens and raw codes.
 DEATH = r"^MEDS_DEATH$|DEATH|deceased"
 DEATH_ANY_CASE = r"^MEDS_DEATH$|DEATH|(?i:deceased)"
-SEPSIS_TOKEN = r"^DIAGNOSIS.*(038|A40|A41)"
-SEPSIS_TOKEN_STRICT = r"^DIAGNOSIS(038|A40|A41)"
+SEPSIS_TOKEN = r"^DIAGNOSIS(038|A40|A41)"
 SEPSIS_CODE = r"(?i)^(DIAGNOSIS//)?(038|A40|A41)"
 
 
@@ -46,7 +45,7 @@ def is_death(token: Column, any_case: bool = False) -> Column:
 
 def is_sepsis_token(token: Column) -> Column:
     """Of tokens, sanitised or not."""
-    return F.regexp_replace(F.upper(token), "[^A-Z0-9_]", "").rlike(SEPSIS_TOKEN_STRICT)
+    return F.regexp_replace(F.upper(token), "[^A-Z0-9_]", "").rlike(SEPSIS_TOKEN)
 
 
 def is_sepsis_code(code: Column) -> Column:
