@@ -28,7 +28,7 @@ def curve(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -
     bucket = F.lit(BUCKETS) - F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * BUCKETS)
     c = running(c, bucket, [F.desc("score")], {"tp": "pos", "fp": "neg"}, within=by)
     n = df.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg"))
-    c = c.join(F.broadcast(n), list(by)) if by else c.crossJoin(F.broadcast(n))
+    c = c.join(n, list(by)) if by else c.crossJoin(F.broadcast(n))  # one row
     return c.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("n_pos")})
 
 
