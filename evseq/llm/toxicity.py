@@ -27,6 +27,8 @@ MOST_VOTERS, LEAST_TOXIC, LEAST_ODDS = 400, 3, 2.0
 PREFIXES = (4, 5, 6)
 #: Correlation, given the class, from which on two voters count as one.
 CORRELATED = 0.3
+#: Rows of the sample that numpy multiplies at once on the driver.
+ROWS_AT_ONCE = 2000
 #: Fixed patterns, on lower-cased text.
 PATTERNS = [rb"\b[a-z]+\*{2,}[a-z]*\b", rb"\b(?:you|u) (?:are|r) (?:a |an |such |so )?[a-z]+", rb"!{3,}", rb"\b(?:shut up|go away|hate you)\b"]
 #: Terms for a table without labels.
@@ -73,10 +75,13 @@ def choose_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
 
 def dependent(v: np.ndarray, q: np.ndarray, least: float = CORRELATED) -> tuple[np.ndarray, np.ndarray]:
     """Correlations that the class doesn't explain, and the groups that voters with `least` or more of it form."""
-    on = [(v.T @ r) / max(r.sum(), 1e-9) for r in (1 - q, q)]
-    rest = v - np.outer(1 - q, on[0]) - np.outer(q, on[1])
-    sd = np.sqrt((rest**2).mean(0)) + 1e-9
-    rho = (rest / sd).T @ (rest / sd) / len(v)
+    on = np.stack([(v.T @ r) / max(r.sum(), 1e-9) for r in (1 - q, q)])
+    rest = np.zeros((v.shape[1], v.shape[1]))
+    for i in range(0, len(v), ROWS_AT_ONCE):
+        part = v[i : i + ROWS_AT_ONCE] - np.column_stack([1 - q, q])[i : i + ROWS_AT_ONCE] @ on
+        rest += part.T @ part
+    sd = np.sqrt(np.diag(rest)) + 1e-9
+    rho = rest / sd[:, None] / sd[None, :]
     group = np.arange(v.shape[1])
     for j, k in np.argwhere(np.triu(rho >= least, 1)):
         if group[j] != group[k]:
@@ -91,9 +96,9 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 20) -> tuple
     and of the given label, how often it fires given either class is estimated by EM.
     """
     q = np.clip(given.astype(np.float64), 0.05, 0.95)
-    rho, group = dependent(votes.astype(np.float64), q)
+    rho, group = dependent(votes, q)
     heads = np.unique(group)
-    v = np.column_stack([*(votes[:, group == h].max(axis=1) for h in heads), given]).astype(np.float64)
+    v = np.column_stack([*(votes[:, group == h].max(axis=1) for h in heads), given]).astype(np.float32)
     on: list[np.ndarray] = []
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
@@ -105,12 +110,16 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 20) -> tuple
 
 def linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the bias, unpenalised, is last."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    x = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
     w = np.zeros(x.shape[1])
     pull = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9), x.T @ (q - p) - pull * w)
+        bend = np.diag(pull + 1e-9)
+        for i in range(0, len(x), ROWS_AT_ONCE):
+            part = x[i : i + ROWS_AT_ONCE].astype(np.float64)
+            bend += (part * (p * (1 - p))[i : i + ROWS_AT_ONCE, None]).T @ part
+        step = np.linalg.solve(bend, x.T @ (q - p) - pull * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
