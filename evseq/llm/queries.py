@@ -75,5 +75,35 @@ m AS (SELECT rid, rule, verdict, tier, row_number() OVER (PARTITION BY rid ORDER
 SELECT page_id, host, path, CASE WHEN tier = 1 THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE n = 1) m USING (rid)"""
 
 
+VECTOR_SQL = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+p AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.x) = len(b.x) AND a.rid <> b.rid WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r(a, b) AS (SELECT rid, rid FROM v UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM (SELECT v.rid, any_value(v.vec_id) AS vec_id, (SELECT count(*) FROM p WHERE p.a = v.rid) AS n_links, min(t.vec_id) AS component_id FROM v JOIN r ON r.a = v.rid JOIN v t ON t.rid = r.b GROUP BY v.rid)"""
+
+MINHASH_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+e AS (SELECT rid, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.rid AS a, b.rid AS b FROM e a JOIN e b ON a.x = b.x AND a.rid < b.rid GROUP BY a.rid, b.rid HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(a, b) AS (SELECT rid, rid FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM (SELECT s.rid, any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.g)) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN r ON r.a = s.rid JOIN s t ON t.rid = r.b GROUP BY s.rid)"""
+
+SUFFIX_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT rid, i, substr(h, 2 * i + 1, 400) AS s FROM (SELECT rid, h, unnest(range(greatest(length(h) // 2 - 199, 0))) AS i FROM d)),
+f AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM g) WHERE n > 1),
+c AS (SELECT rid, i AS a, max(i + 200) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING EXCLUDE CURRENT ROW) AS e, i + 200 AS z FROM f),
+m AS (SELECT rid, a, z, sum(CAST(e IS NULL OR a > e AS INTEGER)) OVER (PARTITION BY rid ORDER BY a) AS k FROM c),
+t AS (SELECT rid, k, min(a) AS a, max(z) AS z FROM m GROUP BY rid, k),
+q AS (SELECT rid, a, z, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS b FROM t),
+o AS (SELECT rid, count(*) AS n, sum(z - a) AS r, max(z) AS last, list(struct_pack(b := b, a := a) ORDER BY a) AS gaps FROM q GROUP BY rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+sha256(unhex(CASE WHEN r IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda x: substr(h, 2 * x.b + 1, 2 * (x.a - x.b))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN o USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": _url_sql()}
+    """Brute force in SQL: every pair, every substring. For the small tables that oracles run on."""
+    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL}
