@@ -7,8 +7,8 @@ together:
 1. documents with equal sets are one class, whatever their number;
 2. in each band bucket every class is tied to the bucket's smallest, never to every other; ties whose signatures are far apart
    are dropped, and what holds together is a cluster of candidates;
-3. inside each cluster all pairs are verified on full sets, in blocks of bounded size that share the work; a block pair returns
-   a spanning forest of its links, not the links;
+3. inside each cluster pairs are verified on full sets, in blocks of bounded size that share the work, leaving out pairs that
+   verified ties have joined; a block pair returns a spanning forest of its links, not the links;
 4. connected components of those are the result.
 """
 
@@ -91,7 +91,7 @@ def ties(classes: DataFrame) -> DataFrame:
         same = (x == y).mean(axis=1)
         return {"a": batch.column(0), "b": batch.column(1), "estimate": (same - 1 / 256) / (1 - 1 / 256)}
 
-    return common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= TIE).select("a", "b")
+    return common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= TIE)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple[int, int]]:
@@ -136,16 +136,18 @@ def linked(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple
     return out
 
 
-def verified(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """a, b: links that span what is linked in each cluster. members: cluster, uid, doc_id, text_hash, n_shingles."""
-    per = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("s"))
-    blocks = F.when((F.col("g") <= 2 * BLOCK) & (F.col("s") <= 2 * BLOCK_SHINGLES), 1).otherwise(F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)))
-    m = members.join(per.select("cluster", blocks.cast("int").alias("blocks")), "cluster")
-    m = m.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
-    t = docs.select(F.col("doc_id").alias("_d"), "text", F.xxhash64("text").alias("_h"))
-    near = m.join(t, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))).drop("_d", "_h")
-    near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = near.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "block", "text")
+def _blocks(n, shingles):
+    """How many blocks a set of classes takes."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _block_of(uid: str, blocks):
+    return F.pmod(F.xxhash64(uid), blocks).cast("int")
+
+
+def compared(work: DataFrame, size: int) -> DataFrame:
+    """a, b: links that span those found by each unit of work. work: unit, lo, hi, uid, block, text; if lo and hi differ, only
+    classes of different blocks are compared."""
 
     def one(table: pa.Table) -> pa.Table:
         uid, block = table["uid"].to_numpy(), table["block"].to_numpy()
@@ -155,7 +157,45 @@ def verified(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         pairs = linked([common.shingle_set(x, size) for x in common.texts(text)], block[first], across) if len(uid) > 1 else []
         return pa.table({"a": pa.array([int(uid[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(uid[j]) for _, j in pairs], pa.int64())})
 
-    return near.groupBy("cluster", "lo", "hi").applyInArrow(one, "a long, b long")
+    return work.select("unit", "lo", "hi", "uid", "block", "text").groupBy("unit", "lo", "hi").applyInArrow(one, "a long, b long")
+
+
+def verified(members: DataFrame, tied: DataFrame, size: int) -> DataFrame:
+    """a, b: links that span what is linked in each cluster. members: cluster, uid, n_shingles, text.
+
+    A small cluster is one unit. In a large one each class is compared first with the class it is likeliest tied to; what that
+    joins to the cluster's largest part needs no comparison inside the part, so only the rest is compared with all. A group of
+    copies close to one of them costs its size, not its square.
+    """
+    per = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("s"))
+    m = members.join(per, "cluster").withColumn("large", (F.col("g") > 2 * BLOCK) | (F.col("s") > 2 * BLOCK_SHINGLES)).drop("g", "s")
+    zero = F.lit(0)
+    small = m.where("not large").select(F.col("cluster").alias("unit"), zero.alias("lo"), zero.alias("hi"), "uid", zero.alias("block"), "text")
+    large = m.where("large")
+
+    best = tied.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("head")).withColumnRenamed("a", "uid")
+    followers = large.join(best, "uid")
+    of_head = followers.groupBy("head").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
+    followers = followers.join(of_head, "head").select(F.col("head").alias("unit"), _block_of("uid", F.col("blocks")).alias("lo"), F.lit(-1).alias("hi"), "uid", F.lit(1).alias("block"), "text")
+    heads = large.join(of_head.withColumnRenamed("head", "uid"), "uid").withColumn("lo", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    heads = heads.select(F.col("uid").alias("unit"), "lo", F.lit(-1).alias("hi"), "uid", zero.alias("block"), "text")
+    first = common.checkpoint(compared(small.unionByName(followers).unionByName(heads), size))
+
+    parts = large.join(common.components(first).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
+    sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > main.n")
+    main = main.select("cluster", F.col("main.part").alias("main"), _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest_blocks"), _blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks"))
+    rest = F.col("part") != F.col("main")
+    block = F.when(rest, _block_of("uid", F.col("rest_blocks"))).otherwise(F.col("rest_blocks") + _block_of("uid", F.col("main_blocks")))
+    others = F.when(rest, F.col("rest_blocks") + F.col("main_blocks")).otherwise(F.col("rest_blocks"))
+    work = parts.join(main, "cluster").withColumn("block", block).withColumn("other", F.explode(F.sequence(zero, others - 1)))
+    work = work.select(F.col("cluster").alias("unit"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "block", "text")
+    return first.unionByName(compared(work, size))
+
+
+def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    t = docs.select(F.col("doc_id").alias("_d"), "text", F.xxhash64("text").alias("_h"))
+    return members.join(t, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h"))).select("cluster", "uid", "n_shingles", "text").dropDuplicates(["uid"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -168,9 +208,10 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     f = common.checkpoint(features(docs, size))
     classes = f.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = common.checkpoint(classes.select(F.monotonically_increasing_id().alias("uid"), "digest", "at.doc_id", "at.text_hash", "n_shingles", "bands", "sig"))
-    clusters = common.checkpoint(common.components(ties(classes)))
+    tied = common.checkpoint(ties(classes))
+    clusters = common.components(tied)
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(classes.select("uid", "doc_id", "text_hash", "n_shingles"), "uid")
-    groups = common.components(verified(members, docs, size))
+    groups = common.components(verified(common.checkpoint(with_texts(members, docs)), tied, size))
     named = classes.select("uid", "digest", "doc_id").join(groups.withColumnRenamed("node", "uid"), "uid")
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     grouped = named.select("digest", "component").join(names, "component").select("digest", "component_id")
