@@ -22,7 +22,7 @@ from evseq.llm import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 #: States, pairs and pieces kept before a table starts anew.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 300_000, 400_000, 250_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 250_000, 300_000, 200_000
 #: A file of ranks above this is not sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 
@@ -190,6 +190,7 @@ def decode_stream(ids: list[int], spelling: dict[int, bytes], step: int = 4096)
 
 
 _loaded: dict[tuple[str, str], Encoder] = {}
+common.CACHES.append(_loaded)
 
 
 def tokenized(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -57,12 +58,28 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Tables that operators keep in a worker between tasks, and the operator whose they are.
+CACHES: list[dict] = []
+_owner = ""
+
+
+def occupy(owner: str) -> None:
+    """Called as a worker starts on an operator: what another operator has left there is let go."""
+    global _owner
+    if _owner != owner:
+        _owner = owner
+        for c in CACHES:
+            c.clear()
+        gc.collect()
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow, one dictionary of columns for each batch."""
     prepare(df.sparkSession)
     arrow = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        occupy(fn.__module__)
         for batch in batches:
             if batch.num_rows:
                 yield as_batch(fn(batch), arrow)

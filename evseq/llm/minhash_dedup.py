@@ -150,6 +150,7 @@ def compared(work: DataFrame, size: int) -> DataFrame:
     classes of different blocks are compared."""
 
     def one(table: pa.Table) -> pa.Table:
+        common.occupy(__name__)
         uid, block = table["uid"].to_numpy(), table["block"].to_numpy()
         uid, first = np.unique(uid, return_index=True)  # rows repeated whole
         text = table["text"].take(pa.array(first)).combine_chunks()

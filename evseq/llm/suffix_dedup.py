@@ -203,6 +203,7 @@ def kept_bytes(text: bytes, starts: np.ndarray) -> tuple[bytes, int]:
 
 def sort_bucket(table: pa.Table) -> pa.Table:
     """One bucket: its names sorted, those that occur twice marked; of those, the first block is the lead."""
+    common.occupy(__name__)
     out = []
     kinds, blocks = table["pass"].to_pylist(), table["block"].to_pylist()
     for kind in set(kinds):
@@ -236,6 +237,7 @@ def sort_bucket(table: pa.Table) -> pa.Table:
 
 def run_block(docs: pa.Table, bits: pa.Table | None, upto: str, n_buckets: int) -> Block | tuple[Block, Names] | dict:
     """A block through the passes before `upto`; the names of that pass, or after the last the marked suffixes."""
+    common.occupy(__name__)
     known: dict[str, dict[int, tuple[bytes, bytes]]] = {k: {} for k in PASSES}
     if bits is not None:
         for kind, bucket, r, s in zip(*(bits[c].to_pylist() for c in ("pass", "bucket", "repeated", "lead")), strict=True):

@@ -186,6 +186,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        common.occupy(__name__)
         for batch in batches:
             keep = pa.array([sent.value.score(t) < 0.5 for t in common.texts(batch.column(at))], type=pa.bool_())
             yield batch.filter(keep)
