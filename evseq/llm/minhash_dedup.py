@@ -5,8 +5,9 @@ probability equal to their Jaccard similarity, so half the permutations fill a s
 together:
 
 1. documents with equal sets are one class, whatever their number;
-2. in each band bucket every class is tied to the bucket's smallest, never to every other; ties whose signatures are far apart
-   are dropped, and what holds together is a cluster of candidates;
+2. in each band bucket every class is tied to the bucket's smallest; ties whose signatures are far apart are dropped. Classes of a
+   bucket that are left apart are compared by their signatures, in blocks of bounded size that return a spanning forest of what
+   agrees. What holds together is a cluster of candidates;
 3. inside each cluster pairs are verified on full sets, in blocks of bounded size that share the work, leaving out pairs that
    verified ties have joined; a block pair returns a spanning forest of its links, not the links;
 4. connected components of those are the result.
@@ -15,6 +16,8 @@ together:
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from evseq.llm import common
 
 #: Permutations, values in a band. Two values each: 40 bands of 5. A pair of similarity 0.8 misses every band with probability
-#: (1 - 0.8 ** 5) ** 40 = 1.2e-7.
+#: (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 PERMUTATIONS, BAND = 100, 5
 #: Similarity, in hundredths.
 LEAST = 80
@@ -32,6 +35,8 @@ LEAST = 80
 TIE = 0.5
 #: Classes and shingles in a block of a cluster; a cluster of up to two blocks is one task's work.
 BLOCK, BLOCK_SHINGLES = 128, 300_000
+#: Signatures in a block of a bucket.
+BUCKET = 512
 _random = np.random.Generator(np.random.PCG64(7))
 A = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 B = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -78,11 +83,44 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return common.map_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), one, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
+def likenesses(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each signature in x to each in y."""
+    if x.size * len(y) <= 1 << 18:
+        same = (x[:, None, :] == y[None, :, :]).sum(axis=2)
+    else:
+        same = np.zeros((len(x), len(y)), np.uint16)
+        for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), strict=True):
+            same += a[:, None] == b[None, :]
+    return (same / x.shape[1] - 1 / 256) / (1 - 1 / 256)
+
+
+def agreeing(part: np.ndarray, sigs: np.ndarray, block: np.ndarray) -> list[tuple[int, int, float]]:
+    """Ties that join whatever agrees in TIE or more and isn't of one part already; of two blocks, only pairs of both."""
+    label = np.unique(part, return_inverse=True)[1]
+    rows = np.flatnonzero(block == block.min())
+    columns = rows if len(rows) == len(block) else np.flatnonzero(block != block.min())
+    estimate = likenesses(sigs[rows], sigs[columns])
+    good = estimate >= TIE
+    out = []
+    for k, i in enumerate(rows):
+        near = np.flatnonzero(good[k] & (label[columns] != label[i]))
+        if len(near):
+            others, first = np.unique(label[columns[near]], return_index=True)
+            out += [(int(i), int(columns[j]), float(estimate[k, j])) for j in near[first]]
+            label[np.isin(label, others)] = label[i]
+    return out
+
+
 def ties(classes: DataFrame) -> DataFrame:
-    """a, b: each class and the smallest of a bucket it is in, where signatures agree in TIE or more."""
+    """a, b, estimate: ties of signatures that agree in TIE or more; they hold together all that share a bucket and agree so.
+
+    Each class is first tied to the smallest of a bucket it is in. What these ties leave apart in a bucket is compared by
+    signatures, all but the bucket's largest part with all.
+    """
     bands = classes.select("uid", F.explode("bands").alias("key"))
-    heads = bands.groupBy("key").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = bands.join(heads, "key").where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
+    heads = bands.groupBy("key").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = common.checkpoint(bands.join(heads, "key").where("uid <> head"))
+    pairs = shared.select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
     sig = classes.select("uid", "sig")
     pairs = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -91,7 +129,51 @@ def ties(classes: DataFrame) -> DataFrame:
         same = (x == y).mean(axis=1)
         return {"a": batch.column(0), "b": batch.column(1), "estimate": (same - 1 / 256) / (1 - 1 / 256)}
 
-    return common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= TIE)
+    stars = common.checkpoint(common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= TIE))
+    return stars.unionByName(left_apart(shared.where("n > 2").select("key", "uid"), stars, sig))
+
+
+def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame) -> DataFrame:
+    """a, b, estimate: ties inside buckets whose members stars leave in several parts. shared: key, uid, without the buckets' heads,
+    which are compared with all. A unit of work is a block of a bucket, or two; it returns a spanning forest."""
+    m = shared.join(common.components(stars).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
+    sizes = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    blocks = lambda n: F.ceil(n / BUCKET).cast("int")
+    main = main.select("key", F.col("main.part").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("rest_blocks"), blocks(F.col("main.n")).alias("main_blocks"))
+    work = _dealt(m.join(main, "key"), "key").join(sig, "uid").select("unit", "lo", "hi", "uid", "block", "part", "sig")
+
+    def done(held: list[pa.RecordBatch]) -> list[tuple[int, int, float]]:
+        t = pa.Table.from_batches(held)
+        uid, block, part = (t[c].to_numpy() for c in ("uid", "block", "part"))
+        if (across := t["lo"][0].as_py() != t["hi"][0].as_py()) and block.min() == block.max():
+            return []  # a block that has no rows
+        sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(uid), -1)
+        return [(int(uid[i]), int(uid[j]), e) for i, j, e in agreeing(part, sigs, block if across else np.zeros_like(block))]
+
+    arrow = common.arrow_schema(sig.sparkSession, "a long, b long, estimate double")
+
+    # Sorted rows, many small units to a batch: most buckets have few members.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.occupy(__name__)
+        held, at = [], None
+        for batch in chain(batches, [None]):
+            out = []
+            if batch is None:
+                out = done(held) if held else []
+            elif batch.num_rows:
+                unit = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)])
+                cuts = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+                for i, j in pairwise(cuts):
+                    if held and at != unit[:, i].tolist():
+                        out += done(held)
+                        held = []
+                    at = unit[:, i].tolist()
+                    held.append(batch.slice(i, j - i))
+            if out:
+                yield common.as_batch(dict(zip(arrow.names, zip(*out, strict=True), strict=True)), arrow)
+
+    return work.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(run, "a long, b long, estimate double")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple[int, int]]:
@@ -145,6 +227,16 @@ def _block_of(uid: str, blocks):
     return F.pmod(F.xxhash64(uid), blocks).cast("int")
 
 
+def _dealt(rows: DataFrame, unit: str) -> DataFrame:
+    """rows (uid, part, main, rest_blocks, main_blocks) once for each block they are compared with, as unit, lo, hi, block: all but
+    the unit's main part with all, the main part not with itself."""
+    rest = F.col("part") != F.col("main")
+    block = F.when(rest, _block_of("uid", F.col("rest_blocks"))).otherwise(F.col("rest_blocks") + _block_of("uid", F.col("main_blocks")))
+    others = F.when(rest, F.col("rest_blocks") + F.col("main_blocks")).otherwise(F.col("rest_blocks"))
+    work = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return work.withColumn("unit", F.col(unit)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+
 def compared(work: DataFrame, size: int) -> DataFrame:
     """a, b: links that span those found by each unit of work. work: unit, lo, hi, uid, block, text; if lo and hi differ, only
     classes of different blocks are compared."""
@@ -186,11 +278,7 @@ def verified(members: DataFrame, tied: DataFrame, size: int) -> DataFrame:
     sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > main.n")
     main = main.select("cluster", F.col("main.part").alias("main"), _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest_blocks"), _blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks"))
-    rest = F.col("part") != F.col("main")
-    block = F.when(rest, _block_of("uid", F.col("rest_blocks"))).otherwise(F.col("rest_blocks") + _block_of("uid", F.col("main_blocks")))
-    others = F.when(rest, F.col("rest_blocks") + F.col("main_blocks")).otherwise(F.col("rest_blocks"))
-    work = parts.join(main, "cluster").withColumn("block", block).withColumn("other", F.explode(F.sequence(zero, others - 1)))
-    work = work.select(F.col("cluster").alias("unit"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "uid", "block", "text")
+    work = _dealt(parts.join(main, "cluster"), "cluster").select("unit", "lo", "hi", "uid", "block", "text")
     return first.unionByName(compared(work, size))
 
 

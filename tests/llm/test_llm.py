@@ -296,6 +296,38 @@ def test_minhash_blocks(spark, monkeypatch):
     assert got == {i: c for (i, *_), c in zip(rows, comp, strict=True)}
 
 
+def test_minhash_shared_shingles(spark):
+    """Near copies; beside each band that two of them share stand documents far from them that have the shingles the band is of."""
+    rng, texts = random.Random(11), {}
+    for pair in range(6):
+        words = prose(rng, 300).split()
+        other = [prose(rng, 1) if k % 24 == 5 else w for k, w in enumerate(words)]
+        texts |= {2 * pair: " ".join(words), 2 * pair + 1: " ".join(other)}
+        sets = [common.shingle_set(texts[2 * pair + k].encode(), 2) for k in range(2)]
+        shared = minhash_dedup.band_keys(minhash_dedup.min_max(sets[0])) == minhash_dedup.band_keys(minhash_dedup.min_max(sets[1]))
+        shingles = [" ".join(words[k : k + 2]) for k in range(len(words) - 1)]
+        h = np.concatenate([common.shingle_set(x.encode(), 2) for x in shingles])
+        h = (h[None, :] * minhash_dedup.A[:, None] + minhash_dedup.B[:, None]) >> np.uint64(32)
+        of = np.concatenate([h.argmin(axis=1), h.argmax(axis=1)]).reshape(-1, minhash_dedup.BAND)[shared]
+        for band in of:
+            for _ in range(40):
+                texts[1000 + len(texts)] = " ".join(f"{shingles[k]} {prose(rng, 2)}" for k in band)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(documents(spark, [(i, t, "s") for i, t in texts.items()]), 2).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {2 * pair + 1: 2 * pair for pair in range(6)}
+
+
+def test_minhash_bucket_with_far_head(spark, monkeypatch):
+    """Classes 1 and 2, 3 and 4 agree; in every bucket a class far from them is the smallest."""
+    rng = np.random.default_rng(5)
+    far, one, two = (rng.integers(0, 256, 200, dtype=np.uint8).tobytes() for _ in range(3))
+    rows = [(i, [7, 8], s) for i, s in enumerate([far, one, one, two, two])]
+    classes = spark.createDataFrame(rows, "uid long, bands array<long>, sig binary")
+    ties = lambda: {tuple(sorted((r["a"], r["b"]))) for r in minhash_dedup.ties(classes).collect()}
+    assert ties() == {(1, 2), (3, 4)}
+    monkeypatch.setattr(minhash_dedup, "BUCKET", 1)  # pairs of blocks
+    assert ties() == {(1, 2), (3, 4)}
+
+
 def test_one_of_each(docs, rows):
     kept = minhash_dedup.one_of_each(docs)
     assert kept.columns == docs.columns
