@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evseq.llm import common
+from evseq.llm import common, minhash_dedup
 
 SHINGLE = 5
 #: Permutations h -> a * h + b mod 2 ** 64, of which the upper half counts; a odd.
@@ -59,30 +59,45 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def similar(docs: DataFrame, size: int = SHINGLE, threshold: float = 0.8, rows: int = 4) -> DataFrame:
-    """fingerprint, representative, jaccard: classes of equal fingerprints linked to a class with which they share a band.
+    """doc_id, fingerprint, other_id, representative, jaccard: links between documents of different shingle sets.
 
-    One class of each band bucket, the smallest, stands for it, so a bucket with a third of all documents gives a link for each
-    class and not for each pair; Jaccard is verified on full sets. Membership is in signatures(). Texts without words link with
-    nothing.
+    Documents with equal sets are one class, of which the smallest doc_id stands in a link. Classes that share a band of `rows` values
+    are held together by their signatures, however many share it, and Jaccard is verified on full sets; the links are a spanning
+    forest of the pairs that reach the threshold, so a bucket gives a link for each class and not for each pair. At 0.8, a pair
+    shares no band with probability (1 - 0.8 ** 4) ** 16 = 2.2e-4. Texts without words link with nothing.
     """
-    s = signatures(docs, size).where("n_shingles > 0")
-    classes = s.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    bands = classes.select("fingerprint", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // rows - 1)), lambda k: F.xxhash64(F.slice("sig", k * rows + 1, rows)))).alias("band", "key"))
-    head = bands.groupBy("band", "key").agg(F.min(F.struct("fingerprint", "doc_id")).alias("head"))
-    pairs = bands.join(head, ["band", "key"]).where("fingerprint <> head.fingerprint").select("fingerprint", "doc_id", F.col("head.fingerprint").alias("representative"), F.col("head.doc_id").alias("other")).distinct()
-    left = docs.select(F.col("doc_id"), F.col("text").alias("t1")).dropDuplicates(["doc_id"])
-    right = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("t2")).dropDuplicates(["other"])
+    spark = common.prepare(docs.sparkSession)
+
+    def one(batch: pa.RecordBatch) -> dict:
+        sets = [common.shingle_set(t, size) for t in common.texts(batch.column(1))]
+        sigs = [signature(s) for s in sets]
+        return {
+            "doc_id": batch.column(0), "text_hash": batch.column(2), "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+            "fingerprint": [spelled(s) for s in sigs], "values": [s.astype(np.int64) for s in sigs], "sig": [common.mix(s.astype(np.uint64)).astype(np.uint8).tobytes() for s in sigs],
+        }
+
+    f = common.map_rows(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), one, "doc_id long, text_hash long, n_shingles long, digest binary, fingerprint string, values array<long>, sig binary")
+    at = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at")
+    classes = f.where("n_shingles > 0").groupBy("digest").agg(at, *[F.first(c).alias(c) for c in ("n_shingles", "fingerprint", "values", "sig")])
+    keys = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // rows - 1)), lambda k: F.xxhash64(k, F.slice("values", k * rows + 1, rows)))
+    classes = common.checkpoint(classes.select(F.monotonically_increasing_id().alias("uid"), "at.doc_id", "at.text_hash", "n_shingles", "fingerprint", keys.alias("bands"), "sig"))
+    # Six standard deviations of an estimate below the threshold.
+    tied = common.checkpoint(minhash_dedup.ties(classes, threshold - 6 * (threshold * (1 - threshold) / PERMUTATIONS) ** 0.5))
+    clusters = common.components(tied).select(F.col("component").alias("cluster"), F.col("node").alias("uid"))
+    members = common.checkpoint(minhash_dedup.with_texts(clusters.join(classes.select("uid", "doc_id", "text_hash", "n_shingles"), "uid"), docs))
+    links = minhash_dedup.verified(members, tied, size, 100 * threshold)
 
     def jaccard(batch: pa.RecordBatch) -> dict:
         out = []
-        for x, y in zip(common.texts(batch.column(2)), common.texts(batch.column(3)), strict=True):
+        for x, y in zip(common.texts(batch.column(4)), common.texts(batch.column(5)), strict=True):
             a, b = common.shingle_set(x, size), common.shingle_set(y, size)
             n = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(n / max(1, len(a) + len(b) - n))
-        return {"fingerprint": batch.column(0), "representative": batch.column(1), "jaccard": out}
+            out.append(n / (len(a) + len(b) - n))
+        return dict(zip(batch.schema.names[:4], batch.columns[:4], strict=True)) | {"jaccard": out}
 
-    checked = common.map_rows(pairs.join(left, "doc_id").join(right, "other").select("fingerprint", "representative", "t1", "t2"), jaccard, "fingerprint string, representative string, jaccard double")
-    return checked.where(F.col("jaccard") >= threshold)
+    named = members.select("uid", "text").join(classes.select("uid", "doc_id", "fingerprint"), "uid").select("uid", "doc_id", "fingerprint", "text")
+    both = links.join(named.toDF("a", "doc_id", "fingerprint", "t1"), "a").join(named.toDF("b", "other_id", "representative", "t2"), "b")
+    return common.map_rows(both.select("doc_id", "fingerprint", "other_id", "representative", "t1", "t2"), jaccard, "doc_id long, fingerprint string, other_id long, representative string, jaccard double")
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -94,13 +94,13 @@ def likenesses(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (same / x.shape[1] - 1 / 256) / (1 - 1 / 256)
 
 
-def agreeing(part: np.ndarray, sigs: np.ndarray, block: np.ndarray) -> list[tuple[int, int, float]]:
-    """Ties that join whatever agrees in TIE or more and isn't of one part already; of two blocks, only pairs of both."""
+def agreeing(part: np.ndarray, sigs: np.ndarray, block: np.ndarray, tie: float) -> list[tuple[int, int, float]]:
+    """Ties that join whatever agrees in tie or more and isn't of one part already; of two blocks, only pairs of both."""
     label = np.unique(part, return_inverse=True)[1]
     rows = np.flatnonzero(block == block.min())
     columns = rows if len(rows) == len(block) else np.flatnonzero(block != block.min())
     estimate = likenesses(sigs[rows], sigs[columns])
-    good = estimate >= TIE
+    good = estimate >= tie
     out = []
     for k, i in enumerate(rows):
         near = np.flatnonzero(good[k] & (label[columns] != label[i]))
@@ -111,8 +111,8 @@ def agreeing(part: np.ndarray, sigs: np.ndarray, block: np.ndarray) -> list[tupl
     return out
 
 
-def ties(classes: DataFrame) -> DataFrame:
-    """a, b, estimate: ties of signatures that agree in TIE or more; they hold together all that share a bucket and agree so.
+def ties(classes: DataFrame, tie: float = TIE) -> DataFrame:
+    """a, b, estimate: ties of signatures that agree in tie or more; they hold together all that share a bucket and agree so.
 
     Each class is first tied to the smallest of a bucket it is in. What these ties leave apart in a bucket is compared by
     signatures, all but the bucket's largest part with all.
@@ -129,11 +129,11 @@ def ties(classes: DataFrame) -> DataFrame:
         same = (x == y).mean(axis=1)
         return {"a": batch.column(0), "b": batch.column(1), "estimate": (same - 1 / 256) / (1 - 1 / 256)}
 
-    stars = common.checkpoint(common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= TIE))
-    return stars.unionByName(left_apart(shared.where("n > 2").select("key", "uid"), stars, sig))
+    stars = common.checkpoint(common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= tie))
+    return stars.unionByName(left_apart(shared.where("n > 2").select("key", "uid"), stars, sig, tie))
 
 
-def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame) -> DataFrame:
+def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame, tie: float) -> DataFrame:
     """a, b, estimate: ties inside buckets whose members stars leave in several parts. shared: key, uid, without the buckets' heads,
     which are compared with all. A unit of work is a block of a bucket, or two; it returns a spanning forest."""
     m = shared.join(common.components(stars).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
@@ -149,7 +149,7 @@ def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame) -> DataFrame
         if (across := t["lo"][0].as_py() != t["hi"][0].as_py()) and block.min() == block.max():
             return []  # a block that has no rows
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(uid), -1)
-        return [(int(uid[i]), int(uid[j]), e) for i, j, e in agreeing(part, sigs, block if across else np.zeros_like(block))]
+        return [(int(uid[i]), int(uid[j]), e) for i, j, e in agreeing(part, sigs, block if across else np.zeros_like(block), tie)]
 
     arrow = common.arrow_schema(sig.sparkSession, "a long, b long, estimate double")
 
@@ -176,8 +176,8 @@ def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame) -> DataFrame
     return work.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(run, "a long, b long, estimate double")
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with similarity LEAST or more; across: only pairs of both sides."""
+def linked(sets: list[np.ndarray], side: np.ndarray, across: bool, least: float = LEAST) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with similarity least (hundredths) or more; across: only pairs of both sides."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     if n == 2:
@@ -199,7 +199,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray, across: bool) -> list[tuple
             m[of[i:j], column[i:j] - column[i]] = 1
             both += m @ m.T
     both = both.astype(np.int64)
-    good = np.triu(100 * both >= LEAST * (sizes[:, None] + sizes[None, :] - both), 1)
+    good = np.triu(100 * both >= least * (sizes[:, None] + sizes[None, :] - both), 1)
     if across:
         good &= side[:, None] != side[None, :]
     parent = list(range(n))
@@ -237,7 +237,7 @@ def _dealt(rows: DataFrame, unit: str) -> DataFrame:
     return work.withColumn("unit", F.col(unit)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
 
-def compared(work: DataFrame, size: int) -> DataFrame:
+def compared(work: DataFrame, size: int, least: float = LEAST) -> DataFrame:
     """a, b: links that span those found by each unit of work. work: unit, lo, hi, uid, block, text; if lo and hi differ, only
     classes of different blocks are compared."""
 
@@ -247,13 +247,13 @@ def compared(work: DataFrame, size: int) -> DataFrame:
         uid, first = np.unique(uid, return_index=True)  # rows repeated whole
         text = table["text"].take(pa.array(first)).combine_chunks()
         across = table["lo"][0].as_py() != table["hi"][0].as_py()
-        pairs = linked([common.shingle_set(x, size) for x in common.texts(text)], block[first], across) if len(uid) > 1 else []
+        pairs = linked([common.shingle_set(x, size) for x in common.texts(text)], block[first], across, least) if len(uid) > 1 else []
         return pa.table({"a": pa.array([int(uid[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(uid[j]) for _, j in pairs], pa.int64())})
 
     return work.select("unit", "lo", "hi", "uid", "block", "text").groupBy("unit", "lo", "hi").applyInArrow(one, "a long, b long")
 
 
-def verified(members: DataFrame, tied: DataFrame, size: int) -> DataFrame:
+def verified(members: DataFrame, tied: DataFrame, size: int, least: float = LEAST) -> DataFrame:
     """a, b: links that span what is linked in each cluster. members: cluster, uid, n_shingles, text.
 
     A small cluster is one unit. In a large one each class is compared first with the class it is likeliest tied to; what that
@@ -272,14 +272,14 @@ def verified(members: DataFrame, tied: DataFrame, size: int) -> DataFrame:
     followers = followers.join(of_head, "head").select(F.col("head").alias("unit"), _block_of("uid", F.col("blocks")).alias("lo"), F.lit(-1).alias("hi"), "uid", F.lit(1).alias("block"), "text")
     heads = large.join(of_head.withColumnRenamed("head", "uid"), "uid").withColumn("lo", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     heads = heads.select(F.col("uid").alias("unit"), "lo", F.lit(-1).alias("hi"), "uid", zero.alias("block"), "text")
-    first = common.checkpoint(compared(small.unionByName(followers).unionByName(heads), size))
+    first = common.checkpoint(compared(small.unionByName(followers).unionByName(heads), size, least))
 
     parts = large.join(common.components(first).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
     sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > main.n")
     main = main.select("cluster", F.col("main.part").alias("main"), _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest_blocks"), _blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks"))
     work = _dealt(parts.join(main, "cluster"), "cluster").select("unit", "lo", "hi", "uid", "block", "text")
-    return first.unionByName(compared(work, size))
+    return first.unionByName(compared(work, size, least))
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:

@@ -217,6 +217,24 @@ def test_fingerprint_estimates(docs, rows):
     assert all(r["jaccard"] >= 0.8 for r in links)
 
 
+def test_fingerprint_links(spark):
+    """Groups against brute force: near copies beside a far document that shares all of their bands but the text, and null doc_ids."""
+    rng, size = random.Random(4), 5
+    passage = prose(rng, 300).split()
+    texts = []
+    for k in range(120):  # half of each is the passage; each stands twice, the last words changed
+        own = prose(rng, 220).split()
+        texts += [" ".join(passage + own), " ".join(passage + own[:-12]) + " " + prose(rng, 12)]
+    ids = [None if k == 7 else k for k in range(len(texts))]
+    sets = [set(common.shingle_set(t.encode(), size).tolist()) for t in texts]
+    pairs = {(i, j): len(x & y) / len(x | y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j}
+    want = {p for p, v in pairs.items() if v >= 0.8}
+    assert want == {(k, k + 1) for k in range(0, len(texts), 2)}
+    got = [r.asDict() for r in fingerprints.similar(documents(spark, [(i, t, "s") for i, t in zip(ids, texts, strict=True)]), size).collect()]
+    found = {tuple(sorted(7 if x is None else x for x in (r["doc_id"], r["other_id"]))): r["jaccard"] for r in got}
+    assert found == {p: pairs[p] for p in want}
+
+
 # 6
 
 
