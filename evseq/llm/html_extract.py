@@ -7,6 +7,7 @@ greatest total, and the text of that region, without the boilerplate inside it,
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -18,19 +19,29 @@ from evseq.llm import common
 
 #: Elements whose content is not text.
 RAW = {"script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select", "button", "object", "canvas"}
-#: Elements that hold no article text, and words in class, id or role that say so.
+#: Elements that hold no article text.
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+#: Words in class, id, role or aria-label that say so, and words that say nothing beside them. A name is split at hyphens and the like,
+#: and all of it must be of these: "related-posts" is boilerplate, "related-work" and "side-effects" are not.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads\w*|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|disclaimer|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu|breadcrumbs?|sidebar|side|widget|"
-    r"related|recommended|share|sharing|social|comment\w*|disqus|replies|respond|footer|masthead|topbar|site-header|page-header|toolbar|pagination|pager|navigation|complementary|contentinfo|search|skip)(?:$|[\s_-])"
+    r"ad|ads(?:by\w*|ense\w*|lots?|paces?)?|adverts?|advertis\w*|banners?|sponsor(?:s|ed|ship)?|promo(?:s|ted|tion|tions|tional)?|cookies?|consent|gdpr|notices?|notifications?|alerts?|disclaimer|popup|modal|newsletter|subscribe|signup|login|"
+    r"nav(?:s|bar|igation|menu|links?)?|menu|breadcrumbs?|sidebar|side|widgets?|related|recommended|share|sharing|social|comments?|comment(?:list|form|box|area)|disqus|replies|respond|footer|masthead|topbar|toolbar|pagination|pager|complementary|contentinfo|search|skip"
 )
+BESIDE = re.compile(
+    r"|\d+|\w|site|page|main|top|bottom|left|right|center|upper|lower|inline|sticky|fixed|mobile|desktop|global|primary|secondary|sub|js|box(?:es)?|block|section|container|wrap|wrapper|inner|outer|area|region|panel|bar|row|column|col|group|list|items?|"
+    r"links?|posts?|articles?|stories|story|news|reading|content|header|head|title|label|text|body|form|field|input|bar|buttons?|icons?|media|unit|slot|space|zone|card|overlay|policy|to|for|this|us|the|your|up"
+)
+APART = re.compile(r"[\W_]+")
 ARTICLE = {"article", "main"}
 #: Elements whose class and id say nothing.
 UNNAMED = {"html", "body", "article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+#: Elements of running text: an id or label there is the name of a passage. Headings have none but such.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PASSAGES = HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tr", "td", "th"}
 #: Where a word stands.
 PLACES = ("article", "boiler", "link", "other")
 
@@ -43,6 +54,23 @@ LABELLED = [
 ]
 
 
+@functools.lru_cache(512)
+def named(attributes: str, passage: bool) -> bool:
+    """Whether a tag's attributes say boilerplate; of a passage, whether its class does."""
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "class" or key in ("id", "role", "aria-label") and not passage:
+            # Classes and roles are lists of names.
+            for x in value.split() if key in ("class", "role") else [value]:
+                words = APART.split(x)
+                said = [bool(NAMED.fullmatch(w)) for w in words]
+                if any(said) and all(n or BESIDE.fullmatch(w) for n, w in zip(said, words, strict=True)):
+                    return True
+                if x in ("site-header", "page-header"):
+                    return True
+    return False
+
+
 def pieces(page: str) -> list[tuple]:
     """('tag', name, closing) and ('text', text, place, block break before) in order of the page."""
     out: list[tuple] = []
@@ -82,9 +110,8 @@ def pieces(page: str) -> list[tuple]:
                     links -= s[0] == "a"
                 del stack[at:]
         else:
-            said = " ".join(x for a in ATTRIBUTE.findall(m[3] or "") for x in a if x).lower()
             # The header of an article is part of it.
-            bad = name in BOILER and not (name == "header" and article) or name not in UNNAMED and bool(said and NAMED.search(said))
+            bad = name in BOILER and not (name == "header" and article) or name not in UNNAMED and named(m[3] or "", name in HEADINGS or bool(article) and name in PASSAGES)
             stack.append((name, bool(bad), name in ARTICLE))
             boiler += bool(bad)
             article += name in ARTICLE

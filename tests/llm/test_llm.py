@@ -180,6 +180,17 @@ def test_html(spark):
     assert html_extract.articles(d.limit(0)).count() == 0
 
 
+def test_html_names_of_passages():
+    kept = ['h2 id="related-work"', 'section id="side-effects"', 'p id="search-history"', 'div id="share-of-voters"', 'section aria-label="Alert levels"', 'div data-id="ad"', 'h2 id="comments"', 'div title="class=ad"', 'p class="commentary"']
+    gone = ['div class="ad"', 'div class="x related-posts"', 'div id="cookie-notice"', "p class='ad_banner'", "div class=share-buttons", 'div aria-label="Related articles"', 'div role="navigation"', 'div id="comments-section"']
+    for tags in (kept, gone):
+        for tag in tags:
+            name = tag.split()[0]
+            text = html_extract.extract(f"<html><body><article><p>Ten words stand before it and so does this one.</p><{tag}>Words of it</{name}><p>After it comes more.</p></article></body></html>")
+            assert ("Words of it" in text) == (tags is kept), tag
+            assert "Ten words" in text and "After it" in text, tag
+
+
 @pytest.mark.parametrize("page", html_extract.LABELLED)
 def test_html_labelled(page):
     inside = page.split("[+")[1].split("+]")[0]
