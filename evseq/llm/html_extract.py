@@ -37,11 +37,13 @@ ARTICLE = {"article", "main"}
 UNNAMED = {"html", "body", "article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 #: Elements of running text: an id or label there is the name of a passage. Headings have none but such.
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PASSAGES = HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tr", "td", "th"}
+#: Elements that are no containers of their own: what stands in them stands in the container around them.
+FLOW = INLINE | PASSAGES | {"ul", "ol", "dl", "tbody", "thead", "section", "body", "html"}
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.DOTALL)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 #: Where a word stands.
 PLACES = ("article", "boiler", "link", "other")
 
@@ -72,9 +74,10 @@ def named(attributes: str, passage: bool) -> bool:
 
 
 def pieces(page: str) -> list[tuple]:
-    """('tag', name, closing) and ('text', text, place, block break before) in order of the page."""
+    """('tag', name, closing) and ('text', text, place, block break before, containers around it or around the boilerplate that it is
+    in) in order of the page."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    stack: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, article, where it opened
     boiler = article = links = 0
     skip, fresh, i, n = "", True, 0, len(page)
     while i < n:
@@ -85,10 +88,11 @@ def pieces(page: str) -> list[tuple]:
             if m[0][0] != "<" or m[0] == "<":
                 if m[0].strip():
                     place = "boiler" if boiler else "link" if links and not article else "article" if article else "other"
-                    out.append(("text", m[0], place, fresh))
+                    upto = next((k for k, s in enumerate(stack) if s[1]), len(stack)) if boiler else len(stack)
+                    out.append(("text", m[0], place, fresh, tuple(s[3] for s in stack[:upto] if s[0] not in FLOW)))
                     fresh = False
                 else:
-                    out.append(("text", m[0], "", False))
+                    out.append(("text", m[0], "", False, ()))
             continue
         name, closing = name.lower(), bool(m[1])
         if not closing and name in RAW:
@@ -112,7 +116,7 @@ def pieces(page: str) -> list[tuple]:
         else:
             # The header of an article is part of it.
             bad = name in BOILER and not (name == "header" and article) or name not in UNNAMED and named(m[3] or "", name in HEADINGS or bool(article) and name in PASSAGES)
-            stack.append((name, bool(bad), name in ARTICLE))
+            stack.append((name, bool(bad), name in ARTICLE, i))
             boiler += bool(bad)
             article += name in ARTICLE
             links += name == "a"
@@ -150,6 +154,18 @@ def extract(page: str) -> str:
     seq = pieces(page)
     word, tag = weights()
     has_article = any(p[0] == "text" and p[2] == "article" for p in seq)
+    # Between which pieces a container has words of its own.
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for k, p in enumerate(seq):
+        if p[0] == "text" and p[2] == "other" and not has_article:
+            around = p[4][-1] if p[4] else -1
+            first.setdefault(around, k)
+            last[around] = k
+
+    def inset(k: int, around: tuple[int, ...]) -> bool:
+        return any(first.get(c, k) < k < last.get(c, k) for c in around or (-1,))
+
     best, best_from, best_to, run, start, inside = 0.0, 0, 0, 0.0, 0, False
     for k, p in enumerate(seq):
         if p[0] == "tag":
@@ -158,7 +174,7 @@ def extract(page: str) -> str:
             run += tag.get(p[1], -0.05)
         elif p[2]:
             w = word[p[2]]
-            if p[2] == "boiler" and inside:
+            if p[2] == "boiler" and (inside or inset(k, p[4])):
                 w = 0.0  # left out of the text, and no reason to cut the article in two
             elif p[2] == "other" and has_article:
                 w = -abs(w)

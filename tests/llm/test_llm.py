@@ -191,6 +191,18 @@ def test_html_names_of_passages():
             assert "Ten words" in text and "After it" in text, tag
 
 
+def test_html_inset_without_article():
+    lead, inset, rest = (" ".join(f"{w}{k}" for k in range(n)) for w, n in (("lead", 20), ("inset", 30), ("rest", 200)))
+    menu = '<div class="menu"><a href=1>News</a> <a href=2>Sport</a></div>'
+    foot = '<div class="footer">All rights reserved by the paper</div>'
+    for box in (f'<div class="related">{inset}</div>', f"<aside><div><p>{inset}</p></div></aside>", f'<div><div class="ad">{inset}</div></div>'):
+        for a, b in ((lead, rest), (rest, lead)):
+            page = f'<html><body>{menu}<div class="content"><p>{a}</p>{box}<p>{b}</p></div>{foot}</body></html>'
+            assert html_extract.extract(page) == f"{a}\n{b}"
+    page = f'<html><body><div id="page"><p>The Daily</p>{menu}<div class="menu">{inset}</div><div class="content"><p>{rest}</p></div></div></body></html>'
+    assert html_extract.extract(page) == rest
+
+
 @pytest.mark.parametrize("page", html_extract.LABELLED)
 def test_html_labelled(page):
     inside = page.split("[+")[1].split("+]")[0]
