@@ -293,6 +293,14 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     Null, empty or wordless text: an empty set, linked with nothing, its component_id its doc_id. Equal rows are in one
     component and agree. Null doc_ids count as documents but never name a component unless all of it are null. No rows: none.
     """
+    f, named = components_of(docs, size)
+    out = f.select("doc_id", "n_shingles", "digest").join(named.select("digest", "component_id"), "digest", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def components_of(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """features, and for each digest its component's id and the row that stands for the component: the smallest, null doc_ids last."""
     spark = common.prepare(docs.sparkSession)
     f = common.checkpoint(features(docs, size))
     classes = f.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -301,16 +309,22 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     clusters = common.components(tied)
     members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(classes.select("uid", "doc_id", "text_hash", "n_shingles"), "uid")
     groups = common.components(verified(common.checkpoint(with_texts(members, docs)), tied, size))
-    named = classes.select("uid", "digest", "doc_id").join(groups.withColumnRenamed("node", "uid"), "uid")
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    grouped = named.select("digest", "component").join(names, "component").select("digest", "component_id")
-    alone = classes.join(groups, classes.uid == groups.node, "left_anti").select("digest", F.col("doc_id").alias("component_id"))
-    out = f.select("doc_id", "n_shingles", "digest").join(grouped.unionByName(alone), "digest", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = classes.select("uid", "digest", "doc_id", "text_hash").join(groups.withColumnRenamed("node", "uid"), "uid")
+    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(at).alias("stands"))
+    grouped = named.select("digest", "component").join(names, "component").select("digest", "component_id", "stands")
+    alone = classes.join(groups, classes.uid == groups.node, "left_anti").select("digest", F.col("doc_id").alias("component_id"), at.alias("stands"))
+    return f, grouped.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs without the rows that are not kept, and without repeats of whole documents; columns as they are."""
-    gone = near_duplicates(docs, size).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"])
+    """docs without the rows that don't stand for their component, and without repeats of whole documents; columns as they are.
+
+    A row is known by doc_id and text, so texts that share a doc_id stay or go each by itself, and of near copies without doc_id
+    one stays. Texts without words all stay.
+    """
+    f, named = components_of(docs, size)
+    gone = f.join(named, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("stands.doc_id")) & (F.col("text_hash") == F.col("stands.text_hash"))))
+    gone = gone.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    left = docs.join(gone, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
+    return left.select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"])

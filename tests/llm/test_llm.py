@@ -382,6 +382,16 @@ def test_one_of_each(docs, rows):
     assert all(left[g] == 1 for g in groups if g is not None)
 
 
+def test_one_of_each_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a, "s"), (2, f"{a} end", "s"), (2, b, "s"), (None, c, "s"), (None, f"{c} end", "s"), (None, f"{c} close", "s"), (None, None, "s"), (3, " ", "s")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash_dedup.one_of_each(documents(spark, rows)).collect()), key=repr)
+    of_c = [t for i, t in kept if i is None and t]
+    assert len(of_c) == 1 and of_c[0].startswith(c)
+    assert [x for x in kept if x != (None, of_c[0])] == sorted([(1, a), (2, b), (3, " "), (None, None)], key=repr)
+
+
 # 8
 
 
