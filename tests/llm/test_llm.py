@@ -550,3 +550,19 @@ def test_pipeline(spark, rows, tmp_path):
         docs = spark.read.parquet(f"{folder}/{k}")
     direct = corpus_pipeline.run(spark, folder)
     assert rows_of(direct, "doc_id", "ids_sha256") == rows_of(docs, "doc_id", "ids_sha256") and docs.count() > 0
+
+
+def test_pipeline_stages_are_written(spark, tmp_path, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append((docs.inputFiles(), docs.count()))
+        return docs.where("doc_id < 2")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert [n for _, n in read] == [2, 1, 1]
+    folders = [{f.rsplit("/", 1)[0] for f in files} for files, _ in read]
+    assert len(set(map(frozenset, folders))) == 3 and all(str(tmp_path) not in f for x in folders[1:] for f in x)
