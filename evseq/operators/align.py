@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evseq import schema
 from evseq.functions import timecols
 
 
@@ -22,18 +23,31 @@ def events_in_stays(events: DataFrame, stays: DataFrame, context_hours: int = 16
     return events.join(s, on).drop("_subject")
 
 
-def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool = False) -> DataFrame:
-    """Studies taken during a stay, with hours from its start, rank and flags within it."""
-    s = stays.select(F.col("subject_id").alias("_subject"), F.col("hadm_id").alias("_hadm"), "stay_id", "intime", "outtime")
+def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool = False, first_hours_only: float | None = None, keep_all: bool = True) -> DataFrame:
+    """Studies taken during a stay, with hours from its start, rank and flags within it, and both sides' other columns.
+
+    first_hours_only: studies later than so many hours are left out before ranks are given. keep_all=False: each stay's first only.
+    Studies without a time, an id or an image go; ranks' ties are broken by study_id, null times never match.
+    """
+    labels = [c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns and c not in studies.columns]
+    s = stays.select(F.col("subject_id").alias("_subject"), F.col("hadm_id").alias("_hadm"), "stay_id", "intime", "outtime", *labels)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) if null_keys_match else F.col(a) == F.col(b)
     on = same("subject_id", "_subject") & (F.col("StudyDateTime") >= F.col("intime")) & (F.col("outtime").isNull() | (F.col("StudyDateTime") <= F.col("outtime")))
     if "hadm_id" in studies.columns:
         on &= same("hadm_id", "_hadm")
     d = studies.where("jpg_path_exists").dropna(subset=["StudyDateTime", "study_id"]).join(s, on).drop("_subject", "_hadm")
-    d = d.withColumn("hours_from_icu_admit", timecols.hours("intime", "StudyDateTime"))
+    d = d.withColumn("hours_from_icu_intime", timecols.hours("intime", "StudyDateTime"))
+    if first_hours_only is not None:
+        d = d.where(F.col("hours_from_icu_intime") <= first_hours_only)
     rank = F.row_number().over(Window.partitionBy("stay_id").orderBy("StudyDateTime", "study_id")) - 1
     d = d.withColumn("image_rank_in_stay", rank)
-    return d.withColumns({"is_first_image": (F.col("image_rank_in_stay") == 0).cast("int"), "is_within_24h": F.col("hours_from_icu_admit").between(0, 24).cast("int")})
+    d = d.withColumns({"is_first_image": (F.col("image_rank_in_stay") == 0).cast("int"), "is_first_24h_image": (F.col("hours_from_icu_intime") <= 24).cast("int")})
+    return d if keep_all else d.where("is_first_image = 1")
+
+
+def image_index(index: DataFrame) -> DataFrame:
+    """studies_in_stays() with the columns of schema.IMAGE, in order; those that there are not are null."""
+    return schema.conform(index, schema.IMAGE)
 
 
 def top_images(index: DataFrame, k: int) -> DataFrame:

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evseq import schema
 from evseq.operators.ranks import shuffled
 
 
 def min_visits(seqs: DataFrame, k: int) -> DataFrame:
+    """Subjects with k visits or more; a null count is none. Repeated rows stay."""
     return seqs.where(F.col("num_visits") >= k)
 
 
 def longer_than(seqs: DataFrame, n: int = 5) -> DataFrame:
+    """Rows with more than n tokens; null arrays have none."""
     return seqs.where(F.size("event_tokens") > n)
 
 
 def members(df: DataFrame, ids: DataFrame, key: str = "subject_id") -> DataFrame:
+    """Rows whose key is among ids, each once however often it stands there; null keys are never."""
     return df.join(ids.select(key), key, "left_semi")
 
 
@@ -25,70 +29,93 @@ def others(df: DataFrame, ids: DataFrame, key: str = "subject_id") -> DataFrame:
     return df.join(ids.select(key), key, "left_anti")
 
 
+def distinct_ids(*frames: DataFrame, key: str = "subject_id") -> DataFrame:
+    """The keys of all frames, each once, in order; nulls are left out."""
+    out = frames[0].select(key)
+    for f in frames[1:]:
+        out = out.union(f.select(key))
+    return out.where(F.col(key).isNotNull()).distinct().orderBy(key)
+
+
+def first_labels(df: DataFrame, label: str, order: tuple[str, ...], key: str = "subject_id") -> DataFrame:
+    """Of each key its first valid label in the given order: nulls and -1 are passed over, keys without any have no row."""
+    valid = F.col(key).isNotNull() & F.col(label).isNotNull() & (F.col(label) != schema.MISSING)
+    return df.where(valid).groupBy(key).agg(F.min_by(label, F.struct(*order, label)).alias(label))
+
+
 def split(ids: DataFrame, test: float, key: str = "subject_id", seed: str = "23", names: tuple[str, str] = ("pretrain", "test")) -> DataFrame:
     """int(test * n) ids, first in hash order, are the test split."""
     r = shuffled(ids, key, seed)
-    return r.withColumn("split", F.when(F.col("rank") < F.floor(F.col("total") * test), names[1]).otherwise(names[0])).drop("rank", "total")
+    return r.withColumn("split", F.when(F.col("_rank") < F.floor(F.col("_total") * test), names[1]).otherwise(names[0])).drop("_rank", "_total")
 
 
 def stratified(ids: DataFrame, label: str, test: float, key: str = "subject_id", seed: str = "23", names: tuple[str, str] = ("train", "test")) -> DataFrame:
     """round(test * n) of each label's ids."""
     r = shuffled(ids, key, seed, (label,))
-    return r.withColumn("split", F.when(F.col("rank") < F.floor(F.col("total") * test + 0.5), names[1]).otherwise(names[0])).drop("rank", "total")
+    return r.withColumn("split", F.when(F.col("_rank") < F.floor(F.col("_total") * test + 0.5), names[1]).otherwise(names[0])).drop("_rank", "_total")
+
+
+def combination(labels: list[str]) -> Column:
+    """The labels' values as one, nulls as -1."""
+    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in labels])
 
 
 def multi_label_stratified(ids: DataFrame, labels: list[str], test: float, key: str = "subject_id", seed: str = "23") -> DataFrame:
     """Strata are combinations of labels. Rare combinations (fewer than 1 / test ids) are pooled, so every label's share is near."""
-    combo = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in labels])
-    d = ids.withColumn("_combo", combo)
+    d = ids.withColumn("_combo", combination(labels))
     n = d.groupBy("_combo").agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(n, "_combo").withColumn("_stratum", F.when(F.col("_n") * test >= 1, F.col("_combo")).otherwise("rare"))
     return stratified(d.drop("_combo", "_n"), "_stratum", test, key, seed).drop("_stratum")
 
 
 def balanced(ids: DataFrame, label: str, n: int, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    """n // 2 ids with label 1 and as many with label 0."""
+    """n // 2 ids with label 1 and as many with label 0, or all of a label that has fewer; other labels and nulls are left out."""
     r = shuffled(ids.where(F.col(label).isin(0, 1)), key, seed, (label,))
-    return r.where(F.col("rank") < n // 2).drop("rank", "total")
+    return r.where(F.col("_rank") < n // 2).drop("_rank", "_total")
 
 
 def sample(ids: DataFrame, n: int, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    return shuffled(ids, key, seed).where(F.col("rank") < n).drop("rank", "total")
+    """The n rows first in hash order, or all if there are fewer; repeated keys count as rows."""
+    return shuffled(ids, key, seed).where(F.col("_rank") < n).drop("_rank", "_total")
 
 
 def downsampled(points: DataFrame, ratio: float, key: str = "patient_id", label: str = "label", seed: str = "23") -> DataFrame:
     """Positives, and int(positives / ratio) - positives negatives at most; other labels are dropped. Counts travel as one row."""
     n = points.agg(F.count_if(F.col(label) == 1).alias("_pos"))
     r = shuffled(points.where(F.col(label).isin(0, 1)), key, seed, (label,)).crossJoin(F.broadcast(n))
-    return r.where((F.col(label) == 1) | (F.col("rank") < F.floor(F.col("_pos") / ratio) - F.col("_pos"))).drop("rank", "total", "_pos")
+    return r.where((F.col(label) == 1) | (F.col("_rank") < F.floor(F.col("_pos") / ratio) - F.col("_pos"))).drop("_rank", "_total", "_pos")
 
 
-def few_shot(ids: DataFrame, label: str, sizes: list[int], scheme: str, val: float = 0.2, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    """Rows (split, scheme, key, subject_id) of training and validation subsets for each size."""
+def few_shot(ids: DataFrame, label: str | list[str], sizes: list[int], scheme: str, val: float = 0.2, key: str = "subject_id", seed: str = "23") -> DataFrame:
+    """Rows (split, scheme, key, subject_id) of training and validation subsets for each size. Schemes: balanced, stratified, and
+    multi_label, for which label is a list: strata are then combinations of labels, rare ones pooled."""
     out = None
+    if scheme == "multi_label":
+        ids, label = ids.withColumn("_stratum", combination(label)), "_stratum"
     for n in sizes:
         if scheme == "balanced":
             picked = balanced(ids, label, n, key, seed)
         else:
-            r = shuffled(ids.where(F.col(label).isNotNull() & (F.col(label) != -1)), key, seed, (label,))
+            r = shuffled(ids.where(F.col(label).isNotNull() & (F.col(label).cast("string") != "-1")), key, seed, (label,))
             of = r.agg(F.count(F.lit(1)).alias("_all"))
-            picked = r.crossJoin(F.broadcast(of)).where(F.col("rank") < F.floor(F.col("total") * n / F.col("_all") + 0.5)).drop("rank", "total", "_all")
+            picked = r.crossJoin(F.broadcast(of)).where(F.col("_rank") < F.floor(F.col("_total") * n / F.col("_all") + 0.5)).drop("_rank", "_total", "_all")
         part = stratified(picked, label, val, key, seed, ("train", "val")).select("split", F.lit(scheme).alias("scheme"), F.lit(str(n)).alias("key"), F.col(key).alias("subject_id"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def prefix(ids: DataFrame, sizes: list[int], key: str = "subject_id", seed: str = "23") -> DataFrame:
-    """rank of each id, and the smallest size whose prefix has it: all subsets in one table."""
-    r = shuffled(ids, key, seed)
+    """rank of each id, and the smallest size whose prefix has it: all subsets in one table. A column named rank is replaced."""
+    r = shuffled(ids.drop("rank"), key, seed)
     first: Column = F.lit(None).cast("int")
     for n in sorted(sizes, reverse=True):
-        first = F.when(F.col("rank") < n, n).otherwise(first)
-    return r.withColumn("in_prefix", first).drop("total")
+        first = F.when(F.col("_rank") < n, n).otherwise(first)
+    return r.withColumn("in_prefix", first).withColumnRenamed("_rank", "rank").drop("_total")
 
 
 def folds(ids: DataFrame, label: str, k: int = 10, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    return shuffled(ids, key, seed, (label,)).withColumn("fold", (F.col("rank") % k).cast("int")).drop("rank", "total")
+    """Folds 0 to k - 1, each label dealt out in turn; null is a label of its own."""
+    return shuffled(ids, key, seed, (label,)).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_total")
 
 
 def train_val(df: DataFrame, val: float, key: str = "subject_id", seed: str = "23") -> DataFrame:
@@ -105,7 +132,7 @@ def overlapping(ids: DataFrame, labels: list[str], per_value: int, key: str = "s
         r = shuffled(d.withColumn("_fresh", F.col("_used").isNull().cast("int")).drop("_used"), key, f"{seed}:{c}", ("_y", "_fresh"))
         # Places of fresh ids come after all used ones of the same value.
         used = r.where("_fresh = 0").groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-        r = r.join(F.broadcast(used), "_y", "left").withColumn("_place", F.col("rank") + F.when(F.col("_fresh") == 1, F.coalesce("_n", F.lit(0))).otherwise(0))
+        r = r.join(F.broadcast(used), "_y", "left").withColumn("_place", F.col("_rank") + F.when(F.col("_fresh") == 1, F.coalesce("_n", F.lit(0))).otherwise(0))
         chosen = chosen.union(r.where(F.col("_place") < per_value).select(key)).distinct()
     return chosen
 

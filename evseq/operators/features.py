@@ -9,27 +9,33 @@ from evseq.functions import arrays
 
 
 def frequencies(seqs: DataFrame, key: str = "subject_id", column: str = "event_tokens", without: list[str] = ()) -> DataFrame:
-    e = seqs.select(key, F.explode(column).alias("token"))
+    """key, token, n: how often a key's arrays have each token; null tokens are left out, rows of one key are added up."""
+    e = seqs.select(key, F.explode(column).alias("token")).where("token is not null")
     return (e.where(~F.col("token").isin(list(without))) if without else e).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_frequencies(freq: DataFrame, key: str = "subject_id") -> DataFrame:
+    """token, n_docs, n_total of frequencies()."""
     return freq.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_total"))
 
 
 def top_features(freq: DataFrame, k: int = 20_001) -> DataFrame:
+    """The k tokens in most documents; ties by token."""
     return document_frequencies(freq).orderBy(F.desc("n_docs"), "token").limit(k)
 
 
 def frequent_features(freq: DataFrame, least: int) -> DataFrame:
+    """Tokens in `least` documents or more."""
     return document_frequencies(freq).where(F.col("n_docs") >= least)
 
 
 def age_span(seqs: DataFrame) -> DataFrame:
+    """min_age, the least positive age, and max_age of each row; 0 where there is none."""
     return seqs.withColumns({"min_age": arrays.min_positive("age_tokens"), "max_age": F.coalesce(F.array_max("age_tokens"), F.lit(0))})
 
 
 def class_weight(df: DataFrame, label: str) -> DataFrame:
+    """Negatives for each positive; without positives, the negatives. Other labels and nulls count for nothing. One row always."""
     return df.agg((F.count_if(F.col(label) == 0) / F.greatest(F.count_if(F.col(label) == 1), F.lit(1))).alias("weight"))
 
 
@@ -48,5 +54,6 @@ def attribution_by_type(df: DataFrame, types: str = "type_tokens", scores: str =
 
 
 def top_elements(df: DataFrame, key: str, matrix: str, k: int) -> DataFrame:
+    """key, i, j, value of the k greatest elements of all rows' matrices; ties by key, i, j; nulls last."""
     e = df.select(key, F.posexplode(matrix).alias("i", "row")).select(key, "i", F.posexplode("row").alias("j", "value"))
     return e.orderBy(F.desc("value"), key, "i", "j").limit(k)

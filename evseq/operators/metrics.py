@@ -1,16 +1,16 @@
-"""Evaluation. Scores are first counted by value; running totals over values go by buckets of the score, so no task holds them all."""
+"""Evaluation. Scores are first counted by value; running totals over values go by ranges of equal counts, so no task holds them all."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evseq.operators.ranks import running
-
-BUCKETS = 4096
+from evseq.operators.ranks import ranges, running
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+    """Counts and ratios at a threshold. A label that isn't 1 is negative; rows with a null label or score count for nothing. A ratio of
+    nothing is 0. Empty table: one row of zeros, or with `by` none."""
     hit = F.col(p) >= threshold
     pos = F.col(y) == 1
     d = df.groupBy(*by).agg(F.count_if(pos & hit).alias("tp"), F.count_if(~pos & hit).alias("fp"), F.count_if(pos & ~hit).alias("fn"), F.count_if(~pos & ~hit).alias("tn"))
@@ -23,10 +23,10 @@ def confusion(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = (
 
 
 def curve(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
-    """For each distinct score, from the highest: tp and fp so far, pos and neg here, precision and recall."""
+    """For each distinct score, from the highest: tp and fp so far, pos and neg here, precision and recall. Scores may be any numbers;
+    rows whose label is neither 0 nor 1 count for nothing, a null score is below all others. Empty table: no rows."""
     c = df.groupBy(*by, F.col(p).cast("double").alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    bucket = F.lit(BUCKETS) - F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * BUCKETS)
-    c = running(c, bucket, [F.desc("score")], {"tp": "pos", "fp": "neg"}, within=by)
+    c = running(ranges(c, "score", by), -F.col("_bucket"), [F.desc("score")], {"tp": "pos", "fp": "neg"}, within=by)
     n = df.groupBy(*by).agg(F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) == 0).alias("n_neg"))
     c = c.join(n, list(by)) if by else c.crossJoin(F.broadcast(n))  # one row
     return c.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("n_pos")})
@@ -74,6 +74,27 @@ def positive_probability(logits: str) -> F.Column:
     return 1 / (1 + F.exp(z))
 
 
+def hard(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+    """confusion() and the area under the curve of hard predictions, which is the mean of both recalls; null with one class."""
+    c = confusion(df, y, p, by, threshold)
+    one_class = (F.col("tp") + F.col("fn") == 0) | (F.col("tn") + F.col("fp") == 0)
+    return c.withColumn("auc", F.when(~one_class, F.col("balanced_accuracy")))
+
+
+def micro(df: DataFrame, key: str, task: str, y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
+    """Metrics of several labels pooled. df: a row for each key and label. precision, recall, f1 and auc count every cell alike;
+    accuracy is the share of keys all of whose labels are right."""
+    right = (F.col(p) >= threshold) == (F.col(y) == 1)
+    whole = df.groupBy(key).agg(F.min(right.cast("int")).alias("all_right")).agg(F.avg("all_right").alias("accuracy"))
+    return hard(df.dropDuplicates([key, task]), y, p, (), threshold).drop("accuracy").crossJoin(F.broadcast(whole))  # one row each
+
+
+def fold_average(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """The mean of each metric over folds, one row each; folds where it is null or NaN are left out of that mean."""
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    return df.groupBy(*by).agg(*[F.avg(known(c)).alias(c) for c in columns], F.count(F.lit(1)).alias("n_folds"))
+
+
 def argmax(values: str) -> F.Column:
     return F.array_position(F.col(values), F.array_max(values)) - 1
 

@@ -8,39 +8,53 @@ from pyspark.sql import functions as F
 
 #: Digits of an md5 that name a bucket: 4096 buckets.
 DIGITS = 3
+#: Ranges of a column's values for running totals: this many, each cut into as many again.
+RANGES = 32
 
 
-def shuffled(df: DataFrame, key: str, seed: str, within: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
-    """Adds the row's place, from 0, in the order of md5(seed:key), and `total`, both within the given columns. Any engine with md5
-    gives the same order; ties of equal keys are numbered anyhow."""
-    d = df.withColumn("_md5", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))).withColumn("_bucket", F.substring("_md5", 1, DIGITS))
+def shuffled(df: DataFrame, key: str, seed: str, within: tuple[str, ...] = (), name: str = "_rank", total: str = "_total") -> DataFrame:
+    """Adds the row's place, from 0, in the order of md5(seed:key), and the number of rows, both within the given columns. Any engine
+    with md5 gives the same order. Rows with null keys come first; ties of equal keys are numbered anyhow. Empty table: no rows."""
+    md5 = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.lit(""))
+    d = df.withColumn("_md5", md5).withColumn("_bucket", F.substring("_md5", 1, DIGITS))
     per = d.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*within)
-    per = per.withColumns({"_before": F.sum("_n").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), "total": F.sum("_n").over(w)}).drop("_n")
+    per = per.withColumns({"_before": F.sum("_n").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"), total: F.sum("_n").over(w)}).drop("_n")
     keys = [*within, "_bucket"]
-    right = per.select(*[F.col(k).alias(f"_r{k}") for k in keys], "_before", "total")
+    right = per.select(*[F.col(k).alias(f"_r{k}") for k in keys], "_before", total)
     on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
     # At most 4096 rows for each combination of `within`; Spark broadcasts them if they are few.
     n = d.withColumn("_in", F.row_number().over(Window.partitionBy(*keys).orderBy("_md5", key)) - 1)
     return n.join(right, on).withColumn(name, F.col("_in") + F.col("_before")).drop("_md5", "_bucket", "_in", "_before", *[f"_r{k}" for k in keys])
 
 
-def row_index(df: DataFrame, order: list[str], name: str, buckets: int = 1024) -> DataFrame:
-    """Adds the row's place, from 0, in the given order. The first column, numeric, is cut into equal ranges of its values' sample."""
-    first = order[0]
-    cuts = sorted(set(df.approxQuantile(first, [k / buckets for k in range(1, buckets)], 0.001))) if buckets > 1 else []
-    # A binary search in a sorted array of bounded size.
-    bucket = F.lit(0) if not cuts else _bisect(F.col(first).cast("double"), cuts)
-    return running(df.withColumn("_one", F.lit(1)), bucket, order, {name: "_one"}, exclusive=True).drop("_one")
+def row_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the row's place, from 0, in the given order; ties of whole keys are numbered anyhow. Nulls first. Empty table: no rows.
 
+    Rows are range-partitioned and sorted; a row's place in its partition is at hand, and a small join adds the rows of the
+    partitions before. The number of partitions is stated, so that they aren't merged and both sides see the same ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    # The partition's number above 33 bits, the place in it below.
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    per = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return d.join(before, part == F.col("_part")).withColumn(name, at + F.col("_before")).drop("_id", "_part", "_before")
 
-def _bisect(x: Column, cuts: list[float]) -> Column:
-    if len(cuts) == 1:
-        return F.when(x >= cuts[0], 1).otherwise(0)
-    if len(cuts) <= 8:
-        return sum((F.coalesce((x >= c).cast("int"), F.lit(0)) for c in cuts[1:]), F.coalesce((x >= cuts[0]).cast("int"), F.lit(0)))
-    array = F.array(*map(F.lit, cuts))
-    return F.size(F.filter(array, lambda c: c <= x))
+
+def ranges(df: DataFrame, column: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `_bucket`: which of RANGES ** 2 ranges, of about equal counts, a numeric column's value is in, within the given columns.
+    The cuts come from one aggregate with a bounded sketch; nulls and equal values share a bucket."""
+    k = RANGES * RANGES
+    cuts = df.groupBy(*within).agg(F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit(i / k) for i in range(1, k)]), F.lit(10 * k)).alias("_cuts"))
+    cuts = cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(RANGES), F.lit(k - RANGES), F.lit(RANGES)), lambda i: F.get("_cuts", i - 1)))
+    right = cuts.select(*[F.col(c).alias(f"_r{c}") for c in within], "_cuts", "_coarse")
+    d = df.join(right, [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in within]) if within else df.crossJoin(F.broadcast(right))  # one row
+    below = lambda a: F.size(F.filter(a, lambda c: c < F.col(column)))
+    d = d.withColumn("_bucket", below(F.col("_coarse")) * RANGES)
+    d = d.withColumn("_bucket", F.when(F.col(column).isNull(), -1).otherwise(F.col("_bucket") + below(F.slice("_cuts", F.col("_bucket") + 1, F.lit(RANGES)))))
+    return d.drop("_cuts", "_coarse", *[f"_r{c}" for c in within])
 
 
 def running(df: DataFrame, bucket: Column, order: list, sums: dict[str, str], exclusive: bool = False, within: tuple[str, ...] = ()) -> DataFrame:

@@ -102,5 +102,7 @@ def padded_batches(df: DataFrame, batch: str, column: str, value=0) -> DataFrame
 
 
 def by_length(df: DataFrame, column: str, max_len: int, tie: str) -> DataFrame:
-    """Longest first, so that neighbours need little padding: a range exchange, no single sorted partition."""
-    return df.withColumn("token_length", F.least(F.size(column), F.lit(max_len))).orderBy(F.desc("token_length"), tie)
+    """Longest first by the whole length, so that neighbours need little padding; token_length is cut at max_len. A range exchange, no
+    single sorted partition."""
+    d = df.orderBy(F.desc(F.size(column)), tie)
+    return d.withColumn("token_length", F.least(F.size(column), F.lit(max_len)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evseq.operators.ranks import row_index
+
 #: Longest word that is looked up.
 MOST_CHARS = 1000
 
@@ -14,8 +16,7 @@ def tokens(seqs: DataFrame, column: str = "event_tokens") -> DataFrame:
 
 
 def vocabulary(words: DataFrame, special: list[str], tasks: list[str] = ()) -> DataFrame:
-    """id, token, kind: special tokens, then words in order, then task tokens; each token once, ids without gaps. One row for each
-    distinct token, which is what the window orders."""
+    """id, token, kind: special tokens, then words in order, then task tokens; each token once, ids without gaps."""
     from functools import reduce
 
     spark = words.sparkSession
@@ -23,15 +24,34 @@ def vocabulary(words: DataFrame, special: list[str], tasks: list[str] = ()) -> D
     parts = [fixed(special, "special", 0), words.select(F.lit(1).alias("tier"), F.lit(0).alias("pos"), "token", F.lit("word").alias("kind"))] + ([fixed(tasks, "task", 2)] if tasks else [])
     every = reduce(DataFrame.unionByName, parts)
     first = every.groupBy("token").agg(F.min(F.struct("tier", "pos", "kind")).alias("at"))
-    return first.select((F.row_number().over(Window.orderBy("at.tier", "at.pos", "token")) - 1).alias("id"), "token", F.col("at.kind").alias("kind"))
+    first = first.select(F.col("at.tier").alias("tier"), F.col("at.pos").alias("pos"), "token", F.col("at.kind").alias("kind"))
+    return row_index(first, ["tier", "pos", "token"], "id").select(F.col("id").cast("int").alias("id"), "token", "kind")
+
+
+def reversed_words(words: DataFrame) -> DataFrame:
+    """id, token: each token once, in reverse order of code points, as the columns of a frequency matrix; nulls are left out."""
+    d = words.where("token is not null").select("token").distinct()
+    n = row_index(d, ["token"], "_at")
+    last = d.agg(F.count(F.lit(1)).alias("_n"))
+    return n.crossJoin(F.broadcast(last)).select((F.col("_n") - 1 - F.col("_at")).cast("int").alias("id"), "token")  # one row
+
+
+def token_maps(vocab: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, token, label: each token of the vocabulary with the label of its code, or of the code before a bin's ending, or itself.
+    labels: code, label, of any size; of a code that stands twice, the least label."""
+    of = labels.groupBy("code").agg(F.min("label").alias("label"))
+    d = vocab.select("id", "token", F.regexp_extract("token", r"^(.*?)(_\d)$", 1).alias("base"), F.regexp_extract("token", r"^(.*?)(_\d)$", 2).alias("ending"))
+    d = d.join(of.select(F.col("code").alias("base"), F.col("label").alias("of_base")), "base", "left").join(of.select(F.col("code").alias("token"), F.col("label").alias("of_token")), "token", "left")
+    return d.select("id", "token", F.coalesce(F.when(F.col("ending") != "", F.concat("of_base", "ending")), "of_token", "token").alias("label"))
 
 
 def encoded(seqs: DataFrame, vocab: DataFrame, key: str = "subject_id", column: str = "event_tokens", unknown: str = "[UNK]") -> DataFrame:
-    """key and ids. Tokens are exploded and joined, so the vocabulary may be of any size; Spark broadcasts a small one."""
-    unk = vocab.where(F.col("token") == unknown).select(F.col("id").alias("_unk"))
+    """key and ids. Tokens are exploded and joined, so the vocabulary may be of any size; Spark broadcasts a small one. Empty and null
+    arrays have no ids. A token that isn't in a vocabulary without the unknown token is an error."""
+    unk = vocab.where(F.col("token") == unknown).agg(F.min("id").alias("_unk"))  # one row, null if there is no such token
     e = seqs.select(key, F.posexplode(column).alias("pos", "token")).withColumn("token", F.when(F.length("token") <= MOST_CHARS, F.col("token")))
-    e = e.join(vocab.select("id", "token"), "token", "left").crossJoin(F.broadcast(unk.limit(1)))
-    ids = e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", "_unk").alias("id")))), lambda x: x["id"]).alias("ids"))
+    e = e.join(vocab.select("id", "token"), "token", "left").crossJoin(F.broadcast(unk))
+    ids = e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", "_unk", F.raise_error(F.lit(f"the vocabulary has no {unknown}")).cast("int")).alias("id")))), lambda x: x["id"]).alias("ids"))
     return seqs.select(key).join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
 

@@ -20,7 +20,8 @@ from evseq.plans.proxies import sql
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MAX_LEN = 32
+#: Events of a subject or stay that enter arrays, as in the operators.
+MAX_LEN = 2048
 
 
 def query(oracle: str | None):
@@ -34,10 +35,14 @@ def query(oracle: str | None):
 
 
 def queries() -> dict[str, Query]:
+    from evseq.plans import basics  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from evseq.plans import basics  # noqa: F401
+
     return dict(ORACLES)
 
 
@@ -73,7 +78,7 @@ def q_tolerant_cast(spark, sf_dir):
     return proxies.table(spark, sf_dir, "orders").select("o_orderkey", part(1).alias("number"), part(2).alias("word"), codes.truthy("o_orderstatus", ("f",)).alias("flag"))
 
 
-@query(sql("SELECT CASE WHEN starts_with(code, 'DIAGNOSIS') THEN 1 WHEN starts_with(code, 'LAB') THEN 2 WHEN starts_with(code, 'MEDICATION') THEN 3 ELSE 8 END::BIGINT AS type, count(*) AS n FROM v_event GROUP BY 1", "v_event"))
+@query(sql(f"SELECT CAST({proxies.TYPE_SQL.format('code')} AS BIGINT) AS type, count(*) AS n FROM v_event GROUP BY 1", "v_event"))
 def q_token_type_counts(spark, sf_dir):
     return proxies.events(spark, sf_dir).groupBy(codes.token_type("code").cast("long").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -130,13 +135,13 @@ def q_event_stay_counts(spark, sf_dir):
     return matched(spark, sf_dir).groupBy("stay_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("code").alias("n_codes"), F.max("mortality_28d").cast("long").alias("mortality_28d"), sepsis.alias("sepsis"))
 
 
-_STAY = """SELECT stay_id, subject_id, list(regexp_replace(code, '[^\\p{L}\\p{N}_]', '', 'g') ORDER BY time, code)[1:64] AS tokens, list(date_diff('microsecond', intime, time) / 3.6e9 ORDER BY time, code)[1:64] AS elapsed,
-    list(CAST(time >= intime AS INTEGER) ORDER BY time, code)[1:64] AS visits, max(in_hosp_mortality) AS a, max(mortality_28d) AS b, max(CAST(regexp_matches(code, '(?i)^(DIAGNOSIS//)?(038|A40|A41)') AS INTEGER)) AS c FROM v_match GROUP BY stay_id, subject_id"""
+_STAY = """SELECT stay_id, subject_id, list(regexp_replace(code, '[^\\p{L}\\p{N}_]', '', 'g') ORDER BY time, code)[1:2048] AS tokens, list(date_diff('microsecond', intime, time) / 3.6e9 ORDER BY time, code)[1:2048] AS elapsed,
+    list(CAST(time >= intime AS INTEGER) ORDER BY time, code)[1:2048] AS visits, max(in_hosp_mortality) AS a, max(mortality_28d) AS b, max(CAST(regexp_matches(code, '(?i)^(DIAGNOSIS//)?(038|A40|A41)') AS INTEGER)) AS c FROM v_match GROUP BY stay_id, subject_id"""
 
 
 @query(sql(f"SELECT stay_id, subject_id, {lists('tokens')} AS tokens, {lists('elapsed', 3)} AS elapsed, {lists('visits')} AS visits, CAST(a AS BIGINT) AS label_in_hosp_mortality, CAST(b AS BIGINT) AS label_mortality_28d, CAST(c AS BIGINT) AS label_sepsis FROM per_stay", "v_match", per_stay=_STAY))
 def q_stay_sequences(spark, sf_dir):
-    s = sequences.stay_sequences(matched(spark, sf_dir), 64)
+    s = sequences.stay_sequences(matched(spark, sf_dir), MAX_LEN)
     return s.select("stay_id", "subject_id", text("event_tokens").alias("tokens"), text("elapsed_tokens", 3).alias("elapsed"), text("visit_tokens").alias("visits"), long("label_in_hosp_mortality"), long("label_mortality_28d"), long("label_sepsis"))
 
 
@@ -145,10 +150,10 @@ def q_stay_sequences(spark, sf_dir):
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = align.studies_in_stays(proxies.studies(spark, sf_dir), proxies.stays(spark, sf_dir))
-    return i.select("stay_id", "subject_id", "study_id", F.round("hours_from_icu_admit", 4).alias("hours"), long("image_rank_in_stay"), long("is_first_image"), long("is_within_24h"))
+    return i.select("stay_id", "subject_id", "study_id", F.round("hours_from_icu_intime", 4).alias("hours_from_icu_intime"), long("image_rank_in_stay"), long("is_first_image"), long("is_first_24h_image"))
 
 
-_IMAGE = "SELECT stay_id, subject_id, study_id, round(hours, 4) AS hours, rank AS image_rank_in_stay, CAST(rank = 0 AS BIGINT) AS is_first_image, CAST(hours >= 0 AND hours <= 24 AS BIGINT) AS is_within_24h FROM v_image"
+_IMAGE = "SELECT stay_id, subject_id, study_id, round(hours, 4) AS hours_from_icu_intime, rank AS image_rank_in_stay, CAST(rank = 0 AS BIGINT) AS is_first_image, CAST(hours <= 24 AS BIGINT) AS is_first_24h_image FROM v_image"
 
 
 @query(sql(_IMAGE, "v_image"))
@@ -183,7 +188,7 @@ def q_presence_masks(spark, sf_dir):
 
 # Labels
 
-_LOS = """SELECT *, (ve0 - 1 - (vs0 + 1)) / 24.0 AS los, coalesce(list_min(list_filter(range(len(tokens)), lambda i: elapsed[i + 1] > 24 AND i > vs0 AND i < ve0)), len(tokens)) AS cutoff FROM v_ends WHERE has_vs AND has_ve AND ve0 - vs0 - 2 >= 0 AND elapsed[vs0 + 2] < 400"""
+_LOS = """SELECT *, (ve0 - 1 - (vs0 + 1)) / 24.0 AS los, coalesce(list_min(list_filter(range(len(tokens)), lambda i: elapsed[i + 1] > 24 AND i > vs0 AND i < ve0)), len(tokens)) AS cutoff FROM v_ends WHERE has_vs AND has_ve AND ve0 - vs0 - 2 >= 0 AND elapsed[vs0 + 2] < 4000"""
 
 
 @query(sql("SELECT subject_id, round(los, 6) AS length_of_stay, CAST(los >= 0.25 AS BIGINT) AS label_los_1week, CAST(cutoff AS BIGINT) AS cutoff_los, CAST(len(tokens) AS BIGINT) AS token_length, round(elapsed[ve0 + 1] - elapsed[vs0 + 1], 4) AS los_hours FROM los", "v_ends", los=_LOS))
@@ -194,7 +199,7 @@ def q_los(spark, sf_dir):
 
 def los(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proxies' visits are short and begin late."""
-    return labels.length_of_stay(seqs(spark, sf_dir), threshold=0.25, minimum=0, first_event_hours=400)
+    return labels.length_of_stay(seqs(spark, sf_dir), threshold=0.25, minimum=0, first_event_hours=4000)
 
 
 _READ = "SELECT subject_id, num_visits - 1 AS num_visits, vs0 - 1 AS cutoff, CASE WHEN vs0 > 0 THEN tokens[vs0] ELSE tokens[len(tokens)] END IN ('[W_0]', '[W_1]', '[W_2]', '[W_3]', '[M_1]') AS soon, len(tokens) AS n FROM v_ends WHERE num_visits >= 2 AND has_vs"
@@ -296,7 +301,10 @@ def q_overlap_select(spark, sf_dir):
     return cohort.overlapping(d, ["y", "z"], 45)
 
 
-@query(None)
+_COMBO = "SELECT *, CASE WHEN count(*) OVER (PARTITION BY y, z, w) * 0.2 >= 1 THEN concat_ws(',', y, z, w) ELSE 'rare' END AS stratum FROM (SELECT subject_id, y, CAST(subject_id % 3 = 0 AS INTEGER) AS z, CAST(subject_id % 50 = 0 AS INTEGER) AS w FROM ids)"
+
+
+@query(sql("SELECT subject_id, y, z, w, CASE WHEN n < floor(t * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('23:' || subject_id)) - 1 AS n, count(*) OVER (PARTITION BY stratum) AS t FROM combos)", ids=_IDS, combos=_COMBO))
 def q_multilabel_stratified(spark, sf_dir):
     d = ids(spark, sf_dir).withColumns({"z": (F.col("subject_id") % 3 == 0).cast("int"), "w": (F.col("subject_id") % 50 == 0).cast("int")})
     return cohort.multi_label_stratified(d, ["y", "z", "w"], 0.2).select("subject_id", "y", "z", "w", "split")
@@ -366,7 +374,7 @@ def q_decode(spark, sf_dir):
     return vocab.decoded(encoded(spark, sf_dir), vocab_of(spark, sf_dir)).select("subject_id", text("tokens").alias("tokens"))
 
 
-@query(sql("SELECT token, CAST(arg_min(type, (subject_id * 1000 + pos)) AS BIGINT) AS type FROM (SELECT subject_id, unnest(tokens) AS token, unnest(types) AS type, unnest(range(len(tokens))) AS pos FROM v_seq) GROUP BY token", "v_seq"))
+@query(sql("SELECT token, CAST(arg_min(type, (subject_id * 10000 + pos)) AS BIGINT) AS type FROM (SELECT subject_id, unnest(tokens) AS token, unnest(types) AS type, unnest(range(len(tokens))) AS pos FROM v_seq) GROUP BY token", "v_seq"))
 def q_concept_type(spark, sf_dir):
     return vocab.concept_types(seqs(spark, sf_dir)).select("token", long("type"))
 
@@ -559,9 +567,9 @@ def q_batch_pad(spark, sf_dir):
     return d.select("subject_id", text("tokens").alias("tokens"), F.aggregate("tokens_mask", F.lit(0), lambda a, b: a + b).cast("long").alias("n"))
 
 
-@query(sql("SELECT doc_id, CAST(least(len(words), 300) AS BIGINT) AS token_length FROM v_doc ORDER BY token_length DESC, doc_id", "v_doc"))
+@query(sql("SELECT doc_id, CAST(least(len(words), 512) AS BIGINT) AS token_length FROM v_doc ORDER BY len(words) DESC, doc_id", "v_doc"))
 def q_length_sort(spark, sf_dir):
-    return sequences.by_length(words(spark, sf_dir), "words", 300, "doc_id").select("doc_id", long("token_length"))
+    return sequences.by_length(words(spark, sf_dir), "words", 512, "doc_id").select("doc_id", long("token_length"))
 
 
 @query(sql("SELECT token, CASE WHEN regexp_matches(token, '_[0-9]$') AND starts_with(token, 'bin') THEN 'Bin' || right(token, 2) WHEN token LIKE 'LAB%' AND length(token) = 5 THEN 'Lab ' || token ELSE token END AS label FROM (SELECT DISTINCT unnest(tokens) AS token FROM v_seq UNION SELECT 'bin_3' UNION SELECT 'other_4')", "v_seq"))

@@ -18,22 +18,21 @@ ADMISSIONS = (
     "subject_id long, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz, deathtime timestamp_ntz, hospital_expire_flag int, admission_type string, "
     "admission_location string, discharge_location string, insurance string, language string, marital_status string, race string"
 )
+#: The columns of an image index.
 IMAGE = (
-    "stay_id long, subject_id long, hadm_id long, intime timestamp_ntz, outtime timestamp_ntz, study_id long, dicom_id string, StudyDateTime timestamp_ntz, "
-    "hours_from_icu_admit double, image_rank_in_stay int, is_first_image int, is_within_24h int, jpg_path string, jpg_path_exists boolean"
+    "stay_id long, subject_id long, hadm_id long, study_id long, dicom_id string, StudyDateTime timestamp_ntz, hours_from_icu_intime double, image_rank_in_stay int, is_first_image int, "
+    "is_first_24h_image int, jpg_path string, jpg_path_exists boolean, path string, delta_t string, delta_t_days double, study_in_icu_csn string, full_report string, findings string, "
+    "impressions string, header string, in_hosp_mortality int, mortality_28d int"
 )
 SPLIT = "split string, scheme string, key string, subject_id long"
-VOCAB = "id int, token string, kind string"
 
 #: Ids of token types, and the words that start a code of each.
 TYPE_IDS = {"special": 0, "diagnosis": 1, "lab": 2, "medication": 3, "procedure": 4, "transfer": 5, "icu": 6, "infusion": 7, "other": 8}
 TYPE_PREFIXES = {"DIAGNOSIS": 1, "LAB": 2, "MEDICATION": 3, "PROCEDURE": 4, "TRANSFER_TO": 5, "ICU": 6, "INFUSION": 7}
 #: Tokens of type special, whole.
 SPECIAL_TOKENS = ["MEDS_BIRTH", "MEDS_DEATH", "[CLS]", "[PAD]", "[BOS]", "[EOS]"]
-#: Another table of type ids, for attributions only.
-ATTRIBUTION_TYPES = {"PAD": 0, "CLS": 1, "VS": 2, "VE": 3, "TIME_INTERVAL": 4, "LAB": 5, "MED": 6, "PROC": 7, "REG": 8}
 READMISSION_TOKENS = ["[W_0]", "[W_1]", "[W_2]", "[W_3]", "[M_1]"]
-MISSING, IGNORE, DEFAULT_AGE, HOURS_PER_YEAR = -1, -100, 25, 8766.0
+MISSING, DEFAULT_AGE, HOURS_PER_YEAR = -1, 25, 8766.0
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:

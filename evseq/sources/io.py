@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evseq import schema
 from evseq.functions import codes
+from evseq.operators.ranks import row_index
 
 
 def lower_headers(df: DataFrame) -> DataFrame:
@@ -57,24 +58,25 @@ def row_counts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocab_files(spark: SparkSession, folder: str) -> DataFrame:
     """rank, token of every *vocab.json in order of file names, each token once, where it comes first."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*vocab.json").text(folder).withColumn("file", F.col("_metadata.file_path"))
+    files = spark.read.option("pathGlobFilter", "*vocab.json").text(folder, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     tokens = files.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "token"))
     first = tokens.groupBy("token").agg(F.min(F.struct("file", "pos")).alias("at"))
-    from pyspark.sql import Window
-
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).alias("rank"), "token")
+    return row_index(first.select("at.file", "at.pos", "token"), ["file", "pos"], "rank").select("rank", "token")
 
 
 def read_code_labels(spark: SparkSession, folder: str) -> DataFrame:
     """code, label of every *.json; of a code in several files, the last by name."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).withColumn("file", F.col("_metadata.file_path"))
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     pairs = files.select("file", F.explode(F.from_json("value", "map<string,string>")).alias("code", "label"))
     return pairs.groupBy("code").agg(F.max_by("label", "file").alias("label"))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
     w = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
-    w.option("header", True).csv(path) if path.endswith((".csv", ".csv.gz")) else w.parquet(path)
+    if path.endswith((".csv", ".csv.gz")):
+        w.option("header", True).option("compression", "gzip" if path.endswith(".gz") else "none").csv(path)
+    else:
+        w.parquet(path)
 
 
 def stage(spark: SparkSession, path: str, make, needs: tuple[str, ...] = (), refresh: bool = False) -> DataFrame:
@@ -88,16 +90,34 @@ def stage(spark: SparkSession, path: str, make, needs: tuple[str, ...] = (), ref
 
 
 def replace_table(spark: SparkSession, path: str, change) -> None:
-    """Overwrites a table by a function of itself: Spark can't read and overwrite one path, so the new table is written beside it
-    and takes its place once it is whole."""
-    beside = f"{path.rstrip('/')}.new"
-    change(spark.read.parquet(path)).write.mode("overwrite").parquet(beside)
+    """Overwrites a table by a function of itself: Spark can't read and overwrite one path, so the new table is written beside it.
+    Once it is whole the old one is moved aside, the new one takes its place, and the old one goes; whatever is lost in between,
+    one whole table is left at path, .old or .new, and if it was .old alone the next call puts it back."""
+    beside, aside = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = old.getFileSystem(conf)
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, aside))
+    fs = at.getFileSystem(conf)
+
+    def move(a, b) -> None:
+        if not fs.rename(a, b):
+            raise OSError(f"{a} could not be moved to {b}")
+
+    if fs.exists(old) and not fs.exists(at):
+        move(old, at)
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(beside)
+    fs.delete(old, True)
+    move(at, old)
+    move(new, at)
     fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{beside} holds the new table, but could not be moved to {path}")
+
+
+def read_splits(spark: SparkSession, path: str, split: str | None = None, scheme: str | None = None, key: str | None = None) -> DataFrame:
+    """split, scheme, key, subject_id of a table of splits, each row once; of the given split, scheme and key alone if named. A table
+    without schemes has null ones."""
+    d = schema.conform(read_table(spark, path), schema.SPLIT).dropna(subset=["split", "subject_id"]).distinct()
+    for c, v in (("split", split), ("scheme", scheme), ("key", key)):
+        d = d if v is None else d.where(F.col(c) == v)
+    return d
 
 
 def append_new(df: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -115,8 +135,6 @@ def append_new(df: DataFrame, spark: SparkSession, path: str, key: str) -> DataF
 
 def packed(df: DataFrame, order: list[str], shard_size: int = 1024) -> DataFrame:
     """pack and index_in_pack of each row, in the given order."""
-    from evseq.operators.ranks import row_index
-
     n = row_index(df, order, "_row")
     return n.withColumns({"pack": F.floor(F.col("_row") / shard_size), "index_in_pack": F.col("_row") % shard_size}).drop("_row")
 
@@ -130,15 +148,24 @@ def summary(df: DataFrame, **counts) -> DataFrame:
 JSON_ROWS = 5_000_000
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file, in any store that Spark reaches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_json_list(df: DataFrame, path: str) -> None:
     """A sorted list of the only column, for vocabularies: their size is checked."""
     rows = df.distinct().limit(JSON_ROWS + 1).collect()
     if len(rows) > JSON_ROWS:
         raise ValueError("too many tokens for a JSON list")
-    with open(path, "w") as f:
-        json.dump(sorted(r[0] for r in rows), f, indent=4)
+    write_text(df.sparkSession, json.dumps(sorted(r[0] for r in rows), indent=4), path)
 
 
 def write_json_row(df: DataFrame, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(df.first().asDict(True), f, indent=4, default=str)
+    """The first row as an object, for metrics."""
+    write_text(df.sparkSession, json.dumps(df.first().asDict(True), indent=4, default=str), path)

@@ -133,7 +133,7 @@ def test_alignment(spark):
     assert tail["event_tokens"] == ["c2", "c3"]
     x = spark.createDataFrame([(1, 100, 5, inn, True), (1, 100, 4, inn, True), (1, 100, 6, out, True), (1, 100, 7, out + us, True), (1, None, 8, inn, True), (1, 100, 9, inn, False)], "subject_id long, hadm_id long, study_id long, StudyDateTime timestamp_ntz, jpg_path_exists boolean")
     i = {r["study_id"]: r for r in align.studies_in_stays(x, s).collect()}
-    assert sorted(i) == [4, 5, 6] and [i[k]["image_rank_in_stay"] for k in (4, 5, 6)] == [0, 1, 2] and i[4]["is_first_image"] == 1 and i[6]["is_within_24h"] == 0
+    assert sorted(i) == [4, 5, 6] and [i[k]["image_rank_in_stay"] for k in (4, 5, 6)] == [0, 1, 2] and i[4]["is_first_image"] == 1 and i[6]["is_first_24h_image"] == 0
     assert {r["study_id"] for r in align.studies_in_stays(x, s, null_keys_match=True).collect()} == {4, 5, 6, 8}
     assert align.latest_study(x).first()["study_id"] == 7
 
@@ -212,14 +212,58 @@ def test_sets(spark):
 
 def test_ranks(spark):
     d = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"))
-    n = ranks.row_index(d, ["x"], "n", 16)
+    n = ranks.row_index(d, ["x"], "n")
     assert n.where("n <> x").count() == 0
     assert io.packed(d, ["x"], 1024).where("pack <> floor(x / 1024) or index_in_pack <> x % 1024").count() == 0
 
 
+def test_ranks_of_ties_nulls_and_names(spark):
+    d = spark.createDataFrame([(k % 3, None if k % 5 == 0 else f"k{k % 7}", k) for k in range(60)], "total long, rank string, k long")
+    n = ranks.row_index(d, ["rank", "total"], "n").collect()
+    assert sorted(r["n"] for r in n) == list(range(60)) and [r["rank"] for r in sorted(n, key=lambda r: r["n"])][:12] == [None] * 12
+    assert ranks.row_index(d.limit(0), ["rank"], "n").count() == 0
+    s = cohort.split(d.withColumnRenamed("k", "subject_id"), 0.5)
+    assert s.columns == ["total", "rank", "subject_id", "split"] and s.where("split = 'test'").count() == 30
+    assert cohort.stratified(d.withColumnRenamed("k", "subject_id"), "total", 0.5).count() == 60
+    r = ranks.ranges(spark.range(5000).select((F.col("id") * 10.0 - 7).alias("x")), "x").groupBy("_bucket").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    assert r["n"] > 900 and r["most"] < 20
+
+
+def test_first_labels_and_ids(spark):
+    d = spark.createDataFrame([(1, 5, -1), (1, 6, 1), (1, 7, 0), (2, 1, None), (None, 1, 1), (3, 2, 0), (3, 2, 0)], "subject_id long, seq long, y int")
+    assert {r["subject_id"]: r["y"] for r in cohort.first_labels(d, "y", ("seq",)).collect()} == {1: 1, 3: 0}
+    assert [r[0] for r in cohort.distinct_ids(d, d).collect()] == [1, 2, 3]
+    assert cohort.first_labels(d.limit(0), "y", ("seq",)).count() == 0
+
+
 # Vocabularies, features, metrics
 
 
+def test_unknown_tokens(spark):
+    s = sequence(spark, [(1, ["b", "a"], None, 1), (2, None, [1.0], 1)])
+    known = spark.createDataFrame([(0, "a"), (1, "b")], "id int, token string")
+    assert {r["subject_id"]: r["ids"] for r in vocab.encoded(s, known).collect()} == {1: [1, 0], 2: []}
+    with pytest.raises(PySparkException):
+        vocab.encoded(s, known.where("id = 0")).collect()
+
+
+def test_curve_of_any_scores(spark):
+    """Scores far from 0 to 1 and crowded ones, against pairs."""
+    ys = [(k % 3 == 0, -50.0 + k % 11 * 1e-9) for k in range(60)] + [(k % 2 == 0, k * 3.5) for k in range(40)] + [(True, 1e12), (False, 1e12)]
+    d = spark.createDataFrame([(int(y), p) for y, p in ys], "y int, p double")
+    pairs = [(a > b) + (a == b) / 2 for y, a in ys if y for z, b in ys if not z]
+    assert abs(metrics.auroc(d).first()["auroc"] - sum(pairs) / len(pairs)) < 1e-12
+    assert metrics.auroc(d.limit(0)).first()["auroc"] is None
+
+
+def test_pooled_metrics(spark):
+    cells = [(1, "a", 1, 0.9), (1, "b", 0, 0.1), (2, "a", 0, 0.8), (2, "b", 1, 0.7)]
+    m = metrics.micro(spark.createDataFrame(cells, "k long, t string, y int, p double"), "k", "t").first()
+    assert (m["tp"], m["fp"], m["fn"], m["tn"], m["accuracy"], m["auc"]) == (2, 1, 0, 1, 0.5, 0.75)
+    f = metrics.fold_average(spark.createDataFrame([(0, 1.0, None), (1, 0.5, 0.25)], "fold int, a double, b double"), ["a", "b"]).first()
+    assert (f["a"], f["b"], f["n_folds"]) == (0.75, 0.25, 2)
+
+
 def test_vocab(spark):
     s = sequence(spark, [(1, ["b", "a", "[UNK]"], None, 1), (2, [], None, 1), (3, ["a", "q" * 2000, None], None, 1)])
     v = vocab.vocabulary(vocab.tokens(s).where("length(token) < 10"), ["[PAD]", "[UNK]"], ["[T]"])
@@ -283,6 +327,13 @@ def test_windows(spark):
     assert {(r["k"], r["item"]) for r in sequences.nucleus(p, "k", "p", "item", 0.6).collect()} == {(1, "a"), (1, "b"), (2, "x")}
 
 
+def test_back_filled(spark):
+    d = spark.createDataFrame([(["LAB//a", "MEDS_BIRTH"], [0.0, 9000.0], 0, 40)], "event_tokens array<string>, elapsed_tokens array<double>, death_after_start int, death_after_end int")
+    r = repair.back_filled(d, 8).first()
+    assert r["type_tokens"] == [2, 0] and r["time_tokens"] == [0.0, 9000.0] and r["age_tokens"] == [1, 2] and r["label_mortality_1month"] == 0
+    assert repair.back_filled(d.withColumn("type_tokens", F.lit(None))).first()["type_tokens"] is None
+
+
 def test_repair_and_profile(spark):
     d = spark.createDataFrame([([[1, 2]], [8766.0, 0.0]), ([[3]], None)], "n array<array<int>>, elapsed_tokens array<double>")
     assert [r["n"] for r in repair.unnested(d).collect()] == [[1, 2], [3]]
@@ -311,13 +362,18 @@ def test_io(spark, tmp_path):
     assert made == [1] and io.stage(spark, f"{p}/stage", lambda: spark.range(3).withColumn("y", F.lit(1)), needs=("y",)).columns == ["id", "y"]
     io.replace_table(spark, f"{p}/stage", lambda d: d.where("id > 0"))
     assert spark.read.parquet(f"{p}/stage").count() == 2
+    (tmp_path / "stage").rename(tmp_path / "stage.old")  # as if lost between both moves
+    io.replace_table(spark, f"{p}/stage", lambda d: d.where("id > 1"))
+    assert spark.read.parquet(f"{p}/stage").count() == 1 and not (tmp_path / "stage.old").exists()
+    io.write_table(spark.createDataFrame([("pretrain", 1), ("test", 2), ("test", 2)], "split string, subject_id long"), f"{p}/splits", partition_by=("split",))
+    assert [tuple(r) for r in io.read_splits(spark, f"{p}/splits", "test").collect()] == [("test", None, None, 2)]
     assert io.append_new(spark.range(3), spark, f"{p}/manifest", "id").count() == 3
     new = spark.range(5)
     io.append_new(new, spark, f"{p}/manifest", "id")
     assert sorted(r[0] for r in spark.read.parquet(f"{p}/manifest").collect()) == [0, 1, 2, 3, 4]
     (tmp_path / "v").mkdir()
     (tmp_path / "v" / "a_vocab.json").write_text('["x", "y"]')
-    (tmp_path / "v" / "b_vocab.json").write_text('["y", "z"]')
+    (tmp_path / "v" / "b_vocab.json").write_text('[\n    "y",\n    "z"\n]')
     assert [(r["rank"], r["token"]) for r in io.read_vocab_files(spark, f"{p}/v").orderBy("rank").collect()] == [(0, "x"), (1, "y"), (2, "z")]
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "1.json").write_text('{"a": "old", "b": "B"}')
