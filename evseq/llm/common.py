@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and a checkpoint folder where the cluster names none (as in tests)."""
+    """Small Arrow batches, and the checkpoint folder that the cluster names. In local mode, as in tests, where none is named, a
+    temporary one; elsewhere that is an error, as executors don't see each other's folders."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="evseq-checkpoint-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="evseq-checkpoint-"))
     return spark
 
 
@@ -153,15 +159,35 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Bytes above which a word is hashed by itself.
+LONG_WORD = 512
+#: What of eight bytes a word of so many more bytes has, least significant first.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """A hash for each word `[^\\x20\\x09-\\x0D]+` of the text, A-Z lower-cased."""
-    data = np.frombuffer(text.translate(LOWER_ASCII), np.uint8)
+    """A hash for each word `[^\\x20\\x09-\\x0D]+` of the text, A-Z lower-cased: eight bytes at a time are mixed in, for all words that
+    have so many. No sum of powers, as texts can be made for which such sums agree."""
+    lower = text.translate(LOWER_ASCII)
+    data = np.frombuffer(lower, np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~SPACE[data]
     step = np.diff(inside)
-    return substring_hashes(prefix_hashes(data), np.flatnonzero(step == 1), np.flatnonzero(step == -1))
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    size = end - start
+    padded = np.frombuffer(lower + bytes(8), np.uint8)
+    eight = np.ndarray((len(data),), "<u8", padded, 0, (1,))  # at each place the eight bytes that follow
+    out = mix(size.astype(np.uint64) * _MUL1)
+    todo, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(todo):
+        out[todo] = mix((out[todo] ^ (eight[start[todo] + at] & _HEAD[np.minimum(size[todo] - at, 8)])) * _MUL1 + _MUL2)
+        at += 8
+        todo = todo[size[todo] > at]
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(lower[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -190,10 +216,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_low(large, low)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        before = path
-        e, path = written(small.where("u <> v").distinct())
+        before, seen = path, Observation()
+        e, path = written(small.where("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
         forget(e.sparkSession, before)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = seen.get
         if now == last:
             break
         last = now
