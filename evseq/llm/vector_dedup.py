@@ -1,14 +1,16 @@
 """Embedding near-dedup by hierarchical navigable small-world graphs, one for each shard of a label.
 
 Equal vectors are one class. The classes of a label are dealt into shards of bounded size; each shard gets a graph; every class
-queries every shard of its label. A query's beam widens while its worst entry still passes the threshold, and a shard's beams all
-widen until an audit, exact answers for some of its queries, is passed. Cosines are verified in double precision; links of a pair
-of shards are counted for each vector, and a spanning forest of them goes on to connected components.
+queries every shard of its label, its own where the graph is built, the others in tasks that hold one graph and some thousands of
+queries. A query's beam widens while its worst entry still passes the threshold, and a shard's beams all widen until an audit, exact
+answers for some of its queries, is passed. Vectors travel as they were given; cosines are verified in double precision; links of a
+pair of shards are counted for each vector, and a spanning forest of them goes on to connected components.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,16 @@ from evseq.llm import common
 
 LEAST = 0.98
 SHARD = 8192
-#: Queries of a shard that one task sends to a graph, about.
-PIECE = 1024
+#: Queries that one task sends to a graph of another shard, about.
+PIECE = 4096
 #: Neighbours on upper layers, twice as many on the ground; first beam; queries audited in each pair of shards; recall asked.
 M, BEAM, AUDIT, RECALL = 12, 32, 256, 0.9999
 #: Entries of a beam that are expanded at once.
 STRIDE = 4
+#: Beam from which on a query is compared with all vectors of the shard instead.
+WIDEST = 512
+#: Vectors whose neighbours are chosen at once.
+AT_ONCE = 256
 
 
 class Graph:
@@ -59,15 +65,9 @@ class Graph:
             mates = np.argpartition(-near, top - 1, axis=1)[:, :top]
             ids = np.concatenate([ids, np.where(np.take_along_axis(near, mates, 1) > -2, mates + start, -1)], axis=1)
             sims = np.concatenate([sims, np.take_along_axis(near, mates, 1)], axis=1)
-            sims = np.where(ids < 0, -2, sims)
-            back: dict[int, list[int]] = {}
-            for x, row, sim in zip(here.tolist(), ids, sims, strict=True):
-                chosen = self.chosen(row, sim, table.shape[1])
-                table[x, : len(chosen)] = chosen
-                for y in chosen.tolist():
-                    back.setdefault(y, []).append(x)
-            for y, xs in back.items():
-                self.link(table, y, xs)
+            picked, got = self.chosen(ids, sims, table.shape[1])
+            table[here] = picked
+            self.link(table, picked, got, here)
         self.inside = end
 
     def connect(self) -> None:
@@ -93,34 +93,53 @@ class Graph:
             self.layers[0][x, np.flatnonzero(self.layers[0][x] < 0)[0]] = y
             todo = np.array([y])
 
-    def chosen(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
-        """Near ones, and of those first the ones nearer to the new vector than to each other."""
-        order = np.argsort(-sims, kind="stable")
-        ids, sims = ids[order], sims[order]
-        ids, first = np.unique(ids[sims > -2], return_index=True)
-        ids = ids[np.argsort(first)]
-        if len(ids) <= most:
-            return ids
-        ids, sims = ids[: 4 * most], sims[np.sort(first)][: 4 * most]
-        between = self.v[ids] @ self.v[ids].T
-        taken, closest = np.zeros(len(ids), bool), np.full(len(ids), -2, np.float32)
-        for i in range(len(ids)):
-            if sims[i] > closest[i]:
-                taken[i] = True
-                np.maximum(closest, between[i], out=closest)
-        keep = np.flatnonzero(taken)[:most]
-        rest = np.flatnonzero(~taken)[: most - len(keep)]
-        return ids[np.sort(np.concatenate([keep, rest]))]
-
-    def link(self, table: np.ndarray, x: int, more: list[int]) -> None:
-        """Adds neighbours to x; if they are too many, some are dropped."""
-        row = table[x]
-        ids = row[row >= 0]
-        ids = np.concatenate([ids, [y for y in more if y not in ids]]).astype(np.int32)
-        if len(ids) > len(row):
-            ids = self.chosen(ids, self.v[ids] @ self.v[x], len(row))
-        row[: len(ids)] = ids
-        row[len(ids) :] = -1
+    def chosen(self, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of candidates (-1: none) and their similarities the `most` to keep: first those nearer to the row's vector than
+        to any kept before, then the nearest of the rest."""
+        out = [self._chosen(ids[i : i + AT_ONCE], sims[i : i + AT_ONCE], most) for i in range(0, len(ids), AT_ONCE)]
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def _chosen(self, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(ids, axis=1)
+        ids = np.take_along_axis(ids, order, 1)
+        sims = np.where(ids < 0, -2, np.take_along_axis(sims, order, 1)).astype(np.float32)
+        sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2  # the same candidate twice
+        order = np.argsort(-sims, axis=1, kind="stable")[:, : 3 * most]
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        real = sims > -2
+        v = self.v[ids]
+        between = v @ v.transpose(0, 2, 1)
+        taken, closest = np.zeros(ids.shape, bool), np.full(ids.shape, -2, np.float32)
+        for k in range(ids.shape[1]):
+            taken[:, k] = real[:, k] & (sims[:, k] > closest[:, k])
+            np.maximum(closest, np.where(taken[:, k, None], between[:, k], -2), out=closest)
+        best = np.argsort(-np.where(real, sims + 4 * taken, -9), axis=1, kind="stable")[:, :most]
+        ids, sims, real = (np.take_along_axis(x, best, 1) for x in (ids, sims, real))
+        ids, sims = np.where(real, ids, -1).astype(np.int32), np.where(real, sims, -2)
+        if ids.shape[1] < most:
+            more = ((0, 0), (0, most - ids.shape[1]))
+            ids, sims = np.pad(ids, more, constant_values=-1), np.pad(sims, more, constant_values=-2)
+        return ids, sims
+
+    def link(self, table: np.ndarray, picked: np.ndarray, sims: np.ndarray, of: np.ndarray) -> None:
+        """Adds each row's vector to the neighbours of those it picked, of too many the nearest; where they are more than fit, some go."""
+        y, s, x = picked.ravel(), sims.ravel(), np.repeat(of, picked.shape[1])
+        keep = y >= 0
+        y, s, x = y[keep], s[keep], x[keep]
+        order = np.lexsort((-s, y))
+        y, s, x = y[order], s[order], x[order]
+        new = np.r_[True, y[1:] != y[:-1]] if len(y) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        row, place = np.cumsum(new) - 1, np.arange(len(y)) - np.repeat(first, np.diff(np.r_[first, len(y)]))
+        keep = place < table.shape[1]
+        at = y[first]
+        ids, near = np.full((len(at), table.shape[1]), -1, np.int64), np.full((len(at), table.shape[1]), -2, np.float32)
+        ids[row[keep], place[keep]], near[row[keep], place[keep]] = x[keep], s[keep]
+        for i in range(0, len(at), AT_ONCE):
+            part = at[i : i + AT_ONCE]
+            have = table[part]
+            sim = np.where(have >= 0, np.einsum("nd,nkd->nk", self.v[part], self.v[have]), -2).astype(np.float32)
+            table[part] = self._chosen(np.concatenate([have, ids[i : i + AT_ONCE]], axis=1), np.concatenate([sim, near[i : i + AT_ONCE]], axis=1), table.shape[1])[0]
 
     def search(self, q: np.ndarray, beam: int, n: int | None = None, floor: int = 0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The beams of all queries, in lockstep: neighbours and similarities, best first, among the first n vectors. own: the
@@ -172,66 +191,128 @@ class Graph:
         return ids, sims
 
 
-def neighbours(graph: Graph, q: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each query the graph's vectors with cosine `least` or more; own: the queries' places among those. q and the graph's vectors have length one."""
-    n, found = len(graph.v), [np.zeros(0, np.int64)] * len(q)
-    slack = least - 1e-4
-    sample = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q))[:AUDIT]
-    exact = q[sample] @ graph.v.T >= slack
-    beam, todo = BEAM, np.arange(len(q))
-    while len(todo):
-        wide = []
-        for part in np.array_split(todo, -(-len(todo) // 512)):
-            ids, sims = graph.search(q[part], min(beam, n), own=None if own is None else own[part])
-            for x, i, s in zip(part, ids, sims, strict=True):
-                found[x] = i[(i >= 0) & (s >= slack)]
-                if beam < n and (len(s) >= beam and s[-1] >= slack):
-                    wide.append(x)
-        beam *= 2
-        total = exact.sum()
-        hit = sum(int(exact[k, found[x]].sum()) for k, x in enumerate(sample))
-        if beam // 2 < n and total and hit < RECALL * total and not wide:
-            todo = np.arange(len(q))
-        else:
-            todo = np.array(wide, np.int64)
-    return found
-
-
-def packed(graph: Graph, uid: np.ndarray, weight: np.ndarray, exact: np.ndarray) -> bytes:
-    import io
+def neighbours(graph: Graph, q: np.ndarray, least: float, own: bool) -> list[np.ndarray | None]:
+    """For each query the graph's vectors with cosine `least` or more, or somewhat less; None where a beam of WIDEST, beyond which it
+    is cheaper to compare with all, is too narrow. own: the queries are the graph's vectors, in order. All have length one.
 
+    A beam that is full of what is looked for is doubled for its query alone. If the audit isn't passed then, all start with wider ones.
+    """
+    n, slack = len(graph.v), least - 1e-4
+    sample = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q))[:AUDIT]
+    exact = q[sample] @ graph.v.T >= least - 1e-5  # well above what is looked for, so that rounding can't fail an audit
+    total, first = int(exact.sum()), BEAM
+    while True:
+        found: list[np.ndarray | None] = [None] * len(q)
+        beam, todo = first, np.arange(len(q))
+        while len(todo) and beam < min(n, WIDEST):
+            wide = []
+            for part in np.array_split(todo, -(-len(todo) // 512)):
+                ids, sims = graph.search(q[part], beam, own=part if own else None)
+                full = (sims[:, -1] >= slack) if sims.shape[1] >= beam else np.zeros(len(part), bool)
+                for x, i, s, f in zip(part, ids, sims, full, strict=True):
+                    if f:
+                        wide.append(x)
+                    else:
+                        found[x] = i[(i >= 0) & (s >= slack)]
+            todo, beam = np.array(wide, np.int64), 2 * beam
+        if own:
+            symmetric(found)
+        hit = sum(int(exact[k].sum() if found[x] is None else exact[k, found[x]].sum()) for k, x in enumerate(sample))
+        if hit >= RECALL * total or first >= min(n, WIDEST):
+            return found
+        first *= 4
+
+
+def symmetric(found: list[np.ndarray | None]) -> None:
+    """What one finds finds it."""
+    sizes = [0 if f is None else len(f) for f in found]
+    if not sum(sizes):
+        return
+    x, y = np.repeat(np.arange(len(found)), sizes), np.concatenate([f for f in found if f is not None])
+    here = np.array([f is not None for f in found])
+    pairs = np.unique(np.concatenate([x * len(found) + y, (y * len(found) + x)[here[y]]]))
+    cuts = np.searchsorted(pairs, np.arange(len(found) + 1) * len(found))
+    for k in np.flatnonzero(here):
+        found[k] = pairs[cuts[k] : cuts[k + 1]] % len(found)
+
+
+def packed(graph: Graph, uid: np.ndarray, weight: np.ndarray, raw: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.savez(out, uid=uid, weight=weight, exact=exact, levels=graph.levels, **{f"layer{k}": t for k, t in enumerate(graph.layers)})
+    np.savez(out, uid=uid, weight=weight, raw=raw, levels=graph.levels, **{f"layer{k}": t for k, t in enumerate(graph.layers)})
     return out.getvalue()
 
 
-def unpacked(raw: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    import io
-
-    z = np.load(io.BytesIO(raw))
+def unpacked(data: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    z = np.load(io.BytesIO(data))
     layers = [z[f"layer{k}"] for k in range(sum(f.startswith("layer") for f in z.files))]
-    return Graph(z["exact"], layers, z["levels"]), z["uid"], z["weight"], z["exact"]
+    exact = unit(z["raw"])
+    return Graph(exact, layers, z["levels"]), z["uid"], z["weight"], exact
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors, along the last axis, at length one in double precision."""
+    x = np.asarray(v, np.float64)
+    x = x / np.abs(x).max(axis=-1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+
+
+def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length, without nulls, as a matrix of the type given."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
 
 
 def clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, dim, digest (null for what links with nothing), unit: the vector at length one, in double precision."""
+    """vec_id, label, dim, digest (null for what links with nothing), embedding as given."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> dict:
-        digests, units = [], []
+        digests, dims = [], []
         for v, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             x = None if v is None or label is None or any(c is None for c in v) else np.asarray(v, np.float64)
-            if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
-                digests.append(None)
-                units.append(None)
-            else:
-                x = x / np.abs(x).max()
-                x = x / np.sqrt((x * x).sum())
-                digests.append(hashlib.blake2b(np.asarray(v, np.float64).tobytes(), digest_size=16).digest())
-                units.append(x)
-        return {"vec_id": batch.column(0), "label": batch.column(2), "digest": digests, "unit": units}
-
-    out = common.map_rows(vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label")), one, "vec_id long, label long, digest binary, unit array<double>")
-    return out.withColumn("dim", F.size("unit"))
+            usable = x is not None and len(x) > 0 and np.isfinite(x).all() and x.any()
+            digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if usable else None)
+            dims.append(len(v) if usable else None)
+        return {"vec_id": batch.column(0), "label": batch.column(2), "dim": dims, "digest": digests, "embedding": batch.column(1)}
+
+    return common.map_rows(vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label")), one, f"vec_id long, label long, dim int, digest binary, embedding {kind}")
+
+
+def links_of(graph: Graph, exact: np.ndarray, uid: np.ndarray, weight: np.ndarray, queries: np.ndarray, mine: np.ndarray, least: float, own: bool) -> list[tuple]:
+    """(uid, null, number of linked vectors) for each query that has links with the graph's classes, and (uid, other, 0) for a spanning
+    forest of those links. own: the queries are the graph's own vectors, in order."""
+    n, out, late = len(exact), [], {}
+    part = np.arange(n if own else n + len(queries))  # of the forest: of vectors, then of queries
+
+    def add(k: int, got: np.ndarray) -> None:
+        me = k if own else n + k
+        got = got[got != k] if own else got
+        if len(got):
+            out.append((int(mine[k]), None, int(weight[got].sum())))
+            parts, first = np.unique(part[got], return_index=True)
+            for p, y in zip(parts, got[first], strict=True):
+                if p != part[me]:
+                    part[part == p] = part[me]
+                    out.append((int(mine[k]), int(uid[y]), 0))
+
+    found = neighbours(graph, queries.astype(np.float32), least, own)
+    wide = np.array([k for k, f in enumerate(found) if f is None], np.int64)
+    for i in range(0, len(wide), 256):
+        sims = queries[wide[i : i + 256]] @ exact.T
+        for k, row in zip(wide[i : i + 256], sims, strict=True):
+            got = np.flatnonzero(row >= least)
+            add(int(k), got)
+            if own:
+                for y in got[[found[y] is not None for y in got]]:
+                    late.setdefault(int(y), []).append(k)
+    for k, got in enumerate(found):
+        if got is not None:
+            got = np.union1d(got, late[k]).astype(np.int64) if k in late else got
+            add(k, got[exact[got] @ queries[k] >= least])
+    return out
+
+
+FOUND = "uid long, other long, links long"
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -> DataFrame:
@@ -241,56 +322,48 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -
     empty, zero or hold null or non-finite components, link with nothing (n_links 0, component_id their own vec_id). Equal
     vectors link. Repeated rows count as vectors. Empty table: no rows.
     """
-    spark = common.prepare(vectors.sparkSession)
-    c = common.checkpoint(clean(vectors))
-    classes = c.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"))
+    common.prepare(vectors.sparkSession)
+    c = clean(vectors)
+    classes = c.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
     classes = common.checkpoint(classes.withColumn("uid", F.monotonically_increasing_id()))
-    shards = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards"))
-    dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("digest"), "shards"))
+    shards = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    dealt = classes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("digest"), "shards").cast("int"))
+    schema = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("links", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())])
 
     def build(table: pa.Table) -> pa.Table:
+        """A shard's graph, and what its own vectors find in it; the graph goes on if its label has further shards."""
+        common.occupy(__name__)
         order = np.argsort(table["uid"].to_numpy())
-        exact = np.stack([np.asarray(x, np.float64) for x in table["unit"].to_pylist()])[order]
-        raw = packed(Graph(exact), table["uid"].to_numpy()[order], table["weight"].to_numpy()[order], exact)
-        return pa.table({"label": table["label"][:1], "dim": table["dim"][:1], "shard": table["shard"][:1], "n": pa.array([len(order)], pa.int32()), "graph": pa.array([raw], pa.binary())})
-
-    graphs = common.checkpoint(dealt.select("label", "dim", "shard", "uid", "weight", "unit").groupBy("label", "dim", "shard").applyInArrow(build, "label long, dim int, shard long, n int, graph binary"))
-    pieces = F.ceil(F.col("q.n") / PIECE).cast("int")
-    pairs = graphs.alias("g").join(graphs.alias("q"), ["label", "dim"]).select("label", "dim", F.col("g.shard").alias("a"), F.col("q.shard").alias("b"), F.col("g.graph").alias("graph"), F.col("q.graph").alias("queries"), pieces.alias("pieces"))
-    pairs = pairs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).repartition("label", "dim", "a", "b", "piece")
-    pairs = pairs.select("a", "b", "graph", "queries", "piece", "pieces")
-    schema = common.arrow_schema(spark, "uid long, other long, links long")
-
-    def query(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                graph, ids, weight, exact = unpacked(batch.column(2)[i].as_py())
-                _, mine, _, q = unpacked(batch.column(3)[i].as_py())
-                same = batch.column(0)[i].as_py() == batch.column(1)[i].as_py()
-                part = np.arange(batch.column(4)[i].as_py(), len(q), batch.column(5)[i].as_py())
-                out: list[tuple] = []
-                parent: dict[int, int] = {}
-
-                def find(x: int) -> int:
-                    while parent.setdefault(x, x) != x:
-                        parent[x] = x = parent[parent[x]]
-                    return x
-
-                for k, got in zip(part, neighbours(graph, q[part].astype(np.float32), least, part if same else None), strict=True):
-                    got = got[exact[got] @ q[k] >= least]
-                    if same:
-                        got = got[got != k]
-                    if len(got):
-                        out.append((int(mine[k]), None, int(weight[got].sum())))
-                        for y in got:
-                            x, z = find(int(mine[k])), find(int(ids[y]))
-                            if x != z:
-                                parent[max(x, z)] = min(x, z)
-                                out.append((int(mine[k]), int(ids[y]), 0))
-                cols = list(zip(*out, strict=True)) or [[]] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
-
-    found = common.checkpoint(pairs.mapInArrow(query, "uid long, other long, links long"))
+        raw, uid, weight = vectors_of(table["embedding"])[order], table["uid"].to_numpy()[order], table["weight"].to_numpy()[order]
+        exact = unit(raw)
+        graph = Graph(exact)
+        label, dim, number, many = (table[x][0].as_py() for x in ("label", "dim", "shard", "shards"))
+        rows = [(*x, None, None, None, None) for x in links_of(graph, exact, uid, weight, exact, uid, least, True)]
+        if many > 1:
+            rows.append((None, None, None, label, dim, number, packed(graph, uid, weight, raw)))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    built = dealt.select("label", "dim", "shard", "shards", "uid", "weight", "embedding").groupBy("label", "dim", "shard").applyInArrow(build, f"{FOUND}, label long, dim int, shard int, graph binary")
+    built = common.checkpoint(built)
+
+    # A unit of work: the graph of shard a, and the queries of other shards that fall into a slot.
+    slots = F.ceil(F.col("shards") * shard / PIECE).cast("int")
+    graphs = built.where("graph is not null").select("label", "dim", F.col("shard").alias("a"), "graph").join(shards, ["label", "dim"]).withColumn("slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+    queries = dealt.where("shards > 1").withColumn("slot", F.pmod(F.xxhash64(F.lit("slot"), "digest"), slots).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("a <> shard")
+    unit_of = ["label", "dim", "a", "slot"]
+
+    def query(left: pa.Table, right: pa.Table) -> pa.Table:
+        common.occupy(__name__)
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            graph, uid, weight, exact = unpacked(left["graph"][0].as_py())
+            rows = links_of(graph, exact, uid, weight, unit(vectors_of(right["embedding"])), right["uid"].to_numpy(), least, False)
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.table({f.name: pa.array(x, f.type) for x, f in zip(columns, list(schema)[:3], strict=True)})
+
+    across = graphs.select(*unit_of, "graph").groupBy(*unit_of).cogroup(queries.select(*unit_of, "uid", "embedding").groupBy(*unit_of)).applyInArrow(query, FOUND)
+    found = common.checkpoint(built.where("uid is not null").select("uid", "other", "links").unionByName(across))
     counts = found.where("other is null").groupBy("uid").agg(F.sum("links").alias("links"))
     groups = common.components(found.where("other is not null").select(F.col("uid").alias("a"), F.col("other").alias("b")))
     named = classes.select("uid", "label", "dim", "digest", "vec_id", "weight").join(counts, "uid", "left").join(groups.withColumnRenamed("node", "uid"), "uid", "left")
