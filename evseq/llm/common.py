@@ -118,40 +118,72 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MUL1)
-_up = _powers(BASE, 1 << 16)
-_down = _powers(INVERSE, 1 << 16)
+
+#: A prime modulus, so that no texts can be made for which sums of powers agree as they do modulo 2 ** 64; and a base.
+PRIME, BASE61 = (1 << 61) - 1, 0x1A6F3B5C9D27E841 % ((1 << 61) - 1)
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+#: Bytes summed at once: few enough for sums of products with 31 bits to fit 64, and for a cache.
+_STRETCH = 1 << 14
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64 for i up to n."""
-    global _up, _down
-    if n > len(_up):
-        _up, _down = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
-    return _up[:n], _down[:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
 
 
-def prefix_hashes(data: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Of each prefix of the bytes; equal substrings have equal differences but for a power of BASE."""
-    up, _ = powers(len(data) + 1)
-    byte = _BYTE if not salt else mix(_BYTE + np.uint64(salt) * _MUL1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte[data] * up[: len(data)], out=out[1:])
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = ah * bl + al * bh
+    return _reduced(((ah * bh) << np.uint64(1)) + (mid >> _30) + ((mid & _LOW30) << _31) + al * bl)
+
+
+def _powers(base: int, n: int, modulus: int) -> np.ndarray:
+    """base ** i modulo PRIME or 2 ** 64, for i up to n or more."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        step = np.uint64(pow(base, len(out), modulus))
+        out = np.concatenate([out, times(out, step) if modulus == PRIME else out * step])
     return out
 
 
-def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of bytes start to end for each pair; they don't depend on the place."""
-    _, down = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+_tables: dict[str, np.ndarray] = {"up61": np.ones(1, np.uint64)}
+
+
+def _power_tables(n: int) -> dict[str, np.ndarray]:
+    if n > len(_tables["up61"]):
+        n = max(n, 1 << 16)
+        _tables.update(up61=_powers(BASE61, n, PRIME), down61=_powers(pow(BASE61, -1, PRIME), n, PRIME), up64=_powers(BASE, n, 1 << 64), down64=_powers(INVERSE, n, 1 << 64))
+    return _tables
+
+
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MUL1)
+
+
+class Rolling:
+    """Hashes of substrings of some bytes, by prefix sums modulo PRIME and modulo 2 ** 64; they don't depend on the place."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        t = _power_tables(n + 1)
+        self.p, self.q = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * t["up64"][:n], out=self.q[1:])
+        at = np.uint64(0)
+        for i in range(0, n, _STRETCH):
+            c, up = data[i : i + _STRETCH].astype(np.uint64) + np.uint64(1), t["up61"][i : min(n, i + _STRETCH)]
+            high = _reduced(np.cumsum(c * (up >> _31)))
+            x = (((high << _31) & _P) | (high >> _30)) + _reduced(np.cumsum(c * (up & _LOW31))) + at
+            self.p[i + 1 : i + 1 + len(c)] = _reduced(x)
+            at = self.p[i + len(c)]
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of bytes start to end for each pair: two numbers of 64 bits, made of both sums."""
+        a = times(_reduced(self.p[end] + (_P - self.p[start])), _tables["down61"][start])
+        b = (self.q[end] - self.q[start]) * _tables["down64"][start]
+        return mix(a * _MUL1 ^ b), mix(b * _MUL3 + a)
 
 
 #: Bytes that end a word of `[^\x20\x09-\x0D]+`.

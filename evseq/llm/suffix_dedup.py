@@ -14,9 +14,10 @@ of suffixes, one at a time, that settle long ties by those ranks.
   all of them.
 - The suffixes left, near the ends of repeats, and those of the standing members are dealt into buckets and each bucket is sorted.
 
-Copies of whole texts are found first, and one of them stands for all. Documents are dealt into blocks of bounded size; a block
-names its suffixes by hashes (64 bits, and the bucket's number from other bits), the buckets answer in bits in the order of
-the names, so places never travel. Every exchange holds each name once for a block, however often it occurs.
+Copies of whole texts are found first, and one of them stands for all. Documents are dealt into blocks of bounded size, equal rows
+too; a block names its suffixes by hashes (64 bits, and the bucket's number from further bits, out of sums modulo a prime and modulo
+2 ** 64), the buckets answer in bits in the order of the names, so places never travel. Every exchange holds each name once for a
+block, however often it occurs. The order within a bucket is that of names: all that is asked of it is who stands beside an equal.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from evseq.llm import common
 
 LENGTH = 200
-#: Bytes of text in a block of documents, about; least number of blocks.
-BLOCK_BYTES, LEAST_BLOCKS = 8 << 20, 256
+#: Bytes of text in a block of documents, about; bytes of text for each bucket of names; least number of both.
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BLOCKS = 8 << 20, 32 << 20, 128
+#: Bytes of text hashed together, about.
+STRETCH = 1 << 18
 #: Bytes of a name that travel, by pass: whole texts, rank 1 (a filter: equal names only keep suffixes in), rank 2, suffixes.
 WIDTH = {"text": 8, "rank1": 6, "rank2": 8, "suffix": 8}
 PASSES = tuple(WIDTH)
@@ -147,43 +150,53 @@ class Block:
         at = np.cumsum([0] + [2 if self.count[t] > 1 else 1 for t in self.texts])[:-1]
         self.copied = dict(zip(self.texts, repeated[at], strict=True))
         self.live = [t for t, r, s in zip(self.texts, repeated[at], lead[at], strict=True) if s or not r]
-        self.data = [np.frombuffer(t, np.uint8) for t in self.live]
+        self.sizes = [len(t) for t in self.live]
+        # Texts in stretches, hashed together; a text's substrings are hashed alike wherever it begins.
+        self.stretches: list[tuple[common.Rolling, int, np.ndarray]] = []
+        held, size = [], 0
+        for k, t in enumerate(self.live):
+            held.append(t)
+            size += len(t)
+            if size >= STRETCH or k + 1 == len(self.live):
+                at = np.cumsum([0, *map(len, held)])
+                self.stretches.append((common.Rolling(np.frombuffer(b"".join(held), np.uint8)), k + 1 - len(held), at))
+                held, size = [], 0
+
+    def named(self, start: list[np.ndarray], end: list[np.ndarray]) -> Names:
+        got = []
+        for rolling, k, at in self.stretches:
+            i, j = (np.concatenate([x[k + m] + at[m] for m in range(len(at) - 1)]) for x in (start, end))
+            got.append(rolling.names(i, j))
+        # A bucket's number: the other hash's upper bits.
+        buckets = [(((other >> np.uint64(32)) * np.uint64(self.n_buckets)) >> np.uint64(32)).astype(np.int64) for _, other in got]
+        return Names([h for h, _ in got], buckets, self.n_buckets)
 
     def rank1_names(self) -> Names:
-        self.places = [sample_places(len(d), SHORT) for d in self.data]
-        names = [common.substring_hashes(common.prefix_hashes(d), p, p + SHORT) >> np.uint64(16) for d, p in zip(self.data, self.places, strict=True)]
-        return Names(names, [(((h >> np.uint64(16)) * np.uint64(self.n_buckets)) >> np.uint64(32)).astype(np.int64) for h in names], self.n_buckets)
+        self.places = [sample_places(n, SHORT) for n in self.sizes]
+        return self.named(self.places, [p + SHORT for p in self.places])
 
-    def after_rank1(self, bits: dict) -> None:
-        repeated, _ = self.rank1_names().answers(bits)
+    def after_rank1(self, names: Names, bits: dict) -> None:
+        repeated, _ = names.answers(bits)
         self.places = [p[r] for p, r in zip(self.places, self.split(repeated, self.places), strict=True)]
 
-    def hashed(self, d: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(start):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        other = common.substring_hashes(common.prefix_hashes(d, 1), start, end)
-        return common.substring_hashes(common.prefix_hashes(d), start, end), ((other >> np.uint64(20)) % np.uint64(self.n_buckets)).astype(np.int64)
-
     def rank2_names(self) -> Names:
-        self.long = [p[(p >= V - 1) & (p <= len(d) - LENGTH)] for d, p in zip(self.data, self.places, strict=True)]
-        got = [self.hashed(d, p - V + 1, p + LENGTH) for d, p in zip(self.data, self.long, strict=True)]
-        return Names([g[0] for g in got], [g[1] for g in got], self.n_buckets)
+        self.long = [p[(p >= V - 1) & (p <= n - LENGTH)] for n, p in zip(self.sizes, self.places, strict=True)]
+        return self.named([p - V + 1 for p in self.long], [p + LENGTH for p in self.long])
 
-    def after_rank2(self, bits: dict) -> None:
-        repeated, lead = self.rank2_names().answers(bits)
+    def after_rank2(self, names: Names, bits: dict) -> None:
+        repeated, lead = names.answers(bits)
         self.settled, self.open = [], []
-        for d, p, q, r, s in zip(self.data, self.places, self.long, self.split(repeated, self.long), self.split(lead, self.long), strict=True):
-            maybe, settled, standing = before(len(d), p), before(len(d), q[r]), before(len(d), q[r & s])
+        for n, p, q, r, s in zip(self.sizes, self.places, self.long, self.split(repeated, self.long), self.split(lead, self.long), strict=True):
+            maybe, settled, standing = before(n, p), before(n, q[r]), before(n, q[r & s])
             self.settled.append(settled)
             self.open.append(np.flatnonzero(maybe & ~settled | standing))
 
     def suffix_names(self) -> Names:
-        got = [self.hashed(d, p, p + LENGTH) for d, p in zip(self.data, self.open, strict=True)]
-        return Names([g[0] for g in got], [g[1] for g in got], self.n_buckets)
+        return self.named(self.open, [p + LENGTH for p in self.open])
 
-    def after_suffixes(self, bits: dict) -> dict[bytes, np.ndarray]:
+    def after_suffixes(self, names: Names, bits: dict) -> dict[bytes, np.ndarray]:
         """For each live text, which of its suffixes agree with another in LENGTH bytes."""
-        repeated, _ = self.suffix_names().answers(bits)
+        repeated, _ = names.answers(bits)
         out = {}
         for t, settled, p, r in zip(self.live, self.settled, self.open, self.split(repeated, self.open), strict=True):
             settled[p[r]] = True
@@ -246,24 +259,29 @@ def run_block(docs: pa.Table, bits: pa.Table | None, upto: str, n_buckets: int)
     if upto == "text":
         return block, block.text_names()
     block.after_texts(known["text"])
+    names = block.rank1_names()
     if upto == "rank1":
-        return block, block.rank1_names()
-    block.rank1_names()
-    block.after_rank1(known["rank1"])
+        return block, names
+    block.after_rank1(names, known["rank1"])
+    names = block.rank2_names()
     if upto == "rank2":
-        return block, block.rank2_names()
-    block.after_rank2(known["rank2"])
+        return block, names
+    block.after_rank2(names, known["rank2"])
+    names = block.suffix_names()
     if upto == "suffix":
-        return block, block.suffix_names()
-    return block, block.after_suffixes(known["suffix"])
+        return block, names
+    return block, block.after_suffixes(names, known["suffix"])
 
 
 def _dealt(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """The columns as one, `row`, and the text, dealt into blocks by the row's place in its file, so that rows equal in all are dealt out,
+    too; and the number of buckets."""
     common.prepare(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", "text"), F.lit(n)).cast("int").alias("_block")
-    return docs.select(*columns, block).repartition("_block"), n
+    block = F.pmod(F.xxhash64(F.lit("block"), F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("_block")
+    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"], F.lit(None).cast("int").alias("_")).alias("row")
+    return docs.select("text", rest, block).repartition("_block"), max(LEAST_BLOCKS, -(-total // BUCKET_BYTES))
 
 
 def named(key: tuple, docs: pa.Table, bits: pa.Table | None, kind: str, n: int) -> pa.Table:
@@ -322,7 +340,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def digest(left: pa.Table, kept: list) -> pa.Table:
         sizes = [len(t) for t in common.texts(left["text"].combine_chunks())] if left.num_rows else []
         return pa.table({
-            "doc_id": left["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array([s - len(k[0]) for s, k in zip(sizes, kept, strict=True)], pa.int64()),
+            "doc_id": left["row"].combine_chunks().field("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array([s - len(k[0]) for s, k in zip(sizes, kept, strict=True)], pa.int64()),
             "n_spans": pa.array([k[1] for k in kept], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept], pa.string()),
         })
 
@@ -331,18 +349,19 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the kept bytes as text (what a cut leaves of a character is dropped) and n_chars, if there is such a column, to
-    match; documents of which nothing is left are dropped unless they were empty before."""
-    columns = docs.columns
-    d, n = _dealt(docs, [f"`{c}`" for c in columns])
+    match; documents of which nothing is left are dropped unless they were empty before; null texts stay null. Other columns, whatever
+    their names, are as they were. Empty table: no rows."""
+    d, n = _dealt(docs, docs.columns)
 
     def rewrite(left: pa.Table, kept: list) -> pa.Table:
-        texts = [k[0].decode("utf-8", "ignore") for k in kept]
-        out = left.select(columns)
-        for name, column in (("text", texts), ("n_chars", [len(x) for x in texts])):
-            if name in columns:
-                at = columns.index(name)
-                out = out.set_column(at, out.schema.field(at), pa.chunked_array([pa.array(column).cast(out.schema.field(at).type)]))
+        rest = left["row"].combine_chunks()
+        none = left["text"].combine_chunks().is_null().to_pylist()
+        texts = [None if x else k[0].decode("utf-8", "ignore") for k, x in zip(kept, none, strict=True)]
+        new = {"text": texts, "n_chars": [len(x or "") for x in texts]}
         had = common.texts(left["text"].combine_chunks()) if left.num_rows else []
+        kind = lambda c: pa.string() if c == "text" else rest.type.field(c).type
+        out = pa.table({c: pa.array(new[c]).cast(kind(c)) if c in new else rest.field(c) for c in columns})
         return out.filter(pa.array([bool(x) or not h for x, h in zip(texts, had, strict=True)], pa.bool_()))
 
+    columns = docs.columns
     return _finished(d, n, rewrite, docs.schema)
