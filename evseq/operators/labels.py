@@ -29,22 +29,33 @@ def mortality(seqs: DataFrame, days: dict[str, int] | None = None) -> DataFrame:
 
 def readmission(seqs: DataFrame, visit: str = "[VS]", within: tuple[str, ...] = tuple(schema.READMISSION_TOKENS)) -> DataFrame:
     """Of subjects with two visits or more: was the last one soon after the one before?"""
-    d = seqs.where("num_visits >= 2").withColumn("last_vs", arrays.last_index("event_tokens", visit)).where("last_vs is not null")
-    before = F.when(F.col("last_vs") > 0, F.get("event_tokens", F.col("last_vs") - 1)).otherwise(F.try_element_at("event_tokens", F.lit(-1)))
-    return d.withColumns({"cutoff_readmission": F.col("last_vs") - 1, "label_readmission_1month": F.coalesce(before.isin(*within), F.lit(False)).cast("int"), "num_visits": F.col("num_visits") - 1, "token_length": F.size("event_tokens")}).drop("last_vs")
+    known, new = readmission_columns(visit, within)
+    return seqs.where(known).withColumns(new | {"num_visits": F.col("num_visits") - 1, "token_length": F.size("event_tokens")})
+
+
+def readmission_columns(visit: str = "[VS]", within: tuple[str, ...] = tuple(schema.READMISSION_TOKENS)) -> tuple[Column, dict[str, Column]]:
+    """Whether a subject is in the cohort, and its cutoff and label."""
+    last = arrays.last_index("event_tokens", visit)
+    before = F.when(last > 0, F.get("event_tokens", last - 1)).otherwise(F.try_element_at("event_tokens", F.lit(-1)))
+    return (F.col("num_visits") >= 2) & last.isNotNull(), {"cutoff_readmission": last - 1, "label_readmission_1month": F.coalesce(before.isin(*within), F.lit(False)).cast("int")}
 
 
 def length_of_stay(seqs: DataFrame, threshold: float = 7, minimum: float = 1, cutoff_hours: float = 24, first_event_hours: float | None = None, visit: str = "[VS]", end: str = "[VE]") -> DataFrame:
     """Of the last visit. length_of_stay counts tokens over 24, not hours; los_hours is the true length. Only subjects whose last visit
     has its first event before first_event_hours (minimum days, if not given)."""
-    d = seqs.withColumns({"last_vs": arrays.last_index("event_tokens", visit), "last_ve": arrays.last_index("event_tokens", end)}).where("last_vs is not null and last_ve is not null")
-    d = d.withColumn("length_of_stay", (F.col("last_ve") - 1 - (F.col("last_vs") + 1)) / F.lit(24.0)).where(F.col("length_of_stay") >= minimum)
-    d = d.where(F.get("elapsed_tokens", F.col("last_vs") + 1) < (minimum * 24 if first_event_hours is None else first_event_hours))
-    cutoff = arrays.first_index_where("elapsed_tokens", lambda x, i: (x > cutoff_hours) & (i > F.col("last_vs")) & (i < F.col("last_ve")))
-    return d.withColumns({
-        "label_los_1week": (F.col("length_of_stay") >= threshold).cast("int"), "cutoff_los": F.coalesce(cutoff, F.size("event_tokens")), "token_length": F.size("event_tokens"),
-        "los_hours": F.get("elapsed_tokens", F.col("last_ve")) - F.get("elapsed_tokens", F.col("last_vs")),
-    })
+    known, new = length_of_stay_columns(threshold, minimum, cutoff_hours, first_event_hours, visit, end)
+    ends = {"last_vs": arrays.last_index("event_tokens", visit), "last_ve": arrays.last_index("event_tokens", end)}
+    d = seqs.withColumns(ends).where(known).withColumns(new)
+    return d.withColumns({"token_length": F.size("event_tokens"), "los_hours": F.get("elapsed_tokens", F.col("last_ve")) - F.get("elapsed_tokens", F.col("last_vs"))})
+
+
+def length_of_stay_columns(threshold: float = 7, minimum: float = 1, cutoff_hours: float = 24, first_event_hours: float | None = None, visit: str = "[VS]", end: str = "[VE]") -> tuple[Column, dict[str, Column]]:
+    """Whether a subject is in the cohort, and its length of stay, label and cutoff."""
+    vs, ve = arrays.last_index("event_tokens", visit), arrays.last_index("event_tokens", end)
+    stay = (ve - 1 - (vs + 1)) / F.lit(24.0)
+    known = vs.isNotNull() & ve.isNotNull() & (stay >= minimum) & (F.get("elapsed_tokens", vs + 1) < (minimum * 24 if first_event_hours is None else first_event_hours))
+    cutoff = arrays.first_index_where("elapsed_tokens", lambda x, i: (x > cutoff_hours) & (i > vs) & (i < ve))
+    return known, {"length_of_stay": stay, "label_los_1week": (stay >= threshold).cast("int"), "cutoff_los": F.coalesce(cutoff, F.size("event_tokens"))}
 
 
 def conditions(seqs: DataFrame) -> DataFrame:
@@ -62,6 +73,16 @@ def multi_task(original: DataFrame, condition: DataFrame, dead: DataFrame, readm
     return d.select(*rest, *[v.alias(k) for k, v in fill.items()], *arrays.wide("all_conditions", [f"label_c{i}" for i in range(n_conditions)]))
 
 
+def multi_task_of(seqs: DataFrame, n_conditions: int = 20, **stay) -> DataFrame:
+    """multi_task() of sequences that have condition lists and death offsets, in one pass over them: cohorts are conditions, not tables
+    that are joined again. stay: settings of length_of_stay()."""
+    readmitted, r = readmission_columns()
+    stays, s = length_of_stay_columns(**stay)
+    new = {k: F.when(readmitted, c) for k, c in r.items()} | {k: F.when(stays, c) for k, c in s.items() if k != "length_of_stay"}
+    d = conditions(mortality(seqs)).withColumns({k: F.coalesce(c, F.lit(schema.MISSING)).cast("int") for k, c in new.items()})
+    return d.select(*[c for c in d.columns if c != "all_conditions"], *arrays.wide("all_conditions", [f"label_c{i}" for i in range(n_conditions)]))
+
+
 def datapoints(wide: DataFrame, tasks: list[str], keep: tuple[str, ...] = ("patient_id",)) -> DataFrame:
     """One row for each subject and task that has a label. Of task x: label_x, and a cutoff column if one begins cutoff_ and the
     task's first word."""

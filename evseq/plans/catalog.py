@@ -242,7 +242,9 @@ _POINTS = " UNION ALL ".join(f"SELECT patient_id, '{t}' AS task, CAST(label_{t}
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.datapoints(multi(spark, sf_dir), ["mortality_1month", "readmission_1month", "los_1week", "c0"])
+    s = labels.task_labels(seqs(spark, sf_dir)).withColumn("death_after_end", F.when(F.col("death_after_start") >= 0, F.col("subject_id") % 40).otherwise(-1))
+    s = s.withColumns({"common_conditions": F.array((F.col("subject_id") % 2).cast("long"), (F.col("subject_id") % 3).cast("long")), "rare_conditions": F.array((F.col("subject_id") % 5).cast("long"))})
+    return labels.datapoints(labels.multi_task_of(s, 4, threshold=0.25, minimum=0, first_event_hours=4000), ["mortality_1month", "readmission_1month", "los_1week", "c0"])
 
 
 @query(sql(_POINTS, "v_ends", readm=_READ, los=_LOS, multi=_MULTI))
