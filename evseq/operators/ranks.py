@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Digits of an md5 that name a bucket: 4096 buckets.
 DIGITS = 3
@@ -32,13 +33,15 @@ def row_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the row's place, from 0, in the given order; ties of whole keys are numbered anyhow. Nulls first. Empty table: no rows.
 
     Rows are range-partitioned and sorted; a row's place in its partition is at hand, and a small join adds the rows of the
-    partitions before. The number of partitions is stated, so that they aren't merged and both sides see the same ones.
+    partitions before. The number of partitions is stated, so that they aren't merged. Ranges come from a sample, so both sides must
+    read one and the same exchange: the counting side reads all columns, or it would get a narrower exchange of its own.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     # The partition's number above 33 bits, the place in it below.
     part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    per = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    every = [F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    per = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.xxhash64(*every)).alias("_read")).where("_read is not null")
     before = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return d.join(before, part == F.col("_part")).withColumn(name, at + F.col("_before")).drop("_id", "_part", "_before")
 

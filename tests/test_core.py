@@ -217,6 +217,13 @@ def test_ranks(spark):
     assert io.packed(d, ["x"], 1024).where("pack <> floor(x / 1024) or index_in_pack <> x % 1024").count() == 0
 
 
+def test_row_index_reads_one_exchange(spark):
+    """More rows than the ranges' sample, and columns that only one side needs."""
+    d = spark.range(200_000).select((F.col("id") * 7919 % 200_000).cast("string").alias("x"), F.md5(F.col("id").cast("string").cast("binary")).alias("y"), F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    n = ranks.row_index(d, ["x"], "n").collect()
+    assert [r["x"] for r in sorted(n, key=lambda r: r["n"])] == sorted(str(k) for k in range(200_000)) and len({r["n"] for r in n}) == 200_000
+
+
 def test_ranks_of_ties_nulls_and_names(spark):
     d = spark.createDataFrame([(k % 3, None if k % 5 == 0 else f"k{k % 7}", k) for k in range(60)], "total long, rank string, k long")
     n = ranks.row_index(d, ["rank", "total"], "n").collect()
