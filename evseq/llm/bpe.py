@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 
 from evseq.llm import common
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
-#: States, pairs and pieces kept before a table starts anew.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 250_000, 300_000, 200_000
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: States and pairs kept before a table starts anew; short pieces kept before the oldest go, half of all at once.
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 250_000, 300_000, 150_000
 #: A file of ranks above this is not sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 
@@ -49,6 +49,8 @@ class Transducer:
                     self.child[key] = node = last
             self.token[node] = i
         self.pair: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        self.never = max(self.spelling, default=0) + 1
         self.reset()
 
     def reset(self) -> None:
@@ -59,19 +61,22 @@ class Transducer:
         self.go: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte -> next state, tokens emitted
         self.rest: dict[int, tuple[int, ...]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The merges applied by rank, for single tokens and pairs of tokens."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+    def parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge, the last of all, makes this one; (-1, -1) of a single byte, None if the merges never make it."""
+        if token not in self.halves:
+            spelt = self.spelling[token]
+            parts = [spelt[i : i + 1] for i in range(len(spelt))]
+            while len(parts) > 2:
+                best, at = token, -1
+                for i in range(len(parts) - 1):
+                    r = self.ranks.get(parts[i] + parts[i + 1])
+                    if r is not None and r < best:
+                        best, at = r, i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.halves[token] = (-1, -1) if len(spelt) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the merges leave these neighbours as they are; left -1: the start of the piece."""
@@ -79,10 +84,28 @@ class Transducer:
         if (known := self.pair.get(key)) is None:
             if len(self.pair) > MOST_PAIRS:
                 self.pair.clear()
-            both = [right] if left < 0 else [left, right]
-            known = self.pair[key] = self.merged(b"".join(self.spelling[t] for t in both)) == both
+            known = self.pair[key] = self.parts(right) is not None and (left < 0 or self.apart(left, right))
         return known
 
+    def apart(self, x: int, y: int) -> bool:
+        """Back in time from both tokens to single bytes, the later merge undone first: x is what stood before the border, y behind it,
+        and neither was merged across it before it was merged with its own. Of equal ranks, the merge further left came first."""
+        spelling, ranks = self.spelling, self.ranks
+        of_x = of_y = self.never  # ranks at which they were merged with their own; at first never
+        while True:
+            r = ranks.get(spelling[x] + spelling[y])
+            if r is not None and r < of_x and r <= of_y:
+                return False
+            before, after = self.parts(x), self.parts(y)
+            if before is None or after is None:
+                return False
+            if before[0] < 0 and after[0] < 0:
+                return True
+            if after[0] < 0 or before[0] >= 0 and x > y:
+                of_x, x = x, before[1]
+            else:
+                of_y, y = y, after[0]
+
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         child, tokens, inner = self.child, self.token, self.inner
         new, parent, token = [], -1, -1
@@ -154,21 +177,30 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
-        self.pieces: dict[str, list[int]] = {}
-        self.number = {i: str(i) for i in ranks.values()}
+        # Short pieces met of late, and those met before them: ids, and these as text.
+        self.pieces: dict[str, tuple[list[int], str]] = {}
+        self.older: dict[str, tuple[list[int], str]] = {}
+
+    def piece(self, piece: str) -> tuple[list[int], str]:
+        known = self.older.get(piece)
+        if known is None:
+            ids = self.transducer.encode(piece.encode())
+            known = ids, " ".join(map(str, ids))
+        if len(piece) < 64:
+            if len(self.pieces) >= MOST_PIECES:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = known
+        return known
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.pieces, []
-        if len(known) > MOST_PIECES:
-            known.clear()
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """Ids, and these in decimal, joined by spaces."""
+        ids: list[int] = []
+        spelt: list[str] = []
         for piece in self.split.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.transducer.encode(piece.encode())
-                if len(piece) < 64 and len(known) <= MOST_PIECES:
-                    known[piece] = ids
-            out += ids
-        return out
+            known = self.pieces.get(piece) or self.piece(piece)
+            ids += known[0]
+            spelt.append(known[1])
+        return ids, " ".join(spelt)
 
 
 class StreamDecoder:
@@ -178,12 +210,12 @@ class StreamDecoder:
         self.spelling = spelling
         self.machine = codecs.getincrementaldecoder("utf-8")("strict")
 
-    def feed(self, ids: list[int], final: bool = False) -> tuple[bytes, str]:
-        raw = b"".join([self.spelling[i] for i in ids])
-        return raw, self.machine.decode(raw, final)
+    def feed(self, ids: list[int], final: bool = False) -> str:
+        return self.machine.decode(b"".join([self.spelling[i] for i in ids]), final)
 
 
-def decode_stream(ids: list[int], spelling: dict[int, bytes], step: int = 4096) -> Iterator[tuple[bytes, str]]:
+def decode_stream(ids: list[int], spelling: dict[int, bytes], step: int = 4096) -> Iterator[str]:
+    """The text of the ids, in pieces."""
     decoder = StreamDecoder(spelling)
     for i in range(0, max(1, len(ids)), step):
         yield decoder.feed(ids[i : i + step], i + step >= len(ids))
@@ -194,8 +226,9 @@ common.CACHES.append(_loaded)
 
 
 def tokenized(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, valid_utf8 and, if wanted, ids for each row; the rank file is read by the driver alone and
-    sent to the executors (its size is checked). Null or empty text: no ids. Rows are independent."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (of what the decoder makes of the ids) and, if wanted, ids for each row; the rank file
+    is read by the driver alone and sent to the executors (its size is checked). Null or empty text: no ids. Rows are independent. Ids
+    that are no UTF-8 together, which no text gives, are an error."""
     spark = common.prepare(docs.sparkSession)
     with open(rank_file, "rb") as f:
         raw = f.read(MOST_RANK_BYTES + 1)
@@ -209,20 +242,16 @@ def tokenized(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tr
         if key not in bpe._loaded:
             bpe._loaded[key] = Encoder(read_ranks(sent.value), pattern)
         encoder = bpe._loaded[key]
-        spelling, number = encoder.transducer.spelling, encoder.number
-        cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8", "ids")}
+        spelling = encoder.transducer.spelling
+        cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")}
         for text in batch.column(1).to_pylist():
-            ids = encoder.encode(text or "")
-            back, valid = hashlib.sha256(), True
-            try:
-                for part, _ in decode_stream(ids, spelling):
-                    back.update(part)
-            except UnicodeDecodeError:
-                valid, back = False, hashlib.sha256(b"".join([spelling[i] for i in ids]))
+            ids, spelt = encoder.encode(text or "")
+            back = hashlib.sha256()
+            for part in decode_stream(ids, spelling):
+                back.update(part.encode())
             cols["n_tokens"].append(len(ids))
-            cols["ids_sha256"].append(hashlib.sha256(" ".join([number[i] for i in ids]).encode()).hexdigest())
+            cols["ids_sha256"].append(hashlib.sha256(spelt.encode()).hexdigest())
             cols["decoded_sha256"].append(back.hexdigest())
-            cols["valid_utf8"].append(valid)
             if with_ids:
                 cols["ids"].append(ids)
         return cols | {"doc_id": batch.column(0)}
