@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from evseq.llm import common, minhash_dedup
 
 SHINGLE = 5
+#: Bytes of text in a partition of self_check, about.
+PART_BYTES = 64 << 20
 #: Permutations h -> a * h + b mod 2 ** 64, of which the upper half counts; a odd.
 PERMUTATIONS = 64
 _random = np.random.Generator(np.random.PCG64(20240501))
@@ -128,7 +130,9 @@ def self_check(docs: DataFrame) -> DataFrame:
     row after the last is the first; a single row follows itself. Null text: empty. Empty table: no rows.
     """
     spark = common.prepare(docs.sparkSession)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number: partitions are not merged, so both readers see the same
+    # A stated number: partitions are not merged, so both readers see the same; and enough for partitions of bounded size.
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Ties by a hash: the range exchange samples its keys to the driver, so texts can't be among them.
     d = d.withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")

@@ -63,6 +63,8 @@ SENTENCE = re.compile(r"[.!?。！？…][\"'”’)\]]*\s*$|[.!?。！？…]\s
 RIGHTS = re.compile(r"^\s*(?:©|&copy;|&#169;|&#xa9;|\(c\)|copyright\b)|\ball rights reserved|\bpowered by\b", re.IGNORECASE)
 #: What a word's score depends on.
 FEATURES = ("always", "link", "links of the block", "length of the block", "sentences", "rights", "h1 or h2", "lower heading", "item or cell", "paragraph", "marked", "in an article", "beside an article")
+#: Open elements at most, as in browsers: a deeper one takes the place of the last. Containers around a text that are looked at.
+DEEPEST, AROUND = 512, 64
 #: Greatest score of a word, either way; least score of a word that stands in an article and isn't marked.
 MOST, IN_ARTICLE = 4.0, 0.5
 
@@ -132,7 +134,7 @@ def pieces(page: str) -> list[Piece]:
                     if m[0].strip():
                         p.n, p.block, p.link, p.boiler, p.article = len(m[0].split()), block, bool(links), bool(boiler), bool(article)
                         upto = next((k for k, s in enumerate(stack) if s[1]), len(stack)) if boiler else len(stack)
-                        p.around = tuple(s[3] for s in stack[:upto] if s[0] not in FLOW)
+                        p.around = tuple(s[3] for s in stack[:upto] if s[0] not in FLOW)[-AROUND:]
                         p.element = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "")
                     out.append(p)
             continue
@@ -162,6 +164,8 @@ def pieces(page: str) -> list[Piece]:
             continue  # of foreign elements, the slash counts
         if (implied := IMPLIED.get(name)) and stack and stack[-1][0] in implied:
             pop(len(stack) - 1)
+        if len(stack) >= DEEPEST:
+            pop(len(stack) - 1)
         # The header of an article is part of it.
         bad = name in BOILER and not (name == "header" and article) or name not in UNNAMED and bool(m[3]) and named(m[3], name in HEADINGS or bool(article) and name in PASSAGES)
         inside = name in ARTICLE and not bad

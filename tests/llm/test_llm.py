@@ -345,6 +345,15 @@ def test_html_odd_markup(page):
     assert html_extract.extract(page.format(f"<p>{text[0]}<p>{text[1]}</p>")) == "\n".join(text)
 
 
+def test_html_deep_and_long():
+    """Elements that never end, by the ten thousand, and tags and quotes that don't, in time that grows with the page."""
+    text = "A paragraph with enough words to tell what it is. "
+    assert html_extract.extract("<div>" * 20_000 + f"<p>{text}</p>" + "</div>" * 20_000) == text.strip()
+    assert html_extract.extract(f"<div><p>{text}</p>" * 3_000).count("\n") == 2_999
+    assert html_extract.extract("<nav>" + "<a " * 50_000) == "" == html_extract.extract("<p class=" + '="' * 50_000)
+    assert len(html_extract.extract(f"<p>{text * 20_000}</p>")) == len(text) * 20_000 - 1
+
+
 def test_html_two_articles():
     one, two, between = "The first article has ten words or so.", "The second article has ten words or so.", "Words that stand between them. " * 20
     assert html_extract.extract(f"<article><p>{one}</p></article><div class=ad>{between}</div><article><p>{two}</p></article>") == f"{one}\n{two}"
