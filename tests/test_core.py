@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from conftest import ROOT
 from evseq import schema
 from evseq.functions import arrays, codes, timecols
 from evseq.operators import align, cohort, features, labels, metrics, profile, ranks, repair, sequences, stays, vocab
@@ -413,6 +414,15 @@ def test_ingest(spark, tmp_path):
 # The registered queries
 
 
+def test_entry_without_what_the_rest_needs():
+    """Where a package that only the training-text operators need is absent, the core's queries stay."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; assert {'q_vocab', 'q_patient_sequences'} <= set(e.queries()) and not [q for q in e.queries() if q.startswith('op')]"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, timeout=120).returncode == 0
+
+
 def test_queries_and_sql_agree(spark):
     """Each query against its SQL on the smallest tables."""
     import decimal
