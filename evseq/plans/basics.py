@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evseq import schema
 from evseq.functions import arrays, codes, timecols
-from evseq.operators import align, cohort, features, metrics, repair, sequences, vocab
+from evseq.operators import align, cohort, features, metrics, ranks, repair, sequences, vocab
 from evseq.plans import proxies
 from evseq.plans.catalog import _IDS, ids, lists, long, master, points, query, scored, seqs, text, with_status, words
 from evseq.plans.catalog import _LOS, _MULTI, _POINTS, _READ
@@ -237,6 +237,13 @@ def q_first_labels(spark, sf_dir):
     return cohort.first_labels(o.select(F.col("o_custkey").alias("subject_id"), "o_orderkey", y.alias("y")), "y", ("o_orderkey",)).select("subject_id", long("y"))
 
 
+@query(sql("SELECT subject_id, study_id, row_number() OVER (ORDER BY subject_id, t, study_id) - 1 AS place FROM v_study", "v_study"))
+def q_multi_key_order(spark, sf_dir):
+    """Places in an order by several keys, over all rows."""
+    s = proxies.studies(spark, sf_dir).select("subject_id", "study_id", "StudyDateTime")
+    return ranks.row_index(s, ["subject_id", "StudyDateTime", "study_id"], "place").select("subject_id", "study_id", "place")
+
+
 @query(sql("SELECT token, count(DISTINCT doc_id) AS n_docs, count(*) AS n_total FROM v_word GROUP BY token HAVING n_docs >= 20", "v_word"))
 def q_frequent_features(spark, sf_dir):
     return features.frequent_features(features.frequencies(words(spark, sf_dir), "doc_id", "words").withColumnRenamed("doc_id", "subject_id"), 20)
