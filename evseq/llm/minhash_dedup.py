@@ -237,9 +237,9 @@ def _dealt(rows: DataFrame, unit: str) -> DataFrame:
     return work.withColumn("unit", F.col(unit)).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
 
-def compared(work: DataFrame, size: int, least: float = LEAST) -> DataFrame:
-    """a, b: links that span those found by each unit of work. work: unit, lo, hi, uid, block, text; if lo and hi differ, only
-    classes of different blocks are compared."""
+def compared(work: DataFrame, members: DataFrame, size: int, least: float = LEAST) -> DataFrame:
+    """a, b: links that span those found by each unit of work. work: unit, lo, hi, uid, block; if lo and hi differ, only classes of
+    different blocks are compared. Texts join by uid, so they are gathered by units of bounded size and by nothing larger."""
 
     def one(table: pa.Table) -> pa.Table:
         common.occupy(__name__)
@@ -250,6 +250,7 @@ def compared(work: DataFrame, size: int, least: float = LEAST) -> DataFrame:
         pairs = linked([common.shingle_set(x, size) for x in common.texts(text)], block[first], across, least) if len(uid) > 1 else []
         return pa.table({"a": pa.array([int(uid[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(uid[j]) for _, j in pairs], pa.int64())})
 
+    work = work.select("unit", "lo", "hi", "uid", "block").join(members.select("uid", "text"), "uid")
     return work.select("unit", "lo", "hi", "uid", "block", "text").groupBy("unit", "lo", "hi").applyInArrow(one, "a long, b long")
 
 
@@ -258,28 +259,28 @@ def verified(members: DataFrame, tied: DataFrame, size: int, least: float = LEAS
 
     A small cluster is one unit. In a large one each class is compared first with the class it is likeliest tied to; what that
     joins to the cluster's largest part needs no comparison inside the part, so only the rest is compared with all. A group of
-    copies close to one of them costs its size, not its square.
+    copies close to one of them costs its size, not its square. Work is dealt out by ids alone.
     """
-    per = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("s"))
-    m = members.join(per, "cluster").withColumn("large", (F.col("g") > 2 * BLOCK) | (F.col("s") > 2 * BLOCK_SHINGLES)).drop("g", "s")
+    ids = members.select("cluster", "uid", "n_shingles")
+    per = ids.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("s"))
+    m = ids.join(per, "cluster").withColumn("large", (F.col("g") > 2 * BLOCK) | (F.col("s") > 2 * BLOCK_SHINGLES)).drop("g", "s")
     zero = F.lit(0)
-    small = m.where("not large").select(F.col("cluster").alias("unit"), zero.alias("lo"), zero.alias("hi"), "uid", zero.alias("block"), "text")
+    small = m.where("not large").select(F.col("cluster").alias("unit"), zero.alias("lo"), zero.alias("hi"), "uid", zero.alias("block"))
     large = m.where("large")
 
     best = tied.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("head")).withColumnRenamed("a", "uid")
     followers = large.join(best, "uid")
     of_head = followers.groupBy("head").agg(_blocks(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks"))
-    followers = followers.join(of_head, "head").select(F.col("head").alias("unit"), _block_of("uid", F.col("blocks")).alias("lo"), F.lit(-1).alias("hi"), "uid", F.lit(1).alias("block"), "text")
+    followers = followers.join(of_head, "head").select(F.col("head").alias("unit"), _block_of("uid", F.col("blocks")).alias("lo"), F.lit(-1).alias("hi"), "uid", F.lit(1).alias("block"))
     heads = large.join(of_head.withColumnRenamed("head", "uid"), "uid").withColumn("lo", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    heads = heads.select(F.col("uid").alias("unit"), "lo", F.lit(-1).alias("hi"), "uid", zero.alias("block"), "text")
-    first = common.checkpoint(compared(small.unionByName(followers).unionByName(heads), size, least))
+    heads = heads.select(F.col("uid").alias("unit"), "lo", F.lit(-1).alias("hi"), "uid", zero.alias("block"))
+    first = common.checkpoint(compared(small.unionByName(followers).unionByName(heads), members, size, least))
 
     parts = large.join(common.components(first).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
     sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > main.n")
     main = main.select("cluster", F.col("main.part").alias("main"), _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest_blocks"), _blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks"))
-    work = _dealt(parts.join(main, "cluster"), "cluster").select("unit", "lo", "hi", "uid", "block", "text")
-    return first.unionByName(compared(work, size, least))
+    return first.unionByName(compared(_dealt(parts.join(main, "cluster"), "cluster"), members, size, least))
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:

@@ -378,15 +378,13 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.self_check(empty).count() == 0
 
 
-def test_fingerprint_estimates(docs, rows):
+def test_fingerprint_estimates():
     rng = random.Random(9)
     words = [f"w{rng.random()}" for _ in range(400)]
     a, b = " ".join(words), " ".join(words[:300] + ["x" + w for w in words[300:]])
     x, y = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b))
     true = len(x & y) / len(x | y)
     assert abs(fingerprints.likeness(fingerprints.fingerprint(a.encode()), fingerprints.fingerprint(b.encode())) - true) < 0.2
-    links = fingerprints.similar(docs).collect()
-    assert all(r["jaccard"] >= 0.8 for r in links)
 
 
 def test_fingerprint_signature():
