@@ -95,17 +95,18 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 20) -> tuple
     """Posterior of class 1 for each row. votes: rows by voters, 0 or 1; given: 0 or 1, the label as one more voter, the last.
 
     The likelihood of a row is that of its votes, each to the power 1 / (1 + the voter's correlations with others, given the class):
-    what voters say in common counts once. Rates, correlations and posteriors are estimated in turn.
+    what voters say in common counts once. The given label isn't made from the text, so it repeats none of them and counts whole;
+    its errors are estimated like theirs. Rates, correlations and posteriors are estimated in turn.
     """
     v = np.column_stack([votes, given]).astype(np.float32)
     q = np.clip(given.astype(np.float64), 0.05, 0.95)
-    on, share, rho = [], np.ones(v.shape[1]), np.eye(v.shape[1])
+    on, share, rho = [], np.ones(v.shape[1]), np.eye(votes.shape[1])
     for k in range(rounds):
         if k % 4 == 0:
-            rho = correlations(v, q)
+            rho = correlations(v[:, :-1], q)
             real = np.where(rho > NOISE / np.sqrt(max(len(v), 1)), rho, 0.0)
             np.fill_diagonal(real, 1.0)
-            share = 1 / real.sum(axis=1)
+            share = np.r_[1 / real.sum(axis=1), 1.0]
         prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
         on = [np.clip((v.T @ r + 0.1) / (r.sum() + 0.2), 1e-6, 1 - 1e-6) for r in (1 - q, q)]
         evidence = v @ (share * (np.log(on[1]) - np.log(on[0]))) + (1 - v) @ (share * (np.log1p(-on[1]) - np.log1p(-on[0])))

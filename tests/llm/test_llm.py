@@ -156,6 +156,18 @@ def test_label_model_discounts_copies():
     assert np.allclose(model["share"][:3], 1 / 3, atol=0.02) and model["share"][3] > 0.9
 
 
+def test_label_model_of_many_copies():
+    """Toxic rows that are copies of a few, so that their voters fire together: the labels stand, and the classifier finds new copies."""
+    rng = np.random.default_rng(3)
+    lexicon = rng.random((12, 200)) < 0.15
+    given = np.r_[np.ones(180, int), np.zeros(1820, int)]
+    votes = np.where(given[:, None] == 1, lexicon[rng.integers(0, 12, 2000)], rng.random((2000, 200)) < 0.002).astype(np.float32)
+    q, _ = toxicity.label_model(votes, given)
+    assert ((q >= 0.5) == given).mean() > 0.99
+    w = toxicity.linear(votes, q)
+    assert (lexicon @ w[:-1] + w[-1] > 0).all() and w[-1] < 0
+
+
 def test_label_model_recovers_accuracies():
     """Rates of firing given the hidden class, of voters some of which repeat each other, and of a given label with errors."""
     rng = np.random.default_rng(1)
