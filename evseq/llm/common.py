@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import hashlib
 import re
@@ -44,22 +46,56 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: For each scope that is open, the paths made in it. The outermost ends with the process.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """What operators write to the checkpoint folder inside is deleted at the end, so a result must be written or collected before. Without
+    a scope it stays until the process ends, as lazy results read it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _free(_scopes.pop())
+
+
+def _free(paths: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in paths:
+        forget(spark, path)
+
+
+@atexit.register
+def _free_all() -> None:
+    for paths in _scopes:
+        _free([x for x in paths if x[0].sparkContext._jsc is not None])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder; Spark removes the files with the last reference."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
+    """Written to the shared checkpoint folder; deleted with the scope, whether or not Spark is told to clean checkpoints up."""
+    spark = prepare(df.sparkSession)
+    out = df.checkpoint()
+    path = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if path.isDefined():
+        _scopes[-1].append((spark, path.get()))
+    return out
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a table in the checkpoint folder, and its path. Where a loop goes round, this and not checkpoint(): Spark hands its
-    estimates of sizes on through checkpoints, and products of joins would grow without end."""
+def written(df: DataFrame, outer: bool = False) -> tuple[DataFrame, str]:
+    """df as a table in the checkpoint folder, and its path; deleted with the scope, or with the one around it. Where a loop goes round,
+    this and not checkpoint(): Spark hands its estimates of sizes on through checkpoints, and products of joins would grow without end."""
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    _scopes[-2 if outer else -1].append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the checkpoint folder before its scope ends."""
+    for s in _scopes:
+        s[:] = [x for x in s if x[1] != path]
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

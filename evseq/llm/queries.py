@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evseq.llm import bpe, fingerprints, html_extract, licenses, minhash_dedup, mixing, suffix_dedup, toxicity, url_filters, vector_dedup
+from evseq.llm import bpe, fingerprints, html_extract, licenses, merkle, minhash_dedup, mixing, suffix_dedup, toxicity, url_filters, vector_dedup
 from evseq.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.sealed(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_toxicity, op3_embedding_dedup, op4_html_extraction, op5_fingerprints, op6_url_filters, op7_minhash_dedup, op8_mixing, op9_byte_bpe, op10_suffix_dedup)
+    own = (op1_license_scan, op2_toxicity, op3_embedding_dedup, op4_html_extraction, op5_fingerprints, op6_url_filters, op7_minhash_dedup, op8_mixing, op9_byte_bpe, op10_suffix_dedup, op12_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
@@ -104,6 +108,31 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS
 sha256(unhex(CASE WHEN r IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda x: substr(h, 2 * x.b + 1, 2 * (x.a - x.b))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN o USING (rid)"""
 
 
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))"
+    # The CRC-32, bit by bit: each byte into the low bits, then eight steps of the reversed polynomial.
+    bits = "list_reduce(list_prepend(xor(x, c), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {codes}), lambda x, c: {bits}), CAST(4294967295 AS UBIGINT))"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, *, {leaf("text")} AS leaf, CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} END AS tampered FROM documents),
+o AS (SELECT rid, doc_id, leaf, tampered, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+t(lv, g, i, n, node) AS (SELECT 0, g, i, n, leaf FROM o UNION ALL SELECT lv + 1, g, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lv, g, i // 3, n),
+b AS (SELECT g, lv AS height, node AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lv, i, n, node) AS (SELECT 0, i, n, subroot FROM b UNION ALL SELECT lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 3, n),
+steps AS (
+  SELECT o.rid, t.lv, t.i AS k, t.i < o.i // CAST(pow(3, t.lv) AS BIGINT) AS before, t.node FROM o JOIN t ON t.g = o.g AND t.n > 1 AND t.i // 3 = o.i // CAST(pow(3, t.lv + 1) AS BIGINT) AND t.i <> o.i // CAST(pow(3, t.lv) AS BIGINT)
+  UNION ALL SELECT o.rid, b.height + u.lv, u.i, u.i < b.i // CAST(pow(3, u.lv) AS BIGINT), u.node FROM o JOIN b ON b.g = o.g JOIN u ON u.n > 1 AND u.i // 3 = b.i // CAST(pow(3, u.lv + 1) AS BIGINT) AND u.i <> b.i // CAST(pow(3, u.lv) AS BIGINT)),
+p AS (SELECT rid, lv, coalesce(string_agg(node, '' ORDER BY k) FILTER (before), '') AS l, coalesce(string_agg(node, '' ORDER BY k) FILTER (NOT before), '') AS r FROM steps GROUP BY rid, lv),
+f(rid, lv, height, acc) AS (
+  SELECT o.rid, 0, b.height + (SELECT max(lv) FROM u), coalesce(tampered, leaf) FROM o JOIN b ON b.g = o.g
+  UNION ALL SELECT f.rid, f.lv + 1, f.height, sha256(coalesce(p.l, '') || f.acc || coalesce(p.r, '')) FROM f LEFT JOIN p ON p.rid = f.rid AND p.lv = f.lv WHERE f.lv < f.height),
+q AS (SELECT rid, string_agg(l || r, '' ORDER BY lv) AS proof FROM p GROUP BY rid)
+SELECT o.doc_id, o.leaf, b.subroot, z.node AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.acc AS folded_root, f.acc = z.node AS verified
+FROM o JOIN b ON b.g = o.g JOIN u z ON z.n = 1 JOIN f ON f.rid = o.rid AND f.lv = f.height LEFT JOIN q ON q.rid = o.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL: every pair, every substring. For the small tables that oracles run on."""
-    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL}
+    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL, "op12_merkle_manifest": _merkle_sql()}
