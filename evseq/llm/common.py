@@ -233,11 +233,11 @@ LONG_WORD = 512
 _HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A hash for each word `[^\\x20\\x09-\\x0D]+` of the text, A-Z lower-cased: eight bytes at a time are mixed in, for all words that
+def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
+    """A hash for each word `[^\\x20\\x09-\\x0D]+` of the text, A-Z lower-cased if asked for: eight bytes at a time are mixed in, for all words that
     have so many. No sum of powers, as texts can be made for which such sums agree."""
-    lower = text.translate(LOWER_ASCII)
-    data = np.frombuffer(lower, np.uint8)
+    text = text.translate(LOWER_ASCII) if lower else text
+    data = np.frombuffer(text, np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
     inside = np.zeros(len(data) + 2, np.int8)
@@ -245,7 +245,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     size = end - start
-    padded = np.frombuffer(lower + bytes(8), np.uint8)
+    padded = np.frombuffer(text + bytes(8), np.uint8)
     eight = np.ndarray((len(data),), "<u8", padded, 0, (1,))  # at each place the eight bytes that follow
     out = mix(size.astype(np.uint64) * _MUL1)
     todo, at = np.flatnonzero(size <= LONG_WORD), 0
@@ -254,7 +254,7 @@ def word_hashes(text: bytes) -> np.ndarray:
         at += 8
         todo = todo[size[todo] > at]
     for k in np.flatnonzero(size > LONG_WORD):
-        out[k] = int.from_bytes(hashlib.blake2b(lower[start[k] : end[k]], digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(hashlib.blake2b(text[start[k] : end[k]], digest_size=8).digest(), "little")
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evseq.llm import bpe, fingerprints, html_extract, licenses, merkle, minhash_dedup, mixing, suffix_dedup, toxicity, url_filters, vector_dedup
+from evseq.llm import bpe, fingerprints, html_extract, licenses, merkle, minhash_dedup, mixing, substring_dedup, suffix_dedup, toxicity, url_filters, vector_dedup
 from evseq.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.sealed(table(spark, sf_dir, "documents")))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).drop("repeats")
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_toxicity, op3_embedding_dedup, op4_html_extraction, op5_fingerprints, op6_url_filters, op7_minhash_dedup, op8_mixing, op9_byte_bpe, op10_suffix_dedup, op12_merkle_manifest)
+    own = (op1_license_scan, op2_toxicity, op3_embedding_dedup, op4_html_extraction, op5_fingerprints, op6_url_filters, op7_minhash_dedup, op8_mixing, op9_byte_bpe, op10_suffix_dedup, op12_merkle_manifest, op13_substring_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -108,6 +112,15 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS
 sha256(unhex(CASE WHEN r IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda x: substr(h, 2 * x.b + 1, 2 * (x.a - x.b))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN o USING (rid)"""
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)),
+f AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS i FROM (SELECT rid, i, count(*) OVER (PARTITION BY s) AS n FROM g) WHERE n > 1),
+x AS (SELECT rid, doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT x.rid, count(*) AS n, count(f.i) AS gone, coalesce(string_agg(x.v, ' ' ORDER BY x.i) FILTER (f.i IS NULL), '') AS t FROM x LEFT JOIN f ON f.rid = x.rid AND f.i = x.i GROUP BY x.rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)"""
+
+
 def _merkle_sql() -> str:
     field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
     leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
@@ -135,4 +148,4 @@ FROM o JOIN b ON b.g = o.g JOIN u z ON z.n = 1 JOIN f ON f.rid = o.rid AND f.lv
 
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL: every pair, every substring. For the small tables that oracles run on."""
-    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL, "op12_merkle_manifest": _merkle_sql()}
+    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL, "op12_merkle_manifest": _merkle_sql(), "op13_substring_dedup": SUBSTRING_SQL}
