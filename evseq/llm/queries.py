@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evseq.llm import bpe, fingerprints, html_extract, licenses, merkle, minhash_dedup, mixing, substring_dedup, suffix_dedup, toxicity, url_filters, vector_dedup
+from evseq.llm import bpe, fingerprints, html_extract, licenses, merkle, minhash_dedup, mixing, phrases, substring_dedup, suffix_dedup, toxicity, url_filters, vector_dedup
 from evseq.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.sealed(table(spark, sf_dir, "documents")))
 
@@ -65,7 +69,7 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_toxicity, op3_embedding_dedup, op4_html_extraction, op5_fingerprints, op6_url_filters, op7_minhash_dedup, op8_mixing, op9_byte_bpe, op10_suffix_dedup, op12_merkle_manifest, op13_substring_dedup)
+    own = (op1_license_scan, op2_toxicity, op3_embedding_dedup, op4_html_extraction, op5_fingerprints, op6_url_filters, op7_minhash_dedup, op8_mixing, op9_byte_bpe, op10_suffix_dedup, op11_phrase_mining, op12_merkle_manifest, op13_substring_dedup)
     return {f.__name__: f for f in own}
 
 
@@ -112,6 +116,18 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS
 sha256(unhex(CASE WHEN r IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda x: substr(h, 2 * x.b + 1, 2 * (x.a - x.b))), '') || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN o USING (rid)"""
 
 
+PHRASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, p, count(*) AS a FROM g GROUP BY lang, k, p),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT c.*, j, x.a AS l, y.a AS r, 2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : j] JOIN f y ON y.lang = c.lang AND y.p = c.p[j + 1 :]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+gone AS (SELECT DISTINCT c.lang, x.p FROM (SELECT lang, k, p, a, m, p[i : i + m - 1] AS q FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) s(m) WHERE m < k)) c JOIN c x ON x.lang = c.lang AND x.p = c.q WHERE 100 * c.a >= 80 * x.a),
+r AS (SELECT low.lang, array_to_string(low.p, ' ') AS phrase, low.a, l, r, score FROM low ANTI JOIN gone ON gone.lang = low.lang AND gone.p = low.p)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r JOIN (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
+
 SUBSTRING_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT rid, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)),
@@ -148,4 +164,4 @@ FROM o JOIN b ON b.g = o.g JOIN u z ON z.n = 1 JOIN f ON f.rid = o.rid AND f.lv
 
 def oracle_sql() -> dict[str, str]:
     """Brute force in SQL: every pair, every substring. For the small tables that oracles run on."""
-    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL, "op12_merkle_manifest": _merkle_sql(), "op13_substring_dedup": SUBSTRING_SQL}
+    return {"op3_embedding_dedup": VECTOR_SQL, "op6_url_filters": _url_sql(), "op7_minhash_dedup": MINHASH_SQL, "op10_suffix_dedup": SUFFIX_SQL, "op11_phrase_mining": PHRASE_SQL, "op12_merkle_manifest": _merkle_sql(), "op13_substring_dedup": SUBSTRING_SQL}
