@@ -119,13 +119,15 @@ sha256(unhex(CASE WHEN r IS NULL THEN h ELSE array_to_string(list_transform(gaps
 PHRASE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
-g AS (SELECT lang, k, w[i : i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, p, count(*) AS a FROM g GROUP BY lang, k, p),
-c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
-cut AS (SELECT c.*, j, x.a AS l, y.a AS r, 2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : j] JOIN f y ON y.lang = c.lang AND y.p = c.p[j + 1 :]),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS a FROM g GROUP BY lang, k, p HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, p, string_split(p, ' ') AS w, a FROM f WHERE k > 1),
+parts AS MATERIALIZED (SELECT lang, p, w, a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cut AS (SELECT q.lang, q.p, q.a, j, x.a AS l, y.a AS r, 2000000 * CAST(q.a AS HUGEINT) // (x.a + y.a) AS score FROM parts q JOIN f x ON x.lang = q.lang AND x.p = q.x JOIN f y ON y.lang = q.lang AND y.p = q.y),
 low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
-gone AS (SELECT DISTINCT c.lang, x.p FROM (SELECT lang, k, p, a, m, p[i : i + m - 1] AS q FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) s(m) WHERE m < k)) c JOIN c x ON x.lang = c.lang AND x.p = c.q WHERE 100 * c.a >= 80 * x.a),
-r AS (SELECT low.lang, array_to_string(low.p, ' ') AS phrase, low.a, l, r, score FROM low ANTI JOIN gone ON gone.lang = low.lang AND gone.p = low.p)
+inner_ AS MATERIALIZED (SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS q FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) s(m) WHERE m < k)),
+gone AS (SELECT DISTINCT c.lang, c.p FROM inner_ i JOIN c ON c.lang = i.lang AND c.p = i.q WHERE 100 * i.a >= 80 * c.a),
+r AS (SELECT lang, p AS phrase, a, l, r, score FROM low ANTI JOIN gone USING (lang, p))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r JOIN (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
 
 SUBSTRING_SQL = r"""
