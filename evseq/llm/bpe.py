@@ -22,7 +22,7 @@ from evseq.llm import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: States and pairs kept before a table starts anew; short pieces kept before the oldest go, half of all at once.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 250_000, 300_000, 150_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 250_000, 300_000, 350_000
 #: A file of ranks above this is not sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 
@@ -48,8 +48,10 @@ class Transducer:
                     last += 1
                     self.child[key] = node = last
             self.token[node] = i
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        # Of two tokens that spell a third, first << 32 | second -> its rank.
+        self.merge = {ranks[t[:i]] << 32 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.never = max(self.spelling, default=0) + 1
         self.reset()
 
@@ -80,7 +82,7 @@ class Transducer:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the merges leave these neighbours as they are; left -1: the start of the piece."""
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.pair.get(key)) is None:
             if len(self.pair) > MOST_PAIRS:
                 self.pair.clear()
@@ -90,13 +92,14 @@ class Transducer:
     def apart(self, x: int, y: int) -> bool:
         """Back in time from both tokens to single bytes, the later merge undone first: x is what stood before the border, y behind it,
         and neither was merged across it before it was merged with its own. Of equal ranks, the merge further left came first."""
-        spelling, ranks = self.spelling, self.ranks
+        merge, halves = self.merge, self.halves
         of_x = of_y = self.never  # ranks at which they were merged with their own; at first never
         while True:
-            r = ranks.get(spelling[x] + spelling[y])
+            r = merge.get(x << 32 | y)
             if r is not None and r < of_x and r <= of_y:
                 return False
-            before, after = self.parts(x), self.parts(y)
+            before = halves[x] if x in halves else self.parts(x)
+            after = halves[y] if y in halves else self.parts(y)
             if before is None or after is None:
                 return False
             if before[0] < 0 and after[0] < 0:
@@ -177,44 +180,48 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern)
-        # Short pieces met of late, and those met before them: ids, and these as text.
-        self.pieces: dict[str, tuple[list[int], str]] = {}
-        self.older: dict[str, tuple[list[int], str]] = {}
+        #: Bytes of each id, by its decimal digits.
+        self.spelling = {str(i): t for i, t in self.transducer.spelling.items()}
+        # Short pieces met of late, and those met before them: their ids in decimal, joined by spaces.
+        self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
-    def piece(self, piece: str) -> tuple[list[int], str]:
+    def piece(self, piece: str) -> str:
         known = self.older.get(piece)
         if known is None:
-            ids = self.transducer.encode(piece.encode())
-            known = ids, " ".join(map(str, ids))
+            known = " ".join(map(str, self.transducer.encode(piece.encode())))
         if len(piece) < 64:
             if len(self.pieces) >= MOST_PIECES:
                 self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = known
         return known
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids, and these in decimal, joined by spaces."""
-        ids: list[int] = []
-        spelt: list[str] = []
+    def encode(self, text: str) -> str:
+        """Ids in decimal, joined by spaces."""
+        known, new = self.pieces.get, self.piece
+        out = []
         for piece in self.split.findall(text):
-            known = self.pieces.get(piece) or self.piece(piece)
-            ids += known[0]
-            spelt.append(known[1])
-        return ids, " ".join(spelt)
+            ids = known(piece)
+            if ids is None:
+                ids = new(piece)
+                known = self.pieces.get
+            out.append(ids)
+        return " ".join(out)
 
 
 class StreamDecoder:
-    """Ids in, text out, in steps: bytes of a character that is not complete yet wait for the next ids."""
+    """Ids in, text out, in steps: bytes of a character that is not complete yet wait for the next ids. The state machine is the standard
+    library's incremental UTF-8 decoder. Ids may be numbers or their digits, as the spelling has them."""
 
-    def __init__(self, spelling: dict[int, bytes]):
+    def __init__(self, spelling: dict[int, bytes] | dict[str, bytes]):
         self.spelling = spelling
         self.machine = codecs.getincrementaldecoder("utf-8")("strict")
 
-    def feed(self, ids: list[int], final: bool = False) -> str:
+    def feed(self, ids: list, final: bool = False) -> str:
         return self.machine.decode(b"".join([self.spelling[i] for i in ids]), final)
 
 
-def decode_stream(ids: list[int], spelling: dict[int, bytes], step: int = 4096) -> Iterator[str]:
+def decode_stream(ids: list, spelling: dict, step: int = 4096) -> Iterator[str]:
     """The text of the ids, in pieces."""
     decoder = StreamDecoder(spelling)
     for i in range(0, max(1, len(ids)), step):
@@ -242,18 +249,18 @@ def tokenized(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tr
         if key not in bpe._loaded:
             bpe._loaded[key] = Encoder(read_ranks(sent.value), pattern)
         encoder = bpe._loaded[key]
-        spelling = encoder.transducer.spelling
         cols: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")}
         for text in batch.column(1).to_pylist():
-            ids, spelt = encoder.encode(text or "")
+            spelt = encoder.encode(text or "")
+            ids = spelt.split()
             back = hashlib.sha256()
-            for part in decode_stream(ids, spelling):
+            for part in decode_stream(ids, encoder.spelling):
                 back.update(part.encode())
             cols["n_tokens"].append(len(ids))
             cols["ids_sha256"].append(hashlib.sha256(spelt.encode()).hexdigest())
             cols["decoded_sha256"].append(back.hexdigest())
             if with_ids:
-                cols["ids"].append(ids)
+                cols["ids"].append([*map(int, ids)])
         return cols | {"doc_id": batch.column(0)}
 
     return common.map_rows(docs.select("doc_id", "text"), one, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -704,16 +704,16 @@ def test_bpe_random(encoder):
     rng = random.Random(1)
     for _ in range(2000):
         t = "".join(rng.choice(["a", "b", "the", "ing", " ", "  ", "é", "漢", "🎉", "'s", "12", "\n", "!?", "<|endoftext|>", "ß"]) for _ in range(rng.randint(0, 40)))
-        ids, spelt = mine.encode(t)
-        assert ids == theirs.encode_ordinary(t) and spelt == " ".join(map(str, ids))
-        assert "".join(bpe.decode_stream(ids, mine.transducer.spelling, 3)) == t
+        ids = theirs.encode_ordinary(t)
+        assert mine.encode(t) == " ".join(map(str, ids))
+        assert "".join(bpe.decode_stream(ids, mine.transducer.spelling, 3)) == t == "".join(bpe.decode_stream(mine.encode(t).split(), mine.spelling, 3))
 
 
 def test_bpe_long_piece(encoder):
     mine, theirs, _ = encoder
     rng = random.Random(2)
     t = "".join(rng.choice("abcdeth") for _ in range(20000))
-    assert mine.encode(t)[0] == theirs.encode_ordinary(t)
+    assert mine.encode(t) == " ".join(map(str, theirs.encode_ordinary(t)))
 
 
 def test_bpe_states_start_anew(encoder, monkeypatch):
@@ -722,7 +722,7 @@ def test_bpe_states_start_anew(encoder, monkeypatch):
     monkeypatch.setattr(bpe, "MOST_PAIRS", 50)
     monkeypatch.setattr(bpe, "MOST_PIECES", 2)
     for t in ("unbelievable", "antidisestablishmentarianism xyzzyq", "qqqq zzzz"):
-        assert bpe.Encoder(mine.transducer.ranks, encoder[2].PATTERN).encode(t)[0] == theirs.encode_ordinary(t)
+        assert bpe.Encoder(mine.transducer.ranks, encoder[2].PATTERN).encode(t) == " ".join(map(str, theirs.encode_ordinary(t)))
 
 
 def test_bpe_table(encoder, docs, rows, empty):
