@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch: long texts must not fill a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch, whichever is less: long texts must not fill a worker's memory. One row is always taken.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: Bytes of text that numpy code handles at once.
 CHUNK_BYTES = 1 << 20
 
@@ -34,9 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, and the checkpoint folder that the cluster names. In local mode, as in tests, where none is named, a
+    """Small Arrow batches (settings of the session, which stay, as results are computed later), and the checkpoint folder that the cluster names. In local mode, as in tests, where none is named, a
     temporary one; elsewhere that is an error, as executors don't see each other's folders."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir", None)

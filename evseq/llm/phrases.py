@@ -134,7 +134,8 @@ def _send(k: int):
         common.occupy(__name__)
         for batch in batches:
             words = "names" in batch.schema.names
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 n = unpacked(row["counts"])
                 if words:
                     order, parts = _word_order(row["names"], k)
