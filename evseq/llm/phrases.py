@@ -30,7 +30,7 @@ MIN, LONGEST, COVERED = 30, 4, 80
 #: Phrases returned for a language.
 TOP = 2000
 #: Bytes of text in a block; names (words or pairs) of all blocks in a bucket; least number of buckets.
-BLOCK_BYTES, BUCKET_NAMES, LEAST = 8 << 20, 1 << 20, 64
+BLOCK_BYTES, BUCKET_NAMES, LEAST = 4 << 20, 1 << 20, 64
 
 WORDS = "lang string, seq binary, names array<binary>, counts binary"
 PAIRS = "block long, lang string, seq binary, left binary, right binary, counts binary, n long"
@@ -48,12 +48,16 @@ _TABLE = bytes(_TABLE)
 
 
 def packed(a: np.ndarray) -> bytes:
-    """64-bit numbers by planes of bytes: those of small or ordered numbers compress to little on their way."""
-    return np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Numbers from 0 on by planes of bytes, as many as the greatest needs, and how many: they are small, and ordered ones compress well."""
+    width = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
 def tokens(texts: Iterable[bytes]) -> tuple[np.ndarray, list[bytes]]:
