@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evseq import schema
-from evseq.operators.ranks import shuffled
+from evseq.operators.ranks import DIGITS, shuffled
 
 
 def min_visits(seqs: DataFrame, k: int) -> DataFrame:
@@ -60,12 +63,58 @@ def combination(labels: list[str]) -> Column:
     return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-1")) for c in labels])
 
 
-def multi_label_stratified(ids: DataFrame, labels: list[str], test: float, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    """Strata are combinations of labels. Rare combinations (fewer than 1 / test ids) are pooled, so every label's share is near."""
+def allotted(combos: list[str], sizes: list[int], test: float) -> list[int]:
+    """Of each combination of labels how many rows go to the test split, by iterative stratification.
+
+    The label (value 1) that has fewest rows left is dealt first, a combination at a time in their order; each row goes to the split that
+    still wants more of that label, to training if they want alike. So many equal rows are dealt at once, as the outcome is known: the wants
+    come level, then take turns. Rows without any label are dealt by number alone.
+    """
+    flags = [[k for k, v in enumerate(c.split(",")) if v == "1"] for c in combos]
+    every = max((len(c.split(",")) for c in combos), default=0)  # the number of the label that all rows have
+    left = [0] * (every + 1)
+    for f, n in zip(flags, sizes, strict=True):
+        f.append(every)
+        for k in f:
+            left[k] += n
+    wants = [[n * (1.0 - test) for n in left], [n * test for n in left]]
+    of: list[list[int]] = [[] for _ in left]
+    for i in reversed(range(len(combos))):
+        for k in flags[i]:
+            of[k].append(i)
+    out = [-1] * len(combos)
+    while True:
+        k = min((k for k in range(every) if left[k]), key=left.__getitem__, default=every)
+        while of[k] and out[of[k][-1]] >= 0:
+            of[k].pop()
+        if not of[k]:
+            return out
+        i = of[k].pop()
+        train = int(max(0, min(sizes[i], math.floor((sizes[i] + wants[0][k] - wants[1][k] + 1) / 2))))
+        out[i] = sizes[i] - train
+        for q in flags[i]:
+            left[q] -= sizes[i]
+            wants[0][q] -= train
+            wants[1][q] -= out[i]
+
+
+def multi_label_stratified(ids: DataFrame, labels: list[str], test: float | int, key: str = "subject_id", seed: str = "23", names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """Iterative stratification: every label keeps its share in both splits, rare labels first. test: a part, or a number of rows.
+
+    The sequential pass runs in one task over the combinations of labels that occur, a row each, never over ids; ids of one combination
+    are alike to it, and take their places in hash order. Nulls are -1. Empty table: no rows.
+    """
     d = ids.withColumn("_combo", combination(labels))
     n = d.groupBy("_combo").agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(n, "_combo").withColumn("_stratum", F.when(F.col("_n") * test >= 1, F.col("_combo")).otherwise("rare"))
-    return stratified(d.drop("_combo", "_n"), "_stratum", test, key, seed).drop("_stratum")
+
+    def deal(combos: pd.DataFrame) -> pd.DataFrame:
+        combos = combos.sort_values("_combo")
+        sizes = combos["_n"].tolist()
+        return pd.DataFrame({"_c": combos["_combo"], "_test": allotted(combos["_combo"].tolist(), sizes, test if isinstance(test, float) else min(1.0, test / sum(sizes)))})
+
+    quotas = n.withColumn("_one", F.lit(True)).groupBy("_one").applyInPandas(deal, "_c string, _test long")
+    r = shuffled(d, key, seed, ("_combo",)).join(quotas, F.col("_combo") == F.col("_c"))
+    return r.withColumn("split", F.when(F.col("_rank") < F.col("_test"), names[1]).otherwise(names[0])).drop("_rank", "_total", "_combo", "_c", "_n", "_test")
 
 
 def balanced(ids: DataFrame, label: str, n: int, key: str = "subject_id", seed: str = "23") -> DataFrame:
@@ -75,8 +124,9 @@ def balanced(ids: DataFrame, label: str, n: int, key: str = "subject_id", seed:
 
 
 def sample(ids: DataFrame, n: int, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    """The n rows first in hash order, or all if there are fewer; repeated keys count as rows."""
-    return shuffled(ids, key, seed).where(F.col("_rank") < n).drop("_rank", "_total")
+    """The n rows first in hash order, or all if there are fewer; repeated keys count as rows, null keys come first. Each task keeps n rows
+    at most, and only those travel."""
+    return ids.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")).asc_nulls_first(), key).limit(n)
 
 
 def downsampled(points: DataFrame, ratio: float, key: str = "patient_id", label: str = "label", seed: str = "23") -> DataFrame:
@@ -88,18 +138,19 @@ def downsampled(points: DataFrame, ratio: float, key: str = "patient_id", label:
 
 def few_shot(ids: DataFrame, label: str | list[str], sizes: list[int], scheme: str, val: float = 0.2, key: str = "subject_id", seed: str = "23") -> DataFrame:
     """Rows (split, scheme, key, subject_id) of training and validation subsets for each size. Schemes: balanced, stratified, and
-    multi_label, for which label is a list: strata are then combinations of labels, rare ones pooled."""
+    multi_label, for which label is a list: subsets and their validation parts are then dealt by iterative stratification."""
     out = None
-    if scheme == "multi_label":
-        ids, label = ids.withColumn("_stratum", combination(label)), "_stratum"
     for n in sizes:
-        if scheme == "balanced":
+        if scheme == "multi_label":
+            picked = multi_label_stratified(ids, label, n, key, seed).where("split = 'test'").drop("split")
+        elif scheme == "balanced":
             picked = balanced(ids, label, n, key, seed)
         else:
             r = shuffled(ids.where(F.col(label).isNotNull() & (F.col(label).cast("string") != "-1")), key, seed, (label,))
             of = r.agg(F.count(F.lit(1)).alias("_all"))
             picked = r.crossJoin(F.broadcast(of)).where(F.col("_rank") < F.floor(F.col("_total") * n / F.col("_all") + 0.5)).drop("_rank", "_total", "_all")
-        part = stratified(picked, label, val, key, seed, ("train", "val")).select("split", F.lit(scheme).alias("scheme"), F.lit(str(n)).alias("key"), F.col(key).alias("subject_id"))
+        part = (multi_label_stratified if scheme == "multi_label" else stratified)(picked, label, val, key, seed, ("train", "val"))
+        part = part.select("split", F.lit(scheme).alias("scheme"), F.lit(str(n)).alias("key"), F.col(key).alias("subject_id"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -124,17 +175,32 @@ def train_val(df: DataFrame, val: float, key: str = "subject_id", seed: str = "2
     return df.withColumn("split", F.when(u < val, "val").otherwise("train"))
 
 
-def overlapping(ids: DataFrame, labels: list[str], per_value: int, key: str = "subject_id", seed: str = "23") -> DataFrame:
-    """For each label in turn and each of its values 0 and 1, per_value ids, those already chosen first; ids chosen by any."""
-    chosen = ids.select(key).limit(0)
-    for c in labels:
-        d = ids.where(F.col(c).isin(0, 1)).select(key, F.col(c).alias("_y")).join(chosen.withColumn("_used", F.lit(1)), key, "left")
-        r = shuffled(d.withColumn("_fresh", F.col("_used").isNull().cast("int")).drop("_used"), key, f"{seed}:{c}", ("_y", "_fresh"))
-        # Places of fresh ids come after all used ones of the same value.
-        used = r.where("_fresh = 0").groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-        r = r.join(F.broadcast(used), "_y", "left").withColumn("_place", F.col("_rank") + F.when(F.col("_fresh") == 1, F.coalesce("_n", F.lit(0))).otherwise(0))
-        chosen = chosen.union(r.where(F.col("_place") < per_value).select(key)).distinct()
-    return chosen
+def overlapping(ids: DataFrame, labels: list[str] | dict[str, int], per_value: int = 0, key: str = "subject_id", seed: str = "23") -> DataFrame:
+    """For each label in turn and each of its values 0 and 1, so many ids (per_value, or the label's own number), those already chosen
+    first, then in hash order; ids chosen by any, each once. Values of other kinds and null ids are passed over. Empty table: no rows.
+
+    What a label can choose afresh is among its first ids in hash order, so many as it asks for, whatever was chosen before: these are
+    found for all labels and values together, by counts of hash buckets. The turns are then windows over those candidates alone, whose
+    number the caller states; the input is read twice, however many labels there are.
+    """
+    most = labels if isinstance(labels, dict) else dict.fromkeys(labels, per_value)
+    md5 = lambda c: F.md5(F.concat(F.lit(f"{seed}:{c}:"), F.col(key).cast("string")).cast("binary"))
+    asked = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("int").alias("y"), F.lit(n).alias("most"), md5(c).alias("md5")) for c, n in most.items()])
+    d = ids.where(F.col(key).isNotNull()).select(key, *most, F.explode(F.filter(asked, lambda x: x["y"].isin(0, 1))).alias("_a"))
+    d = d.withColumn("_bucket", F.substring("_a.md5", 1, DIGITS))
+    per = d.groupBy(F.col("_a.label").alias("_label"), F.col("_a.y").alias("_y"), "_a.most", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_so_far", F.sum("_n").over(Window.partitionBy("_label", "_y").orderBy("_bucket")))
+    # Two rows for each label.
+    last = F.broadcast(per.groupBy("_label", "_y").agg(F.min(F.when(F.col("_so_far") >= F.col("most"), F.col("_bucket"))).alias("_last")))
+    near = d.join(last, (F.col("_a.label") == F.col("_label")) & (F.col("_a.y") == F.col("_y"))).where(F.col("_last").isNull() | (F.col("_bucket") <= F.col("_last")))
+    near = near.withColumn("_place", F.row_number().over(Window.partitionBy("_label", "_y").orderBy("_a.md5", key))).where(F.col("_place") <= F.col("_a.most"))
+    places = {f"_p{i}": F.min(F.when(F.col("_label") == c, F.col("_place"))) for i, c in enumerate(most)}
+    out = near.groupBy(key, *most).agg(*[p.alias(n) for n, p in places.items()]).withColumn("_used", F.lit(False))
+    for (c, n), p in zip(most.items(), places, strict=True):
+        fresh, same = ~F.col("_used") & F.col(p).isNotNull(), Window.partitionBy(c)
+        place = F.count_if(fresh).over(same.orderBy(F.asc_nulls_last(p), key).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("_used", F.col("_used") | (fresh & (place <= F.lit(n) - F.count_if(F.col("_used")).over(same))))
+    return out.where("_used").select(key).distinct()
 
 
 def condition_weights(wide: DataFrame, labels: list[str], most: float = 50.0) -> DataFrame:

@@ -9,7 +9,7 @@ from evseq import schema
 from evseq.functions import arrays, codes, timecols
 from evseq.operators import align, cohort, features, metrics, ranks, repair, sequences, vocab
 from evseq.plans import proxies
-from evseq.plans.catalog import _IDS, ids, lists, long, master, points, query, scored, seqs, text, with_status, words
+from evseq.plans.catalog import _IDS, dealt_sql, ids, lists, long, master, points, query, scored, seqs, text, with_status, words
 from evseq.plans.catalog import _LOS, _MULTI, _POINTS, _READ
 from evseq.plans.proxies import sql
 from evseq.sources import io
@@ -285,12 +285,13 @@ def q_train_val(spark, sf_dir):
     return cohort.train_val(ids(spark, sf_dir), 0.2).select("subject_id", "split")
 
 
-_STRATA = "SELECT subject_id, concat_ws(',', y, CAST(subject_id % 3 = 0 AS INTEGER)) AS stratum FROM ids"
-_PICKED = "SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('23:' || subject_id)) - 1 AS n, count(*) OVER (PARTITION BY stratum) AS total, count(*) OVER () AS every FROM strata"
+_STRATA = "SELECT subject_id, concat_ws(',', y, CAST(subject_id % 3 = 0 AS INTEGER)) AS combo FROM ids"
+_PLACES = "row_number() OVER (PARTITION BY {0} ORDER BY md5('23:' || subject_id)) - 1"
 
 
-@query(sql("""SELECT CASE WHEN m < floor(u * 0.2 + 0.5) THEN 'val' ELSE 'train' END AS split, 'multi_label' AS scheme, CAST(size AS VARCHAR) AS key, subject_id FROM (SELECT *, row_number() OVER (PARTITION BY size, stratum ORDER BY md5('23:' || subject_id)) - 1 AS m, count(*) OVER (PARTITION BY size, stratum) AS u
-    FROM picked CROSS JOIN (VALUES (30), (90)) s(size) WHERE n < floor(total * size / every + 0.5))""", ids=_IDS, strata=_STRATA, picked=_PICKED))
+@query(sql("SELECT CASE WHEN m < d.n_test THEN 'val' ELSE 'train' END AS split, 'multi_label' AS scheme, CAST(g AS VARCHAR) AS key, subject_id FROM (SELECT *, " + _PLACES.format("g, combo") + " AS m FROM picked) JOIN validated d USING (g, combo)", ids=_IDS, strata=_STRATA,
+    sized="SELECT g, combo, count(*) AS n, g / (SELECT count(*) FROM ids) AS share FROM strata CROSS JOIN (VALUES (30), (90)) s(g) GROUP BY g, combo", **dealt_sql("sized", 2),
+    picked="SELECT g, combo, subject_id FROM (SELECT *, " + _PLACES.format("combo") + " AS n FROM strata) JOIN dealt USING (combo) WHERE n < n_test", again="SELECT g, combo, count(*) AS n, 0.2 AS share FROM picked GROUP BY g, combo", **dealt_sql("again", 2, "validated")))
 def q_fewshot_multilabel(spark, sf_dir):
     d = ids(spark, sf_dir).withColumn("z", (F.col("subject_id") % 3 == 0).cast("int"))
     return cohort.few_shot(d, ["y", "z"], [30, 90], "multi_label")

@@ -303,10 +303,46 @@ def q_overlap_select(spark, sf_dir):
     return cohort.overlapping(d, ["y", "z"], 45)
 
 
-_COMBO = "SELECT *, CASE WHEN count(*) OVER (PARTITION BY y, z, w) * 0.2 >= 1 THEN concat_ws(',', y, z, w) ELSE 'rare' END AS stratum FROM (SELECT subject_id, y, CAST(subject_id % 3 = 0 AS INTEGER) AS z, CAST(subject_id % 50 = 0 AS INTEGER) AS w FROM ids)"
+_SIX = {"a": ("subject_id % 2", 45), "b": ("subject_id % 3 = 0", 30), "c": ("subject_id % 5 = 1", 60), "d": ("subject_id % 7 < 3", 20), "e": ("subject_id % 11 = 4", 25), "f": ("y", 50)}
 
 
-@query(sql("SELECT subject_id, y, z, w, CASE WHEN n < floor(t * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('23:' || subject_id)) - 1 AS n, count(*) OVER (PARTITION BY stratum) AS t FROM combos)", ids=_IDS, combos=_COMBO))
+def _turns() -> dict[str, str]:
+    """A chain of tables, one for each label: ids chosen so far."""
+    out = {"six": f"SELECT subject_id, {', '.join(f'CAST({e} AS INTEGER) AS {c}' for c, (e, _) in _SIX.items())} FROM ids"}
+    for i, (c, (_, n)) in enumerate(_SIX.items()):
+        before = f"SELECT subject_id FROM t{i - 1}" if i else "SELECT subject_id FROM ids WHERE FALSE"
+        picked = f"SELECT subject_id FROM (SELECT *, row_number() OVER (PARTITION BY {c} ORDER BY fresh, md5('23:{c}:' || subject_id)) AS n FROM (SELECT *, CAST(subject_id NOT IN ({before}) AS INTEGER) AS fresh FROM six)) WHERE n <= {n}"
+        out[f"t{i}"] = f"SELECT * FROM ({before} UNION {picked})"
+    return out
+
+
+@query(sql("SELECT subject_id FROM t5", ids=_IDS, **_turns()))
+def q_overlap_six(spark, sf_dir):
+    d = ids(spark, sf_dir).withColumns({c: F.expr(e).cast("int") for c, (e, _) in _SIX.items()})
+    return cohort.overlapping(d, {c: n for c, (_, n) in _SIX.items()})
+
+
+def dealt_sql(source: str, labels: int, name: str = "dealt") -> dict[str, str]:
+    """Iterative stratification as a recursion with one state for each g: lists of combinations and of what the splits want of each label,
+    the last for all rows. source: a table of g, combo, n and share; the result: g, combo, n_test."""
+    numbers = f"range(1, {labels + 2})"
+    at = "list_transform({}, lambda q: {})".format
+    sums = at(numbers, "list_sum(list_transform(cs, lambda x: CASE WHEN x.f[q] THEN x.n ELSE 0 END))")
+    left = f"list_transform(range(1, {labels + 1}), lambda q: coalesce(list_sum(list_transform(range(1, len(cs) + 1), lambda j: CASE WHEN done[j] < 0 AND cs[j].f[q] THEN cs[j].n ELSE 0 END)), 0))"
+    state = f"SELECT g, cs, {at(numbers, 's[q] * (1 - share)')} AS tr, {at(numbers, 's[q] * share')} AS te, list_transform(cs, lambda x: CAST(-1 AS BIGINT)) AS done FROM (SELECT *, {sums} AS s FROM (SELECT g, any_value(CAST(share AS DOUBLE)) AS share, list(struct_pack(c := combo, n := n, f := list_append(list_transform(string_split(combo, ','), lambda v: v = '1'), TRUE)) ORDER BY combo) AS cs FROM {source} GROUP BY g))"
+    picked = f"SELECT *, coalesce(list_filter(range(1, {labels + 1}), lambda q: rest[q] > 0 AND rest[q] = list_min(list_filter(rest, lambda v: v > 0)))[1], {labels + 1}) AS k FROM (SELECT *, {left} AS rest FROM {name}_steps WHERE list_min(done) < 0)"
+    placed = f"SELECT *, list_filter(range(1, len(cs) + 1), lambda j: done[j] < 0 AND cs[j].f[k])[1] AS i FROM ({picked})"
+    counted = f"SELECT *, CAST(greatest(0, least(cs[i].n, floor((cs[i].n + tr[k] - te[k] + 1) / 2))) AS BIGINT) AS x FROM ({placed})"
+    less = lambda c, x: at(numbers, f"{c}[q] - CASE WHEN cs[i].f[q] THEN {x} ELSE 0 END")
+    step = f"SELECT g, cs, {less('tr', 'x')}, {less('te', '(cs[i].n - x)')}, list_transform(range(1, len(cs) + 1), lambda j: CASE WHEN j = i THEN cs[i].n - x ELSE done[j] END) FROM ({counted})"
+    every = f"SELECT g, cs[j].c AS combo, done[j] AS n_test FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS j FROM {name}_steps WHERE list_min(done) >= 0)"
+    return {f"{name}_steps(g, cs, tr, te, done)": f"{state} UNION ALL {step}", name: every}
+
+
+_COMBO = "SELECT subject_id, y, CAST(subject_id % 3 = 0 AS INTEGER) AS z, CAST(subject_id % 50 = 0 AS INTEGER) AS w, concat_ws(',', y, CAST(subject_id % 3 = 0 AS INTEGER), CAST(subject_id % 50 = 0 AS INTEGER)) AS combo FROM ids"
+
+
+@query(sql("SELECT subject_id, y, z, w, CASE WHEN n < n_test THEN 'test' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY combo ORDER BY md5('23:' || subject_id)) - 1 AS n FROM combos) JOIN dealt USING (combo)", ids=_IDS, combos=_COMBO, counted="SELECT 0 AS g, combo, count(*) AS n, 0.2 AS share FROM combos GROUP BY combo", **dealt_sql("counted", 3)))
 def q_multilabel_stratified(spark, sf_dir):
     d = ids(spark, sf_dir).withColumns({"z": (F.col("subject_id") % 3 == 0).cast("int"), "w": (F.col("subject_id") % 50 == 0).cast("int")})
     return cohort.multi_label_stratified(d, ["y", "z", "w"], 0.2).select("subject_id", "y", "z", "w", "split")

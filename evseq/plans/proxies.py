@@ -127,4 +127,5 @@ def sql(body: str, *views: str, **more: str) -> str:
     """body with the views it needs in front, and further ones of its own."""
     names = list(dict.fromkeys(n for v in views for n in (*NEEDS.get(v, []), v)))
     ctes = [f"{n} AS ({SQL[n]})" for n in names] + [f"{n} AS ({q})" for n, q in more.items()]
-    return f"WITH {', '.join(ctes)} {body}" if ctes else body
+    recursive = "RECURSIVE " * any("(" in n for n in more)
+    return f"WITH {recursive}{', '.join(ctes)} {body}" if ctes else body
