@@ -66,36 +66,32 @@ def combination(labels: list[str]) -> Column:
 def allotted(combos: list[str], sizes: list[int], test: float) -> list[int]:
     """Of each combination of labels how many rows go to the test split, by iterative stratification.
 
-    The label (value 1) that has fewest rows left is dealt first, a combination at a time in their order; each row goes to the split that
-    still wants more of that label, to training if they want alike. So many equal rows are dealt at once, as the outcome is known: the wants
-    come level, then take turns. Rows without any label are dealt by number alone.
+    The label (value 1) that has fewest rows left is dealt first, all its combinations that are open: of those rows the test split gets so
+    many as it still wants of the label, each combination in proportion, by rounding the running total, so the label is met to half a
+    row and each combination to one. What was dealt is taken off the wants of all labels that go with it. Rows without labels come last.
     """
     flags = [[k for k, v in enumerate(c.split(",")) if v == "1"] for c in combos]
     every = max((len(c.split(",")) for c in combos), default=0)  # the number of the label that all rows have
-    left = [0] * (every + 1)
-    for f, n in zip(flags, sizes, strict=True):
+    of: list[list[int]] = [[] for _ in range(every + 1)]
+    for i, f in enumerate(flags):
         f.append(every)
         for k in f:
-            left[k] += n
-    wants = [[n * (1.0 - test) for n in left], [n * test for n in left]]
-    of: list[list[int]] = [[] for _ in left]
-    for i in reversed(range(len(combos))):
-        for k in flags[i]:
             of[k].append(i)
+    left = [sum(sizes[i] for i in at) for at in of]
+    wants = [n * test for n in left]
     out = [-1] * len(combos)
-    while True:
+    while left and left[every]:
         k = min((k for k in range(every) if left[k]), key=left.__getitem__, default=every)
-        while of[k] and out[of[k][-1]] >= 0:
-            of[k].pop()
-        if not of[k]:
-            return out
-        i = of[k].pop()
-        train = int(max(0, min(sizes[i], math.floor((sizes[i] + wants[0][k] - wants[1][k] + 1) / 2))))
-        out[i] = sizes[i] - train
-        for q in flags[i]:
-            left[q] -= sizes[i]
-            wants[0][q] -= train
-            wants[1][q] -= out[i]
+        part, so_far, before = max(0.0, min(1.0, wants[k] / left[k])), 0, 0
+        for i in of[k]:
+            if out[i] < 0:
+                so_far += sizes[i]
+                upto = math.floor(so_far * part + 0.5)
+                out[i], before = upto - before, upto
+                for q in flags[i]:
+                    left[q] -= sizes[i]
+                    wants[q] -= out[i]
+    return out
 
 
 def multi_label_stratified(ids: DataFrame, labels: list[str], test: float | int, key: str = "subject_id", seed: str = "23", names: tuple[str, str] = ("train", "test")) -> DataFrame:

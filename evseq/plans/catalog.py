@@ -323,20 +323,19 @@ def q_overlap_six(spark, sf_dir):
 
 
 def dealt_sql(source: str, labels: int, name: str = "dealt") -> dict[str, str]:
-    """Iterative stratification as a recursion with one state for each g: lists of combinations and of what the splits want of each label,
-    the last for all rows. source: a table of g, combo, n and share; the result: g, combo, n_test."""
-    numbers = f"range(1, {labels + 2})"
-    at = "list_transform({}, lambda q: {})".format
-    sums = at(numbers, "list_sum(list_transform(cs, lambda x: CASE WHEN x.f[q] THEN x.n ELSE 0 END))")
-    left = f"list_transform(range(1, {labels + 1}), lambda q: coalesce(list_sum(list_transform(range(1, len(cs) + 1), lambda j: CASE WHEN done[j] < 0 AND cs[j].f[q] THEN cs[j].n ELSE 0 END)), 0))"
-    state = f"SELECT g, cs, {at(numbers, 's[q] * (1 - share)')} AS tr, {at(numbers, 's[q] * share')} AS te, list_transform(cs, lambda x: CAST(-1 AS BIGINT)) AS done FROM (SELECT *, {sums} AS s FROM (SELECT g, any_value(CAST(share AS DOUBLE)) AS share, list(struct_pack(c := combo, n := n, f := list_append(list_transform(string_split(combo, ','), lambda v: v = '1'), TRUE)) ORDER BY combo) AS cs FROM {source} GROUP BY g))"
-    picked = f"SELECT *, coalesce(list_filter(range(1, {labels + 1}), lambda q: rest[q] > 0 AND rest[q] = list_min(list_filter(rest, lambda v: v > 0)))[1], {labels + 1}) AS k FROM (SELECT *, {left} AS rest FROM {name}_steps WHERE list_min(done) < 0)"
-    placed = f"SELECT *, list_filter(range(1, len(cs) + 1), lambda j: done[j] < 0 AND cs[j].f[k])[1] AS i FROM ({picked})"
-    counted = f"SELECT *, CAST(greatest(0, least(cs[i].n, floor((cs[i].n + tr[k] - te[k] + 1) / 2))) AS BIGINT) AS x FROM ({placed})"
-    less = lambda c, x: at(numbers, f"{c}[q] - CASE WHEN cs[i].f[q] THEN {x} ELSE 0 END")
-    step = f"SELECT g, cs, {less('tr', 'x')}, {less('te', '(cs[i].n - x)')}, list_transform(range(1, len(cs) + 1), lambda j: CASE WHEN j = i THEN cs[i].n - x ELSE done[j] END) FROM ({counted})"
-    every = f"SELECT g, cs[j].c AS combo, done[j] AS n_test FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS j FROM {name}_steps WHERE list_min(done) >= 0)"
-    return {f"{name}_steps(g, cs, tr, te, done)": f"{state} UNION ALL {step}", name: every}
+    """Iterative stratification as a recursion with one state for each g: lists of combinations and of what the test split wants of each
+    label, the last for all rows. source: a table of g, combo, n and share; the result: g, combo, n_test."""
+    every, numbers = "range(1, len(cs) + 1)", f"range(1, {labels + 2})"
+    total = "list_sum(list_transform({0}, lambda j: CASE WHEN {1} AND cs[j].f[q] THEN {2} ELSE 0 END))"
+    whole = total.format(every, "TRUE", "cs[j].n")
+    state = f"SELECT g, cs, list_transform({numbers}, lambda q: {whole} * share) AS te, list_transform(cs, lambda x: CAST(-1 AS BIGINT)) AS done FROM (SELECT g, any_value(CAST(share AS DOUBLE)) AS share, list(struct_pack(c := combo, n := n, f := list_append(list_transform(string_split(combo, ','), lambda v: v = '1'), TRUE)) ORDER BY combo) AS cs FROM {source} GROUP BY g)"
+    rest = f"SELECT *, list_transform({numbers}, lambda q: {total.format(every, 'done[j] < 0', 'cs[j].n')}) AS rest FROM {name}_steps WHERE list_min(done) < 0"
+    label = f"SELECT *, coalesce(list_filter(range(1, {labels + 1}), lambda q: rest[q] > 0 AND rest[q] = list_min(list_filter(rest[1 : {labels}], lambda v: v > 0)))[1], {labels + 1}) AS q FROM ({rest})"
+    part = f"SELECT *, greatest(0, least(1, te[q] / rest[q])) AS part FROM ({label})"
+    upto = f"SELECT *, list_prepend(0, list_transform({every}, lambda m: CAST(floor({total.format('range(1, m + 1)', 'done[j] < 0', 'cs[j].n')} * part + 0.5) AS BIGINT))) AS upto FROM ({part})"
+    now = f"SELECT g, cs, te, done AS was, list_transform({every}, lambda j: CASE WHEN done[j] < 0 AND cs[j].f[q] THEN upto[j + 1] - upto[j] ELSE done[j] END) AS done FROM ({upto})"
+    step = f"SELECT g, cs, list_transform({numbers}, lambda q: te[q] - {total.format(every, 'was[j] < 0 AND done[j] >= 0', 'done[j]')}), done FROM ({now})"
+    return {f"{name}_steps(g, cs, te, done)": f"{state} UNION ALL {step}", name: f"SELECT g, cs[j].c AS combo, done[j] AS n_test FROM (SELECT *, unnest({every}) AS j FROM {name}_steps WHERE list_min(done) >= 0)"}
 
 
 _COMBO = "SELECT subject_id, y, CAST(subject_id % 3 = 0 AS INTEGER) AS z, CAST(subject_id % 50 = 0 AS INTEGER) AS w, concat_ws(',', y, CAST(subject_id % 3 = 0 AS INTEGER), CAST(subject_id % 50 = 0 AS INTEGER)) AS combo FROM ids"
