@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from evseq.llm import bpe, minhash_dedup, mixing, suffix_dedup, toxicity
-from evseq.llm.common import forget, table, written
+from evseq.llm.common import forget, scope, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result but the last is written to the shared folder as Parquet and read again; what it was made of then goes."""
+    """Each stage's result but the last is written to the shared folder as Parquet and read again; what the stage wrote on its way, and what it
+    was made of, then goes. The last stage's input stays until the process, or a scope around this call, ends."""
     docs, path = table(spark, sf_dir, "documents"), None
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            before = path
-            docs, path = written(docs)
-            if before:
-                forget(spark, before)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope():
+            made, before = written(stage(spark, docs, sf_dir), outer=True), path
+        docs, path = made
+        if before:
+            forget(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
