@@ -1,7 +1,8 @@
 """Ordered parallel arrays, one row for each subject or stay.
 
-Window functions number a subject's events; only the first max_len go into arrays, so a subject with very many events costs a
-sort that spills and never one huge row. Windows and aggregation share one exchange by subject.
+Two bounded phases. What is asked of all of a key's events (counts, flags, first times) comes from partial aggregates. The events that
+enter arrays are the first max_len by a window limit, which Spark also applies in each task before the exchange: a key with a billion
+events sends max_len rows from each task and is never sorted whole.
 """
 
 from __future__ import annotations
@@ -13,29 +14,49 @@ from evseq import schema
 from evseq.functions import codes, timecols
 
 
+#: Order of a subject's and of a stay's events; nulls first.
+EVENT_ORDER, STAY_ORDER = ("time", "seq", "code"), ("time", "code")
+
+
+def first_events(events: DataFrame, max_len: int = 2048, key: str = "subject_id", order: tuple = EVENT_ORDER) -> DataFrame:
+    """events with _n, the place from 1, for each key's first max_len; ties of the whole order are placed anyhow. The session's threshold
+    for window limits is raised to max_len where it is less, as the limit would not reach the tasks before the exchange otherwise."""
+    conf, name = events.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(name)) < max_len:
+        conf.set(name, str(max_len))
+    return events.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= max_len)
+
+
+def event_tokens(events: DataFrame, max_len: int = 2048, preserve_bracketed: bool = True) -> DataFrame:
+    """subject_id, pos, token, type of each subject's first max_len events: the sequences in long form, for what needs no arrays."""
+    token = codes.sanitize("code", preserve_bracketed)
+    return first_events(events, max_len).select("subject_id", (F.col("_n") - 1).alias("pos"), token.alias("token"), codes.token_type(token).alias("type"))
+
+
 def patient_sequences(events: DataFrame, max_len: int = 2048, visit: str = "[VS]", preserve_bracketed: bool = True, null_time: str = "skip") -> DataFrame:
     """subject_id, event/type/age/elapsed/visit/position arrays of the first max_len events, num_visits of all.
 
     Order: time, nulls first, then seq. null_time 'propagate': a subject whose first time is null has null hours; 'skip': hours
-    count from the first known time.
+    count from the first known time. Null subjects are one subject. Empty table: no rows.
     """
-    order = Window.partitionBy("subject_id").orderBy("time", "seq", "code")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    token = codes.sanitize("code", preserve_bracketed)
     is_visit = F.col("code") == visit
     age = F.col("age") if "age" in events.columns else F.lit(None).cast("int")
-    d = events.withColumns({
-        "_pos": F.row_number().over(order) - 1,
-        "_visit": F.sum(F.coalesce(is_visit, F.lit(False)).cast("int")).over(so_far),
-        "_start": F.first("time", ignorenulls=null_time == "skip").over(all_rows),
-        "_age": F.coalesce(F.last(age, ignorenulls=True).over(so_far), F.first(age, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(schema.DEFAULT_AGE)),
-        "_token": codes.sanitize("code", preserve_bracketed),
-    })
-    row = F.struct(F.col("_pos").alias("pos"), F.col("_token").alias("token"), codes.token_type("_token").alias("type"), F.col("_age").alias("age"), timecols.whole_hours("_start", "time").alias("elapsed"), F.col("_visit").alias("visit"))
-    out = d.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.when(F.col("_pos") < max_len, row))).alias("_e"), F.greatest(F.count_if(is_visit), F.lit(1)).alias("num_visits"), F.bool_or(codes.is_death(F.col("_token"))).alias("died"), F.bool_or(codes.is_sepsis_token(F.col("_token"))).alias("septic"))
-    field = lambda name: F.transform("_e", lambda x: x[name])
-    arrays = {"event_tokens": "token", "type_tokens": "type", "age_tokens": "age", "elapsed_tokens": "elapsed", "visit_tokens": "visit", "position_tokens": "pos"}
-    return out.select("subject_id", F.col("subject_id").alias("patient_id"), *[field(f).alias(n) for n, f in arrays.items()], "num_visits", "died", "septic")
+    known = F.min("time") if null_time == "skip" else F.when(F.count("time") == F.count(F.lit(1)), F.min("time"))
+    facts = events.groupBy("subject_id").agg(
+        known.alias("start"), F.min_by(F.when(age.isNotNull(), age), F.when(age.isNotNull(), F.struct(*EVENT_ORDER))).alias("first_age"), F.greatest(F.count_if(is_visit), F.lit(1)).alias("num_visits"),
+        F.bool_or(codes.is_death(token)).alias("died"), F.bool_or(codes.is_sepsis_token(token)).alias("septic"),
+    )
+    so_far = Window.partitionBy("subject_id").orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    d = first_events(events, max_len).withColumns({"_visit": F.sum(F.coalesce(is_visit, F.lit(False)).cast("int")).over(so_far), "_age": F.last(age, ignorenulls=True).over(so_far)})
+    row = F.struct((F.col("_n") - 1).alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), F.col("time"), F.col("_visit").alias("visit"))
+    out = d.groupBy("subject_id").agg(F.array_sort(F.collect_list(row)).alias("_e")).join(facts.withColumnRenamed("subject_id", "_subject"), F.col("subject_id").eqNullSafe(F.col("_subject")))
+    field = lambda f: F.transform("_e", f)
+    arrays = {
+        "event_tokens": field(lambda x: x["token"]), "type_tokens": field(lambda x: x["type"]), "age_tokens": field(lambda x: F.coalesce(x["age"], F.col("first_age"), F.lit(schema.DEFAULT_AGE))),
+        "elapsed_tokens": field(lambda x: timecols.whole_hours("start", x["time"])), "visit_tokens": field(lambda x: x["visit"]), "position_tokens": field(lambda x: x["pos"]),
+    }
+    return out.select("subject_id", F.col("subject_id").alias("patient_id"), *[c.alias(n) for n, c in arrays.items()], "num_visits", "died", "septic")
 
 
 def suffixed(seqs: DataFrame, max_len: int) -> DataFrame:
@@ -48,28 +69,33 @@ def unsuffixed(seqs: DataFrame, max_len: int) -> DataFrame:
 
 
 def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head") -> DataFrame:
-    """One row for each stay: arrays of its events (hours from intime, negative before), labels. matched: events_in_stays()."""
-    by_time = Window.partitionBy("stay_id").orderBy("time", "code")
-    pos = F.row_number().over(by_time) - 1
-    d = matched.withColumn("_pos", pos)
+    """One row for each stay: arrays of its first (keep='tail': last) max_len events (hours from intime, negative before), labels of all.
+    matched: events_in_stays(). Ages: the last known at the event; before any is known the first known; else from the birth event; else the
+    default. Empty table: no rows."""
     age = F.col("age") if "age" in matched.columns else F.lit(None).cast("int")
-    so_far, onwards = by_time.rowsBetween(Window.unboundedPreceding, 0), by_time.rowsBetween(0, Window.unboundedFollowing)
-    birth = F.min(F.when(F.col("code") == "MEDS_BIRTH", F.col("time"))).over(Window.partitionBy("stay_id"))
-    born = F.greatest(F.floor(timecols.hours(birth, "time") / 24 / 365.25), F.lit(0)).cast("int")
-    d = d.withColumn("_age", F.coalesce(F.last(age, ignorenulls=True).over(so_far), F.first(age, ignorenulls=True).over(onwards), F.when(birth.isNotNull(), born), F.lit(schema.DEFAULT_AGE)))
-    token = codes.sanitize_stay("code")
-    row = F.struct(F.col("_pos").alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), timecols.hours("intime", "time").alias("elapsed"), timecols.in_icu("time", "intime").alias("visit"))
-    if keep == "tail":
-        d = d.withColumn("_pos_end", F.count(F.lit(1)).over(Window.partitionBy("stay_id")) - F.col("_pos") - 1)
-    inside = F.col("_pos" if keep == "head" else "_pos_end") < max_len
-    out = d.groupBy("stay_id").agg(
-        F.first("subject_id").alias("subject_id"), F.first("stay_hadm_id").alias("hadm_id"), F.first("intime").alias("intime"), F.first("outtime").alias("outtime"), F.array_sort(F.collect_list(F.when(inside, row))).alias("_e"),
+    at = F.struct(*STAY_ORDER)
+    facts = matched.groupBy(F.col("stay_id").alias("_stay")).agg(
+        F.min(F.when(F.col("code") == "MEDS_BIRTH", F.col("time"))).alias("birth"), F.min_by(F.when(age.isNotNull(), age), F.when(age.isNotNull(), at)).alias("first_age"),
         F.max("in_hosp_mortality").alias("label_in_hosp_mortality"), F.max("mortality_28d").alias("label_mortality_28d"), F.max(codes.is_sepsis_code(F.col("code")).cast("int")).alias("label_sepsis"),
     )
-    field = lambda name: F.transform("_e", lambda x: x[name])
+    order = STAY_ORDER if keep == "head" else tuple(F.desc(c) for c in STAY_ORDER)
+    kept = first_events(matched, max_len, "stay_id", order)
+    so_far = Window.partitionBy("stay_id").orderBy(*STAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumns({"_age": F.last(age, ignorenulls=True).over(so_far), "_pos": F.row_number().over(so_far) - 1})
+    token = codes.sanitize_stay("code")
+    row = F.struct(F.col("_pos").alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), F.col("time"), timecols.hours("intime", "time").alias("elapsed"), timecols.in_icu("time", "intime").alias("visit"))
+    out = kept.groupBy("stay_id").agg(F.first("subject_id").alias("subject_id"), F.first("stay_hadm_id").alias("hadm_id"), F.first("intime").alias("intime"), F.first("outtime").alias("outtime"), F.array_sort(F.collect_list(row)).alias("_e"), F.min(at).alias("_from"))
+    out = out.join(facts, F.col("stay_id").eqNullSafe(F.col("_stay")))
+    if keep == "tail":  # ages known before the events that are kept
+        first = out.select(F.col("stay_id").alias("_s"), F.col("_from").alias("_f"))
+        before = matched.where(age.isNotNull()).join(first, F.col("stay_id") == F.col("_s")).where(at < F.col("_f")).groupBy("_s").agg(F.max_by(age, at).alias("_before"))
+        out = out.join(before, F.col("stay_id") == F.col("_s"), "left").withColumn("first_age", F.coalesce("_before", "first_age"))
+    field = lambda f: F.transform("_e", f)
+    born = lambda x: F.greatest(F.floor(timecols.hours("birth", x["time"]) / 24 / 365.25), F.lit(0)).cast("int")
+    ages = field(lambda x: F.coalesce(x["age"], F.col("first_age"), F.when(F.col("birth").isNotNull(), born(x)), F.lit(schema.DEFAULT_AGE)))
     return out.select(
-        "stay_id", "subject_id", "hadm_id", "intime", "outtime", field("token").alias("event_tokens"), field("type").alias("type_tokens"), field("age").alias("age_tokens"), field("elapsed").alias("elapsed_tokens"),
-        field("visit").alias("visit_tokens"), F.transform("_e", lambda x, i: i).alias("position_tokens"), F.lit(1).alias("num_visits"), "label_in_hosp_mortality", "label_mortality_28d", "label_sepsis",
+        "stay_id", "subject_id", "hadm_id", "intime", "outtime", field(lambda x: x["token"]).alias("event_tokens"), field(lambda x: x["type"]).alias("type_tokens"), ages.alias("age_tokens"), field(lambda x: x["elapsed"]).alias("elapsed_tokens"),
+        field(lambda x: x["visit"]).alias("visit_tokens"), F.transform("_e", lambda x, i: i).alias("position_tokens"), F.lit(1).alias("num_visits"), "label_in_hosp_mortality", "label_mortality_28d", "label_sepsis",
     )
 
 

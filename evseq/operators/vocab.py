@@ -46,13 +46,20 @@ def token_maps(vocab: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def encoded(seqs: DataFrame, vocab: DataFrame, key: str = "subject_id", column: str = "event_tokens", unknown: str = "[UNK]") -> DataFrame:
-    """key and ids. Tokens are exploded and joined, so the vocabulary may be of any size; Spark broadcasts a small one. Empty and null
-    arrays have no ids. A token that isn't in a vocabulary without the unknown token is an error."""
+    """key and ids; rows of one key are one. Empty and null arrays have no ids; a null token is an unknown one. A token that isn't in a
+    vocabulary without the unknown token is an error."""
+    return encoded_rows(seqs.select(key, F.posexplode_outer(column).alias("pos", "token")), vocab, key, unknown)
+
+
+def encoded_rows(rows: DataFrame, vocab: DataFrame, key: str = "subject_id", unknown: str = "[UNK]") -> DataFrame:
+    """encoded() of tokens in long form: key, pos, token; a null pos stands for a key without tokens. Tokens are joined, so the vocabulary
+    may be of any size; Spark broadcasts a small one. Tokens of over MOST_CHARS characters are unknown."""
     unk = vocab.where(F.col("token") == unknown).agg(F.min("id").alias("_unk"))  # one row, null if there is no such token
-    e = seqs.select(key, F.posexplode(column).alias("pos", "token")).withColumn("token", F.when(F.length("token") <= MOST_CHARS, F.col("token")))
+    e = rows.select(key, "pos", F.when(F.length("token") <= MOST_CHARS, F.col("token")).alias("token"))
     e = e.join(vocab.select("id", "token"), "token", "left").crossJoin(F.broadcast(unk))
-    ids = e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", "_unk", F.raise_error(F.lit(f"the vocabulary has no {unknown}")).cast("int")).alias("id")))), lambda x: x["id"]).alias("ids"))
-    return seqs.select(key).join(ids, key, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    id_ = F.coalesce("id", "_unk", F.raise_error(F.lit(f"the vocabulary has no {unknown}")).cast("int"))
+    ids = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", id_.alias("id")))))
+    return e.groupBy(key).agg(F.transform(ids, lambda x: x["id"]).alias("ids"))
 
 
 def words_of(text: str) -> F.Column:
@@ -60,14 +67,22 @@ def words_of(text: str) -> F.Column:
 
 
 def decoded(ids: DataFrame, vocab: DataFrame, key: str = "subject_id") -> DataFrame:
-    e = ids.select(key, F.posexplode("ids").alias("pos", "id")).join(vocab.select("id", "token"), "id", "left")
-    return e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    """key and tokens; rows of one key are one. Empty and null ids have no tokens, an id that the vocabulary lacks, or a null one, is a null
+    token. Empty table: no rows."""
+    e = ids.select(key, F.posexplode_outer("ids").alias("pos", "id")).join(vocab.select("id", "token"), "id", "left")
+    return e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "token")))), lambda x: x["token"]).alias("tokens"))
 
 
 def concept_types(seqs: DataFrame, key: str = "subject_id") -> DataFrame:
-    """token and the type it has where it comes first: the first row by key, the first place in it."""
+    """token and the type it has where it comes first: the first row by key, the first place in it. Null tokens are one; rows with null or
+    empty arrays count for nothing. Empty table: no rows."""
     e = seqs.select(key, F.posexplode(F.arrays_zip("event_tokens", "type_tokens")).alias("pos", "x"))
-    return e.groupBy(F.col("x.event_tokens").alias("token")).agg(F.min_by("x.type_tokens", F.struct(key, "pos")).alias("type"))
+    return concept_types_of(e.select(key, "pos", F.col("x.event_tokens").alias("token"), F.col("x.type_tokens").alias("type")), key)
+
+
+def concept_types_of(rows: DataFrame, key: str = "subject_id") -> DataFrame:
+    """concept_types() of key, pos, token, type in long form."""
+    return rows.groupBy("token").agg(F.min_by("type", F.struct(key, "pos")).alias("type"))
 
 
 def save(vocab: DataFrame, types: DataFrame, path: str, **settings) -> None:

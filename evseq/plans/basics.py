@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,34 @@ from evseq.plans import proxies
 from evseq.plans.catalog import _IDS, dealt_sql, ids, lists, long, master, points, query, scored, seqs, text, with_status, words
 from evseq.plans.catalog import _LOS, _MULTI, _POINTS, _READ
 from evseq.plans.proxies import sql
-from evseq.sources import io
+from evseq.sources import io, packs
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder of this application in the warehouse, for queries that write and read again; written anew each time."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch/{spark.sparkContext.applicationId}/{name}"
+    """A folder for queries that write and read again, written anew each time: below the checkpoint folder that the cluster names, which driver
+    and executors share; in local mode, where none is named, in the warehouse; elsewhere that is an error. It is deleted when the process
+    ends, as results read it until then."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/scratch/{context.applicationId}"
+    if top not in _tops:
+        _tops[top] = spark
+    return f"{top}/{name}"
+
+
+_tops: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def forget_scratch() -> None:
+    """Deletes what this process's queries wrote."""
+    for top, spark in _tops.items():
+        if spark.sparkContext._jsc is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _tops.clear()
 
 
 # Readers and writers
@@ -418,3 +442,26 @@ def q_datapoint_counts(spark, sf_dir):
     return points(spark, sf_dir).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positive"))
 
 
+
+
+# Packs
+
+
+@query("SELECT vec_id, place // 1024 AS pack, place % 1024 AS index, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) WHERE vec_id % 3 = 0")
+def q_packs_fetched(spark, sf_dir):
+    """All vectors written in packs, every third read back by its place, the places from an index of keys."""
+    path, e = scratch(spark, "packs"), proxies.table(spark, sf_dir, "embeddings")
+    packs.write(packs.from_floats(e.select("vec_id", "embedding"), "embedding"), path, "vec_id", "record")
+    index = packs.placed(e.select("vec_id"), "vec_id").where("vec_id % 3 = 0")
+    got = packs.to_floats(packs.fetched(index, path))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return got.select("vec_id", "pack", F.col("index").cast("long").alias("index"), F.size("vector").cast("long").alias("n"), F.round(total, 5).alias("total"))
+
+
+@query("SELECT vec_id AS key, place // 256 AS pack, place % 256 AS index, CAST(4 * len(embedding) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) WHERE place // 256 IN (0, 2) AND place % 256 < 7")
+def q_packs_filtered(spark, sf_dir):
+    """Two packs read by a filter that reaches the files."""
+    path, e = scratch(spark, "packs-256"), proxies.table(spark, sf_dir, "embeddings")
+    packs.write(packs.from_floats(e.select("vec_id", "embedding"), "embedding"), path, "vec_id", "record", 256)
+    d = packs.read(spark, path).where(F.col("pack").isin(0, 2) & F.col("index").isin(*range(7)))
+    return d.select("key", "pack", F.col("index").cast("long").alias("index"), F.length("record").cast("long").alias("n"))

@@ -59,6 +59,11 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.patient_sequences(proxies.stream(spark, sf_dir), MAX_LEN)
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences in long form: no arrays are built only to be exploded."""
+    return sequences.event_tokens(proxies.stream(spark, sf_dir), MAX_LEN)
+
+
 def long(c: str) -> F.Column:
     return F.col(c).cast("long").alias(c)
 
@@ -384,7 +389,7 @@ _VOCAB = "SELECT row_number() OVER (ORDER BY tier, pos, token) - 1 AS id, token
 
 
 def vocab_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.vocabulary(vocab.tokens(seqs(spark, sf_dir)), _SPECIAL)
+    return vocab.vocabulary(tokens(spark, sf_dir).where("token is not null").select("token").distinct(), _SPECIAL)
 
 
 @query(sql("SELECT id, token FROM vocab", "v_seq", vocab=_VOCAB))
@@ -398,7 +403,7 @@ _EVEN = "SELECT * FROM vocab WHERE id % 7 <> 6"
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some tokens are left out of the vocabulary, so that there are unknown ones."""
-    return vocab.encoded(seqs(spark, sf_dir), vocab_of(spark, sf_dir).where("id % 7 <> 6"))
+    return vocab.encoded_rows(tokens(spark, sf_dir), vocab_of(spark, sf_dir).where("id % 7 <> 6"))
 
 
 @query(sql(f"SELECT subject_id, {lists('ids')} AS ids FROM encoded", "v_seq", vocab=_VOCAB, vocab_even=_EVEN, encoded=_ENCODED))
@@ -413,7 +418,7 @@ def q_decode(spark, sf_dir):
 
 @query(sql("SELECT token, CAST(arg_min(type, (subject_id * 10000 + pos)) AS BIGINT) AS type FROM (SELECT subject_id, unnest(tokens) AS token, unnest(types) AS type, unnest(range(len(tokens))) AS pos FROM v_seq) GROUP BY token", "v_seq"))
 def q_concept_type(spark, sf_dir):
-    return vocab.concept_types(seqs(spark, sf_dir)).select("token", long("type"))
+    return vocab.concept_types_of(tokens(spark, sf_dir)).select("token", long("type"))
 
 
 @query(sql(f"SELECT subject_id, {lists('ids[1:20] || list_transform(range(CAST(greatest(40 - len(ids[1:20]), 0) AS BIGINT)), lambda x: 0)')} AS padded, {lists('list_transform(ids[1:20], lambda x: 1) || list_transform(range(CAST(greatest(40 - len(ids[1:20]), 0) AS BIGINT)), lambda x: 0)')} AS mask FROM encoded", "v_seq", vocab=_VOCAB, vocab_even=_EVEN, encoded=_ENCODED))

@@ -499,3 +499,89 @@ def test_overlapping_against_turns(spark):
     # The input is read twice, however many labels there are.
     plan = lambda k: cohort.overlapping(d, dict(list(labels.items())[:k]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(20).count("LogicalRDD") == plan(2).count("LogicalRDD") == 2
+
+
+def test_sequences_bounded_and_against_brute_force(spark):
+    """Ages known late or never, null times, ties, more events than are kept, and one subject with most of the events."""
+    import random
+
+    rng = random.Random(9)
+    rows = [(s, None if rng.random() < 0.1 else dt(2020, 1, 1) + timedelta(hours=rng.randint(0, 50)), k, rng.choice(["[VS]", "LAB//1", "MEDS_DEATH", "DIAGNOSIS//A41"] if s != 3 else ["LAB//2"]), rng.choice([None, None, 40 + s])) for s in (1, 2, 3) for k in range(400 if s == 1 else 30)]
+    rows += [(4, None, 0, "LAB//9", None)]
+    d = spark.createDataFrame(rows, "subject_id long, time timestamp_ntz, seq long, code string, age int")
+    for null_time in ("skip", "propagate"):
+        got = {r["subject_id"]: r for r in sequences.patient_sequences(d, 25, null_time=null_time).collect()}
+        assert set(got) == {1, 2, 3, 4}
+        for s, r in got.items():
+            e = sorted((x for x in rows if x[0] == s), key=lambda x: (x[1] is not None, x[1] or dt.min, x[2]))
+            known = [x[1] for x in e if x[1]]
+            start = (known[0] if known else None) if null_time == "skip" else e[0][1]
+            ages = [x[4] for x in e]
+            want = [next((a for a in reversed(ages[: i + 1]) if a is not None), next((a for a in ages if a is not None), schema.DEFAULT_AGE)) for i in range(min(25, len(e)))]
+            assert r["age_tokens"] == want and r["num_visits"] == max(1, sum(x[3] == "[VS]" for x in e)) and len(r["event_tokens"]) == min(25, len(e))
+            assert r["elapsed_tokens"] == [None if start is None or x[1] is None else (x[1] - start).total_seconds() / 3600 for x in e[:25]]
+            assert r["visit_tokens"] == [sum(y[3] == "[VS]" for y in e[: i + 1]) for i in range(min(25, len(e)))]
+            assert r["died"] == any(x[3] == "MEDS_DEATH" for x in e)
+    plan = sequences.patient_sequences(d, 2048)._jdf.queryExecution().executedPlan().toString()
+    limit, exchange = plan.rindex("WindowGroupLimit"), plan.rindex("Exchange hashpartitioning")
+    assert "Partial" in plan[limit : limit + 400] and any("WindowGroupLimit" in x and "Partial" in x for x in plan[plan.index("Exchange hashpartitioning") :].splitlines()), (limit, exchange)
+
+
+def test_stay_sequences_tail(spark):
+    import random
+
+    rng = random.Random(2)
+    t0 = dt(2021, 5, 1)
+    rows = [(s, 1, 7, t0, None, 0, 1, t0 + timedelta(hours=k), f"LAB//{k:02d}", rng.choice([None, None, 50 + k])) for s in (1, 2) for k in range(20)]
+    d = spark.createDataFrame(rows, "stay_id long, subject_id long, stay_hadm_id long, intime timestamp_ntz, outtime timestamp_ntz, in_hosp_mortality int, mortality_28d int, time timestamp_ntz, code string, age int")
+    for r in sequences.stay_sequences(d, 5, "tail").collect():
+        ages = [x[-1] for x in rows if x[0] == r["stay_id"]]
+        assert r["elapsed_tokens"] == [15.0, 16.0, 17.0, 18.0, 19.0] and r["position_tokens"] == [0, 1, 2, 3, 4]
+        assert r["age_tokens"] == [next((a for a in reversed(ages[: i + 1]) if a is not None), next((a for a in ages if a is not None), schema.DEFAULT_AGE)) for i in range(15, 20)]
+
+
+def test_decoded_and_encoded_keep_every_key(spark):
+    v = spark.createDataFrame([(0, "[PAD]"), (1, "[UNK]"), (2, "a")], "id int, token string")
+    ids = spark.createDataFrame([(1, [2, 1, 9, None]), (2, []), (3, None)], "subject_id long, ids array<int>")
+    assert {r[0]: r[1] for r in vocab.decoded(ids, v).collect()} == {1: ["a", "[UNK]", None, None], 2: [], 3: []}
+    seqs = spark.createDataFrame([(1, ["a", "b", None]), (2, []), (3, None)], "subject_id long, event_tokens array<string>")
+    assert {r[0]: r[1] for r in vocab.encoded(seqs, v).collect()} == {1: [2, 1, 1], 2: [], 3: []}
+
+
+def test_packs(spark, tmp_path):
+    import numpy as np
+
+    from evseq.sources import packs
+
+    path = str(tmp_path / "packs")
+    rows = [(i, None if i == 5 else bytes([i % 256]) * (i % 7)) for i in range(1000, 0, -3)] + [(None, b"x")]
+    d = spark.createDataFrame(rows, "k long, r binary")
+    packs.write(d, path, "k", "r", 50)
+    want = {(i // 50, i % 50): (k, r or b"") for i, (k, r) in enumerate(sorted(x for x in rows if x[0] is not None))}
+    back = packs.read(spark, path)
+    assert {(r["pack"], r["index"]): (r["key"], bytes(r["record"])) for r in back.collect()} == want
+    part = back.where("pack = 2 and index in (1, 3)")
+    assert {(r["pack"], r["index"]) for r in part.collect()} == {(2, 1), (2, 3)}
+    # The filter reaches the reader: a damaged pack that isn't asked for isn't opened, and one record is read without the rest.
+    (tmp_path / "packs" / packs.name(0)).write_bytes(b"damaged")
+    assert part.count() == 2
+    files, at = packs.opened(path)
+    whole = (tmp_path / "packs" / packs.name(3)).read_bytes()
+    (tmp_path / "packs" / packs.name(3)).write_bytes(whole[: 12 + 20 * 50 + len(want[3, 0][1])])
+    key, i, record = next(packs.read_pack(files, f"{at}/{packs.name(3)}", [0]))
+    assert (key, record) == want[3, 0]
+    ask = spark.createDataFrame([(2, 1, "a"), (2, 99, "b"), (77, 0, "c"), (None, 0, "d"), (4, 0, "e"), (4, 0, "f")], "pack long, index int, tag string")
+    got = {r["tag"]: r["record"] and bytes(r["record"]) for r in packs.fetched(ask, path).collect()}
+    assert got == {"a": want[2, 1][1], "b": None, "c": None, "d": None, "e": want[4, 0][1], "f": want[4, 0][1]}
+    # A job that is broken off leaves no pack by its name; taken up again, only what is missing is written.
+    for n in (0, 3):
+        (tmp_path / "packs" / packs.name(n)).unlink()
+    stood = (tmp_path / "packs" / packs.name(2)).stat().st_mtime_ns
+    packs.write(d, path, "k", "r", 50, resume=True)
+    assert {(r["pack"], r["index"]): (r["key"], bytes(r["record"])) for r in packs.read(spark, path).collect()} == want
+    assert (tmp_path / "packs" / packs.name(2)).stat().st_mtime_ns == stood and not list((tmp_path / "packs").glob("_writing*"))
+    packs.write(d.limit(0), path, "k", "r", 50)
+    assert packs.present(path) == []
+    v = spark.createDataFrame([(1, [1.5, -2.0]), (2, None), (3, [])], "k long, v array<float>")
+    assert {r["k"]: r["vector"] for r in packs.to_floats(packs.from_floats(v, "v")).collect()} == {1: [1.5, -2.0], 2: None, 3: []}
+    assert np.frombuffer(packs.from_floats(v, "v").where("k = 1").first()["record"], "<f4").tolist() == [1.5, -2.0]
