@@ -73,9 +73,14 @@ def strip_label(name) -> Column:
 
 
 def key_values(text) -> Column:
-    """'a=0.5, b=0.5' as a map."""
-    pairs = F.filter(F.split(col(text), ","), lambda x: F.trim(x) != "")
-    return F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))), F.trim(F.split_part(x, F.lit("="), F.lit(2))).try_cast("double"))))
+    """'a=0.5, b=0.5' as a map; of a key that stands twice the last value, what is no number as null. A part without `=` is an error, parts
+    of white space alone are passed over; a null text is a null map."""
+    parts = F.filter(F.split(col(text), ","), lambda x: F.trim(x) != "")
+    key = lambda x: F.trim(F.split_part(x, F.lit("="), F.lit(1)))
+    value = lambda x: F.trim(F.split_part(x, F.lit("="), F.lit(2))).try_cast("double")
+    checked = F.transform(parts, lambda x: F.when(F.contains(x, F.lit("=")), F.struct(key(x).alias("k"), value(x).alias("v"))).otherwise(F.raise_error(F.concat(F.lit("no = in "), x)).cast("struct<k:string,v:double>")))
+    last = F.filter(checked, lambda x, i: ~F.exists(F.slice(checked, i + 2, F.size(checked)), lambda z: z["k"] == x["k"]))
+    return F.map_from_entries(last)
 
 
 def one_word(token) -> Column:

@@ -1,26 +1,52 @@
-"""Joins of events and studies to the stays in whose time they fall. The subject is the equi-key; times are a residual condition,
-so either side may be large; AQE splits a subject with very many events."""
+"""Joins of events and studies to the stays in whose time they fall.
+
+Keys are the subject and a bin of time: a stay stands in each bin that it touches, an event in its own, so a subject with many stays and many
+events costs their sum and what matches, and is dealt out over as many tasks as it has bins. Stays without an end, or of more than MOST_BINS
+bins, are joined by the subject alone; of those nearly every event that follows matches anyhow. Nothing is broadcast by hint.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evseq import schema
 from evseq.functions import timecols
 
+#: Hours of a bin, and the most bins that a stay is spread over.
+BIN_HOURS, MOST_BINS = 168, 64
+
+
+def time_bin(c: str | Column) -> Column:
+    """Which bin of BIN_HOURS a time is in; null for null."""
+    return F.floor(F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col(c) if isinstance(c, str) else c) / (3600 * BIN_HOURS))
+
+
+def spread(spans: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]:
+    """Spans with _bin, a row for each bin they touch, and those that are joined without bins: open or very long ones. A span that ends
+    before it begins, or begins nowhere, is in neither."""
+    first, last = time_bin(low), time_bin(high)
+    d = spans.where(F.col(low).isNotNull() & (F.col(high).isNull() | (F.col(high) >= F.col(low))))
+    short = F.coalesce(last - first < MOST_BINS, F.lit(False))
+    return d.where(short).withColumn("_bin", F.explode(F.sequence(first, last))), d.where(~short)
+
+
+def inside(points: DataFrame, time: str, spans: DataFrame, low: str, high: str, on: Column) -> DataFrame:
+    """points joined to the spans that hold their time, bounds included, where `on` holds, which names the equi-keys. Columns of both sides
+    have names of their own."""
+    binned, whole = spread(spans, low, high)
+    on &= (F.col(time) >= F.col(low)) & (F.col(high).isNull() | (F.col(time) <= F.col(high)))
+    near = points.withColumn("_at", time_bin(time)).join(binned, on & (F.col("_at") == F.col("_bin"))).drop("_at", "_bin")
+    return near.unionByName(points.join(whole, on))
+
 
 def events_in_stays(events: DataFrame, stays: DataFrame, context_hours: int = 168) -> DataFrame:
     """Events from context_hours before a stay to its end, bounds included; an open stay has no end. Admissions must agree where
-    both are known. An event may match several stays."""
+    both are known. An event may match several stays, and repeated rows of either side match each. Null subjects and times match nothing."""
     s = stays.select(F.col("subject_id").alias("_subject"), "stay_id", F.col("hadm_id").alias("stay_hadm_id"), "intime", "outtime", *[c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns])
-    on = (
-        (F.col("subject_id") == F.col("_subject"))
-        & (F.col("time") >= F.col("intime") - F.expr(f"interval {context_hours} hours"))
-        & (F.col("outtime").isNull() | (F.col("time") <= F.col("outtime")))
-        & (F.col("stay_hadm_id").isNull() | F.col("hadm_id").isNull() | (F.col("hadm_id") == F.col("stay_hadm_id")))
-    )
-    return events.join(s, on).drop("_subject")
+    s = s.withColumn("_low", F.col("intime") - F.expr(f"interval {context_hours} hours"))
+    on = (F.col("subject_id") == F.col("_subject")) & (F.col("stay_hadm_id").isNull() | F.col("hadm_id").isNull() | (F.col("hadm_id") == F.col("stay_hadm_id")))
+    return inside(events, "time", s, "_low", "outtime", on).drop("_subject", "_low")
 
 
 def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool = False, first_hours_only: float | None = None, keep_all: bool = True) -> DataFrame:
@@ -32,10 +58,10 @@ def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool
     labels = [c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns and c not in studies.columns]
     s = stays.select(F.col("subject_id").alias("_subject"), F.col("hadm_id").alias("_hadm"), "stay_id", "intime", "outtime", *labels)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) if null_keys_match else F.col(a) == F.col(b)
-    on = same("subject_id", "_subject") & (F.col("StudyDateTime") >= F.col("intime")) & (F.col("outtime").isNull() | (F.col("StudyDateTime") <= F.col("outtime")))
+    on = same("subject_id", "_subject")
     if "hadm_id" in studies.columns:
         on &= same("hadm_id", "_hadm")
-    d = studies.where("jpg_path_exists").dropna(subset=["StudyDateTime", "study_id"]).join(s, on).drop("_subject", "_hadm")
+    d = inside(studies.where("jpg_path_exists").dropna(subset=["StudyDateTime", "study_id"]), "StudyDateTime", s, "intime", "outtime", on).drop("_subject", "_hadm")
     d = d.withColumn("hours_from_icu_intime", timecols.hours("intime", "StudyDateTime"))
     if first_hours_only is not None:
         d = d.where(F.col("hours_from_icu_intime") <= first_hours_only)
@@ -55,6 +81,7 @@ def top_images(index: DataFrame, k: int) -> DataFrame:
 
 
 def latest_study(studies: DataFrame) -> DataFrame:
+    """Each subject's last study, ties by study_id; null times come last, null subjects are one. Empty table: no rows."""
     w = Window.partitionBy("subject_id").orderBy(F.desc("StudyDateTime"), F.desc("study_id"))
     return studies.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -63,9 +90,33 @@ def with_manifest(index: DataFrame, manifest: DataFrame) -> DataFrame:
     return index.join(manifest, "study_id", "left")
 
 
-def with_inputs(stays: DataFrame, coefficients: DataFrame, images: DataFrame) -> DataFrame:
-    """Stays with coefficients and images where there are any, and masks that say so."""
-    c = coefficients.withColumn("_c", F.lit(1))
-    i = images.groupBy("stay_id").agg(F.sort_array(F.collect_list(F.struct("image_rank_in_stay", "image"))).alias("_i"))
+#: Images of a stay that are taken, the first by rank.
+MOST_IMAGES = 32
+
+
+def with_inputs(stays: DataFrame, coefficients: DataFrame, images: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
+    """Stays with coefficients and images where there are any, and masks that say so. Of a stay's images the first `most` by rank, cut in
+    each task before they travel; of a stay that has coefficients twice, the least. Stays stay as many as they are; null ids have neither."""
+    c = coefficients.groupBy("stay_id").agg(F.min(F.struct(*[x for x in coefficients.columns if x != "stay_id"])).alias("_c"))
+    first = images.where(F.col("stay_id").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("stay_id").orderBy("image_rank_in_stay", "image"))).where(F.col("_n") <= most)
+    i = first.groupBy("stay_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "image"))), lambda x: x["image"]).alias("images"))
     d = stays.join(c, "stay_id", "left").join(i, "stay_id", "left")
-    return d.withColumns({"has_coefficients": F.col("_c").isNotNull().cast("int"), "has_images": F.col("_i").isNotNull().cast("int"), "images": F.transform("_i", lambda x: x["image"])}).drop("_c", "_i")
+    return d.withColumns({"has_coefficients": F.col("_c").isNotNull().cast("int"), "has_images": F.col("images").isNotNull().cast("int")}).select("*", "_c.*").drop("_c")
+
+
+def fused_batches(stays: DataFrame, coefficients: DataFrame, images: DataFrame, batch: str, width: int, dim: int, most: int = MOST_IMAGES) -> DataFrame:
+    """with_inputs() as a batch takes them: coefficients (rows of `width` numbers) and images (vectors of `dim`) padded by zero rows to the
+    longest of the batch; n_coefficients and n_images say how many are real. A stay without any has zeros and the mask 0.
+
+    coefficients: stay_id, coefficients as an array of rows; images: stay_id, image_rank_in_stay, image as a vector. Nulls inside are 0.
+    Lengths of a batch come from one aggregate, so batches of any size are never in one task.
+    """
+    zero = lambda n: F.array_repeat(F.lit(0.0), n)
+    rows = lambda c: F.coalesce(c, F.array().cast("array<array<double>>"))
+    plain = lambda a: F.transform(a, lambda x: F.transform(x, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))))
+    d = with_inputs(stays, coefficients, images, most).withColumns({"coefficients": rows(plain("coefficients")), "images": rows(plain("images"))})
+    d = d.withColumns({"n_coefficients": F.size("coefficients"), "n_images": F.size("images")})
+    longest = d.groupBy(F.col(batch).alias("_b")).agg(F.greatest(F.max("n_coefficients"), F.lit(1)).alias("_c"), F.greatest(F.max("n_images"), F.lit(1)).alias("_i"))
+    d = d.join(longest, F.col(batch).eqNullSafe(F.col("_b")))
+    pad = lambda a, n, size: F.concat(a, F.array_repeat(zero(size), n - F.size(a)))
+    return d.withColumns({"coefficients": pad(F.col("coefficients"), F.col("_c"), width), "images": pad(F.col("images"), F.col("_i"), dim)}).drop("_b", "_c", "_i")

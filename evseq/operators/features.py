@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evseq.functions import arrays
+from evseq.operators.ranks import row_index
 
 
 def frequencies(seqs: DataFrame, key: str = "subject_id", column: str = "event_tokens", without: list[str] = ()) -> DataFrame:
@@ -57,3 +58,31 @@ def top_elements(df: DataFrame, key: str, matrix: str, k: int) -> DataFrame:
     """key, i, j, value of the k greatest elements of all rows' matrices; ties by key, i, j; nulls last."""
     e = df.select(key, F.posexplode(matrix).alias("i", "row")).select(key, "i", F.posexplode("row").alias("j", "value"))
     return e.orderBy(F.desc("value"), key, "i", "j").limit(k)
+
+
+def feature_index(tokens: DataFrame) -> DataFrame:
+    """id and token of the columns of a matrix, from 0, in order of code points; each token once, nulls left out. Made once, of the training
+    rows, it is the same for every table that is encoded by it."""
+    d = tokens.where("token is not null").select("token").distinct()
+    return row_index(d, ["token"], "id").select(F.col("id").cast("int").alias("id"), "token")
+
+
+def sparse_rows(freq: DataFrame, index: DataFrame, keys: DataFrame, key: str = "subject_id", dense: tuple[str, ...] = ()) -> DataFrame:
+    """Compressed rows, one for each of keys: key, size, indices (ascending) and values, none of which is 0.
+
+    freq: key, token, n; index: feature_index(). keys: each key once, with the dense columns, which stand behind the tokens; a null is 0.
+    Tokens that the index lacks have no column, keys without tokens have their dense columns alone, and keys of freq that keys lacks no row.
+    Empty table of keys: no rows.
+    """
+    n = index.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("_n"))  # one row
+    cells = freq.join(index, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", F.col("n").cast("double").alias("value")))).alias("_cells"))
+    d = keys.select(key, *dense).join(cells, key, "left").crossJoin(F.broadcast(n))
+    own = F.array(*[F.struct((F.col("_n") + i).alias("id"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("value")) for i, c in enumerate(dense)])
+    every = F.coalesce("_cells", F.array().cast("array<struct<id:int,value:double>>"))
+    d = d.withColumn("_all", F.filter(F.concat(every, own) if dense else every, lambda x: x["value"] != 0))
+    return d.select(key, (F.col("_n") + len(dense)).alias("size"), F.transform("_all", lambda x: x["id"]).alias("indices"), F.transform("_all", lambda x: x["value"]).alias("values"))
+
+
+def long_rows(rows: DataFrame, key: str = "subject_id") -> DataFrame:
+    """key, id, value of each cell of sparse_rows() that isn't 0."""
+    return rows.select(key, F.explode(F.arrays_zip("indices", "values")).alias("x")).select(key, F.col("x.indices").alias("id"), F.col("x.values").alias("value"))

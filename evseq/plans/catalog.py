@@ -191,6 +191,22 @@ def q_presence_masks(spark, sf_dir):
     return d.select("stay_id", long("has_images"), F.coalesce(F.size("images"), F.lit(0)).cast("long").alias("n_images"), long("has_coefficients"))
 
 
+_FUSED = """SELECT s.stay_id, s.stay_id % 7 AS batch, coalesce(n, 0) AS n_images, CASE WHEN s.stay_id % 3 = 0 THEN s.stay_id % 4 + 1 ELSE 0 END AS n_coefficients, coalesce(total, 0) AS total FROM v_stay s LEFT JOIN
+    (SELECT stay_id, count(*) AS n, sum(study_id % 1000) AS total FROM (SELECT *, row_number() OVER (PARTITION BY stay_id ORDER BY rank) AS k FROM v_image) WHERE k <= 3 GROUP BY stay_id) i ON s.stay_id = i.stay_id"""
+
+
+@query(sql("""SELECT stay_id, batch, n_images, CAST(n_coefficients AS BIGINT) AS n_coefficients, CAST(n_images > 0 AS BIGINT) AS has_images, CAST(n_coefficients > 0 AS BIGINT) AS has_coefficients, greatest(1, max(n_images) OVER w) AS images_long, CAST(greatest(1, max(n_coefficients) OVER w) AS BIGINT) AS coefficients_long,
+    CAST(total AS DOUBLE) AS image_total, CAST(n_coefficients * (n_coefficients + 1) // 2 AS DOUBLE) AS coefficient_total FROM fused WINDOW w AS (PARTITION BY batch)""", "v_image", fused=_FUSED))
+def q_fused_batches(spark, sf_dir):
+    """Vectors of three numbers stand for images; sums over the padded arrays show that what is added is zero."""
+    s = proxies.stays(spark, sf_dir).select("stay_id", (F.col("stay_id") % 7).alias("batch"))
+    c = s.where("stay_id % 3 = 0").select("stay_id", F.transform(F.sequence(F.lit(1), (F.col("stay_id") % 4 + 1).cast("int")), lambda i: F.array(i.cast("double"), F.lit(0.0))).alias("coefficients"))
+    i = images(spark, sf_dir).select("stay_id", "image_rank_in_stay", F.array((F.col("study_id") % 1000).cast("double"), F.lit(None).cast("double"), F.lit(0.0)).alias("image"))
+    d = align.fused_batches(s, c, i, "batch", 2, 3, 3)
+    total = lambda a: F.aggregate(F.flatten(a), F.lit(0.0), lambda x, y: x + y)
+    return d.select("stay_id", "batch", long("n_images"), long("n_coefficients"), long("has_images"), long("has_coefficients"), F.size("images").cast("long").alias("images_long"), F.size("coefficients").cast("long").alias("coefficients_long"), total("images").alias("image_total"), total("coefficients").alias("coefficient_total"))
+
+
 # Labels
 
 _LOS = """SELECT *, (ve0 - 1 - (vs0 + 1)) / 24.0 AS los, coalesce(list_min(list_filter(range(len(tokens)), lambda i: elapsed[i + 1] > 24 AND i > vs0 AND i < ve0)), len(tokens)) AS cutoff FROM v_ends WHERE has_vs AND has_ve AND ve0 - vs0 - 2 >= 0 AND elapsed[vs0 + 2] < 4000"""
@@ -445,6 +461,21 @@ def q_freq_matrix(spark, sf_dir):
     return features.frequencies(words(spark, sf_dir), "doc_id", "words")
 
 
+_CELLS = """SELECT subject_id, token, count(*) AS n FROM (SELECT subject_id, unnest(tokens) AS token FROM v_seq) GROUP BY subject_id, token"""
+_COLUMNS = "SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT token FROM cells WHERE subject_id % 5 <> 0 GROUP BY token ORDER BY count(*) DESC, token LIMIT 40)"
+_SPARSE = "SELECT subject_id, id, CAST(n AS DOUBLE) AS value FROM cells JOIN feature USING (token) UNION ALL SELECT subject_id, (SELECT count(*) FROM feature), CAST(num_visits AS DOUBLE) FROM v_seq UNION ALL SELECT subject_id, (SELECT count(*) FROM feature) + 1, CAST(len(tokens) AS DOUBLE) FROM v_seq"
+
+
+@query(sql("SELECT s.subject_id, (SELECT count(*) FROM feature) + 2 AS size, coalesce(string_agg(id, ',' ORDER BY id), '') AS indices, coalesce(string_agg(CAST(value AS BIGINT), ',' ORDER BY id), '') AS values FROM v_seq s LEFT JOIN filled f ON f.subject_id = s.subject_id AND value <> 0 GROUP BY s.subject_id", "v_seq", cells=_CELLS, feature=_COLUMNS, filled=_SPARSE))
+def q_sparse_matrix(spark, sf_dir):
+    """Compressed rows of all subjects against the 40 tokens in most training subjects; visits and length stand behind them."""
+    f = features.frequencies(tokens(spark, sf_dir).select("subject_id", F.array("token").alias("event_tokens")))
+    index = features.feature_index(features.top_features(f.where("subject_id % 5 <> 0"), 40))
+    keys = seqs(spark, sf_dir).select("subject_id", "num_visits", F.size("event_tokens").alias("n_tokens"))
+    d = features.sparse_rows(f, index, keys, dense=("num_visits", "n_tokens"))
+    return d.select("subject_id", long("size"), text("indices").alias("indices"), text(F.transform("values", lambda x: x.cast("long"))).alias("values"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proxies.table(spark, sf_dir, "documents").select("doc_id", vocab.words_of(F.col("text")).alias("words"))
 

@@ -585,3 +585,79 @@ def test_packs(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.5, -2.0]), (2, None), (3, [])], "k long, v array<float>")
     assert {r["k"]: r["vector"] for r in packs.to_floats(packs.from_floats(v, "v")).collect()} == {1: [1.5, -2.0], 2: None, 3: []}
     assert np.frombuffer(packs.from_floats(v, "v").where("k = 1").first()["record"], "<f4").tolist() == [1.5, -2.0]
+
+
+def test_interval_joins_against_residual(spark):
+    """Open, very long, backward and null stays, bounds, null admissions; bins cost the sum of both sides."""
+    import random
+
+    rng = random.Random(13)
+    t0 = dt(2019, 12, 30)
+    stays_ = [(rng.choice([1, 2, None]), k, rng.choice([None, 7, 8]), a, None if k % 11 == 0 else a + timedelta(hours=rng.choice([-300, 0, 5, 400, 30000]))) for k in range(60) for a in [t0 + timedelta(hours=rng.randint(0, 3000))]]
+    stays_ += [(1, 900, 7, None, t0), (1, 901, 7, t0, t0 + timedelta(hours=168))]
+    events_ = [(rng.choice([1, 2, None]), k, rng.choice([None, 7, 8]), None if k % 17 == 0 else t0 + timedelta(hours=rng.randint(-400, 3500))) for k in range(300)]
+    events_ += [(1, 901, 7, t0 - timedelta(hours=168)), (1, 902, 7, t0 + timedelta(hours=168))]
+    s = spark.createDataFrame(stays_, "subject_id long, stay_id long, hadm_id long, intime timestamp_ntz, outtime timestamp_ntz")
+    e = spark.createDataFrame(events_, "subject_id long, id long, hadm_id long, time timestamp_ntz")
+    ok = lambda a, b: a[0] is not None and a[0] == b[0] and a[3] and b[3] and a[3] >= b[3] - timedelta(hours=168) and (b[4] is None or a[3] <= b[4]) and (a[2] is None or b[2] is None or a[2] == b[2])
+    got = sorted((r["id"], r["stay_id"]) for r in align.events_in_stays(e, s).collect())
+    assert got == sorted((a[1], b[1]) for a in events_ for b in stays_ if ok(a, b)) and (901, 901) in got and (902, 901) in got
+    n = 10_000
+    hot = spark.range(n).select(F.lit(1).alias("subject_id"), F.col("id").alias("stay_id"), F.lit(None).cast("long").alias("hadm_id"), (F.lit(t0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id") * 100)).alias("intime"))
+    hot = hot.withColumn("outtime", F.col("intime") + F.expr("interval 24 hours"))
+    points = spark.range(n).select(F.lit(1).alias("subject_id"), F.col("id"), F.lit(None).cast("long").alias("hadm_id"), (F.lit(t0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id") * 100 + 50)).alias("time"))
+    binned, whole = align.spread(hot.withColumn("_low", F.col("intime") - F.expr("interval 168 hours")), "_low", "outtime")
+    pairs = points.join(binned, align.time_bin("time") == F.col("_bin")).count()
+    assert whole.count() == 0 and pairs < 6 * n  # 100 million by the subject alone
+    assert align.events_in_stays(points, hot).count() == sum(1 for k in range(n) for j in (k - 1, k, k + 1, k + 2) if 0 <= j < n and -168 <= (100 * k + 50) - 100 * j <= 24)
+
+
+def test_curve_reads_its_input_once(spark):
+    d = spark.range(200).select((F.col("id") % 3).alias("task"), (F.col("id") % 2).alias("y"), (F.col("id") % 17 / 17.0).alias("p"))
+    d = d.unionByName(spark.createDataFrame([(None, 1, 0.5), (None, 0, 0.25), (9, 1, None), (0, None, 0.1)], "task long, y long, p double"))
+    rows = [tuple(r) for r in d.collect()]
+    got = {r["task"]: r for r in metrics.curve_metrics(d, by=("task",)).collect()}
+    for t in {r[0] for r in rows}:
+        e = [(y, -1.0 if p is None else p) for k, y, p in rows if k == t and y in (0, 1)]
+        pos, neg = [p for y, p in e if y == 1], [p for y, p in e if y == 0]
+        want = None if not pos or not neg else sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg)
+        assert got[t]["auroc"] == (None if want is None else pytest.approx(want))
+        at = sorted(set(p for _, p in e), reverse=True)
+        tp, n = [sum(p >= a for p in pos) for a in at], [sum(p >= a for _, p in e) for a in at]
+        assert got[t]["ap"] == (pytest.approx(sum((x - w) / len(pos) * x / m for x, w, m in zip(tp, [0, *tp], n))) if pos else None)
+        assert got[t]["precision"] == (pytest.approx(max(x / m for x, m in zip(tp, n) if x >= 0.8 * len(pos))) if pos else None)
+    m = metrics.macro(d, "task")
+    m.collect()
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("Range (0, 200") == 1, final
+    assert metrics.auroc(d.limit(0)).first()["auroc"] is None and metrics.macro(d.limit(0), "task").first()["n_labels"] == 0
+
+
+def test_sparse_rows_round_trip(spark):
+    rows = [(1, ["b", "a", "b", "new"]), (2, []), (3, ["c", None, "a"]), (4, None)]
+    seqs = spark.createDataFrame(rows, "subject_id long, event_tokens array<string>").withColumns({"visits": F.when(F.col("subject_id") < 3, F.col("subject_id") * 10), "zero": F.lit(0)})
+    freq = features.frequencies(seqs)
+    index = features.feature_index(spark.createDataFrame([("c",), ("a",), ("b",), ("b",), (None,)], "token string"))
+    got = {r["subject_id"]: (r["size"], r["indices"], r["values"]) for r in features.sparse_rows(freq, index, seqs, dense=("visits", "zero")).collect()}
+    assert got == {1: (5, [0, 1, 3], [1.0, 2.0, 10.0]), 2: (5, [3], [20.0]), 3: (5, [0, 2], [1.0, 1.0]), 4: (5, [], [])}
+    back = features.long_rows(features.sparse_rows(freq, index, seqs)).join(index, "id").select("subject_id", "token", F.col("value").cast("long"))
+    assert sorted(map(tuple, back.collect())) == sorted((r[0], r[1], r[2]) for r in freq.where("token <> 'new'").collect())
+    assert features.sparse_rows(freq, index.limit(0), seqs, dense=("visits",)).where("size <> 1").count() == 0 and features.sparse_rows(freq, index, seqs.limit(0)).count() == 0
+
+
+def test_fused_batches(spark):
+    s = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "b")], "stay_id long, batch string")
+    c = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, None]]), (1, [[9.0, 9.0]]), (9, [[1.0, 1.0]])], "stay_id long, coefficients array<array<double>>")
+    i = spark.createDataFrame([(2, k, [float(k)] * 3) for k in range(5)] + [(None, 0, [1.0] * 3)], "stay_id long, image_rank_in_stay int, image array<double>")
+    got = {r["stay_id"]: r for r in align.fused_batches(s, c, i, "batch", 2, 3, 4).collect()}
+    assert len(got) == 4 and got[1]["coefficients"] == [[1.0, 2.0], [3.0, 0.0]] and got[2]["coefficients"] == [[0.0, 0.0]] * 2 and got[3]["coefficients"] == [[0.0, 0.0]]
+    assert got[2]["images"] == [[float(k)] * 3 for k in range(4)] and got[1]["images"] == [[0.0] * 3] * 4 and got[3]["images"] == got[None]["images"] == [[0.0] * 3]
+    assert [(got[k]["has_coefficients"], got[k]["has_images"], got[k]["n_images"]) for k in (1, 2, 3, None)] == [(1, 0, 0), (0, 1, 4), (0, 0, 0), (0, 0, 0)]
+
+
+def test_key_values_last_wins(spark):
+    d = spark.createDataFrame([("a=1, b = 2,a=3, c=x, ",), (None,), ("",)], "t string")
+    assert [r[0] for r in d.select(codes.key_values("t")).collect()] == [{"b": 2.0, "a": 3.0, "c": None}, None, {}]
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([("a",)], "t string").select(codes.key_values("t")).collect()
