@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from evseq.plans import proxies
 from evseq.plans.catalog import _IDS, dealt_sql, ids, lists, long, master, points, query, scored, seqs, text, with_status, words
 from evseq.plans.catalog import _LOS, _MULTI, _POINTS, _READ
 from evseq.plans.proxies import sql
-from evseq.sources import io, packs
+from evseq.sources import io, packs, versions
+from evseq.streaming import sequences as grown
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -444,6 +446,21 @@ def q_datapoint_counts(spark, sf_dir):
 
 
 
+# Versions
+
+
+@query("SELECT c_custkey, v AS version, CASE WHEN v = 3 AND c_custkey % 2 = 0 THEN -1 ELSE c_nationkey END AS nation FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 1 END AS one FROM customer) CROSS JOIN (VALUES (1), (2), (3)) t(v) WHERE v > 1 OR one = 1")
+def q_versions(spark, sf_dir):
+    """Appended twice, the second time with what is there already, then replaced by a function of itself; all three versions read back."""
+    path = scratch(spark, f"versions-{uuid.uuid4().hex}")
+    c = proxies.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("nation"))
+    versions.append_new(c.where("c_custkey % 3 = 0"), path, "c_custkey")
+    versions.append_new(c, path, "c_custkey")
+    versions.replace(spark, path, lambda d: d.withColumn("nation", F.when(F.col("c_custkey") % 2 == 0, -1).otherwise(F.col("nation"))))
+    every = [versions.read(spark, path, n).withColumn("version", F.lit(n)) for n in (1, 2, 3)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).select("c_custkey", "version", "nation")
+
+
 # Packs
 
 
@@ -465,3 +482,19 @@ def q_packs_filtered(spark, sf_dir):
     packs.write(packs.from_floats(e.select("vec_id", "embedding"), "embedding"), path, "vec_id", "record", 256)
     d = packs.read(spark, path).where(F.col("pack").isin(0, 2) & F.col("index").isin(*range(7)))
     return d.select("key", "pack", F.col("index").cast("long").alias("index"), F.length("record").cast("long").alias("n"))
+
+
+# Streams
+
+
+@query(sql(f"SELECT subject_id, {lists('tokens')} AS tokens, {lists('types')} AS types, {lists('visits')} AS visits, {lists('elapsed', 4)} AS elapsed, CAST(num_visits AS BIGINT) AS num_visits, died, septic FROM v_seq", "v_seq"))
+def q_sequences_grown(spark, sf_dir):
+    """The events as shards that are taken one at a time, out of order, by a query with keyed state; the sequences after the last."""
+    path = scratch(spark, f"grown-{uuid.uuid4().hex}")
+    e = proxies.stream(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(3)))
+    for k in range(3):
+        e.where(F.col("shard") == k).drop("shard").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    shards = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    grown.grow(spark, shards, f"{path}/out", f"{path}/checkpoint")
+    d = grown.current(spark, f"{path}/out")
+    return d.select("subject_id", text("event_tokens").alias("tokens"), text("type_tokens").alias("types"), text("visit_tokens").alias("visits"), text("elapsed_tokens", 4).alias("elapsed"), long("num_visits"), "died", "septic")

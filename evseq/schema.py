@@ -35,6 +35,11 @@ READMISSION_TOKENS = ["[W_0]", "[W_1]", "[W_2]", "[W_3]", "[M_1]"]
 MISSING, DEFAULT_AGE, HOURS_PER_YEAR = -1, 25, 8766.0
 
 
+def fields(ddl: str) -> dict[str, str]:
+    """Names and types of a schema, in order."""
+    return {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(ddl).fields}
+
+
 def conform(df: DataFrame, schema: str) -> DataFrame:
     """The schema's columns in its order: cast where castable, else null; null columns where absent."""
     have = {c.lower(): c for c in df.columns}

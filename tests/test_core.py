@@ -661,3 +661,76 @@ def test_key_values_last_wins(spark):
     assert [r[0] for r in d.select(codes.key_values("t")).collect()] == [{"b": 2.0, "a": 3.0, "c": None}, None, {}]
     with pytest.raises(PySparkException):
         spark.createDataFrame([("a",)], "t string").select(codes.key_values("t")).collect()
+
+
+def test_sequences_grown_over_any_batching(spark, tmp_path):
+    """Shards one at a time in two orders, with a run in between and without, against all at once by the batch operator."""
+    import random
+
+    from evseq.streaming import sequences as grown
+
+    rng = random.Random(21)
+    rows = [(rng.choice([1, 2, 3]), None if rng.random() < 0.1 else dt(2020, 1, 1) + timedelta(seconds=rng.randint(0, 90000)), k, rng.choice(["[VS]", "LAB//1", "MEDS_DEATH"] if k % 5 else ["DIAGNOSIS//A41"]), rng.choice([None, 50 + k]), rng.choice([None, -1, k])) for k in range(120)] + [(None, dt(2020, 1, 1), 0, "LAB//1", 1, 1), (3, dt(2020, 1, 1), 500, None, 1, 1)]
+    ddl = "subject_id long, time timestamp_ntz, seq long, code string, age int, outcome int"
+    d = spark.createDataFrame(rows, ddl)
+    clean = d.dropna(subset=["subject_id", "code"])
+    want = {r["subject_id"]: r for r in sequences.patient_sequences(clean, 12).collect()}
+    labels_ = {r["subject_id"]: r["outcome"] for r in cohort.first_labels(clean, "outcome", ("time", "seq")).collect()}
+    for name, batching in (("a", [[0, 1, 2, 3]]), ("b", [[3, 1], [0], [2]])):
+        p = tmp_path / name
+        for shards in batching:
+            for k in shards:
+                d.where(F.pmod("seq", F.lit(4)) == k).coalesce(1).write.mode("append").parquet(str(p / "in"))
+            events = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(p / "in"))
+            grown.grow(spark, events, str(p / "out"), str(p / "ck"), max_len=12, label="outcome")
+        got = {r["subject_id"]: r for r in grown.current(spark, str(p / "out")).collect()}
+        assert set(got) == set(want)
+        for s, r in got.items():
+            for c in ("event_tokens", "type_tokens", "age_tokens", "elapsed_tokens", "visit_tokens", "position_tokens", "num_visits", "died", "septic"):
+                assert r[c] == want[s][c], (name, s, c)
+            assert r["label"] == labels_.get(s) and r["n_events"] == clean.where(F.col("subject_id") == s).count()
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    from evseq.sources import versions
+
+    path = str(tmp_path / "t")
+    table = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    rows_ = lambda n=None: sorted(map(tuple, versions.read(spark, path, n).collect()))
+    with pytest.raises(ValueError):
+        versions.read(spark, path)
+    assert versions.append_new(table((1, "a"), (1, "a"), (None, "n")), path, "k") == 1 and rows_() == [(1, "a")]
+    assert versions.append_new(table((1, "other"), (2, "b")), path, "k") == 2 and rows_() == [(1, "a"), (2, "b")]
+    assert versions.append_new(table((1, "x")), path, "k") == 2 == versions.append_new(table((2, "y")), path, "k")
+    wider = spark.createDataFrame([(3, "c", 1.5)], "k long, v string, more double")
+    assert versions.append_new(wider, path, "k") == 3 and rows_() == [(1, "a", None), (2, "b", None), (3, "c", 1.5)]
+    assert versions.replace(spark, path, lambda d: d.where("k > 1").drop("more")) == 4 and rows_() == [(2, "b"), (3, "c")] and rows_(2) == [(1, "a"), (2, "b")]
+    # Killed at each step: before its data are whole, before the commit, and inside it; the last version stays, and the next writer goes on.
+    class Killed(BaseException):
+        pass
+
+    def dies(*a, **b):
+        raise Killed
+
+    for name in ("_written", "commit", "_ddl"):
+        with monkeypatch.context() as m, pytest.raises(Killed):
+            m.setattr(versions, name, dies)
+            versions.replace(spark, path, lambda d: d.limit(0))
+        assert rows_() == [(2, "b"), (3, "c")]
+    # Another writer is first: it wins, and the second starts anew from what it left.
+    commit, done = versions.commit, []
+
+    def beaten(*a):
+        if not done:
+            done.append(1)
+            versions.append_new(table((8, "h")), path, "k")
+        commit(*a)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", beaten)
+        assert versions.append_new(table((8, "mine"), (9, "i")), path, "k") == 6
+    assert rows_() == [(2, "b"), (3, "c"), (8, "h"), (9, "i")]
+    with pytest.raises(versions.Conflict):
+        versions.commit(spark, path, 6, [], "k long")
+    assert versions.replace(spark, path, lambda d: d.limit(0)) == 7 and rows_() == []
+    assert versions.clean(spark, path, keep=2) >= 4 and versions.versions(spark, path) == [6, 7] and len(rows_(6)) == 4
