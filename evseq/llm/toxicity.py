@@ -56,7 +56,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
     """doc_id, text and toxic of at most `most` labelled rows that are not held out, by hash of id and text; of a doc_id with several
     labels, the greatest. Rows equal in id and text are one; null ids and labels are left out."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    n = y.count()
+    # Of the labels' ids those that documents have: labels may cover far more.
+    n = y.join(docs.select("doc_id"), "doc_id", "left_semi").count()
     if n > most:  # somewhat more than wanted, so that what the limit below sorts is as small
         y = y.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 60)) < int((1 << 60) * min(1.0, 1.5 * most / n)))
     rows = docs.select("doc_id", "text").join(y, "doc_id").withColumn("_h", F.xxhash64("text"))
@@ -80,7 +81,7 @@ def choose_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[bytes]:
 
 
 def correlations(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Of voters, given the class: of what is left of votes when each class's mean is taken away, rows weighted by the posterior q."""
+    """Of voters, given the class (positive ones discount votes; voters that avoid each other count in full): of what is left of votes when each class's mean is taken away, rows weighted by the posterior q."""
     on = np.stack([(v.T @ r) / max(r.sum(), 1e-9) for r in (1 - q, q)]).astype(np.float32)
     both = np.column_stack([1 - q, q]).astype(np.float32)
     rest = np.zeros((v.shape[1], v.shape[1]))

@@ -637,6 +637,24 @@ def test_mixing(docs, rows, empty):
     assert mixing.placed(empty).count() == 0
 
 
+def test_mixing_takes_the_nearest_large_document(spark):
+    """A lone document of about twice its target is taken once; where what fits leaves much, one that doesn't fit quite comes after all."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, words(100), "a"), *[(10 + k, words(60), "b") for k in range(20)], *[(100 + k, words(300 + k), "c") for k in range(7)]]
+    d = mixing.placed(documents(spark, rows))
+    got = {r["source"]: (r["t"], r["x"]) for r in d.groupBy("source").agg({"taken": "sum", "target": "max"}).selectExpr("source", "`sum(taken)` t", "`max(target)` x").collect()}
+    sizes = {s: [len(t.split()) for _, t, z in rows if z == s] for s in "abc"}
+    for s, (taken, target) in got.items():
+        assert abs(taken - target) <= max(sizes[s]) / 2 + 1, (s, taken, target)
+
+
+def test_toxicity_sample_is_of_documents(spark):
+    """Labels cover many ids that documents don't have; the sample is as large as it may be all the same."""
+    d = documents(spark, [(k, f"text {k}", "s") for k in range(400)])
+    y = spark.range(20_000).selectExpr("id as doc_id", "id % 2 as toxic")
+    assert toxicity.training_rows(d, y, 100).count() == 100
+
+
 def test_mixed_order(docs):
     want = {(r["doc_id"], r["size"]): r["taken"] for r in mixing.placed(docs).collect()}
     out = mixing.mixed(docs).collect()
