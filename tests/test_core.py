@@ -1,5 +1,7 @@
 """Operators on small tables: empty input, single rows, nulls, ties, bounds."""
 
+import os
+import sys
 from datetime import datetime as dt
 from datetime import timedelta
 
@@ -734,3 +736,20 @@ def test_versions(spark, tmp_path, monkeypatch):
         versions.commit(spark, path, 6, [], "k long")
     assert versions.replace(spark, path, lambda d: d.limit(0)) == 7 and rows_() == []
     assert versions.clean(spark, path, keep=2) >= 4 and versions.versions(spark, path) == [6, 7] and len(rows_(6)) == 4
+
+
+def test_entry_warns_of_what_is_left_out_and_hides_no_other_error(tmp_path):
+    """Without the subpackage, with its empty folder, and with a name in it that isn't there."""
+    import shutil
+    import subprocess
+
+    root = tmp_path / "r"
+    shutil.copytree(ROOT, root, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.parquet"))
+    run = lambda: subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True)
+    out = run()
+    assert out.returncode == 0 and int(out.stdout) > 100 and "without" in out.stderr
+    (root / "evseq" / "llm").mkdir()
+    assert run().returncode == 0
+    (root / "evseq" / "llm" / "__init__.py").write_text("")
+    (root / "evseq" / "llm" / "queries.py").write_text("from evseq.schema import no_such_name")
+    assert run().returncode != 0
