@@ -27,8 +27,8 @@ from evseq.llm import common
 
 #: Occurrences that make a candidate; words of the longest; part of an inner phrase's occurrences, in 100, at which a longer one covers it.
 MIN, LONGEST, COVERED = 30, 4, 80
-#: Phrases returned for a language.
-TOP = 2000
+#: Phrases returned for a language; parts in which they are looked for first.
+TOP, PARTS = 2000, 64
 #: Bytes of text in a block; names (words or pairs) of all blocks in a bucket; least number of buckets.
 BLOCK_BYTES, BUCKET_NAMES, LEAST = 4 << 20, 1 << 20, 64
 
@@ -290,6 +290,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """
     levels = named(docs)
     d = candidates(levels).where(~F.col("covered"))
-    best = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    # The best of each of PARTS parts of a language first, so that no task has more than PARTS times `top` of its phrases.
+    order = F.desc("score"), F.desc("a"), F.asc("phrase")
+    d = d.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_n") <= top)
+    best = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     n = levels[0].where("id = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
