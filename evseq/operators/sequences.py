@@ -37,8 +37,9 @@ def patient_sequences(events: DataFrame, max_len: int = 2048, visit: str = "[VS]
     """subject_id, event/type/age/elapsed/visit/position arrays of the first max_len events, num_visits of all.
 
     Order: time, nulls first, then seq. null_time 'propagate': a subject whose first time is null has null hours; 'skip': hours
-    count from the first known time. Null subjects are one subject. Empty table: no rows.
+    count from the first known time. Rows without a subject are left out. Empty table: no rows.
     """
+    events = events.where(F.col("subject_id").isNotNull())
     token = codes.sanitize("code", preserve_bracketed)
     is_visit = F.col("code") == visit
     age = F.col("age") if "age" in events.columns else F.lit(None).cast("int")
@@ -50,7 +51,7 @@ def patient_sequences(events: DataFrame, max_len: int = 2048, visit: str = "[VS]
     so_far = Window.partitionBy("subject_id").orderBy(*EVENT_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     d = first_events(events, max_len).withColumns({"_visit": F.sum(F.coalesce(is_visit, F.lit(False)).cast("int")).over(so_far), "_age": F.last(age, ignorenulls=True).over(so_far)})
     row = F.struct((F.col("_n") - 1).alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), F.col("time"), F.col("_visit").alias("visit"))
-    out = d.groupBy("subject_id").agg(F.array_sort(F.collect_list(row)).alias("_e")).join(facts.withColumnRenamed("subject_id", "_subject"), F.col("subject_id").eqNullSafe(F.col("_subject")))
+    out = d.groupBy("subject_id").agg(F.array_sort(F.collect_list(row)).alias("_e")).join(facts, "subject_id")
     field = lambda f: F.transform("_e", f)
     arrays = {
         "event_tokens": field(lambda x: x["token"]), "type_tokens": field(lambda x: x["type"]), "age_tokens": field(lambda x: F.coalesce(x["age"], F.col("first_age"), F.lit(schema.DEFAULT_AGE))),
@@ -70,11 +71,12 @@ def unsuffixed(seqs: DataFrame, max_len: int) -> DataFrame:
 
 def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head") -> DataFrame:
     """One row for each stay: arrays of its first (keep='tail': last) max_len events (hours from intime, negative before), labels of all.
-    matched: events_in_stays(). Ages: the last known at the event; before any is known the first known; else from the birth event; else the
+    matched: events_in_stays(); rows without a stay are left out. Ages: the last known at the event; before any is known the first known; else from the birth event; else the
     default. Empty table: no rows."""
     age = F.col("age") if "age" in matched.columns else F.lit(None).cast("int")
     at = F.struct(*STAY_ORDER)
-    facts = matched.groupBy(F.col("stay_id").alias("_stay")).agg(
+    matched = matched.where(F.col("stay_id").isNotNull())
+    facts = matched.groupBy("stay_id").agg(
         F.min(F.when(F.col("code") == "MEDS_BIRTH", F.col("time"))).alias("birth"), F.min_by(F.when(age.isNotNull(), age), F.when(age.isNotNull(), at)).alias("first_age"),
         F.max("in_hosp_mortality").alias("label_in_hosp_mortality"), F.max("mortality_28d").alias("label_mortality_28d"), F.max(codes.is_sepsis_code(F.col("code")).cast("int")).alias("label_sepsis"),
     )
@@ -85,7 +87,7 @@ def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head")
     token = codes.sanitize_stay("code")
     row = F.struct(F.col("_pos").alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), F.col("time"), timecols.hours("intime", "time").alias("elapsed"), timecols.in_icu("time", "intime").alias("visit"))
     out = kept.groupBy("stay_id").agg(F.first("subject_id").alias("subject_id"), F.first("stay_hadm_id").alias("hadm_id"), F.first("intime").alias("intime"), F.first("outtime").alias("outtime"), F.array_sort(F.collect_list(row)).alias("_e"), F.min(at).alias("_from"))
-    out = out.join(facts, F.col("stay_id").eqNullSafe(F.col("_stay")))
+    out = out.join(facts, "stay_id")
     if keep == "tail":  # ages known before the events that are kept
         first = out.select(F.col("stay_id").alias("_s"), F.col("_from").alias("_f"))
         before = matched.where(age.isNotNull()).join(first, F.col("stay_id") == F.col("_s")).where(at < F.col("_f")).groupBy("_s").agg(F.max_by(age, at).alias("_before"))
