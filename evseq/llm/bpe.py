@@ -22,7 +22,7 @@ from evseq.llm import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: States and pairs kept before a table starts anew; short pieces kept before the oldest go, half of all at once.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 120_000, 200_000, 200_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 200_000, 350_000
 #: A file of ranks above this is not sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import hashlib
 import re
@@ -114,6 +115,8 @@ def occupy(owner: str) -> None:
         for c in CACHES:
             c.clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, it gives the memory back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
