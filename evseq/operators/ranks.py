@@ -34,16 +34,19 @@ def row_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     Rows are range-partitioned and sorted; a row's place in its partition is at hand, and a small join adds the rows of the
     partitions before. The number of partitions is stated, so that they aren't merged. Ranges come from a sample, so both sides must
-    read one and the same exchange: the counting side reads all columns, or it would get a narrower exchange of its own.
+    read one and the same exchange: the counting side reads all columns, and the place asks of every row that its hash over all columns is
+    none that the counting side has not met, so that no column of either side can be left out, whichever columns are wanted in the end.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    d = df.repartitionByRange(n, *order)
+    every = F.xxhash64(*[F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    per = d.withColumn("_part", F.spark_partition_id()).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max(every).alias("_most"))
+    before = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), "_most")
+    d = d.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     # The partition's number above 33 bits, the place in it below.
     part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    every = [F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]
-    per = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.max(F.xxhash64(*every)).alias("_read")).where("_read is not null")
-    before = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return d.join(before, part == F.col("_part")).withColumn(name, at + F.col("_before")).drop("_id", "_part", "_before")
+    place = F.when(every <= F.col("_most"), at + F.col("_before")).otherwise(F.raise_error(F.lit("ranges differ between two readings")).cast("long"))
+    return d.join(F.broadcast(before), part == F.col("_part")).withColumn(name, place).drop("_id", "_part", "_before", "_most")  # a row for each partition
 
 
 def ranges(df: DataFrame, column: str, within: tuple[str, ...] = ()) -> DataFrame:

@@ -228,6 +228,16 @@ def test_row_index_reads_one_exchange(spark):
     assert [r["x"] for r in sorted(n, key=lambda r: r["n"])] == sorted(str(k) for k in range(200_000)) and len({r["n"] for r in n}) == 200_000
 
 
+def test_row_index_whichever_columns_are_wanted(spark):
+    d = spark.range(200_000).select((F.col("id") * 7919 % 200_000).cast("string").alias("x"), F.md5(F.col("id").cast("string").cast("binary")).alias("y"))
+    n = ranks.row_index(d, ["x"], "n")
+    assert [r["x"] for r in sorted(n.select("x", "n").collect(), key=lambda r: r["n"])] == sorted(str(k) for k in range(200_000))
+    assert n.select("n").distinct().count() == 200_000
+    words = d.select(F.col("y").alias("token"))
+    v = vocab.vocabulary(words, ["[PAD]", "[UNK]"]).select("id", "token").collect()
+    assert [r["token"] for r in sorted(v, key=lambda r: r["id"])] == ["[PAD]", "[UNK]", *sorted(r["token"] for r in words.collect())]
+
+
 def test_ranks_of_ties_nulls_and_names(spark):
     d = spark.createDataFrame([(k % 3, None if k % 5 == 0 else f"k{k % 7}", k) for k in range(60)], "total long, rank string, k long")
     n = ranks.row_index(d, ["rank", "total"], "n").collect()
