@@ -7,11 +7,15 @@ bins, are joined by the subject alone; of those nearly every event that follows
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evseq import schema
 from evseq.functions import timecols
+from evseq.operators.ranks import dealt, parts
 
 #: Hours of a bin, and the most bins that a stay is spread over.
 BIN_HOURS, MOST_BINS = 168, 64
@@ -31,12 +35,14 @@ def spread(spans: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]
     return d.where(short).withColumn("_bin", F.explode(F.sequence(first, last))), d.where(~short)
 
 
-def inside(points: DataFrame, time: str, spans: DataFrame, low: str, high: str, on: Column) -> DataFrame:
-    """points joined to the spans that hold their time, bounds included, where `on` holds, which names the equi-keys. Columns of both sides
-    have names of their own."""
+def inside(points: DataFrame, time: str, spans: DataFrame, low: str, high: str, on: Column, keys: dict[str, str]) -> DataFrame:
+    """points joined to the spans that hold their time, bounds included, where `on` holds. keys: what of it is equal columns, by which, with
+    the bin, large tables are dealt out. Columns of both sides have names of their own."""
     binned, whole = spread(spans, low, high)
     on &= (F.col(time) >= F.col(low)) & (F.col(high).isNull() | (F.col(time) <= F.col(high)))
-    near = points.withColumn("_at", time_bin(time)).join(binned, on & (F.col("_at") == F.col("_bin"))).drop("_at", "_bin")
+    n = parts(points, spans)
+    binned = dealt(binned, n, *keys.values(), "_bin")
+    near = dealt(points.withColumn("_at", time_bin(time)), n, *keys, "_at").join(binned, on & (F.col("_at") == F.col("_bin"))).drop("_at", "_bin")
     return near.unionByName(points.join(whole, on))
 
 
@@ -46,7 +52,7 @@ def events_in_stays(events: DataFrame, stays: DataFrame, context_hours: int = 16
     s = stays.select(F.col("subject_id").alias("_subject"), "stay_id", F.col("hadm_id").alias("stay_hadm_id"), "intime", "outtime", *[c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns])
     s = s.withColumn("_low", F.col("intime") - F.expr(f"interval {context_hours} hours"))
     on = (F.col("subject_id") == F.col("_subject")) & (F.col("stay_hadm_id").isNull() | F.col("hadm_id").isNull() | (F.col("hadm_id") == F.col("stay_hadm_id")))
-    return inside(events, "time", s, "_low", "outtime", on).drop("_subject", "_low")
+    return inside(events, "time", s, "_low", "outtime", on, {"subject_id": "_subject"}).drop("_subject", "_low")
 
 
 def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool = False, first_hours_only: float | None = None, keep_all: bool = True) -> DataFrame:
@@ -58,10 +64,9 @@ def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool
     labels = [c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns and c not in studies.columns]
     s = stays.select(F.col("subject_id").alias("_subject"), F.col("hadm_id").alias("_hadm"), "stay_id", "intime", "outtime", *labels)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b)) if null_keys_match else F.col(a) == F.col(b)
-    on = same("subject_id", "_subject")
-    if "hadm_id" in studies.columns:
-        on &= same("hadm_id", "_hadm")
-    d = inside(studies.where("jpg_path_exists").dropna(subset=["StudyDateTime", "study_id"]), "StudyDateTime", s, "intime", "outtime", on).drop("_subject", "_hadm")
+    keys = {"subject_id": "_subject"} | ({"hadm_id": "_hadm"} if "hadm_id" in studies.columns else {})
+    on = reduce(operator.and_, [same(*k) for k in keys.items()])
+    d = inside(studies.where("jpg_path_exists").dropna(subset=["StudyDateTime", "study_id"]), "StudyDateTime", s, "intime", "outtime", on, {} if null_keys_match else keys).drop("_subject", "_hadm")
     d = d.withColumn("hours_from_icu_intime", timecols.hours("intime", "StudyDateTime"))
     if first_hours_only is not None:
         d = d.where(F.col("hours_from_icu_intime") <= first_hours_only)

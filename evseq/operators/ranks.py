@@ -1,4 +1,4 @@
-"""Global ranks and running totals without a window over all rows: rows are numbered inside ordered buckets, and each bucket is
+"""How rows are dealt out, and global ranks and running totals without a window over all rows: rows are numbered inside ordered buckets, and each bucket is
 shifted by what stands in those before it. Only bucket totals meet in one task."""
 
 from __future__ import annotations
@@ -13,6 +13,26 @@ DIGITS = 3
 RANGES = 32
 
 
+#: Bytes of files, compressed, whose rows one task should get.
+PART_BYTES = 4 << 20
+
+
+def parts(*dfs: DataFrame) -> int:
+    """Into how many parts rows read from files are dealt, so that a part stays as large as it is while the files grow: one for each
+    PART_BYTES of the files that these DataFrames read; 0, for as Spark deals by itself, if that would not be more parts than there are cores."""
+    spark = dfs[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = {f for d in dfs for f in d.inputFiles()}
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
+    n = -(-sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) // PART_BYTES)
+    return n if n > spark.sparkContext.defaultParallelism else 0
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df with equal keys in one of n parts, which Spark neither merges nor deals anew for a join, window or group by these keys; n 0: as it is."""
+    return df.repartition(n, *keys) if n else df
+
+
 def shuffled(df: DataFrame, key: str, seed: str, within: tuple[str, ...] = (), name: str = "_rank", total: str = "_total") -> DataFrame:
     """Adds the row's place, from 0, in the order of md5(seed:key), and the number of rows, both within the given columns. Any engine
     with md5 gives the same order. Rows with null keys come first; ties of equal keys are numbered anyhow. Empty table: no rows."""
@@ -37,7 +57,7 @@ def row_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     read one and the same exchange: the counting side reads all columns, and the place asks of every row that its hash over all columns is
     none that the counting side has not met, so that no column of either side can be left out, whichever columns are wanted in the end.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(df))
     d = df.repartitionByRange(n, *order)
     every = F.xxhash64(*[F.map_entries(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields])
     per = d.withColumn("_part", F.spark_partition_id()).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.max(every).alias("_most"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evseq import schema
 from evseq.functions import timecols
+from evseq.operators.ranks import dealt, parts
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -18,7 +19,7 @@ def with_patients(events: DataFrame, patients: DataFrame) -> DataFrame:
     """events with their patient's columns; of several rows of a patient the first by year counts. Spark broadcasts patients if
     they are small."""
     one = keep_one(patients, ["subject_id"], ["anchor_year", "anchor_age", "year_of_birth"])
-    return events.join(one, "subject_id", "left")
+    return dealt(events, parts(events), "subject_id").join(one, "subject_id", "left")
 
 
 def filled_age(df: DataFrame, age: str = "age", order: tuple[str, ...] = ("time", "code"), key: str = "subject_id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evseq.operators.ranks import dealt, parts
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,13 +47,19 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders with their customer. Both tables are dealt out by the order, in parts that don't grow with them."""
+    e, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = parts(e, o)
+    return dealt(e, n, "l_orderkey").join(dealt(o, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("l_partkey")
     sepsis = F.when(part % 20 == 0, "A41").when(part % 20 == 1, "038").otherwise("I")
     code = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("DIAGNOSIS//"), sepsis, part.cast("string"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("LAB//"), part.cast("string"))).otherwise(F.concat(F.element_at(F.array(*map(F.lit, KINDS)), (part % len(KINDS) + 1).cast("int")), part.cast("string")))
     code = F.when(part % 97 == 0, "MEDS_BIRTH").otherwise(code)
-    e = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return e.select(F.col("o_custkey").alias("subject_id"), F.when(F.col("l_linestatus") != "F", F.col("l_orderkey")).alias("hadm_id"), ntz("l_shipdate").alias("time"), code.alias("code"))
+    return lines(spark, sf_dir).select(F.col("o_custkey").alias("subject_id"), F.when(F.col("l_linestatus") != "F", F.col("l_orderkey")).alias("hadm_id"), ntz("l_shipdate").alias("time"), code.alias("code"))
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +76,8 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """study_id from the row's keys: equal keys would be one study, so the least price of equal keys counts."""
-    e = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     key = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("study_id")
-    e = e.select(F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("hadm_id"), key, ntz("l_shipdate").alias("StudyDateTime"), (F.col("l_linestatus") == "O").alias("jpg_path_exists"))
+    e = lines(spark, sf_dir).select(F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("hadm_id"), key, ntz("l_shipdate").alias("StudyDateTime"), (F.col("l_linestatus") == "O").alias("jpg_path_exists"))
     return e.groupBy("subject_id", "hadm_id", "study_id").agg(F.min("StudyDateTime").alias("StudyDateTime"), F.bool_or("jpg_path_exists").alias("jpg_path_exists"))
 
 

@@ -466,6 +466,28 @@ def test_queries_and_sql_agree(spark):
         assert rows(d.columns, d.collect()) == rows([x[0] for x in c.description], c.fetchall()), name
 
 
+def test_parts_grow_with_the_files(spark, monkeypatch):
+    """Tables of many parts are joined, grouped, ranked and windowed in as many, with the results of their SQL."""
+    import duckdb
+
+    from evseq.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    lineitem, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders"))
+    assert ranks.parts(lineitem) == 0 and ranks.parts(spark.range(5)) == 0
+    monkeypatch.setattr(ranks, "PART_BYTES", sum(os.path.getsize(f"{sf}/{t}.parquet") for t in ("lineitem", "orders")) // 8)
+    assert ranks.parts(lineitem.crossJoin(orders)) == 9
+    con = duckdb.connect()
+    for t in ("customer", "lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    for q in ("q_latest_study", "q_patient_enrich_age", "q_multi_key_order", "q_shard_number", "q_image_first_hours", "q_event_stay_match"):
+        got = catalog.queries()[q](spark, sf)
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and ", 9)" in got._jdf.queryExecution().executedPlan().toString()
+        want = con.execute(catalog.oracle_sql()[q])
+        at = [d[0] for d in want.description]
+        assert sorted(map(str, (tuple(r[c] for c in at) for r in got.collect()))) == sorted(map(str, want.fetchall())), q
+
+
 def test_iterative_stratification(spark):
     import random
 
