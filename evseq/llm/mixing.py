@@ -140,6 +140,11 @@ def positions(d: DataFrame) -> DataFrame:
     return d.withColumn("taken", F.size("positions") * F.col("size"))
 
 
+def in_order(places: DataFrame) -> DataFrame:
+    """placed() range-sorted by where in training each document is first due; those that never are come last, ties by doc_id, nulls first."""
+    return places.orderBy(F.asc_nulls_last("first_position"), "doc_id")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents in training order, each as often as it is due, with docs' columns only, whatever their names.
 
