@@ -454,6 +454,25 @@ def test_fingerprint_links(spark):
 # 6
 
 
+def test_mixing_query_is_in_training_order(spark):
+    from evseq.llm import queries
+
+    rows = queries.op8_mixing(spark, "/root/testdata/sf0.001").collect()
+    key = [(r["first_position"] is None, r["first_position"] or 0.0, r["doc_id"]) for r in rows]
+    assert len(rows) == 200 and key == sorted(key)
+
+
+def test_powers_go_with_their_operator():
+    common._owner = "evseq.llm.suffix_dedup"
+    n = (1 << 20) + 5
+    common.Rolling(np.zeros(n, np.uint8))
+    assert n < min(map(len, common._tables.values())) and max(map(len, common._tables.values())) <= n + (1 << 16)
+    common.occupy("evseq.llm.bpe")
+    assert not common._tables
+    a = common.Rolling(np.frombuffer(b"abcabc", np.uint8)).names(np.array([0, 3]), np.array([3, 6]))
+    assert a[0][0] == a[0][1] and a[1][0] == a[1][1]
+
+
 def test_urls(spark):
     urls = ["http://a.example.com/en/7x?q", "https://EXAMPLE.com/en/8", "http://example.net/de/8", "http://xexample.net/de/9#f", "ftp://org/es/", "http://com", None, "", "no scheme/en/", "http://www.spam-farm.example.org/x", "http://a.org/docs/en", "http://b.org/x/casino-big-bonus", "http://a.com?x=/en/", "http://spam-farm.com/en/1", "://net/de/"]
     d = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)] + [(1, urls[1], "x", "y"), (None, urls[0], "x", "y")], "page_id long, url string, rule string, token string")
