@@ -14,6 +14,7 @@ import codecs
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from evseq.llm import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: States and pairs kept before a table starts anew; short pieces kept before the oldest go, half of all at once.
-MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 200_000, 350_000
+MOST_STATES, MOST_PAIRS, MOST_PIECES = 200_000, 200_000, 200_000
 #: A file of ranks above this is not sent to the executors.
 MOST_RANK_BYTES = 64 << 20
 
@@ -56,8 +57,8 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        # A state: entries (parent's index, last token, trie node or -1) by place; the first is the root.
-        start = ((-1, -1, 0),)
+        # A state: entries (parent's index, last token, trie node or -1) by place, their numbers one after the other; the first is the root.
+        start = (-1, -1, 0)
         self.number = {start: 0}
         self.states = [start]
         self.go: dict[int, tuple[int, tuple[int, ...]]] = {}  # state << 8 | byte -> next state, tokens emitted
@@ -112,7 +113,8 @@ class Transducer:
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         child, tokens, inner = self.child, self.token, self.inner
         new, parent, token = [], -1, -1
-        for k, (up, last, node) in enumerate(self.states[number]):
+        flat = iter(self.states[number])
+        for k, (up, last, node) in enumerate(zip(flat, flat, flat)):
             if node >= 0 and (node := child.get(node << 8 | byte, -1)) >= 0:
                 if parent < 0 and (t := tokens.get(node)) is not None and self.stays(last, t):
                     parent, token = k, t  # the longest: entries are in order of place
@@ -135,12 +137,12 @@ class Transducer:
             root = on[root]
             out.append(new[root][1])
         _, last, node = new[root]
-        state, index = [(-1, last if node >= 0 else -2, node)], {root: 0}
+        state, index = [-1, last if node >= 0 else -2, node], {root: 0}
         for k in range(root + 1, n):
             up, last, node = new[k]
             if node >= 0 or ways[k]:
-                index[k] = len(state)
-                state.append((index[up], last, node))
+                index[k] = len(index)
+                state += (index[up], last, node)
         state = tuple(state)
         to = self.number.get(state)
         if to is None:
@@ -151,10 +153,10 @@ class Transducer:
 
     def finish(self, number: int) -> tuple[int, ...]:
         entries, out = self.states[number], []
-        k = len(entries) - 1
+        k = len(entries) - 3
         while k > 0:
-            out.append(entries[k][1])
-            k = entries[k][0]
+            out.append(entries[k + 1])
+            k = 3 * entries[k]
         self.rest[number] = done = tuple(reversed(out))
         return done
 
@@ -260,7 +262,7 @@ def tokenized(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tr
             cols["ids_sha256"].append(hashlib.sha256(spelt.encode()).hexdigest())
             cols["decoded_sha256"].append(back.hexdigest())
             if with_ids:
-                cols["ids"].append([*map(int, ids)])
+                cols["ids"].append(np.fromstring(spelt, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
         return cols | {"doc_id": batch.column(0)}
 
     return common.map_rows(docs.select("doc_id", "text"), one, SCHEMA + (", ids array<int>" if with_ids else ""))
