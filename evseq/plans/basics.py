@@ -492,9 +492,8 @@ def q_sequences_grown(spark, sf_dir):
     """The events as shards that are taken one at a time, out of order, by a query with keyed state; the sequences after the last."""
     path = scratch(spark, f"grown-{uuid.uuid4().hex}")
     e = proxies.stream(spark, sf_dir).withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(3)))
-    for k in range(3):
-        e.where(F.col("shard") == k).drop("shard").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    shards = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    grown.grow(spark, shards, f"{path}/out", f"{path}/checkpoint")
+    for k in range(3):  # a shard has as many files as tasks that write it, and is one batch
+        e.where(F.col("shard") == k).drop("shard").write.mode("append").parquet(f"{path}/in")
+        grown.grow(spark, spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
     d = grown.current(spark, f"{path}/out")
     return d.select("subject_id", text("event_tokens").alias("tokens"), text("type_tokens").alias("types"), text("visit_tokens").alias("visits"), text("elapsed_tokens", 4).alias("elapsed"), long("num_visits"), "died", "septic")

@@ -726,6 +726,51 @@ def test_sequences_grown_over_any_batching(spark, tmp_path):
             assert r["label"] == labels_.get(s) and r["n_events"] == clean.where(F.col("subject_id") == s).count()
 
 
+def test_shards_of_grown_sequences_are_written_by_as_many_tasks_as_read_them(spark, tmp_path, monkeypatch):
+    """No shard is one task's: each is one batch of several files, taken when it is there."""
+    from pyspark.sql import Row
+
+    from evseq.plans import basics, catalog
+    from evseq.streaming import sequences as grown
+
+    rows = [(k, dt(2024, 1, 1) + timedelta(minutes=k * 37 % 991), k % 7, ["signup", "click", "view", "purchase", "other"][k % 5], 30.0, f'{{"k": {k % 23}}}') for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    grow, seen = grown.grow, []
+
+    def counted(s, events, out, checkpoint, **how):
+        folder = str(out).removeprefix("file:").removesuffix("/out") + "/in"
+        seen.append(sum(f.endswith(".parquet") for f in os.listdir(folder)))
+        grow(s, events, out, checkpoint, **how)
+
+    monkeypatch.setattr(grown, "grow", counted)
+    with monkeypatch.context() as m:
+        m.setattr(basics.proxies, "table", lambda s, d, n: spark.read.parquet(f"{d}/{n}.parquet").repartition(4, "event_id"))
+        got = {r["subject_id"]: r for r in basics.q_sequences_grown(spark, str(tmp_path)).collect()}
+        want = {r["subject_id"]: r for r in catalog.q_patient_sequences(spark, str(tmp_path)).collect()}
+    assert len(seen) == 3 and seen[0] > 1 and seen[1] > seen[0] + 1 and seen[2] > seen[1] + 1
+    assert set(got) == set(want) == set(range(7)) and all(got[s][c] == want[s][c] for s in got for c in ("tokens", "types", "visits", "elapsed", "num_visits"))
+
+    class State:  # of one subject
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    state = State()
+    first = grown.FirstEvents(5, "[VS]")
+    first.init(type("Handle", (), {"getValueState": lambda self, name, ddl: state})())
+    at = [(k * 7919) % 10007 for k in range(10007)]  # more than a chunk
+    for part in (at[:9000], at[9000:]):
+        events = (Row(subject_id=1, micros=m, seq=-m, code="[VS]" if m % 2 else "LAB", age=40 + m if m > 2 else grown.NONE, label=grown.NONE, died=False, septic=m == 9999) for m in part)
+        (out,) = first.handleInputRows((1,), events, None)
+    assert (out.n_events, out.num_visits, out.start, out.died, out.septic, out.label) == (10007, 5003, 0, False, True, None)
+    assert (out.micros, out.seq, out.age, out.visit) == ([0, 1, 2, 3, 4], [0, -1, -2, -3, -4], [43, 43, 43, 43, 44], [0, 1, 1, 2, 2])
+
+
 def test_versions(spark, tmp_path, monkeypatch):
     from evseq.sources import versions
 
