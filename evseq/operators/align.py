@@ -37,22 +37,29 @@ def spread(spans: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]
 
 def inside(points: DataFrame, time: str, spans: DataFrame, low: str, high: str, on: Column, keys: dict[str, str]) -> DataFrame:
     """points joined to the spans that hold their time, bounds included, where `on` holds. keys: what of it is equal columns, by which, with
-    the bin, large tables are dealt out. Columns of both sides have names of their own."""
+    the bin, large tables are dealt out. Columns of both sides have names of their own.
+
+    Both joins ask the same of points, that there is a time: a bin that might be null would be asked for too, in one of them, and what
+    points are made of would be shuffled twice."""
     binned, whole = spread(spans, low, high)
     on &= (F.col(time) >= F.col(low)) & (F.col(high).isNull() | (F.col(time) <= F.col(high)))
     n = parts(points, spans)
+    points = points.where(F.col(time).isNotNull())
     binned = dealt(binned, n, *keys.values(), "_bin")
-    near = dealt(points.withColumn("_at", time_bin(time)), n, *keys, "_at").join(binned, on & (F.col("_at") == F.col("_bin"))).drop("_at", "_bin")
-    return near.unionByName(points.join(whole, on))
+    at = F.coalesce(time_bin(time), F.lit(0))  # of null times, which there are none of any more
+    near = dealt(points.withColumn("_at", at), n, *keys, "_at").join(binned, on & (F.col("_at") == F.col("_bin"))).drop("_at", "_bin")
+    return near.unionByName(dealt(points, n, *keys).join(dealt(whole, n, *keys.values()), on))
 
 
 def events_in_stays(events: DataFrame, stays: DataFrame, context_hours: int = 168) -> DataFrame:
     """Events from context_hours before a stay to its end, bounds included; an open stay has no end. Admissions must agree where
     both are known. An event may match several stays, and repeated rows of either side match each. Null subjects and times match nothing."""
-    s = stays.select(F.col("subject_id").alias("_subject"), "stay_id", F.col("hadm_id").alias("stay_hadm_id"), "intime", "outtime", *[c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns])
-    s = s.withColumn("_low", F.col("intime") - F.expr(f"interval {context_hours} hours"))
+    context, more = F.expr(f"interval {context_hours} hours"), [c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns]
+    s = stays.select(F.col("subject_id").alias("_subject"), "stay_id", F.col("hadm_id").alias("stay_hadm_id"), (F.col("intime") - context).alias("_low"), "outtime", *more)
     on = (F.col("subject_id") == F.col("_subject")) & (F.col("stay_hadm_id").isNull() | F.col("hadm_id").isNull() | (F.col("hadm_id") == F.col("stay_hadm_id")))
-    return inside(events, "time", s, "_low", "outtime", on, {"subject_id": "_subject"}).drop("_subject", "_low")
+    d = inside(events, "time", s, "_low", "outtime", on, {"subject_id": "_subject"})
+    # A stay stands in each of its bins, so what follows from the rest of it doesn't travel.
+    return d.select(*events.columns, "stay_id", "stay_hadm_id", (F.col("_low") + context).alias("intime"), "outtime", *more)
 
 
 def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool = False, first_hours_only: float | None = None, keep_all: bool = True) -> DataFrame:

@@ -76,7 +76,11 @@ def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head")
     age = F.col("age") if "age" in matched.columns else F.lit(None).cast("int")
     at = F.struct(*STAY_ORDER)
     matched = matched.where(F.col("stay_id").isNotNull())
+    # What a stay has once travels with its facts. The events that are kept ask for the same columns of stays (`once`), although their facts
+    # have them: with other columns than facts they would be matched to stays by an exchange of stays of their own.
+    once = ("in_hosp_mortality", "mortality_28d")
     facts = matched.groupBy("stay_id").agg(
+        F.first("subject_id").alias("subject_id"), F.first("stay_hadm_id").alias("hadm_id"), F.first("intime").alias("intime"), F.first("outtime").alias("outtime"),
         F.min(F.when(F.col("code") == "MEDS_BIRTH", F.col("time"))).alias("birth"), F.min_by(F.when(age.isNotNull(), age), F.when(age.isNotNull(), at)).alias("first_age"),
         F.max("in_hosp_mortality").alias("label_in_hosp_mortality"), F.max("mortality_28d").alias("label_mortality_28d"), F.max(codes.is_sepsis_code(F.col("code")).cast("int")).alias("label_sepsis"),
     )
@@ -85,8 +89,8 @@ def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head")
     so_far = Window.partitionBy("stay_id").orderBy(*STAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumns({"_age": F.last(age, ignorenulls=True).over(so_far), "_pos": F.row_number().over(so_far) - 1})
     token = codes.sanitize_stay("code")
-    row = F.struct(F.col("_pos").alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), F.col("time"), timecols.hours("intime", "time").alias("elapsed"), timecols.in_icu("time", "intime").alias("visit"))
-    out = kept.groupBy("stay_id").agg(F.first("subject_id").alias("subject_id"), F.first("stay_hadm_id").alias("hadm_id"), F.first("intime").alias("intime"), F.first("outtime").alias("outtime"), F.array_sort(F.collect_list(row)).alias("_e"), F.min(at).alias("_from"))
+    row = F.struct(F.col("_pos").alias("pos"), token.alias("token"), codes.token_type(token).alias("type"), F.col("_age").alias("age"), F.col("time"))
+    out = kept.groupBy("stay_id").agg(F.array_sort(F.collect_list(row)).alias("_e"), F.min(at).alias("_from"), *[F.max(c).alias(f"_{c}") for c in once])
     out = out.join(facts, "stay_id")
     if keep == "tail":  # ages known before the events that are kept
         first = out.select(F.col("stay_id").alias("_s"), F.col("_from").alias("_f"))
@@ -96,8 +100,9 @@ def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head")
     born = lambda x: F.greatest(F.floor(timecols.hours("birth", x["time"]) / 24 / 365.25), F.lit(0)).cast("int")
     ages = field(lambda x: F.coalesce(x["age"], F.col("first_age"), F.when(F.col("birth").isNotNull(), born(x)), F.lit(schema.DEFAULT_AGE)))
     return out.select(
-        "stay_id", "subject_id", "hadm_id", "intime", "outtime", field(lambda x: x["token"]).alias("event_tokens"), field(lambda x: x["type"]).alias("type_tokens"), ages.alias("age_tokens"), field(lambda x: x["elapsed"]).alias("elapsed_tokens"),
-        field(lambda x: x["visit"]).alias("visit_tokens"), F.transform("_e", lambda x, i: i).alias("position_tokens"), F.lit(1).alias("num_visits"), "label_in_hosp_mortality", "label_mortality_28d", "label_sepsis",
+        "stay_id", "subject_id", "hadm_id", "intime", "outtime", field(lambda x: x["token"]).alias("event_tokens"), field(lambda x: x["type"]).alias("type_tokens"), ages.alias("age_tokens"), field(lambda x: timecols.hours("intime", x["time"])).alias("elapsed_tokens"),
+        field(lambda x: timecols.in_icu(x["time"], "intime")).alias("visit_tokens"), F.transform("_e", lambda x, i: i).alias("position_tokens"), F.lit(1).alias("num_visits"),
+        F.greatest("label_in_hosp_mortality", "_in_hosp_mortality").alias("label_in_hosp_mortality"), F.greatest("label_mortality_28d", "_mortality_28d").alias("label_mortality_28d"), "label_sepsis",
     )
 
 

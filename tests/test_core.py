@@ -771,6 +771,33 @@ def test_shards_of_grown_sequences_are_written_by_as_many_tasks_as_read_them(spa
     assert (out.micros, out.seq, out.age, out.visit) == ([0, 1, 2, 3, 4], [0, -1, -2, -3, -4], [43, 43, 43, 43, 44], [0, 1, 1, 2, 2])
 
 
+def test_facts_and_kept_events_of_stays_are_matched_by_the_same_exchanges(spark):
+    """Lines, events and stays are each dealt out once for a join, not once for each reading and each way to join."""
+    lines = spark.createDataFrame([(k, 7 * k % 5, dt(2020, 1, 1) + timedelta(hours=9 * k), f"LAB//{k % 3}") for k in range(60)] + [(60, 1, None, "LAB//9")], "k long, h long, time timestamp_ntz, code string")
+    keys = spark.createDataFrame([(k, k % 4) for k in range(60)], "j long, subject_id long")
+    e = lines.join(keys, F.col("k") == F.col("j")).select("subject_id", F.when(F.col("h") > 1, F.col("h")).alias("hadm_id"), "time", "code")
+    s = spark.createDataFrame([(k % 4, k, k % 5 if k % 3 else None, dt(2020, 1, 2) + timedelta(hours=31 * k), dt(2020, 1, 9) + timedelta(hours=31 * k) if k % 2 else None, k % 2, int(k > 6)) for k in range(12)], "subject_id long, stay_id long, hadm_id long, intime timestamp_ntz, outtime timestamp_ntz, in_hosp_mortality int, mortality_28d int")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        d = sequences.stay_sequences(align.events_in_stays(e, s, 24)).select("stay_id", "subject_id", "intime", "event_tokens", "elapsed_tokens", "label_in_hosp_mortality", "label_mortality_28d", "label_sepsis")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        made = lambda what: sum(f"- Exchange hashpartitioning({what}#" in x for x in plan.splitlines())
+        assert (made("k"), made("j"), made("subject_id"), made("_subject")) == (1, 1, 2, 2), plan
+        got = {r["stay_id"]: r for r in d.collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    ev, want = e.collect(), {}
+    for t in s.collect():
+        m = sorted((x["time"], x["code"]) for x in ev if x["time"] and x["subject_id"] == t["subject_id"] and t["intime"] - timedelta(hours=24) <= x["time"] and (t["outtime"] is None or x["time"] <= t["outtime"]) and (None in (x["hadm_id"], t["hadm_id"]) or x["hadm_id"] == t["hadm_id"]))
+        if m:
+            want[t["stay_id"]] = (t["subject_id"], t["intime"], [c.replace("/", "") for _, c in m], [(x - t["intime"]).total_seconds() / 3600 for x, _ in m], t["in_hosp_mortality"], t["mortality_28d"], 0)
+    assert len(want) > 6 and {k: tuple(r)[1:] for k, r in got.items()} == want
+
+
 def test_versions(spark, tmp_path, monkeypatch):
     from evseq.sources import versions
 
