@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evseq.functions import arrays
-from evseq.operators.ranks import row_index
+from evseq.operators.ranks import dealt, parts, row_index
 
 
 def frequencies(seqs: DataFrame, key: str = "subject_id", column: str = "event_tokens", without: list[str] = ()) -> DataFrame:
-    """key, token, n: how often a key's arrays have each token; null tokens are left out, rows of one key are added up."""
-    e = seqs.select(key, F.explode(column).alias("token")).where("token is not null")
-    return (e.where(~F.col("token").isin(list(without))) if without else e).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    """key, token, n: how often a key's arrays have each token; null tokens are left out, rows of one key are added up.
+
+    Tokens are counted inside each row first, and a row travels as one, by its key, with each token once; rows of a key are added up where
+    they meet, in parts that don't grow with the files.
+    """
+    wanted = lambda x: x.isNotNull() & ~x.isin(list(without)) if without else x.isNotNull()
+    d = seqs.select(key, F.sort_array(F.filter(column, wanted)).alias("_sorted"))
+    at = F.sequence(F.lit(0), F.size("_sorted") - 1)
+    first = F.filter(at, lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    d = d.where(F.size("_sorted") > 0).withColumn("_first", first)
+    counts = F.transform("_first", lambda i, k: F.coalesce(F.get("_first", k + 1), F.size("_sorted")) - i)
+    d = d.select(key, F.transform("_first", lambda i: F.get("_sorted", i)).alias("token"), counts.alias("n"))
+    n = parts(seqs)
+    d = dealt(d, n, key) if n else d.repartition(key)
+    return d.select(key, F.explode(F.arrays_zip("token", "n")).alias("x")).groupBy(key, F.col("x.token").alias("token")).agg(F.sum("x.n").alias("n"))
 
 
 def document_frequencies(freq: DataFrame, key: str = "subject_id") -> DataFrame:

@@ -798,6 +798,21 @@ def test_facts_and_kept_events_of_stays_are_matched_by_the_same_exchanges(spark)
     assert len(want) > 6 and {k: tuple(r)[1:] for k, r in got.items()} == want
 
 
+def test_frequencies_send_a_row_once_and_not_its_tokens(spark):
+    """Tokens are counted before rows travel; rows of a key, null keys, empty and null arrays and null tokens as ever."""
+    from collections import Counter
+
+    rows = [(1, ["b", "a", "b", None, ""]), (1, ["a"]), (2, []), (3, None), (None, ["a", "a"]), (None, ["c"]), (4, [None]), (5, [f"t{k * k % 17}" for k in range(60)])]
+    d = spark.createDataFrame(rows, "subject_id long, event_tokens array<string>")
+    for without in ((), ("a", "[PAD]")):
+        f = features.frequencies(d, without=without)
+        want = Counter((k, t) for k, a in rows for t in a or [] if t is not None and t not in without)
+        got = f.collect()
+        assert len(got) == len(want) and {(r["subject_id"], r["token"]): r["n"] for r in got} == want
+    plan = f._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and 0 <= plan.find("Generate") < plan.find("Exchange"), plan  # the plan is read from below
+
+
 def test_versions(spark, tmp_path, monkeypatch):
     from evseq.sources import versions
 
