@@ -8,6 +8,7 @@ bins, are joined by the subject alone; of those nearly every event that follows
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,8 @@ from evseq import schema
 from evseq.functions import timecols
 from evseq.operators.ranks import dealt, parts
 
-#: Hours of a bin, and the most bins that a stay is spread over.
-BIN_HOURS, MOST_BINS = 168, 64
+#: Hours of a bin, and the most bins that a stay is spread over. A stay travels once for each of its bins, and is a candidate for what is in them.
+BIN_HOURS, MOST_BINS = 336, 32
 
 
 def time_bin(c: str | Column) -> Column:
@@ -35,31 +36,37 @@ def spread(spans: DataFrame, low: str, high: str) -> tuple[DataFrame, DataFrame]
     return d.where(short).withColumn("_bin", F.explode(F.sequence(first, last))), d.where(~short)
 
 
-def inside(points: DataFrame, time: str, spans: DataFrame, low: str, high: str, on: Column, keys: dict[str, str]) -> DataFrame:
+def inside(points: DataFrame, time: str, spans: DataFrame, low: str, high: str, on: Column, keys: dict[str, str], cut: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
     """points joined to the spans that hold their time, bounds included, where `on` holds. keys: what of it is equal columns, by which, with
-    the bin, large tables are dealt out. Columns of both sides have names of their own.
+    the bin, large tables are dealt out. Columns of both sides have names of their own. cut: leaves out rows of large tables by what a task
+    has joined; it is given the columns by which these rows were dealt out, equal ones being in one task.
 
     Both joins ask the same of points, that there is a time: a bin that might be null would be asked for too, in one of them, and what
-    points are made of would be shuffled twice."""
+    points are made of would be shuffled twice. A point's bin is an expression in the exchange and in the join, so it doesn't travel."""
     binned, whole = spread(spans, low, high)
     on &= (F.col(time) >= F.col(low)) & (F.col(high).isNull() | (F.col(time) <= F.col(high)))
     n = parts(points, spans)
     points = points.where(F.col(time).isNotNull())
     binned = dealt(binned, n, *keys.values(), "_bin")
     at = F.coalesce(time_bin(time), F.lit(0))  # of null times, which there are none of any more
-    near = dealt(points.withColumn("_at", at), n, *keys, "_at").join(binned, on & (F.col("_at") == F.col("_bin"))).drop("_at", "_bin")
-    return near.unionByName(dealt(points, n, *keys).join(dealt(whole, n, *keys.values()), on))
+    near = dealt(points, n, *keys, at).join(binned, on & (at == F.col("_bin")))
+    far = dealt(points, n, *keys).join(dealt(whole, n, *keys.values()), on)
+    if cut and n:
+        near, far = cut(near, [*keys.values(), "_bin"]), cut(far, [*keys.values()])
+    return near.drop("_bin").unionByName(far)
 
 
-def events_in_stays(events: DataFrame, stays: DataFrame, context_hours: int = 168) -> DataFrame:
+def events_in_stays(events: DataFrame, stays: DataFrame, context_hours: int = 168, cut: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> DataFrame:
     """Events from context_hours before a stay to its end, bounds included; an open stay has no end. Admissions must agree where
-    both are known. An event may match several stays, and repeated rows of either side match each. Null subjects and times match nothing."""
+    both are known. An event may match several stays, and repeated rows of either side match each. Null subjects and times match nothing.
+    cut: as of inside(); what it leaves of large tables is dealt out by the stay."""
     context, more = F.expr(f"interval {context_hours} hours"), [c for c in ("in_hosp_mortality", "mortality_28d") if c in stays.columns]
     s = stays.select(F.col("subject_id").alias("_subject"), "stay_id", F.col("hadm_id").alias("stay_hadm_id"), (F.col("intime") - context).alias("_low"), "outtime", *more)
     on = (F.col("subject_id") == F.col("_subject")) & (F.col("stay_hadm_id").isNull() | F.col("hadm_id").isNull() | (F.col("hadm_id") == F.col("stay_hadm_id")))
-    d = inside(events, "time", s, "_low", "outtime", on, {"subject_id": "_subject"})
+    d = inside(events, "time", s, "_low", "outtime", on, {"subject_id": "_subject"}, cut)
     # A stay stands in each of its bins, so what follows from the rest of it doesn't travel.
-    return d.select(*events.columns, "stay_id", "stay_hadm_id", (F.col("_low") + context).alias("intime"), "outtime", *more)
+    d = d.select(*events.columns, "stay_id", "stay_hadm_id", (F.col("_low") + context).alias("intime"), "outtime", *more)
+    return dealt(d, parts(events, stays), "stay_id") if cut else d
 
 
 def studies_in_stays(studies: DataFrame, stays: DataFrame, null_keys_match: bool = False, first_hours_only: float | None = None, keep_all: bool = True) -> DataFrame:

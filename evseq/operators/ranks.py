@@ -28,7 +28,7 @@ def parts(*dfs: DataFrame) -> int:
     return n if n > spark.sparkContext.defaultParallelism else 0
 
 
-def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, n: int, *keys: str | Column) -> DataFrame:
     """df with equal keys in one of n parts, which Spark neither merges nor deals anew for a join, window or group by these keys; n 0: as it is."""
     return df.repartition(n, *keys) if n else df
 

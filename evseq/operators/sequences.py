@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from evseq import schema
 from evseq.functions import codes, timecols
+from evseq.operators import align
+from evseq.operators.ranks import dealt, parts
 
 
 #: Order of a subject's and of a stay's events; nulls first.
 EVENT_ORDER, STAY_ORDER = ("time", "seq", "code"), ("time", "code")
 
 
-def first_events(events: DataFrame, max_len: int = 2048, key: str = "subject_id", order: tuple = EVENT_ORDER) -> DataFrame:
+def first_events(events: DataFrame, max_len: int = 2048, key: str | list[str] = "subject_id", order: tuple = EVENT_ORDER) -> DataFrame:
     """events with _n, the place from 1, for each key's first max_len; ties of the whole order are placed anyhow. The session's threshold
     for window limits is raised to max_len where it is less, as the limit would not reach the tasks before the exchange otherwise."""
     conf, name = events.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -69,9 +71,21 @@ def unsuffixed(seqs: DataFrame, max_len: int) -> DataFrame:
     return seqs.withColumnsRenamed({c: c.removesuffix(f"_{max_len}") for c in seqs.columns if c.endswith(f"_tokens_{max_len}")})
 
 
-def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head") -> DataFrame:
+def in_order(keep: str) -> tuple:
+    """The order by which a stay's events are kept."""
+    return STAY_ORDER if keep == "head" else tuple(F.desc(c) for c in STAY_ORDER)
+
+
+def sequences_in_stays(events: DataFrame, stays: DataFrame, max_len: int = 2048, keep: str = "head") -> DataFrame:
+    """stay_sequences() of events_in_stays(). Of large tables each task keeps max_len events of a stay by windows that need no exchange, and
+    what is left is dealt out by the stay in parts that don't grow: Spark's own exchange would have its fixed number of parts."""
+    cut = lambda d, by: first_events(d, max_len, [*by, "stay_id"], in_order(keep)).drop("_n")
+    return stay_sequences(align.events_in_stays(events, stays), max_len, keep, align.events_in_stays(events, stays, cut=cut))
+
+
+def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head", among: DataFrame | None = None) -> DataFrame:
     """One row for each stay: arrays of its first (keep='tail': last) max_len events (hours from intime, negative before), labels of all.
-    matched: events_in_stays(); rows without a stay are left out. Ages: the last known at the event; before any is known the first known; else from the birth event; else the
+    matched: events_in_stays(); rows without a stay are left out. among: those of matched that may be kept, dealt out by the stay; else all. Ages: the last known at the event; before any is known the first known; else from the birth event; else the
     default. Empty table: no rows."""
     age = F.col("age") if "age" in matched.columns else F.lit(None).cast("int")
     at = F.struct(*STAY_ORDER)
@@ -84,8 +98,9 @@ def stay_sequences(matched: DataFrame, max_len: int = 2048, keep: str = "head")
         F.min(F.when(F.col("code") == "MEDS_BIRTH", F.col("time"))).alias("birth"), F.min_by(F.when(age.isNotNull(), age), F.when(age.isNotNull(), at)).alias("first_age"),
         F.max("in_hosp_mortality").alias("label_in_hosp_mortality"), F.max("mortality_28d").alias("label_mortality_28d"), F.max(codes.is_sepsis_code(F.col("code")).cast("int")).alias("label_sepsis"),
     )
-    order = STAY_ORDER if keep == "head" else tuple(F.desc(c) for c in STAY_ORDER)
-    kept = first_events(matched, max_len, "stay_id", order)
+    if among is not None:
+        facts = dealt(facts, parts(matched), "stay_id")
+    kept = first_events(matched if among is None else among.where(F.col("stay_id").isNotNull()), max_len, "stay_id", in_order(keep))
     so_far = Window.partitionBy("stay_id").orderBy(*STAY_ORDER).rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumns({"_age": F.last(age, ignorenulls=True).over(so_far), "_pos": F.row_number().over(so_far) - 1})
     token = codes.sanitize_stay("code")

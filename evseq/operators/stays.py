@@ -31,9 +31,11 @@ def filled_age(df: DataFrame, age: str = "age", order: tuple[str, ...] = ("time"
 
 
 def master_stays(stays: DataFrame, admissions: DataFrame, patients: DataFrame) -> DataFrame:
-    """One row for each stay with the 20 columns of schema.STAY; several rows of an admission give several."""
+    """One row for each stay with the 20 columns of schema.STAY; several rows of an admission give several. Large tables are dealt out by
+    the admission, in parts that don't grow with them."""
+    n, admission = parts(stays, admissions), ["subject_id", "hadm_id"]
     dod = keep_one(patients, ["subject_id"], ["dod"]).select("subject_id", "dod")
-    d = stays.dropna(subset=["subject_id", "hadm_id", "stay_id", "intime"]).join(admissions, ["subject_id", "hadm_id"], "left").join(dod, "subject_id", "left")
+    d = dealt(stays.dropna(subset=[*admission, "stay_id", "intime"]), n, *admission).join(dealt(admissions, n, *admission), admission, "left").join(dod, "subject_id", "left")
     d = d.withColumn("hospital_expire_flag", F.coalesce("hospital_expire_flag", F.lit(0)))
     d = d.withColumn("death_time", F.coalesce("deathtime", "dod"))
     d = d.withColumns({"in_hosp_mortality": F.col("hospital_expire_flag").cast("int"), "mortality_28d": timecols.died_within("death_time", "intime")})

@@ -222,7 +222,7 @@ def q_back_filled(spark, sf_dir):
 @query(sql("SELECT stay_id, array_to_string(list_transform(list(CASE WHEN birth IS NULL THEN 25 ELSE greatest(CAST(floor(date_diff('microsecond', birth, time) / 3.6e9 / 24 / 365.25) AS BIGINT), 0) END ORDER BY time, code), lambda x: CAST(x AS VARCHAR)), ',') AS ages FROM (SELECT *, min(CASE WHEN code = 'MEDS_BIRTH' THEN time END) OVER (PARTITION BY stay_id) AS birth FROM v_match) GROUP BY stay_id", "v_match"))
 def q_stay_ages(spark, sf_dir):
     """Years since birth where a stay has that event, else 25."""
-    s = sequences.stay_sequences(align.events_in_stays(proxies.events(spark, sf_dir), master(spark, sf_dir)))
+    s = sequences.sequences_in_stays(proxies.events(spark, sf_dir), master(spark, sf_dir))
     return s.select("stay_id", text("age_tokens").alias("ages"))
 
 

@@ -146,7 +146,7 @@ _STAY = """SELECT stay_id, subject_id, list(regexp_replace(code, '[^\\p{L}\\p{N}
 
 @query(sql(f"SELECT stay_id, subject_id, {lists('tokens')} AS tokens, {lists('elapsed', 3)} AS elapsed, {lists('visits')} AS visits, CAST(a AS BIGINT) AS label_in_hosp_mortality, CAST(b AS BIGINT) AS label_mortality_28d, CAST(c AS BIGINT) AS label_sepsis FROM per_stay", "v_match", per_stay=_STAY))
 def q_stay_sequences(spark, sf_dir):
-    s = sequences.stay_sequences(matched(spark, sf_dir), MAX_LEN)
+    s = sequences.sequences_in_stays(proxies.events(spark, sf_dir), master(spark, sf_dir), MAX_LEN)
     return s.select("stay_id", "subject_id", text("event_tokens").alias("tokens"), text("elapsed_tokens", 3).alias("elapsed"), text("visit_tokens").alias("visits"), long("label_in_hosp_mortality"), long("label_mortality_28d"), long("label_sepsis"))
 
 

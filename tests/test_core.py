@@ -798,6 +798,45 @@ def test_facts_and_kept_events_of_stays_are_matched_by_the_same_exchanges(spark)
     assert len(want) > 6 and {k: tuple(r)[1:] for k, r in got.items()} == want
 
 
+def test_stays_of_large_tables_are_cut_in_tasks_and_dealt_out_by_the_stay(spark, tmp_path, monkeypatch):
+    """Few copies of a stay travel, bins of events don't, and the parts of the last step don't depend on Spark's number of them."""
+    base = dt(2020, 1, 1)
+    spark.range(4000).select(
+        (F.col("id") % 7).alias("subject_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 90).alias("hadm_id"), F.when(F.col("id") % 501 > 0, F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") * 37 % 9000).cast("int"))).alias("time"),
+        F.when(F.col("id") % 97 == 0, "MEDS_BIRTH").otherwise(F.concat(F.lit("LAB//"), F.col("id").cast("string"))).alias("code"),
+    ).repartition(3).write.parquet(f"{tmp_path}/e")
+    at = F.lit(base).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") * 31 % 380).cast("int"))
+    spark.range(90).select((F.col("id") % 7).alias("subject_id"), F.col("id").alias("stay_id"), F.col("id").alias("hadm_id"), at.alias("intime"), F.when(F.col("id") % 3 > 0, at + F.expr("interval 30 days")).alias("outtime"), F.lit(1).alias("in_hosp_mortality"), F.lit(0).alias("mortality_28d")).write.parquet(f"{tmp_path}/s")
+    e, s = spark.read.parquet(f"{tmp_path}/e"), spark.read.parquet(f"{tmp_path}/s")
+    binned, whole = align.spread(s, "intime", "outtime")
+    assert whole.count() == 30 and binned.count() <= 3.5 * 60
+    want = {k: sorted(map(str, sequences.stay_sequences(align.events_in_stays(e, s), 20, k).collect())) for k in ("head", "tail")}
+    assert len(want["head"]) > 80 and want["head"] != want["tail"] and ranks.parts(e, s) == 0
+    files = sum(f.stat().st_size for t in "es" for f in (tmp_path / t).glob("*.parquet"))
+    monkeypatch.setattr(ranks, "PART_BYTES", -(-files // 9))
+    n = ranks.parts(e, s)
+    assert n > 4
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        for k in want:
+            d = sequences.sequences_in_stays(e, s, 20, k)
+            assert sorted(map(str, d.collect())) == want[k]
+        plan = sequences.sequences_in_stays(e, s, 20).select("stay_id", "age_tokens")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    made = [x for x in plan if "- Exchange hashpartitioning(" in x]
+    assert sum("(subject_id#" in x for x in made) == sum("(_subject#" in x for x in made) == 2, made  # facts and kept events share them
+    assert not any("(subject_id#" in x and "_at#" in x for x in made)
+    (last,) = [i for i, x in enumerate(plan) if "- Exchange hashpartitioning(stay_id#" in x and any("WindowGroupLimit" in y for y in plan[i : i + 12])]
+    assert f", {n}), REPARTITION_BY_NUM" in plan[last] and sum("WindowGroupLimit" in x for x in plan[last:]) == 2
+    # Nothing is dealt out anew between a join and the cut of what it gave.
+    assert sum("- Exchange hashpartitioning(stay_id#" in x for x in made) == 3 and len(made) == 7, made
+
+
 def test_frequencies_send_a_row_once_and_not_its_tokens(spark):
     """Tokens are counted before rows travel; rows of a key, null keys, empty and null arrays and null tokens as ever."""
     from collections import Counter
