@@ -84,10 +84,11 @@ def similar(docs: DataFrame, size: int = SHINGLE, threshold: float = 0.8, rows:
     keys = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // rows - 1)), lambda k: F.xxhash64(k, F.slice("values", k * rows + 1, rows)))
     classes = common.checkpoint(classes.select(F.monotonically_increasing_id().alias("uid"), "at.doc_id", "at.text_hash", "n_shingles", "fingerprint", keys.alias("bands"), "sig"))
     # Six standard deviations of an estimate below the threshold.
-    tied = common.checkpoint(minhash_dedup.ties(classes, threshold - 6 * (threshold * (1 - threshold) / PERMUTATIONS) ** 0.5))
-    clusters = common.components(tied).select(F.col("component").alias("cluster"), F.col("node").alias("uid"))
+    tied, clusters = minhash_dedup.clustered(classes, threshold - 6 * (threshold * (1 - threshold) / PERMUTATIONS) ** 0.5)
+    clusters = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid"))
     members = common.checkpoint(minhash_dedup.with_texts(clusters.join(classes.select("uid", "doc_id", "text_hash", "n_shingles"), "uid"), docs))
-    links = minhash_dedup.verified(members, tied, size, 100 * threshold)
+    first, _, rest = minhash_dedup.verified(members, tied, size, 100 * threshold)
+    links = first.unionByName(rest.select("a", "b"))
 
     def jaccard(batch: pa.RecordBatch) -> dict:
         out = []

@@ -112,14 +112,19 @@ def agreeing(part: np.ndarray, sigs: np.ndarray, block: np.ndarray, tie: float)
 
 
 def ties(classes: DataFrame, tie: float = TIE) -> DataFrame:
-    """a, b, estimate: ties of signatures that agree in tie or more; they hold together all that share a bucket and agree so.
+    """a, b, estimate: ties of signatures that agree in tie or more; they hold together all that share a bucket and agree so."""
+    return clustered(classes, tie)[0]
+
+
+def clustered(classes: DataFrame, tie: float = TIE) -> tuple[DataFrame, DataFrame]:
+    """Ties, and node, component: the clusters that they make.
 
     Each class is first tied to the smallest of a bucket it is in. What these ties leave apart in a bucket is compared by
     signatures, all but the bucket's largest part with all.
     """
     bands = classes.select("uid", F.explode("bands").alias("key"))
     heads = bands.groupBy("key").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = common.checkpoint(bands.join(heads, "key").where("uid <> head"))
+    shared, path = common.written(bands.join(heads, "key").where("uid <> head"))
     pairs = shared.select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
     sig = classes.select("uid", "sig")
     pairs = pairs.join(sig.toDF("a", "x"), "a").join(sig.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -129,29 +134,33 @@ def ties(classes: DataFrame, tie: float = TIE) -> DataFrame:
         same = (x == y).mean(axis=1)
         return {"a": batch.column(0), "b": batch.column(1), "estimate": (same - 1 / 256) / (1 - 1 / 256)}
 
-    stars = common.checkpoint(common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= tie))
-    return stars.unionByName(left_apart(shared.where("n > 2").select("key", "uid"), stars, sig, tie))
+    stars, _ = common.written(common.map_rows(pairs, agreement, "a long, b long, estimate double").where(F.col("estimate") >= tie))
+    parts = common.components(stars)
+    apart, _ = common.written(left_apart(shared.where("n > 2").select("key", "uid"), parts, sig, tie))
+    common.forget(classes.sparkSession, path)
+    return stars.unionByName(apart.select("a", "b", "estimate")), common.components(apart, "part_a", "part_b", parts)
 
 
-def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame, tie: float) -> DataFrame:
-    """a, b, estimate: ties inside buckets whose members stars leave in several parts. shared: key, uid, without the buckets' heads,
+def left_apart(shared: DataFrame, parts: DataFrame, sig: DataFrame, tie: float) -> DataFrame:
+    """a, b, estimate, part_a, part_b: ties inside buckets whose members are in several parts. shared: key, uid, without the buckets' heads,
     which are compared with all. A unit of work is a block of a bucket, or two; it returns a spanning forest."""
-    m = shared.join(common.components(stars).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
+    m = shared.join(parts.withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
     sizes = m.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
     blocks = lambda n: F.ceil(n / BUCKET).cast("int")
     main = main.select("key", F.col("main.part").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("rest_blocks"), blocks(F.col("main.n")).alias("main_blocks"))
     work = _dealt(m.join(main, "key"), "key").join(sig, "uid").select("unit", "lo", "hi", "uid", "block", "part", "sig")
 
-    def done(held: list[pa.RecordBatch]) -> list[tuple[int, int, float]]:
+    def done(held: list[pa.RecordBatch]) -> list[tuple[int, int, float, int, int]]:
         t = pa.Table.from_batches(held)
         uid, block, part = (t[c].to_numpy() for c in ("uid", "block", "part"))
         if (across := t["lo"][0].as_py() != t["hi"][0].as_py()) and block.min() == block.max():
             return []  # a block that has no rows
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(uid), -1)
-        return [(int(uid[i]), int(uid[j]), e) for i, j, e in agreeing(part, sigs, block if across else np.zeros_like(block), tie)]
+        return [(int(uid[i]), int(uid[j]), e, int(part[i]), int(part[j])) for i, j, e in agreeing(part, sigs, block if across else np.zeros_like(block), tie)]
 
-    arrow = common.arrow_schema(sig.sparkSession, "a long, b long, estimate double")
+    schema = "a long, b long, estimate double, part_a long, part_b long"
+    arrow = common.arrow_schema(sig.sparkSession, schema)
 
     # Sorted rows, many small units to a batch: most buckets have few members.
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +182,7 @@ def left_apart(shared: DataFrame, stars: DataFrame, sig: DataFrame, tie: float)
             if out:
                 yield common.as_batch(dict(zip(arrow.names, zip(*out, strict=True), strict=True)), arrow)
 
-    return work.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(run, "a long, b long, estimate double")
+    return work.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi").mapInArrow(run, schema)
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray, across: bool, least: float = LEAST) -> list[tuple[int, int]]:
@@ -238,24 +247,25 @@ def _dealt(rows: DataFrame, unit: str) -> DataFrame:
 
 
 def compared(work: DataFrame, members: DataFrame, size: int, least: float = LEAST) -> DataFrame:
-    """a, b: links that span those found by each unit of work. work: unit, lo, hi, uid, block; if lo and hi differ, only classes of
-    different blocks are compared. Texts join by uid, so they are gathered by units of bounded size and by nothing larger."""
+    """a, b, part_a, part_b: links that span those found by each unit of work. work: unit, lo, hi, uid, block, part; if lo and hi differ,
+    only classes of different blocks are compared. Texts join by uid, so they are gathered by units of bounded size and by nothing larger."""
 
     def one(table: pa.Table) -> pa.Table:
         common.occupy(__name__)
         uid, block = table["uid"].to_numpy(), table["block"].to_numpy()
         uid, first = np.unique(uid, return_index=True)  # rows repeated whole
-        text = table["text"].take(pa.array(first)).combine_chunks()
+        text, part = table["text"].take(pa.array(first)).combine_chunks(), table["part"].to_numpy()[first]
         across = table["lo"][0].as_py() != table["hi"][0].as_py()
         pairs = linked([common.shingle_set(x, size) for x in common.texts(text)], block[first], across, least) if len(uid) > 1 else []
-        return pa.table({"a": pa.array([int(uid[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(uid[j]) for _, j in pairs], pa.int64())})
+        return pa.table({f"{name}{side}": pa.array([int(ids[pair[k]]) for pair in pairs], pa.int64()) for name, ids in (("", uid), ("part_", part)) for k, side in enumerate("ab")})
 
-    work = work.select("unit", "lo", "hi", "uid", "block").join(members.select("uid", "text"), "uid")
-    return work.select("unit", "lo", "hi", "uid", "block", "text").groupBy("unit", "lo", "hi").applyInArrow(one, "a long, b long")
+    work = work.select("unit", "lo", "hi", "uid", "block", "part").join(members.select("uid", "text"), "uid")
+    return work.select("unit", "lo", "hi", "uid", "block", "part", "text").groupBy("unit", "lo", "hi").applyInArrow(one, "a long, b long, part_a long, part_b long")
 
 
-def verified(members: DataFrame, tied: DataFrame, size: int, least: float = LEAST) -> DataFrame:
-    """a, b: links that span what is linked in each cluster. members: cluster, uid, n_shingles, text.
+def verified(members: DataFrame, tied: DataFrame, size: int, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links that span what is linked in each cluster: those found first (a, b), node and component of what these join, and the rest
+    (a, b, part_a, part_b), which connect such components. members: cluster, uid, n_shingles, text.
 
     A small cluster is one unit. In a large one each class is compared first with the class it is likeliest tied to; what that
     joins to the cluster's largest part needs no comparison inside the part, so only the rest is compared with all. A group of
@@ -274,13 +284,14 @@ def verified(members: DataFrame, tied: DataFrame, size: int, least: float = LEAS
     followers = followers.join(of_head, "head").select(F.col("head").alias("unit"), _block_of("uid", F.col("blocks")).alias("lo"), F.lit(-1).alias("hi"), "uid", F.lit(1).alias("block"))
     heads = large.join(of_head.withColumnRenamed("head", "uid"), "uid").withColumn("lo", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     heads = heads.select(F.col("uid").alias("unit"), "lo", F.lit(-1).alias("hi"), "uid", zero.alias("block"))
-    first = common.checkpoint(compared(small.unionByName(followers).unionByName(heads), members, size, least))
+    first, _ = common.written(compared(small.unionByName(followers).unionByName(heads).withColumn("part", F.col("uid")), members, size, least).select("a", "b"))
 
-    parts = large.join(common.components(first).withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
+    joined = common.components(first)
+    parts = large.join(joined.withColumnRenamed("node", "uid"), "uid", "left").withColumn("part", F.coalesce("component", "uid")).drop("component")
     sizes = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part", "s")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > main.n")
     main = main.select("cluster", F.col("main.part").alias("main"), _blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("rest_blocks"), _blocks(F.col("main.n"), F.col("main.s")).alias("main_blocks"))
-    return first.unionByName(compared(_dealt(parts.join(main, "cluster"), "cluster"), members, size, least))
+    return first, joined, compared(_dealt(parts.join(main, "cluster"), "cluster"), members, size, least)
 
 
 def with_texts(members: DataFrame, docs: DataFrame) -> DataFrame:
@@ -302,20 +313,22 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
 def components_of(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """features, and for each digest its component's id and the row that stands for the component: the smallest, null doc_ids last."""
-    spark = common.prepare(docs.sparkSession)
-    f = common.checkpoint(features(docs, size))
-    classes = f.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = common.checkpoint(classes.select(F.monotonically_increasing_id().alias("uid"), "digest", "at.doc_id", "at.text_hash", "n_shingles", "bands", "sig"))
-    tied = common.checkpoint(ties(classes))
-    clusters = common.components(tied)
-    members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(classes.select("uid", "doc_id", "text_hash", "n_shingles"), "uid")
-    groups = common.components(verified(common.checkpoint(with_texts(members, docs)), tied, size))
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    named = classes.select("uid", "digest", "doc_id", "text_hash").join(groups.withColumnRenamed("node", "uid"), "uid")
-    names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(at).alias("stands"))
-    grouped = named.select("digest", "component").join(names, "component").select("digest", "component_id", "stands")
-    alone = classes.join(groups, classes.uid == groups.node, "left_anti").select("digest", F.col("doc_id").alias("component_id"), at.alias("stands"))
-    return f, grouped.unionByName(alone)
+    common.prepare(docs.sparkSession)
+    with common.scope():  # what texts and signatures were written for goes before the result is read
+        f, _ = common.written(features(docs, size))
+        classes = f.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        classes, _ = common.written(classes.select(F.monotonically_increasing_id().alias("uid"), "digest", "at.doc_id", "at.text_hash", "n_shingles", "bands", "sig"))
+        f, _ = common.written(f.select("doc_id", "text_hash", "n_shingles", "digest"), outer=True)
+        tied, clusters = clustered(classes)
+        members = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("uid")).join(classes.select("uid", "doc_id", "text_hash", "n_shingles"), "uid")
+        _, joined, rest = verified(common.written(with_texts(members, docs))[0], tied, size)
+        groups = common.components(rest, "part_a", "part_b", joined)
+        at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+        named = classes.select("uid", "digest", "doc_id", "text_hash").join(groups.withColumnRenamed("node", "uid"), "uid")
+        names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(at).alias("stands"))
+        grouped = named.select("digest", "component").join(names, "component").select("digest", "component_id", "stands")
+        alone = classes.join(groups, classes.uid == groups.node, "left_anti").select("digest", F.col("doc_id").alias("component_id"), at.alias("stands"))
+        return f, common.written(grouped.unionByName(alone), outer=True)[0]
 
 
 def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:

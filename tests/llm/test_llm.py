@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("evseq.llm")
 from evseq.llm import bpe, common, fingerprints, html_extract, licenses, minhash_dedup, mixing, suffix_dedup, toxicity, url_filters, vector_dedup  # noqa: E402
@@ -869,6 +871,80 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def grouped(edges):
+    """Each node's smallest, by brute force."""
+    near, out = {}, {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    for low in sorted(near):
+        todo = [low] * (low not in out)
+        while todo:
+            if (x := todo.pop()) not in out:
+                out[x] = low
+                todo += near[x]
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 1 << 20])
+def test_components_of_random_graphs(spark, monkeypatch, at_once):
+    """Paths, hubs that are the smallest or the largest, repeated edges and loops; edges that a task joins at once: one, few, all."""
+    monkeypatch.setattr(common, "FOREST", at_once)
+    rng = random.Random(at_once)
+    names = rng.sample(range(-500, 500), 400)
+    path = list(zip(names[:60], names[1:61], strict=True))
+    edges = path + [(900, k) for k in range(600, 640)] + [(700, k) for k in range(701, 740)] + [(rng.choice(names[100:]), rng.choice(names[100:])) for _ in range(230)]
+    edges += edges[::7] + [(names[99], names[99])]
+    rng.shuffle(edges)
+    rows = [(r["node"], r["component"]) for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()]
+    assert len(rows) == len(dict(rows)) and dict(rows) == grouped(edges)
+    held = common.components(spark.createDataFrame(edges, "a long, b long"))
+    rows = [(r["node"], r["component"]) for r in common.components(spark.createDataFrame([], "a long, b long"), held=held).collect()]
+    assert dict(rows) == grouped(edges)
+    of = dict(rows)
+    further = [(of[names[0]], of[names[200]] if names[200] in of else 700), (2000, of[700]), (3000, 3001)]
+    rows = [(r["node"], r["component"]) for r in common.components(spark.createDataFrame(further, "a long, b long"), held=held).collect()]
+    assert len(rows) == len(dict(rows)) and dict(rows) == grouped(edges + further)
+
+
+def tasks_of(spark, fn):
+    group = f"group-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        fn()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    infos = [status.getStageInfo(s) for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds]
+    return sum(x.numCompletedTasks for x in infos if x)
+
+
+def test_tasks_of_near_duplicates(spark):
+    """Every task leaves files of its shuffle and lines in the log: groups that settle at once take few."""
+    rng = random.Random(41)
+    texts = [prose(rng, 80) for _ in range(40)]
+    docs = documents(spark, [(k, t, "s") for k, t in enumerate([*texts, *(f"{t} end" for t in texts)])])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n = tasks_of(spark, lambda: minhash_dedup.one_of_each(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 0 < n < 400  # 648 when components were found four times from all edges
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString("\n")))
+    before = files()
+    with common.scope():
+        out, _ = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        end = time.time() + 20
+        while (left := files() - before) and time.time() < end:
+            time.sleep(0.1)
+        assert not left and out.count() == 7 and out.count() == 7
+
+
 # The pipeline
 
 
